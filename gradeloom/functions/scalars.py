@@ -22,7 +22,7 @@ def is_pascal_case(name: Column) -> Column:
 
 def stamp_to_timestamp(stamp: Column) -> Column:
     """Parse ``2026-05-17_17-28-38_UTC`` (session time zone must be UTC)."""
-    return F.to_timestamp(stamp, F.lit(STAMP_FORMAT))
+    return F.to_timestamp(stamp, STAMP_FORMAT)
 
 
 def timestamp_to_stamp(ts: Column) -> Column:
