@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gradeloom.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, in enough tasks for work on whole texts."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with the number in ``props`` as ``k`` and ``ts`` as a UTC timestamp."""
     return table(spark, folder, "events").withColumns(
@@ -45,7 +52,7 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
     whose shape follows its columns. What each file contains is therefore known
     from the columns alone, which is what the SQL side computes from.
     """
-    orders = table(spark, folder, "orders").select(
+    orders = spread(table(spark, folder, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("k"),
         F.col("o_custkey").alias("c"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("p"),

@@ -8,7 +8,7 @@ from gradeloom.functions.scalars import character_limit, with_over_limit
 from gradeloom.functions.text import with_line_features
 from gradeloom.operators import curate
 from gradeloom.plans.checks.curation import DIRECTIVES
-from gradeloom.plans.checks.tables import table
+from gradeloom.plans.checks.tables import documents, table
 
 LINE_BREAK_SQL = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 FILLED_SQL = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -30,7 +30,7 @@ def lines_sql(relation: str, columns: str) -> str:
 
 
 def line_features(spark, folder):
-    return with_line_features(table(spark, folder, "documents")).select(
+    return with_line_features(documents(spark, folder)).select(
         "doc_id",
         *[F.col(c).cast("bigint").alias(c) for c in ("lines", "empty_lines", "effective_lines", "characters", "long_lines")],
         *[F.round(c, 6).alias(c) for c in ("code_compactness", "line_length_std", "long_line_ratio", "chars_per_line")],
@@ -50,7 +50,7 @@ def over_limit(spark, folder):
 
 def curated_summary(spark, folder):
     """Curate, measure the lines, log and flag, then describe each language."""
-    corpus = curate.format_corpus(table(spark, folder, "documents"), "n_chars", ())
+    corpus = curate.format_corpus(documents(spark, folder), "n_chars", ())
     kept = curate.exclude_directives(curate.trim_below_quantile(corpus), DIRECTIVES)
     measured = with_line_features(kept).select(
         "lang",

@@ -7,13 +7,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from gradeloom.operators import vectors
-from gradeloom.plans.checks.tables import table
+from gradeloom.plans.checks.tables import documents, table
 
 VOWELS = "aeiou"
 
 
 def windows(spark, folder):
-    return vectors.token_windows(table(spark, folder, "documents").select("doc_id", "text")).select(
+    return vectors.token_windows(documents(spark, folder).select("doc_id", "text")).select(
         "doc_id", "chunk", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("md5")
     )
 
@@ -33,9 +33,9 @@ def make_vowel_encoder():
 
 
 def encoded(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = documents(spark, folder).select("doc_id", "text")
     found = vectors.embed_texts(docs, "doc_id", make_vowel_encoder)
-    return found.select("doc_id", *[F.round(F.col("embedding")[i], 6).alias(v) for i, v in enumerate(VOWELS)])
+    return found.select("doc_id", *[F.round(F.col("embedding")[i], 9).alias(v) for i, v in enumerate(VOWELS)])
 
 
 def assembled(spark, folder):
@@ -103,10 +103,10 @@ ORACLES = {
           SELECT CAST(label AS BIGINT) AS label, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)
         GROUP BY label, pos""",
     "g14_encoder": f"""
-        SELECT doc_id, {', '.join(f"round(avg((length(t) - length(replace(t, '{v}', ''))) / greatest(length(t), 1)), 6) AS {v}" for v in VOWELS)}
+        SELECT doc_id, {', '.join(f"round(avg((length(t) - length(replace(t, '{v}', ''))) / greatest(length(t), 1)), 9) AS {v}" for v in VOWELS)}
         FROM (SELECT doc_id, array_to_string(t, ' ') AS t FROM {_WINDOWS}) GROUP BY doc_id""",
     "g5_assembled_vectors": """
-        SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS "first", round(vec_id * 2.0, 6) AS a, round(label + 0.5, 6) AS b,
+        SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS "first", CAST(vec_id * 2 AS DOUBLE) AS a, CAST(label + 0.5 AS DOUBLE) AS b,
                CAST(len(embedding) + 2 AS BIGINT) AS size FROM embeddings""",
     "g16_silhouettes": f"SELECT vec_id, round(s, 6) AS silhouette FROM {_SILHOUETTE}",
     "g17_silhouette_profile": f"""

@@ -56,3 +56,16 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Cut a plain scan that gives fewer tasks than there are cores into more of them.
+
+    Meant for small tables in front of work that is heavy per row, such as parsing.
+    A scan that has enough tasks, as any large one does, is returned as it is and
+    is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(4 * cores, key)
