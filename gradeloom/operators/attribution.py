@@ -16,11 +16,14 @@ those counts: the rows are not shuffled.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from gradeloom.operators.curate import sample_rows
 from gradeloom.schemas import LEAVES
@@ -28,6 +31,7 @@ from gradeloom.session import scratch_path, stage
 
 BACKGROUND_ROWS = 100
 MASKS_PER_BLOCK = 2_000_000
+DENSE_NUMBERS = 8_000_000  # numbers kept per task for effects already worked out
 
 
 # --- leaves of a fitted forest --------------------------------------------------
@@ -94,9 +98,10 @@ class _Masks(NamedTuple):
 
 def _mask(leaf: _Leaf, x: np.ndarray) -> np.ndarray:
     """Bit j is set where the row lies in the leaf's box on path feature j."""
-    part = x[:, leaf.features]
-    inside = (part > leaf.lo) & (part <= leaf.hi)
-    return inside @ (1 << np.arange(len(leaf.features), dtype=np.int64))
+    mask = np.zeros(x.shape[1], dtype=np.int64)
+    for j, (feature, lo, hi) in enumerate(zip(leaf.features, leaf.lo, leaf.hi)):
+        mask |= ((x[feature] > lo) & (x[feature] <= hi)).astype(np.int64) << j
+    return mask
 
 
 def _weights(longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,25 +127,65 @@ def _leaf_effect(leaf: _Leaf, ours: np.ndarray, background: _Masks, gain: np.nda
     return np.einsum("uk,ukf->uf", plus, on_x) - np.einsum("uk,ukf->uf", minus, on_z)
 
 
-def _explain(leaves: list[_Leaf], masks: list[_Masks], features: list[str], key: str, trees: int):
-    gain, loss = _weights(max(len(leaf.features) for leaf in leaves))
+class _LeafEffects:
+    """Effects of one leaf, kept per mask once they have been worked out.
 
-    def explain(batches):
+    ``dense`` leaves index a table by mask; the others, with long paths, look at
+    the distinct masks of each batch.
+    """
+
+    def __init__(self, leaf: _Leaf, background: _Masks, weights, dense: bool):
+        self.leaf, self.background, self.weights = leaf, background, weights
+        width = len(leaf.features)
+        self.table = np.zeros((1 << width, width)) if dense else None
+        self.known = np.zeros(1 << width, dtype=bool) if dense else None
+
+    def add_to(self, phi: np.ndarray, x: np.ndarray) -> None:
+        """Add the effects to ``phi``; both are feature by row."""
+        mask = _mask(self.leaf, x)
+        if self.table is None:
+            distinct, which = np.unique(mask, return_inverse=True)
+            part = _leaf_effect(self.leaf, distinct, self.background, *self.weights)[which]
+        else:
+            known = self.known[mask]
+            if not known.all():
+                new = np.unique(mask[~known])
+                self.table[new] = _leaf_effect(self.leaf, new, self.background, *self.weights)
+                self.known[new] = True
+            part = self.table[mask]
+        for j, feature in enumerate(self.leaf.features):
+            phi[feature] += part[:, j]
+
+
+def _effects_function(leaves: list[_Leaf], masks: list[_Masks], trees: int):
+    """Arrow function: feature values of a row to their effects."""
+
+    @arrow_udf("ARRAY<DOUBLE>")
+    def effects(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weights = _weights(max(len(leaf.features) for leaf in leaves))
+        room, known = DENSE_NUMBERS, []
+        for leaf, background in zip(leaves, masks):
+            need = len(leaf.features) << len(leaf.features)
+            dense = need <= room
+            room -= need if dense else 0
+            known.append(_LeafEffects(leaf, background, weights, dense))
         for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
+            n = len(batch)
+            x = np.ascontiguousarray(batch.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).T) if n else np.zeros((0, 0))
             phi = np.zeros_like(x)
-            for leaf, background in zip(leaves, masks):
-                ours, which = np.unique(_mask(leaf, x), return_inverse=True)
-                phi[:, leaf.features] += _leaf_effect(leaf, ours, background, gain, loss)[which]
-            yield pd.DataFrame({"row_id": batch[key], "x": list(x), "phi": list(phi / trees)})
+            if n:
+                for leaf in known:
+                    leaf.add_to(phi, x)
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * len(x))
+            yield pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(phi.T / trees).ravel()))
 
-    return explain
+    return effects.asNondeterministic()
 
 
 def _count_masks(leaves: list[_Leaf], features: list[str]):
     def count(batches):
         for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
+            x = np.ascontiguousarray(batch[features].to_numpy(dtype=float).T)
             for i, leaf in enumerate(leaves):
                 found, n = np.unique(_mask(leaf, x), return_counts=True)
                 yield pd.DataFrame({"leaf": i, "mask": found, "n": n})
@@ -170,30 +215,26 @@ def _blocks(leaves: list[_Leaf], background_rows: int) -> list[list[_Leaf]]:
     return blocks
 
 
-def attribute(
-    df: DataFrame,
-    background: DataFrame,
-    leaves: DataFrame,
-    features: list[str],
-    key: str = "row_id",
+def with_attribution(
+    df: DataFrame, background: DataFrame, leaves: DataFrame, features: list[str], name: str = "phi"
 ) -> DataFrame:
-    """(row_id, feature, pos, value, phi) for every row and feature.
+    """Add an array with the effect of every feature, in the order of ``features``.
 
     ``leaves`` is a table as from ``leaf_boxes``; feature numbers index ``features``.
-    Leaves are worked through in blocks of bounded size; only with more than one
-    block are partial results added up in a shuffle.
+    Leaves are worked through in blocks of bounded size whose results are added
+    up inside the row, so rows are never shuffled. Missing values count as 0.
     """
-    spark = df.sparkSession
     columns = [F.col(c).cast("double").alias(c) for c in features]
-    data = df.select(F.col(key).cast("bigint").alias(key), *columns)
     z = stage(background.select(*columns), "background")
     n_background = z.count()
     leaves = stage(leaves, "leaves")
     trees = leaves.select("tree").distinct().count()
-    parts = []
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+    found, result = [], df
     for block in _blocks(_collect_leaves(leaves), n_background):
         if not block:
             continue
+        # at most MASKS_PER_BLOCK rows
         counts = (
             z.mapInPandas(_count_masks(block, features), "leaf INT, mask BIGINT, n BIGINT")
             .groupBy("leaf", "mask")
@@ -204,23 +245,23 @@ def attribute(
         masks = [
             _Masks(part["mask"].to_numpy(), part["n"].to_numpy() / n_background) for _, part in counts.groupby("leaf", sort=True)
         ]
-        parts.append(
-            data.mapInPandas(_explain(block, masks, features, key, trees), "row_id BIGINT, x ARRAY<DOUBLE>, phi ARRAY<DOUBLE>")
-        )
-    if not parts:  # no tree has a split: nothing depends on any feature
-        zero = F.array(*[F.lit(0.0)] * len(features))
-        parts = [data.select(F.col(key).alias("row_id"), F.array(*features).alias("x"), zero.alias("phi"))]
-
+        found.append(f"_phi{len(found)}")
+        result = result.withColumn(found[-1], _effects_function(block, masks, trees)(x))
+    # no block means that no tree has a split: nothing depends on any feature
+    total = F.array(*[F.lit(0.0)] * len(features)) if not found else F.col(found[0])
+    for part in found[1:]:
+        total = F.zip_with(total, F.col(part), lambda a, b: a + b)
+    return result.withColumn(name, total).drop(*found)
+
+
+def attribute(df: DataFrame, background: DataFrame, leaves: DataFrame, features: list[str], key: str = "row_id") -> DataFrame:
+    """(row_id, feature, pos, value, phi): the effects as a long table, one row per row and feature."""
+    rows = with_attribution(df.select(F.col(key).cast("bigint").alias("row_id"), *features), background, leaves, features)
     names = F.array(*[F.lit(c) for c in features])
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.unionByName(part)
-    long = total.select(
-        "row_id", F.posexplode(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"), F.col("phi").alias("phi")))
-    ).select("row_id", F.col("col.feature").alias("feature"), "pos", F.col("col.value").alias("value"), F.col("col.phi").alias("phi"))
-    if len(parts) > 1:
-        long = long.groupBy("row_id", "feature", "pos").agg(F.first("value").alias("value"), F.sum("phi").alias("phi"))
-    return long.select("row_id", "feature", "pos", "value", "phi")
+    values = F.array(*[F.col(c).cast("double") for c in features])
+    return rows.select(
+        "row_id", F.posexplode(F.arrays_zip(names.alias("feature"), values.alias("value"), F.col("phi").alias("phi"))).alias("pos", "c")
+    ).select("row_id", "c.feature", "pos", "c.value", "c.phi")
 
 
 def attribute_forest(

@@ -16,6 +16,7 @@ from gradeloom.fixed_values import (
     P_VALUE_THRESHOLD,
 )
 from gradeloom.operators.ordered import ROWS_PER_TASK, running_totals
+from gradeloom.session import stage
 
 EXCEEDED, NOT_EXCEEDED = "exceeded", "did not exceed"
 
@@ -68,13 +69,17 @@ def distances(counts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFram
     the largest gap between the distribution functions, ``jensen_shannon`` uses
     natural logarithms, ``chi_square`` compares observed with expected counts.
     """
+    counts = stage(counts, "value-counts")
+    # one row per feature; written, so that its real size is known when the join is planned
     sizes = counts.groupBy("feature").agg(
         F.sum("n_ref").alias("ref_rows"),
         F.sum("n_cur").alias("cur_rows"),
         F.count(F.lit(1)).alias("distinct"),
+        F.max("x").alias("top"),
         F.sum((F.col("n_ref") > 0).cast("int")).alias("ref_distinct"),
         (F.sum(F.col("x") * F.col("n_ref")) / F.sum("n_ref")).alias("ref_mean"),
     )
+    sizes = stage(sizes, "sizes")
     stepped = running_totals(
         counts, ["feature"], ["x"], {"upto_ref": F.col("n_ref"), "upto_cur": F.col("n_cur")}, {"next_x": "x"}, rows_per_task
     )
@@ -101,8 +106,9 @@ def distances(counts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFram
             F.max(gap).alias("ks"),
             F.sqrt(F.greatest(F.sum(entropy(p) + entropy(q)) / 2, F.lit(0.0))).alias("jensen_shannon"),
             F.sum((F.col("n_cur") - expected) * (F.col("n_cur") - expected) / F.when(expected > 0, expected)).alias("chi_square"),
-            F.sum(F.when(F.col("n_ref") + F.col("n_cur") > 0, p * F.col("x"))).alias("ref_share"),
-            F.sum(F.when(F.col("n_ref") + F.col("n_cur") > 0, q * F.col("x"))).alias("cur_share"),
+            # share of the larger value, for features that have two
+            F.sum(F.when(F.col("x") == F.col("top"), p).otherwise(0.0)).alias("ref_share"),
+            F.sum(F.when(F.col("x") == F.col("top"), q).otherwise(0.0)).alias("cur_share"),
         )
         .withColumn("wasserstein", F.col("raw_wasserstein") / F.greatest("ref_std", F.lit(MIN_REFERENCE_STD)))
         .drop("raw_wasserstein")
@@ -148,7 +154,7 @@ def drift(
     measured = distances(value_counts_by_side(reference, current, features), rows_per_task).collect()
     rows = []
     for r in measured:
-        few = r["ref_distinct"] <= FEW_DISTINCT_VALUES
+        few = r["distinct"] <= FEW_DISTINCT_VALUES
         if not r["ref_rows"] or not r["cur_rows"]:
             rows.append((r["feature"], "none", None, None, None))
             continue

@@ -7,6 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.operators.ordered import exact_quantiles
+from gradeloom.session import stage
 
 
 def _long(df: DataFrame, rows: list[Column]) -> DataFrame:
@@ -55,6 +56,8 @@ def histogram(df: DataFrame, column: str, bins: int, group: list[str] | None = N
         ((F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("b") - F.col("a"))) / bins).alias("width"),
     )
     if group:
+        # written, so that its real size decides between a broadcast and a shuffle
+        ranges = stage(ranges, "ranges")
         placed = values.join(ranges, group)
     else:
         range_of = ranges.select(F.struct("start", "width")).scalar()

@@ -142,37 +142,63 @@ def _consider(advice: Column, item: Column) -> Column:
     return F.when(done, advice).otherwise(changed)
 
 
-def recommend(
+def _advise(df: DataFrame, effects: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Turn ``_ranked`` into ``recommendations``; everything happens inside the row."""
+    none = F.array().cast("array<struct<feature:string,direction:string>>")
+    present = F.map_concat("extracted_features", F.create_map(F.lit("effective_lines"), F.col("effective_lines").cast("double")))
+    return (
+        df.withColumns({"_effects": _effect_map(effects), "_needs": _dependency_map(dependencies), "_present": present})
+        .withColumn(
+            "recommendations",
+            F.when((F.col("score") == -1) | (F.col("score") == 10) | F.col("_ranked").isNull(), none).otherwise(
+                F.aggregate("_ranked", none, _consider)
+            ),
+        )
+        .drop("_effects", "_needs", "_present", "_ranked")
+    )
+
+
+def recommend_rows(
     scored: DataFrame,
-    attribution: DataFrame,
     effects: DataFrame,
     dependencies: DataFrame,
-    key: str = "row_id",
+    features: list[str],
+    phi: str = "phi",
     log_features: list[str] = fixed.LOG_FEATURES,
 ) -> DataFrame:
     """Add ``recommendations``: ordered (feature, direction), at most about three per row.
 
-    ``scored`` has the key, ``score``, ``extracted_features`` and ``effective_lines``.
-    Features are visited from the most negative attribution on; equal ones in
-    feature order. Files scored -1 or 10 get none.
+    ``scored`` has ``score``, ``extracted_features``, ``effective_lines`` and an
+    array of effects in the order of ``features``. Features are visited from the
+    most negative effect on; equal ones in feature order. Files scored -1 or 10
+    get none. Nothing is shuffled.
     """
+
+    def value(name: str) -> Column:
+        stored = F.col("extracted_features")[name]
+        return F.expm1(stored) if name in log_features else stored
+
+    entries = [
+        F.struct(F.get(phi, F.lit(i)).alias("phi"), F.lit(i).alias("pos"), F.lit(c).alias("feature"), value(c).alias("value"))
+        for i, c in enumerate(features)
+    ]
+    return _advise(scored.withColumn("_ranked", F.array_sort(F.array(*entries))), effects, dependencies)
+
+
+def recommend(
+    scored: DataFrame,
+    attribution: DataFrame,
+    effects: DataFrame,
+    dependencies: DataFrame,
+    key: str = "row_id",
+    log_features: list[str] = fixed.LOG_FEATURES,
+) -> DataFrame:
+    """The same from a long attribution table, joined on the key."""
     # as many entries per row as there are features
     ranked = undo_logs(attribution, log_features).groupBy(F.col("row_id").alias(key)).agg(
         F.array_sort(F.collect_list(F.struct("phi", "pos", "feature", "value"))).alias("_ranked")
     )
-    none = F.array().cast("array<struct<feature:string,direction:string>>")
-    present = F.map_concat("extracted_features", F.create_map(F.lit("effective_lines"), F.col("effective_lines").cast("double")))
-    judged = (
-        scored.join(ranked, key, "left")
-        .withColumns({"_effects": _effect_map(effects), "_needs": _dependency_map(dependencies), "_present": present})
-        .withColumn(
-            "recommendations",
-            F.when((F.col("score") == -1) | (F.col("score") == 10) | F.col("_ranked").isNull(), none).otherwise(
-                F.aggregate("_ranked", none, _consider)
-            ),
-        )
-    )
-    return judged.select(*scored.columns, "recommendations")
+    return _advise(scored.join(ranked, key, "left"), effects, dependencies).select(*scored.columns, "recommendations")
 
 
 def with_message(df: DataFrame, messages: DataFrame) -> DataFrame:

@@ -244,6 +244,7 @@ def _cells(pivots: np.ndarray, reach: float):
     return cells
 
 
+MOST_PIVOTS = 1024  # a few megabytes, sent to every task
 _PAIRS = "a BIGINT, b BIGINT, cosine DOUBLE, gap DOUBLE"
 
 
@@ -270,7 +271,7 @@ def close_pairs(
     score: str,
     min_cosine: float,
     min_gap: float,
-    pivots: int = 64,
+    pivots: int | None = None,
     block_rows: int = 2000,
 ) -> DataFrame:
     """(a, b, cosine, gap): distinct vectors that are alike while their scores differ.
@@ -285,6 +286,8 @@ def close_pairs(
     groups = unit_vectors(vector_groups(df, key, vector, score), vector)
     groups = stage(groups.select("id", "lo", "hi", "_unit"), "vector-groups")
     reach = math.sqrt(max(2 - 2 * min_cosine, 0.0))
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(16, math.isqrt(groups.count())))
     centres = np.array([r["_unit"] for r in sample_rows(groups, pivots, "id").collect()])
     if not len(centres):
         return df.sparkSession.createDataFrame([], _PAIRS)

@@ -140,8 +140,8 @@ _DISTANCES = f"""
    FROM p GROUP BY feature)"""
 _DRIFT = f"""
   (SELECT feature, method, value, CAST(0.1 AS DOUBLE) AS threshold, value >= 0.1 AS drifted FROM (
-     SELECT feature, CASE WHEN ref_distinct <= 5 THEN 'jensen_shannon' ELSE 'wasserstein' END AS method,
-            CASE WHEN ref_distinct <= 5 THEN jensen_shannon ELSE wasserstein END AS value FROM {_DISTANCES}))"""
+     SELECT feature, CASE WHEN "distinct" <= 5 THEN 'jensen_shannon' ELSE 'wasserstein' END AS method,
+            CASE WHEN "distinct" <= 5 THEN jensen_shannon ELSE wasserstein END AS value FROM {_DISTANCES}))"""
 _DECLINE = f"(SELECT sqrt(avg((k - value) * (k - value))) AS rmse FROM {EVENTS})"
 _ROLLING = f"""
     SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type AS model_version,

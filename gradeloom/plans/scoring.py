@@ -7,12 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom import fixed_values as fixed
-from gradeloom.operators.attribution import attribute
+from gradeloom.operators.attribution import with_attribution
 from gradeloom.operators.code_facts import with_code_facts
 from gradeloom.operators.code_features import transformed_features
-from gradeloom.operators.forest import INVALID_SCORE, score_sources
-from gradeloom.operators.recommend import recommend, with_message
-from gradeloom.session import stage
+from gradeloom.operators.forest import score_sources
+from gradeloom.operators.recommend import recommend_rows, with_message
 
 
 @dataclass
@@ -32,19 +31,16 @@ class Scorer:
     def score(self, submissions: DataFrame) -> DataFrame:
         """(id, user_id, raw_code, created_at) to full submission rows with a message.
 
-        Scores are kept in a stage table, so every file is parsed once although
-        attribution and advice both read them.
+        Parsing, features, prediction, attribution and advice all happen inside
+        the row: the submissions are read once and not shuffled.
         """
         parsed = with_code_facts(submissions.withColumn("text", F.col("raw_code")))
         scored = score_sources(parsed, self.model, self.features, self.feature_stage).drop("facts", "text")
         if "effective_lines" not in scored.columns:
             scored = scored.withColumn("effective_lines", F.lit(None).cast("int"))
-        scored = stage(scored, "scored")
-        valid = scored.filter(F.col("score") != INVALID_SCORE).select(
-            F.col("id").alias("row_id"), *[F.col("extracted_features")[c].alias(c) for c in self.features]
-        )
-        phi = attribute(valid, self.background, self.leaves, self.features)
-        advised = with_message(recommend(scored, phi, self.effects, self.dependencies, key="id"), self.messages)
+        numbers = scored.withColumns({c: F.col("extracted_features")[c] for c in self.features})
+        explained = with_attribution(numbers, self.background, self.leaves, self.features).drop(*self.features)
+        advised = with_message(recommend_rows(explained, self.effects, self.dependencies, self.features), self.messages)
         return advised.select(
             "id",
             "user_id",

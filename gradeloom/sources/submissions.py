@@ -42,13 +42,21 @@ def get_submissions(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def append_submissions(df: DataFrame, path: str) -> None:
-    """Append rows whose id is not stored yet; repeating a batch changes nothing."""
+    """Append rows whose id is not stored yet; repeating a batch changes nothing.
+
+    A submission keeps its ``created_at``, so only stored rows from the batch's
+    own time span are looked at, however long the history is.
+    """
     spark = df.sparkSession
     fresh = df.dropDuplicates(["id"])
     try:
-        known = spark.read.parquet(path).select("id")
-    except AnalysisException:
-        known = None  # nothing stored yet
-    if known is not None:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        stored = None  # nothing stored yet
+    if stored is not None:
+        span = df.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b")).first()
+        known = stored.filter(F.col("created_at").between(span["a"], span["b"])).select("id")
         fresh = fresh.join(known, "id", "left_anti")
     fresh.write.mode("append").parquet(path)

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gradeloom.sources.submissions import append_submissions
-
 
 def submission_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
     """New Parquet files of a folder as a stream."""
@@ -25,15 +23,16 @@ def start_scoring(
     key: str = "id",
     time: str = "created_at",
 ) -> StreamingQuery:
-    """Score each batch and append it.
+    """Score each batch into a folder of its own.
 
     A submission sent twice within ``delay`` is scored once. A batch that is
-    repeated after a failure appends nothing that is stored already.
+    repeated after a failure writes its folder again, so nothing is stored twice
+    and nothing that is stored has to be read.
     """
     unique = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
-    def handle(batch: DataFrame, _: int) -> None:
-        append_submissions(score(batch), sink)
+    def handle(batch: DataFrame, number: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     writer = unique.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

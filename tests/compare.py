@@ -65,7 +65,7 @@ def main():
 
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark = get_session(
-        "compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"}
+        "compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"}
     )
     spark.sparkContext.setLogLevel("OFF")
     con, sql = database(folder), contract.oracle_sql()

@@ -11,6 +11,7 @@ from gradeloom.operators import recommend as rec
 from gradeloom.operators.attribution import forest_nodes, leaf_boxes
 from gradeloom.operators.evaluate import metrics
 from gradeloom.operators.forest import draw_trials, feature_importance, out_of_fold_predictions
+from gradeloom.plans.effects import mined_effects, publish_for
 from gradeloom.plans.monitoring import deploy, monitoring_report, retrain
 from gradeloom.plans.scoring import Scorer
 from gradeloom.plans.training import curated_corpus, labelled_features, train_and_register
@@ -163,6 +164,25 @@ def test_publish_falls_back_to_the_version_before(spark, tmp_path):
         published.publish_reco_data(spark, root, 4)
 
 
+def test_mined_effects_are_published(spark, world, tmp_path):
+    train = spark.read.parquet(f"{world['root']}/data/features_v3")
+    effects = mined_effects(world["model"], train)
+    publish_for(spark, str(tmp_path), 1, effects, fixed.DEPENDENCIES, fixed.MESSAGES)
+    rows = {r["feature"]: r for r in published.read_reco_part(spark, str(tmp_path), "effects", 1).collect()}
+    assert set(rows) == set(FEATURES)
+    assert rows["long_line"]["kind"] == "never" and rows["has_docstring"]["kind"] == "always"
+    for r in rows.values():
+        assert r["kind"] in ("never", "always") or r["lo"] <= r["hi"]
+    # logged features are mined on their own scale
+    assert rows["characters"]["kind"] == "never" or rows["characters"]["hi"] > 50
+
+
+def test_scoring_does_not_shuffle(scorer, incoming):
+    plan = scorer.score(incoming)._jdf.queryExecution().executedPlan().toString()
+    scan = plan.split("Subqueries")[0].split("Subquery")[0]
+    assert "Join" not in scan and scan.count("Exchange") == 0
+
+
 def test_csv_round_trip(spark, tables, tmp_path):
     docs = tables.documents
     extra = spark.createDataFrame([(-1, 'a "quoted", text\r\n  with\nlines ', "en", "s", 3)], docs.schema)
