@@ -19,7 +19,7 @@ from gradeloom.operators import attribution as at
 from gradeloom.operators.forest import fit_forest
 from gradeloom.plans.checks import all_queries
 from gradeloom.plans.checks.tables import table
-from gradeloom.session import get_session, stage
+from gradeloom.session import get_session, spread, stage
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -53,7 +53,7 @@ def forest_attribution(trees: int):
     models = {}
 
     def run(spark, folder):
-        rows = table(spark, folder, "lineitem").withColumn("row_id", F.xxhash64("*"))
+        rows = spread(table(spark, folder, "lineitem"), "l_orderkey").withColumn("row_id", F.xxhash64("*"))
         if folder not in models:
             models[folder] = fit_forest(stage(rows, "bench"), COLUMNS, "l_extendedprice", trees=trees, max_depth=5)
         return lambda: at.attribute_forest(rows, rows, models[folder], COLUMNS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom import fixed_values as fixed
+from gradeloom.functions.text import let
 from gradeloom.operators.ordered import ROWS_PER_TASK, moving_mean, widest_positive_runs, with_rank
 from gradeloom.schemas import DEPENDENCIES, EFFECTS, MESSAGES
 
@@ -102,11 +103,6 @@ def _put(advice: Column, new: Column) -> Column:
     return F.when(known, replaced).otherwise(F.concat(advice, F.array(new)))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _has(advice: Column, feature: str) -> Column:
     return F.exists(advice, lambda x: x["feature"] == feature)
 
@@ -132,7 +128,7 @@ def _consider(advice: Column, item: Column) -> Column:
         .when(ranged & (F.size(needs) > 0), by_need)
         .otherwise(F.array(_advice(item["feature"], direction)))
     )
-    changed = _let(
+    changed = let(
         F.aggregate(changes, advice, _put),
         lambda a: F.when(
             _has(a, "characters") & _has(a, "effective_lines"), F.filter(a, lambda x: x["feature"] != "characters")

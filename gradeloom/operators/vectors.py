@@ -47,12 +47,14 @@ def token_windows(
     step = content - overlap
     tokens = F.col("_tokens")
     count = F.greatest(F.ceil((F.size(tokens) - content) / step) + 1, F.lit(1)).cast("int")
+    # there is always a window; the outer form keeps the optimizer from adding a
+    # filter on it below, which would tokenize every text again per window
     windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(tokens, i * step + 1, F.lit(content)))
     kept = [c for c in df.columns if c != text]
     return (
         df.withColumn("_tokens", tokenize(F.col(text)))
         .withColumn("_windows", windows)
-        .select(*kept, F.posexplode("_windows").alias("chunk", "tokens"))
+        .select(*kept, F.posexplode_outer("_windows").alias("chunk", "tokens"))
     )
 
 

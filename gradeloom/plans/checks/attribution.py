@@ -9,7 +9,7 @@ from gradeloom.operators import recommend as rec
 from gradeloom.operators.forest import fit_forest, predict
 from gradeloom.plans.checks.tables import EVENTS, events
 from gradeloom.schemas import LEAVES
-from gradeloom.session import stage
+from gradeloom.session import spread, stage
 
 COLUMNS = ["value", "user_id", "k"]
 INF = float("inf")
@@ -34,7 +34,7 @@ FIXED_LEAVES = [
 
 
 def _rows(spark, folder):
-    return events(spark, folder).select("event_id", *[F.col(c).cast("double").alias(c) for c in COLUMNS], "ts")
+    return spread(events(spark, folder), "event_id").select("event_id", *[F.col(c).cast("double").alias(c) for c in COLUMNS], "ts")
 
 
 def fixed_leaves(spark, folder):
@@ -89,32 +89,48 @@ MESSAGES = [(f, d, f"{d} {f}") for f in COLUMNS for d in ("increase", "decrease"
 
 def _advised(spark, folder):
     """Advice for events whose effects are simple functions of their columns; every tenth score is an end of the scale."""
-    rows = events(spark, folder)
+    rows = spread(events(spark, folder), "event_id")
     score = F.when(F.col("k") < 5, F.lit(-1.0)).when(F.col("k") < 10, F.lit(10.0)).otherwise(F.col("k") / 16)
     number = {c: F.col(c).cast("double") for c in COLUMNS}
+    effects = {"value": F.col("value") - 30, "user_id": F.col("k") - F.col("user_id"), "k": F.col("user_id") - 75}
     scored = rows.select(
         F.col("event_id").alias("row_id"),
         score.alias("score"),
         F.map_from_arrays(F.array(*[F.lit(c) for c in COLUMNS]), F.array(*number.values())).alias("extracted_features"),
         F.lit(20).alias("effective_lines"),
+        F.array(*[effects[c].cast("double") for c in COLUMNS]).alias("phi"),
     )
-    effects = {"value": F.col("value") - 30, "user_id": F.col("k") - F.col("user_id"), "k": F.col("user_id") - 75}
-    long = rows.select(
-        F.col("event_id").alias("row_id"),
-        F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.lit(i).alias("pos"), number[c].alias("value"), effects[c].cast("double").alias("phi"))
-            for i, c in enumerate(COLUMNS)
-        ])),
+    return rec.recommend_rows(
+        scored, spark.createDataFrame(EFFECTS, "feature STRING, kind STRING, lo DOUBLE, hi DOUBLE"),
+        rec.dependencies_table(spark, 1, {}), COLUMNS, log_features=[],
     )
+
+
+def _advised_from_long(spark, folder):
+    """The same through the long attribution table."""
+    wide = _advised(spark, folder).drop("recommendations")
+    pairs = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("pos"), F.col("extracted_features")[c].alias("value"), F.col("phi")[i].alias("phi"))
+        for i, c in enumerate(COLUMNS)
+    ])
+    long = wide.select("row_id", F.inline(pairs))
     return rec.recommend(
-        scored, long, spark.createDataFrame(EFFECTS, "feature STRING, kind STRING, lo DOUBLE, hi DOUBLE"),
+        wide, long, spark.createDataFrame(EFFECTS, "feature STRING, kind STRING, lo DOUBLE, hi DOUBLE"),
         rec.dependencies_table(spark, 1, {}), log_features=[],
     )
 
 
-def recommendations(spark, folder):
+def _advice_text(df):
     parts = F.transform("recommendations", lambda r: F.concat_ws(":", r["feature"], r["direction"]))
-    return _advised(spark, folder).select("row_id", F.array_join(parts, ",").alias("advice"))
+    return df.select("row_id", F.array_join(parts, ",").alias("advice"))
+
+
+def recommendations(spark, folder):
+    return _advice_text(_advised(spark, folder))
+
+
+def recommendations_from_long(spark, folder):
+    return _advice_text(_advised_from_long(spark, folder))
 
 
 def messages(spark, folder):
@@ -151,6 +167,7 @@ QUERIES = {
     "h3_mined_ranges": mined_from_events,
     "h4_merged_effects": merged_effects,
     "h5_recommendations": recommendations,
+    "h5_recommendations_from_long": recommendations_from_long,
     "h6_messages": messages,
     "e4_effect_lookup": effect_lookup,
     "f16_ranked_features": ranked_features,
@@ -207,6 +224,7 @@ ORACLES = {
                CASE WHEN feature = 'click' THEN NULL ELSE lo END AS lo, CASE WHEN feature = 'click' THEN NULL ELSE hi END AS hi
         FROM ({MINED_SQL}) UNION ALL SELECT 'share', 'always', NULL, NULL""",
     "h5_recommendations": f"SELECT row_id, coalesce(array_to_string([x.text FOR x IN items], ','), '') AS advice FROM {_WANTED}",
+    "h5_recommendations_from_long": f"SELECT row_id, coalesce(array_to_string([x.text FOR x IN items], ','), '') AS advice FROM {_WANTED}",
     "h6_messages": f"""
         SELECT row_id, CASE
             WHEN k < 5 THEN 'Not a valid python code or code contains no logic' || chr(10) || chr(10)
