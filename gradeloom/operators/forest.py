@@ -26,6 +26,7 @@ def forest(
     subset: str = "all",
     seed: int = 0,
     weight: str | None = None,
+    bins: int = 32,
 ) -> RandomForestRegressor:
     estimator = RandomForestRegressor(
         featuresCol="features",
@@ -35,6 +36,7 @@ def forest(
         maxDepth=min(max_depth, MAX_DEPTH),
         minInstancesPerNode=min_leaf,
         featureSubsetStrategy=subset,
+        maxBins=bins,
         seed=seed,
     )
     return estimator.setWeightCol(weight) if weight else estimator

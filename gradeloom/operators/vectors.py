@@ -197,7 +197,8 @@ def silhouettes(
 
 def silhouette_profile(df: DataFrame, label: str, key: str, silhouette: str = "silhouette") -> DataFrame:
     """Silhouettes in ascending order within each cluster, with the cluster's size."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("cluster_size"))
+    # written, so that its real size decides between a broadcast and a shuffle on few keys
+    sizes = stage(df.groupBy(label).agg(F.count(F.lit(1)).alias("cluster_size")), "cluster-sizes")
     ranked = with_rank(df.select(key, label, silhouette), [label], [silhouette, key], "position")
     return ranked.join(sizes, label)
 

@@ -142,7 +142,7 @@ def messages(spark, folder):
 
 def effect_lookup(spark, folder):
     """Events with the effect mined for their type."""
-    effects = mined_from_events(spark, folder)
+    effects = stage(mined_from_events(spark, folder), "effects")  # its real size makes the join a broadcast
     return _as_attribution(spark, folder).join(effects, "feature").select(
         "row_id", "feature", "kind", F.col("value").between(F.col("lo"), F.col("hi")).alias("inside")
     )
