@@ -215,48 +215,48 @@ def _blocks(leaves: list[_Leaf], background_rows: int) -> list[list[_Leaf]]:
     return blocks
 
 
-def with_attribution(
-    df: DataFrame, background: DataFrame, leaves: DataFrame, features: list[str], name: str = "phi"
-) -> DataFrame:
-    """Add an array with the effect of every feature, in the order of ``features``.
+class Explainer:
+    """Effects of a fixed set of leaves against a fixed background, prepared once and used on any rows.
 
     ``leaves`` is a table as from ``leaf_boxes``; feature numbers index ``features``.
     Leaves are worked through in blocks of bounded size whose results are added
-    up inside the row, so rows are never shuffled. Missing values count as 0.
+    up inside the row, so rows are never shuffled.
     """
-    columns = [F.col(c).cast("double").alias(c) for c in features]
-    z = stage(background.select(*columns), "background")
-    n_background = z.count()
-    leaves = stage(leaves, "leaves")
-    trees = leaves.select("tree").distinct().count()
-    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    found, result = [], df
-    for block in _blocks(_collect_leaves(leaves), n_background):
-        if not block:
-            continue
-        # at most MASKS_PER_BLOCK rows
-        counts = (
-            z.mapInPandas(_count_masks(block, features), "leaf INT, mask BIGINT, n BIGINT")
-            .groupBy("leaf", "mask")
-            .agg(F.sum("n").alias("n"))
-            .orderBy("leaf", "mask")
-            .toPandas()
-        )
-        masks = [
-            _Masks(part["mask"].to_numpy(), part["n"].to_numpy() / n_background) for _, part in counts.groupby("leaf", sort=True)
-        ]
-        found.append(f"_phi{len(found)}")
-        result = result.withColumn(found[-1], _effects_function(block, masks, trees)(x))
-    # no block means that no tree has a split: nothing depends on any feature
-    total = F.array(*[F.lit(0.0)] * len(features)) if not found else F.col(found[0])
-    for part in found[1:]:
-        total = F.zip_with(total, F.col(part), lambda a, b: a + b)
-    return result.withColumn(name, total).drop(*found)
+
+    def __init__(self, background: DataFrame, leaves: DataFrame, features: list[str]):
+        self.features = list(features)
+        z = stage(background.select(*[F.col(c).cast("double").alias(c) for c in features]), "background")
+        leaves = stage(leaves, "leaves")
+        rows, trees = z.count(), leaves.select("tree").distinct().count()
+        self._functions = []
+        for block in _blocks(_collect_leaves(leaves), rows):
+            if not block:
+                continue
+            # at most MASKS_PER_BLOCK rows
+            counts = (
+                z.mapInPandas(_count_masks(block, self.features), "leaf INT, mask BIGINT, n BIGINT")
+                .groupBy("leaf", "mask")
+                .agg(F.sum("n").alias("n"))
+                .orderBy("leaf", "mask")
+                .toPandas()
+            )
+            masks = [_Masks(part["mask"].to_numpy(), part["n"].to_numpy() / rows) for _, part in counts.groupby("leaf", sort=True)]
+            self._functions.append(_effects_function(block, masks, trees))
+
+    def add_to(self, df: DataFrame, name: str = "phi") -> DataFrame:
+        """Add an array with the effect of every feature, in feature order. Missing values count as 0."""
+        x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features])
+        parts = {f"_phi{i}": function(x) for i, function in enumerate(self._functions)}
+        # without a function no tree has a split, and nothing depends on any feature
+        total = F.col("_phi0") if parts else F.array(*[F.lit(0.0)] * len(self.features))
+        for part in list(parts)[1:]:
+            total = F.zip_with(total, F.col(part), lambda a, b: a + b)
+        return (df.withColumns(parts) if parts else df).withColumn(name, total).drop(*parts)
 
 
 def attribute(df: DataFrame, background: DataFrame, leaves: DataFrame, features: list[str], key: str = "row_id") -> DataFrame:
     """(row_id, feature, pos, value, phi): the effects as a long table, one row per row and feature."""
-    rows = with_attribution(df.select(F.col(key).cast("bigint").alias("row_id"), *features), background, leaves, features)
+    rows = Explainer(background, leaves, features).add_to(df.select(F.col(key).cast("bigint").alias("row_id"), *features))
     names = F.array(*[F.lit(c) for c in features])
     values = F.array(*[F.col(c).cast("double") for c in features])
     return rows.select(

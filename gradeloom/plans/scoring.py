@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom import fixed_values as fixed
-from gradeloom.operators.attribution import with_attribution
+from gradeloom.operators.attribution import Explainer
 from gradeloom.operators.code_facts import with_code_facts
 from gradeloom.operators.code_features import transformed_features
 from gradeloom.operators.forest import score_sources
@@ -28,6 +29,11 @@ class Scorer:
     features: list[str] = field(default_factory=lambda: list(fixed.TRANSFORMED_FEATURES))
     feature_stage: object = transformed_features
 
+    @cached_property
+    def explainer(self) -> Explainer:
+        """Prepared on first use and shared by all batches of a stream."""
+        return Explainer(self.background, self.leaves, self.features)
+
     def score(self, submissions: DataFrame) -> DataFrame:
         """(id, user_id, raw_code, created_at) to full submission rows with a message.
 
@@ -39,7 +45,7 @@ class Scorer:
         if "effective_lines" not in scored.columns:
             scored = scored.withColumn("effective_lines", F.lit(None).cast("int"))
         numbers = scored.withColumns({c: F.col("extracted_features")[c] for c in self.features})
-        explained = with_attribution(numbers, self.background, self.leaves, self.features).drop(*self.features)
+        explained = self.explainer.add_to(numbers).drop(*self.features)
         advised = with_message(recommend_rows(explained, self.effects, self.dependencies, self.features), self.messages)
         return advised.select(
             "id",

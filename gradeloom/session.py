@@ -28,17 +28,25 @@ def get_session(app: str = "gradeloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_own_folders: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a machine-local folder is
-    only made where that is unset (single-machine runs and tests).
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    single-machine session gets a temporary folder; a cluster has to name one,
+    since a folder of one machine is not seen by the others.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="gradeloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="gradeloom-")
+    return _own_folders[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
