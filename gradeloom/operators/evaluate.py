@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.operators.profile import histogram
+from gradeloom.operators.profile import bin_number, bin_ranges
 
 
 def _metric_columns(label: Column, prediction: Column) -> list[Column]:
@@ -41,12 +41,12 @@ def with_error(df: DataFrame, label: str, prediction: str, name: str = "error")
 
 def residual_bins(df: DataFrame, prediction: str, error: str, bins: int = 10) -> DataFrame:
     """Residuals against predictions, binned: count, mean, smallest and largest residual per bin."""
-    placed = histogram(df, prediction, bins)
-    edges = placed.agg(F.struct(F.min("lo").alias("start"), (F.min(F.col("hi") - F.col("lo"))).alias("width"))).scalar()
-    at = F.floor((F.col(prediction) - F.col("_e.start")) / F.col("_e.width"))
+    values = df.select(F.col(prediction).cast("double").alias("x"))
+    edges = bin_ranges(values, bins, []).select(F.struct("start", "width")).scalar()
+    at = bin_number(F.col(prediction), F.col("_e.start"), F.col("_e.width"), bins)
     return (
         df.withColumn("_e", edges)
-        .withColumn("bin", F.greatest(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int"))
+        .withColumn("bin", at)
         .groupBy("bin")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -41,20 +41,31 @@ def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(zip(shares, found)), "share DOUBLE, value DOUBLE")
 
 
+def bin_ranges(values: DataFrame, bins: int, group: list[str], column: str = "x") -> DataFrame:
+    """(group, start, width): equal bins from the smallest to the largest value; one value alone gets a range of 1."""
+    extremes = values.groupBy(*group).agg(F.min(column).alias("a"), F.max(column).alias("b")).filter(F.col("a").isNotNull())
+    single = F.col("a") == F.col("b")
+    return extremes.select(
+        *group,
+        F.when(single, F.col("a") - 0.5).otherwise(F.col("a")).alias("start"),
+        (F.when(single, F.lit(1.0)).otherwise(F.col("b") - F.col("a")) / bins).alias("width"),
+    )
+
+
+def bin_number(x: Column, start: Column, width: Column, bins: int) -> Column:
+    """The bin of a value; the last bin is closed."""
+    return F.least(F.floor((x - start) / width), F.lit(bins - 1)).cast("int")
+
+
 def histogram(df: DataFrame, column: str, bins: int, group: list[str] | None = None) -> DataFrame:
     """Equal-width histogram from smallest to largest value, empty bins included.
 
-    The last bin is closed. With ``group``, every group has its own range.
-    Rows are counted per bin before anything is shuffled.
+    With ``group``, every group has its own range. Rows are counted per bin
+    before anything is shuffled.
     """
     group = group or []
     values = df.select(*group, F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    extremes = values.groupBy(*group).agg(F.min("x").alias("a"), F.max("x").alias("b")).filter(F.col("a").isNotNull())
-    ranges = extremes.select(
-        *group,
-        F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("start"),
-        ((F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(F.col("b") - F.col("a"))) / bins).alias("width"),
-    )
+    ranges = bin_ranges(values, bins, group)
     if group:
         # written, so that its real size decides between a broadcast and a shuffle
         ranges = stage(ranges, "ranges")
@@ -63,9 +74,7 @@ def histogram(df: DataFrame, column: str, bins: int, group: list[str] | None = N
         range_of = ranges.select(F.struct("start", "width")).scalar()
         placed = values.withColumn("_r", range_of).select("x", "_r.start", "_r.width")
     counted = (
-        placed.withColumn(
-            "bin", F.least(F.floor((F.col("x") - F.col("start")) / F.col("width")), F.lit(bins - 1)).cast("int")
-        )
+        placed.withColumn("bin", bin_number(F.col("x"), F.col("start"), F.col("width"), bins))
         .groupBy(*group, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )

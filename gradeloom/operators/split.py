@@ -14,6 +14,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gradeloom.session import stage
+
 PREFIX_DIGITS = 5  # 16**5 counters; each stands for a millionth of the keys
 
 
@@ -38,7 +40,7 @@ def hash_boundary(
     if not unique:
         keys = keys.distinct()
     keys = keys.withColumn("h", _hash(F.col("k"), seed)).withColumn("p", F.substring("h", 1, PREFIX_DIGITS))
-    counts = keys.groupBy("p").count()
+    counts = stage(keys.groupBy("p").count(), "key-counts")  # at most one row per prefix
     total = counts.agg(F.sum("count")).first()[0] or 0
     wanted = size(total)
     if wanted <= 0:
