@@ -42,3 +42,21 @@ def test_spread_leaves_large_scans_alone(spark):
     many = spark.range(100, numPartitions=64)
     assert spread(many, "id") is many
     assert spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() > 1
+
+
+def test_worker_functions_need_no_package(tmp_path):
+    """A worker that has never heard of the package can run the facts function."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from gradeloom.operators import code_facts
+
+    path = tmp_path / "function.pkl"
+    path.write_bytes(cloudpickle.dumps(code_facts._facts))
+    program = f"import pickle; print(pickle.load(open({str(path)!r}, 'rb'))('x = 1', ())['has_logic'])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    found = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
+    assert found.stdout.strip() == "True", found.stderr
