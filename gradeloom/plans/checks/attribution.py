@@ -41,7 +41,8 @@ def fixed_leaves(spark, folder):
     """Every event explained against all events."""
     rows = _rows(spark, folder)
     phi = at.attribute(rows, rows, spark.createDataFrame(FIXED_LEAVES, LEAVES), COLUMNS, "event_id")
-    return phi.select("row_id", "feature", F.round("phi", 6).alias("phi"))
+    # nine digits: effects are sums of short decimals, which would meet exact halves at six
+    return phi.select("row_id", "feature", F.round("phi", 9).alias("phi"))
 
 
 def _fitted(spark, folder):
@@ -192,7 +193,7 @@ _FIXED_SQL = f"""
               WHEN (b >> bit) & 1 = 1 THEN -1 * factorial(CAST(na AS INTEGER)) * factorial(CAST(nb - 1 AS INTEGER)) / factorial(CAST(na + nb AS INTEGER))
               ELSE 0 END AS phi
             FROM pairs JOIN leaves USING (tree, leaf) WHERE na + nb > 0)
-  SELECT x.event_id AS row_id, ['value', 'user_id', 'k'][x.f + 1] AS feature, round(coalesce(sum(phi), 0) / 2, 6) AS phi
+  SELECT x.event_id AS row_id, ['value', 'user_id', 'k'][x.f + 1] AS feature, round(coalesce(sum(phi), 0) / 2, 9) AS phi
   FROM x LEFT JOIN parts ON parts.event_id = x.event_id AND parts.f = x.f GROUP BY x.event_id, x.f"""
 
 MINED_SQL = f"""
