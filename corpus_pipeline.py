@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.llm import packing, robust_quality, source_mix
+from gradeloom.llm import line_templates, lsh_forest, packing, robust_quality, source_mix
 from gradeloom.llm.common import small_batches, stage
 
 
@@ -13,6 +13,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return robust_quality.kept_documents(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that recur in others; ``n_chars`` follows the text."""
+    kinds = dict(docs.dtypes)
+    cleaned = line_templates.without_recurring_lines(docs)
+    size = F.when(F.col("n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(kinds["n_chars"])
+    return cleaned.withColumn("n_chars", size).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    small_batches(spark)
+    return lsh_forest.deduplicated(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights, in the order of the mix."""
     return source_mix.mix(docs)
@@ -24,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, 2048)
 
 
-STAGES = [("quality", quality), ("mix", mix), ("pack", pack)]
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
 
 #: Tokens and robust estimates are beyond SQL; the tests compare with plain Python.
 ORACLE_SQL = None

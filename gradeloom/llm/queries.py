@@ -4,8 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chat_format, packing, robust_quality, secret_entropy, source_mix
-from gradeloom.llm.common import read, stage, text_or_empty, word_count
+from gradeloom.llm import (
+    bloom_digest,
+    chat_format,
+    html_extract,
+    line_templates,
+    lsh_forest,
+    packing,
+    robust_quality,
+    secret_entropy,
+    source_mix,
+    token_rollups,
+)
+from gradeloom.llm.common import SPACES, ensure_shared, read, stage, text_or_empty, word_count
+from gradeloom.session import scratch_path
 
 
 def op1_packing(spark, folder):
@@ -13,6 +25,47 @@ def op1_packing(spark, folder):
     return packing.pack(read(spark, folder, "documents").select("doc_id", "text"), 2048)
 
 
+def op2_token_rollups(spark, folder):
+    """Totals after four batches of changes over all documents, some of them delivered again.
+
+    The documents come in with two tokenizer versions, counts are revised to those of the
+    text with its white space collapsed, and documents that repeat the text of one with a
+    smaller id are deleted.
+    """
+    docs = read(spark, folder, "documents")
+    text = text_or_empty()
+    tidy = F.trim(F.regexp_replace(text, SPACES, " "))
+    # two rows for each document whose collapsed text differs, so that every text is encoded once
+    texts = docs.select("doc_id", "source", "lang", F.md5(text.cast("binary")).alias("mark"), word_count(text).alias("n_words"), F.explode(
+        F.when(tidy == text, F.array(F.struct(F.lit(False).alias("tidy"), text.alias("text")))).otherwise(
+            F.array(F.struct(F.lit(False).alias("tidy"), text.alias("text")), F.struct(F.lit(True).alias("tidy"), tidy.alias("text"))))
+    ).alias("t")).select("doc_id", "source", "lang", "mark", "n_words", "t.tidy", "t.text")
+    counts = stage(token_rollups.bpe_counts(texts, "text"), "token-counts")
+    first = counts.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    raw = counts.filter("NOT tidy")
+
+    def changes(rows, op, tokenizer, n):
+        return rows.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), n.cast("long").alias("n_tokens"), F.lit(op).alias("op"), F.lit(0).cast("long").alias("seq"))
+
+    repeats = raw.join(first, "mark").filter("doc_id > first")
+    batches = {
+        "0001-bpe": changes(raw, "insert", "byte_bpe_50k", F.col("n_tokens")),
+        "0002-words": changes(raw, "insert", "words-1", F.col("n_words")),
+        "0003-tidy": changes(counts.filter("tidy"), "revise", "byte_bpe_50k", F.col("n_tokens")),
+        "0004-repeats": changes(repeats, "delete", "byte_bpe_50k", F.col("n_tokens")).union(changes(repeats, "delete", "words-1", F.col("n_words"))),
+    }
+    ensure_shared(spark)
+    rollup = token_rollups.TokenRollup(spark, scratch_path(spark, "rollup"))
+    for name in ("0001-bpe", "0002-words", "0001-bpe", "0003-tidy", "0002-words", "0004-repeats", "0003-tidy"):
+        rollup.apply(name, batches[name])
+    return rollup.totals()
+
+
+def op3_html_extract(spark, folder):
+    """The main text of every page."""
+    return html_extract.extract(read(spark, folder, "pages"))
+
+
 def op4_source_mix(spark, folder):
     """What the mix of sources takes of each document."""
     docs = read(spark, folder, "documents")
@@ -32,12 +85,27 @@ def op5_chat_format(spark, folder):
     return chat_format.digests(chat_format.format_chats(records))
 
 
+def op6_bloom_digest(spark, folder):
+    """Fingerprints of every document and of its edited text."""
+    return bloom_digest.edited_likeness(read(spark, folder, "documents"))
+
+
+def op7_lsh_forest(spark, folder):
+    """Components of near-duplicate documents, 0.85 of five-word shingles or more."""
+    return lsh_forest.near_duplicates(read(spark, folder, "documents"), threshold=85)
+
+
 def op8_robust_quality(spark, folder):
     """Statistics and verdict of every document."""
     judged = robust_quality.judged_documents(read(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op9_line_templates(spark, folder):
+    """Every document without the lines that recur in others."""
+    return line_templates.without_recurring_lines(read(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op10_secret_scan(spark, folder):
     """Secrets in every document."""
     return secret_entropy.digests(secret_entropy.find_secrets(read(spark, folder, "documents")))
@@ -45,9 +113,14 @@ def op10_secret_scan(spark, folder):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_token_rollups": op2_token_rollups,
+    "op3_html_extract": op3_html_extract,
     "op4_source_mix": op4_source_mix,
     "op5_chat_format": op5_chat_format,
+    "op6_bloom_digest": op6_bloom_digest,
+    "op7_lsh_forest": op7_lsh_forest,
     "op8_robust_quality": op8_robust_quality,
+    "op9_line_templates": op9_line_templates,
     "op10_secret_scan": op10_secret_scan,
 }
 
@@ -90,4 +163,28 @@ ORACLES = {
           CAST(sum(size) AS BIGINT) AS formatted_chars,
           sha256('messages[].role' || chr(10) || 'messages[].text') AS layout
         FROM written GROUP BY conv_id""",
+    "op9_line_templates": r"""
+        WITH docs AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+        cut AS (SELECT DISTINCT doc_id, t, unnest(string_split(t, chr(10))) AS line FROM docs),
+        parsed AS (
+          SELECT *, list_filter(regexp_split_to_array(
+              regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+          FROM cut),
+        leaves AS (SELECT *, len(w) AS n, len(w) - 3 AS m FROM parsed WHERE len(w) > 0),
+        keyed AS (
+          SELECT doc_id, t, line, n, unnest(CASE WHEN n < 8 THEN [array_to_string(w, ' ')]
+            ELSE [array_to_string(w, ' ')] || [
+              n || '|' || k || '|' || array_to_string(list_slice(w, 1, 3 + (k * m) // 4), ' ') || '|' || array_to_string(list_slice(w, 4 + ((k + 1) * m) // 4, n), ' ')
+              FOR k IN range(4)] END) AS template
+          FROM leaves),
+        once AS (SELECT DISTINCT template, n, doc_id, t FROM keyed),
+        recurring AS (
+          SELECT template, arg_min(doc_id, doc_id) AS keeper FROM once GROUP BY template HAVING count(*) >= CASE WHEN any_value(n) >= 8 THEN 3 ELSE 20 END),
+        gone AS (SELECT DISTINCT doc_id, line FROM keyed JOIN recurring USING (template) WHERE doc_id <> keeper),
+        dropped AS (SELECT doc_id, list(line) AS lines FROM gone GROUP BY doc_id)
+        SELECT d.doc_id,
+          CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(lines, x)), chr(10)) END AS text,
+          CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines,
+          CASE WHEN lines IS NULL THEN 0 ELSE len(list_filter(string_split(text, chr(10)), lambda x: list_contains(lines, x))) END AS n_dropped
+        FROM documents d LEFT JOIN dropped g ON d.doc_id = g.doc_id""",
 }
