@@ -36,8 +36,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return session.stage(df, name)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """A row as one struct, so that working columns cannot clash with its names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
 def bind(value: Column, body) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.llm.common import SPACES, stage, text_or_empty
+from gradeloom.llm.common import SPACES, stage, text_or_empty, whole_row
 
 LEAD, SEGMENTS = 3, 4
 #: Documents that make a template recurring, for lines with ``LONG`` tokens or more and for shorter ones.
@@ -31,7 +31,7 @@ def _lines(text: Column) -> Column:
 def parsed_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Distinct lines with a token of every document: its key, line hash, leaf, and hashes of the segments."""
     text = text_or_empty(text_column)
-    own = docs.select(F.col(id_column).alias("id"), F.xxhash64(F.col(id_column), text).alias("doc"), F.explode(F.array_distinct(_lines(text))).alias("line"))
+    own = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(F.col(f"`{id_column}`"), text).alias("doc"), F.explode(F.array_distinct(_lines(text))).alias("line"))
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _HAS_DIGIT, VARIABLE)).otherwise(F.col("line"))
     tokens = own.select("id", "doc", F.xxhash64("line").alias("line"), F.array_remove(F.split(masked, SPACES), "").alias("tokens")).withColumn("n", F.size("tokens"))
     rest = F.col("n") - LEAD
@@ -77,16 +77,17 @@ def without_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_col
     document of a template is the one with the smallest id (nulls last, ties by a hash).
     Columns named ``n_lines`` or ``n_dropped`` are replaced. An empty table gives no rows.
     """
-    text = text_or_empty(text_column)
-    gone = recurring_lines(docs, id_column, text_column, **options).groupBy("doc").agg(F.collect_list("line").alias("line_gone")).withColumnRenamed("doc", "line_doc")
-    own = docs.drop("n_lines", "n_dropped").withColumn("line_key", F.xxhash64(F.col(id_column), text))
-    joined = own.join(gone, F.col("line_key") == F.col("line_doc"), "left")
-    none = F.array().cast("array<bigint>")
-    kept = F.filter(_lines(text), lambda line: ~F.array_contains(F.coalesce("line_gone", none), F.xxhash64(line)))
-    cleaned = joined.withColumn("line_kept", F.when(F.col("line_gone").isNotNull(), kept))
-    n_lines = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(_lines(text))).cast("long")
-    columns = {c: F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")}
-    columns[text_column] = F.when(F.col("line_gone").isNotNull(), F.array_join("line_kept", "\n")).otherwise(F.col(text_column))
-    columns["n_lines"] = n_lines
-    columns["n_dropped"] = F.when(F.col("line_gone").isNotNull(), F.size(_lines(text)) - F.size("line_kept")).otherwise(0).cast("long")
+    gone = recurring_lines(docs, id_column, text_column, **options).groupBy("doc").agg(F.collect_list("line").alias("gone"))
+    text = F.col("text")
+    own = docs.select(
+        whole_row(docs).alias("row"), text_or_empty(text_column).alias("text"), F.xxhash64(F.col(f"`{id_column}`"), text_or_empty(text_column)).alias("doc")
+    )
+    joined = own.join(gone, "doc", "left")
+    kept = F.filter(_lines(text), lambda line: ~F.array_contains(F.coalesce("gone", F.array().cast("array<bigint>")), F.xxhash64(line)))
+    cleaned = joined.select("row", "text", F.when(F.col("gone").isNotNull(), kept).alias("kept"))
+    changed = F.col("kept").isNotNull()
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns[text_column] = F.when(changed, F.array_join("kept", "\n")).otherwise(columns[text_column])
+    columns["n_lines"] = F.when(F.col(f"row.`{text_column}`").isNull(), 0).otherwise(F.size(_lines(text))).cast("long")
+    columns["n_dropped"] = F.when(changed, F.size(_lines(text)) - F.size("kept")).otherwise(0).cast("long")
     return cleaned.select(*[c.alias(n) for n, c in columns.items()])

@@ -25,7 +25,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gradeloom.llm.common import stage, text_or_empty
+from gradeloom.llm.common import stage, text_or_empty, whole_row
 
 SHINGLE = 5
 VALUES, TREES, DEPTH, LEAST = 192, 24, 20, 4
@@ -208,9 +208,6 @@ def _neighbour_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
 
         def out(kind, a, b, place=None, sketch=None):
             n = len(a)
@@ -245,7 +242,6 @@ def _neighbour_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
             held = tuple(x[-NEAR:] for x in (place, node, sketch))
         if started:
             yield out("edge", held[1], [None] * len(held[1]), held[0], held[2])
-        del part
 
     return ordered.mapInArrow(run, "kind string, a binary, b binary, place binary, sketch binary")
 
@@ -340,24 +336,15 @@ def _walk(counted: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(own, "a", "left").join(other, "b", "left").filter(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each row of ``docs``: id, ``n_shingles``, ``component_id`` and ``kept``.
-
-    Documents are linked where ``100 * intersection >= threshold * union`` of their shingle
-    sets. ``component_id`` is the smallest id that links reach; ``kept`` marks the document
-    that has it. A text with fewer words than a shingle is one shingle; null and empty texts
-    have none, are linked with nothing and are kept. Rows with null ids take part (nulls are
-    no smallest id; a component of null ids only has a null one) and are kept only if they
-    are linked with nothing. Equal rows share component and verdict. An empty table gives no
-    rows. Other columns are not read.
-    """
+def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, shingle: int) -> DataFrame:
+    """``id``, ``mark``, ``n_shingles``, ``component_id`` and ``first`` (whether this id and text stand for the component)."""
     share = threshold / 100
     rows = stage(signatures(docs, id_column, text_column, shingle), "signatures")
+    one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark"))
     whole = rows.filter("node IS NOT NULL")
-    classes = whole.groupBy("node").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "mark")).alias("one"), F.first("sig").alias("sig"), F.count("*").alias("n_rows"))
-    classes = stage(classes.select("node", "least_id", "n_rows", F.col("one.id").alias("id"), F.col("one.mark").alias("mark"), "sig"), "classes")
+    classes = stage(whole.groupBy("node").agg(one.alias("one"), F.count("*").alias("n_rows"), F.first("sig").alias("sig")), "classes")
     pairs = stage(candidates(classes, share), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "id", "mark"), "node")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "one.id", "one.mark"), "node")
     sets = stage(_fetch_sets(docs, wanted, id_column, text_column, shingle), "sets")
     linked = F.col("both") * 100 >= F.lit(threshold) * F.col("either")
     counted = [stage(_count(pairs, sets), "counted")]
@@ -370,26 +357,50 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if not more.filter(linked).limit(1).count():
             break
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"), F.sum("n_rows").alias("n_rows"))
-    of_node = named.select("node", "label").join(least, "label").select("node", "component_id", "n_rows")
-    joined = rows.select("id", "n_shingles", "node").join(of_node, "node", "left")
+    least = named.groupBy("label").agg(F.min("one").alias("one"), F.sum("n_rows").alias("n_rows"))
+    of_node = named.select("node", "label").join(least, "label").select("node", "one", "n_rows")
+    joined = rows.select("id", "mark", "n_shingles", "node").join(of_node, "node", "left")
     alone = F.col("node").isNull() | (F.col("n_rows") == 1)
     return joined.select(
-        F.col("id").alias(id_column),
+        "id",
+        "mark",
         "n_shingles",
-        F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        (alone | F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).alias("kept"),
+        F.when(alone, F.col("id")).otherwise(F.col("one.id")).alias("component_id"),
+        (alone | (F.col("id").eqNullSafe(F.col("one.id")) & (F.col("mark") == F.col("one.mark")))).alias("first"),
     )
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """One row for each row of ``docs``: id, ``n_shingles``, ``component_id`` and ``kept``.
+
+    Documents are linked where ``100 * intersection >= threshold * union`` of their shingle
+    sets. ``component_id`` is the smallest id that links reach; ``kept`` marks the documents
+    that have it. A text with fewer words than a shingle is one shingle; null and empty texts
+    have none, are linked with nothing and are kept. Rows with null ids take part: null is
+    no smallest id unless all of a component are null, and of those the one with the smallest
+    hash of its text is kept. Equal rows share component and verdict. An empty table gives
+    no rows. Other columns are not read.
+    """
+    kept = F.col("first") | F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return _judged(docs, id_column, text_column, threshold, shingle).select(F.col("id").alias(id_column), "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` with one document of each component, with their columns.
 
-    Rows that share the kept id and are equal in text stay once. A component of null ids
-    only loses all but one of its rows as well, by a hash of the text.
+    Of rows that share id and text one stays. Join and ranking use the same keys, so texts
+    are shuffled once.
     """
-    own = docs.withColumn("dup_mark", F.xxhash64(F.col(text_column)))
-    ranked = near_duplicates(docs, id_column, text_column, threshold).filter("kept").select(F.col(id_column).alias("kept_id")).distinct()
-    kept = own.join(ranked, F.col(id_column).eqNullSafe(F.col("kept_id")), "left_semi")
-    one = Window.partitionBy(id_column, "dup_mark").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return kept.withColumn("dup_rank", F.row_number().over(one)).filter("dup_rank = 1").drop("dup_mark", "dup_rank")
+    first = _judged(docs, id_column, text_column, threshold, shingle).filter("first").select(
+        F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0).cast(dict(docs.dtypes)[id_column])).alias("some_id"), "mark"
+    ).distinct()
+    own_id = F.col(f"`{id_column}`")
+    own = docs.select(
+        whole_row(docs).alias("doc"),
+        own_id.isNull().alias("no_id"),
+        F.coalesce(own_id, F.lit(0).cast(dict(docs.dtypes)[id_column])).alias("some_id"),
+        F.xxhash64(text_or_empty(text_column)).alias("mark"),
+    )
+    keys = ["no_id", "some_id", "mark"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc")))
+    return own.join(first, keys, "left_semi").withColumn("rank", rank).filter("rank = 1").select("doc.*")

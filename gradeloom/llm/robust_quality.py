@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gradeloom.llm.common import SPACES, bind, stage, text_or_empty
+from gradeloom.llm.common import SPACES, bind, stage, text_or_empty, whole_row
 
 SYMBOLS = "#*$%&|<>"
 GRAM = 8
@@ -234,17 +234,9 @@ def judged_documents(docs: DataFrame, id_column: str = "doc_id", cutoff: float =
 def kept_documents(docs: DataFrame, id_column: str = "doc_id", cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
-    The verdict depends on id, language, source and statistics alone, so rows with one id are
-    told apart by a hash of their text; rows that agree in it share the verdict.
+    Rows are written with their statistics once and judged from there, so that no text is
+    measured or shuffled a second time.
     """
-    mark = F.xxhash64(F.col("text"))
-    marked = docs.withColumn("quality_mark", mark)
-    statistics = stage(text_statistics(marked, id_column, carry=("lang", "source", "quality_mark")), "text-statistics")
-    rejected = judge(statistics, cutoff).filter(~F.col("kept")).select(
-        F.col(id_column).alias("bad_id"), F.col("quality_mark").alias("bad_mark"), F.xxhash64("lang", "source").alias("bad_group")
-    ).distinct()
-    return marked.join(
-        rejected,
-        F.col(id_column).eqNullSafe(F.col("bad_id")) & (F.col("quality_mark") == F.col("bad_mark")) & (F.xxhash64("lang", "source") == F.col("bad_group")),
-        "left_anti",
-    ).drop("quality_mark")
+    own = docs.select(whole_row(docs).alias("doc"), F.col(f"`{id_column}`").alias("doc_id"), "lang", "source", "text")
+    measured = stage(text_statistics(own, "doc_id", carry=("doc", "lang", "source")), "measured")
+    return judge(measured, cutoff).filter("kept").select("doc.*")

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gradeloom.llm.common import SPACES, WORDS, text_or_empty, word_count
+from gradeloom.llm.common import SPACES, WORDS, text_or_empty, whole_row, word_count
 
 #: Each source has two to this power hash buckets.
 BUCKET_BITS = 10
@@ -68,13 +68,12 @@ def schedule(docs: DataFrame, source: str = "source", size: Column | None = None
     and reruns agree. Null sources are one source, null texts have size 0, an empty table
     gives no rows. ``passes`` has to be at least ``most`` of the targets.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
     size = word_count(text_or_empty()) if size is None else size
     name = F.col(f"`{source}`")
     # 60 bits of MD5, which SQL engines agree on
     shuffled = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in key])), 1, 15), 16, 10).cast("long")
     sized = docs.select(
-        F.struct(*own).alias("doc"),
+        whole_row(docs).alias("doc"),
         size.cast("long").alias("size"),
         name.isNull().alias("nosource"),
         F.coalesce(name, F.lit("")).alias("named"),
