@@ -9,7 +9,7 @@ the neighbours are those with the longest common prefix.
 
 A crowded region holds more classes than a window shows. There the rest is found by
 walking: a class's near neighbours name the best linked class among their own partners, the
-hub of the region, and the class is checked against it, until no round finds a new link.
+hub of the region, and the class is checked against it, until the walk meets no new pair.
 Every candidate is first estimated by its sketch and then, if it can be a link at all,
 counted exactly on the full sets. Links are compared as whole numbers.
 
@@ -300,14 +300,17 @@ def _count(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other").mapInArrow(run, "a binary, b binary, both long, either long")
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (its component's smallest node) of every class that has a link.
 
     Labels spread along links and then jump to their label's label, so the number of rounds
     follows the logarithm of a component's diameter.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stage(both, "links")
+    both = stage(_both_ways(links), "links")
     labels = stage(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
     while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label").union(labels)
@@ -320,20 +323,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _walk(counted: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """New pairs: a class with the hub of a near neighbour, where their components differ."""
-    both = lambda df: df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both(links)
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose classes are in different components, with the labels."""
+    own = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    other = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    named = pairs.select("a", "b").join(own, "a", "left").join(other, "b", "left")
+    return named.withColumns({"label_a": F.coalesce("label_a", "a"), "label_b": F.coalesce("label_b", "b")}).filter("label_a <> label_b")
+
+
+def _walk(near: DataFrame, seen: DataFrame, links: DataFrame) -> DataFrame:
+    """New pairs: a class with the hub of a near neighbour in another component."""
+    linked = _both_ways(links)
     degree = linked.groupBy("a").agg(F.count("*").alias("degree"))
     # of a class and its partners the one with most links
     partners = linked.join(degree.withColumnRenamed("a", "b"), "b").union(degree.select(F.col("a").alias("b"), "a", "degree"))
     hubs = partners.groupBy("a").agg(F.max(F.struct("degree", "b"))["b"].alias("hub")).withColumnRenamed("a", "b")
-    near = both(counted).join(hubs, "b").select("a", F.col("hub").alias("b")).filter("a <> b")
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(counted.select("a", "b"), ["a", "b"], "left_anti")
-    own = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-    other = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return pairs.join(own, "a", "left").join(other, "b", "left").filter(~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))).select("a", "b")
+    steps = _both_ways(near).join(hubs, "b").select("a", F.col("hub").alias("b")).filter("a <> b")
+    pairs = steps.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _settle(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Labels of all linked classes: count the pairs, join components, walk on, until the walk meets no new pair.
+
+    Components only grow, so a pair within one is never looked at again. A pair that was
+    counted leads on to the hub of its own other end; all pairs are walked anew only after
+    new links, when hubs may have changed.
+    """
+    linked = F.col("both") * 100 >= F.lit(threshold) * F.col("either")
+    counted = [stage(_count(pairs, sets), "counted")]
+    labels = components(counted[0].filter(linked))
+    near = fresh = stage(_apart(counted[0], labels), "near")
+    while True:
+        every = reduce(DataFrame.union, counted)
+        more = stage(_count(_walk(fresh, every, every.filter(linked)), sets), "counted")
+        if more.limit(1).count() == 0:
+            return labels
+        counted.append(more)
+        near = near.select("a", "b").union(more.select("a", "b"))
+        new = more.filter(linked)
+        if new.limit(1).count() == 0:
+            fresh = stage(_apart(more, labels), "near")
+            continue
+        # what is new links components: join those, then rename
+        joined = components(_apart(new, labels).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+        names = joined.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        ends = _both_ways(new).select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+        known = labels.unionByName(ends.join(labels.select("node"), "node", "left_anti"))
+        labels = stage(known.join(names, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        near = fresh = stage(_apart(near, labels), "near")
 
 
 def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, shingle: int) -> DataFrame:
@@ -346,16 +384,7 @@ def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, s
     pairs = stage(candidates(classes, share), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "one.id", "one.mark"), "node")
     sets = stage(_fetch_sets(docs, wanted, id_column, text_column, shingle), "sets")
-    linked = F.col("both") * 100 >= F.lit(threshold) * F.col("either")
-    counted = [stage(_count(pairs, sets), "counted")]
-    while True:
-        every = reduce(DataFrame.union, counted)
-        links = every.filter(linked)
-        labels = components(links)
-        more = stage(_count(_walk(every, labels, links), sets), "counted")
-        counted.append(more)
-        if not more.filter(linked).limit(1).count():
-            break
+    labels = _settle(pairs, sets, threshold)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("one").alias("one"), F.sum("n_rows").alias("n_rows"))
     of_node = named.select("node", "label").join(least, "label").select("node", "one", "n_rows")
