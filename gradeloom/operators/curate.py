@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.fixed_values import LINT_DIRECTIVES, SAFE_LICENSES
 from gradeloom.operators.ordered import exact_quantiles
-from gradeloom.operators.split import hash_boundary, within_boundary
+from gradeloom.operators.split import NULL_KEY, order_boundary
 from gradeloom.schemas import LINT_REPORT
 
 
@@ -93,16 +93,25 @@ def for_training(df: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows without replacement, repeatable for a seed.
+    """Exactly ``n`` rows (all, if there are fewer) without replacement, repeatable for a seed.
 
-    Rows are taken in the order of a hash of their key. A small sample is a
-    distributed top-n; a large one looks up the hash of its last row first.
+    Rows are taken in the order of a hash of their key, then of the key, then of the whole
+    row. The place of the last one is looked up from counts, so a sample of any size is a
+    filter; of rows that are equal in every column as many as are missing are added. Null
+    keys are rows like any other.
     """
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    if n <= 100_000:
-        return df.withColumn("_hash", hashed).orderBy("_hash", key).limit(n).drop("_hash")
-    boundary = hash_boundary(df, key, lambda total: min(n, total), seed, unique=True)
-    return df.filter(within_boundary(F.col(key), boundary, seed))
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    text = F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY))
+    place = F.concat(F.md5(F.concat(F.lit(f"{seed}:"), text)), text, whole)
+    last = order_boundary(df, place, n)
+    if last is None:
+        return df.limit(0)
+    before = df.filter(place < last)
+    equal = df.filter(place == last)
+    missing = min(n - before.count(), equal.count())
+    one = equal.agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
+    repeated = one.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(missing)))).select("row.*")
+    return before.unionByName(repeated)
 
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:

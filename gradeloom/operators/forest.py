@@ -28,12 +28,14 @@ def forest(
     weight: str | None = None,
     bins: int = 32,
 ) -> RandomForestRegressor:
+    if not 0 <= max_depth <= MAX_DEPTH:
+        raise ValueError(f"trees can be 0 to {MAX_DEPTH} deep, not {max_depth}")
     estimator = RandomForestRegressor(
         featuresCol="features",
         labelCol=label,
         predictionCol="prediction",
         numTrees=trees,
-        maxDepth=min(max_depth, MAX_DEPTH),
+        maxDepth=max_depth,
         minInstancesPerNode=min_leaf,
         featureSubsetStrategy=subset,
         maxBins=bins,
@@ -81,7 +83,7 @@ def draw_trials(trials: int = SEARCH_TRIALS, seed: int = 0) -> list[dict]:
     return [
         {
             "trees": rng.randint(100, 600),
-            "max_depth": min(rng.randint(3, 50), MAX_DEPTH),
+            "max_depth": rng.randint(3, MAX_DEPTH),
             "min_leaf": rng.randint(1, 10),
             "subset": rng.choice(["sqrt", "log2", "all"]),
         }

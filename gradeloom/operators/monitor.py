@@ -15,7 +15,7 @@ from gradeloom.fixed_values import (
     MIN_REFERENCE_STD,
     P_VALUE_THRESHOLD,
 )
-from gradeloom.operators.ordered import ROWS_PER_TASK, running_totals
+from gradeloom.operators.ordered import running_totals
 from gradeloom.session import stage
 
 EXCEEDED, NOT_EXCEEDED = "exceeded", "did not exceed"
@@ -62,7 +62,7 @@ def value_counts_by_side(reference: DataFrame, current: DataFrame, features: lis
     )
 
 
-def distances(counts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def distances(counts: DataFrame, ranges: int | None = None) -> DataFrame:
     """Per feature: sizes, distinct values and the distances between the two samples.
 
     ``wasserstein`` is divided by the reference's standard deviation, ``ks`` is
@@ -81,7 +81,7 @@ def distances(counts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFram
     )
     sizes = stage(sizes, "sizes")
     stepped = running_totals(
-        counts, ["feature"], ["x"], {"upto_ref": F.col("n_ref"), "upto_cur": F.col("n_cur")}, {"next_x": "x"}, rows_per_task
+        counts, ["feature"], ["x"], {"upto_ref": F.col("n_ref"), "upto_cur": F.col("n_cur")}, {"next_x": "x"}, ranges
     )
     p, q = F.col("n_ref") / F.col("ref_rows"), F.col("n_cur") / F.col("cur_rows")
     middle = (p + q) / 2
@@ -143,7 +143,7 @@ DRIFT_SCHEMA = "feature STRING, method STRING, value DOUBLE, threshold DOUBLE, d
 
 
 def drift(
-    reference: DataFrame, current: DataFrame, features: list[str], rows_per_task: int = ROWS_PER_TASK
+    reference: DataFrame, current: DataFrame, features: list[str], ranges: int | None = None
 ) -> DataFrame:
     """(feature, method, value, threshold, drifted) with the test that fits the sample.
 
@@ -151,7 +151,7 @@ def drift(
     distance drifts when it is large, a p-value when it is small. All counting
     is done by Spark; the driver sees one row of numbers per feature.
     """
-    measured = distances(value_counts_by_side(reference, current, features), rows_per_task).collect()
+    measured = distances(value_counts_by_side(reference, current, features), ranges).collect()
     rows = []
     for r in measured:
         few = r["distinct"] <= FEW_DISTINCT_VALUES

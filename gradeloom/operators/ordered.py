@@ -14,7 +14,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gradeloom.session import stage
 
-ROWS_PER_TASK = 1_000_000
+ROWS_PER_BLOCK = 1_000_000
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys in which null equals null; the keys are kept once, from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def running_totals(
@@ -23,28 +30,19 @@ def running_totals(
     order: list[str],
     totals: dict[str, Column],
     following: dict[str, str] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums within each group, in the given order.
 
     ``totals`` maps new columns to the expression summed; ``following`` maps new
     columns to a column whose value in the next row is wanted. ``order`` must
-    identify rows within a group. Small inputs take a plain window; the row
-    count decides, so both ways give the same result.
+    identify rows within a group. A null in the group columns is a group like any
+    other, and a sum is null until its first value. Rows are cut into ``ranges``,
+    as many as the session has shuffle partitions where nothing is said.
     """
     following = following or {}
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prepared = df.withColumns({f"_add_{k}": v for k, v in totals.items()})
-    n = prepared.count()
-    if n <= rows_per_task:
-        w = W.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
-        up_to = w.rowsBetween(W.unboundedPreceding, 0)
-        return prepared.select(
-            *df.columns,
-            *[F.sum(f"_add_{k}").over(up_to).alias(k) for k in totals],
-            *[F.lead(c).over(w).alias(k) for k, c in following.items()],
-        )
-
-    ranges = math.ceil(n / rows_per_task)
     chunked = stage(
         prepared.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()),
         "ordered",
@@ -52,38 +50,45 @@ def running_totals(
     # one row per (group, range): bounded by ranges + groups, never by rows
     per_range = chunked.groupBy(*group, "_range").agg(
         *[F.sum(f"_add_{k}").alias(f"_sum_{k}") for k in totals],
-        *[F.min_by(c, F.struct(*order)).alias(f"_first_{k}") for k, c in following.items()],
+        *[F.min_by(F.struct(c), F.struct(*order)).alias(f"_first_{k}") for k, c in following.items()],
     )
     across = W.partitionBy(*(group or [F.lit(0)])).orderBy("_range")
     before = across.rowsBetween(W.unboundedPreceding, -1)
     summary = per_range.select(
         *group,
         "_range",
-        *[F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in totals],
+        *[F.sum(f"_sum_{k}").over(before).alias(f"_before_{k}") for k in totals],
         *[F.lead(f"_first_{k}").over(across).alias(f"_next_{k}") for k in following],
     )
     w = W.partitionBy(*group, "_range").orderBy(*order)
     up_to = w.rowsBetween(W.unboundedPreceding, 0)
-    return chunked.join(summary, [*group, "_range"]).select(
+
+    def total(name):
+        own, earlier = F.sum(f"_add_{name}").over(up_to), F.col(f"_before_{name}")
+        return F.when(earlier.isNull(), own).when(own.isNull(), earlier).otherwise(own + earlier)
+
+    def next_value(name, column):
+        # a struct tells a last row of its range from a next value that is null
+        return F.coalesce(F.lead(F.struct(column)).over(w), F.col(f"_next_{name}"))[column]
+
+    return null_safe(chunked, summary, [*group, "_range"]).select(
         *df.columns,
-        *[(F.sum(f"_add_{k}").over(up_to) + F.col(f"_before_{k}")).alias(k) for k in totals],
-        *[F.coalesce(F.lead(c).over(w), F.col(f"_next_{k}")).alias(k) for k, c in following.items()],
+        *[total(k).alias(k) for k in totals],
+        *[next_value(k, c).alias(k) for k, c in following.items()],
     )
 
 
-def with_rank(
-    df: DataFrame, group: list[str], order: list[str], name: str = "rank", rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def with_rank(df: DataFrame, group: list[str], order: list[str], name: str = "rank", ranges: int | None = None) -> DataFrame:
     """Row number within the group, for groups of any size."""
-    return running_totals(df, group, order, {name: F.lit(1).cast("bigint")}, rows_per_task=rows_per_task)
+    return running_totals(df, group, order, {name: F.lit(1).cast("bigint")}, ranges=ranges)
 
 
-def _block_size(window: int, rows_per_task: int) -> int:
-    return max(rows_per_task, window + 1)
+def _block_size(window: int, rows_per_block: int) -> int:
+    return max(rows_per_block, window + 1)
 
 
 def moving_mean(
-    df: DataFrame, group: list[str], value: str, window: int, name: str = "smooth", rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, group: list[str], value: str, window: int, name: str = "smooth", rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Centred moving mean over consecutive ranks; what lies past the ends counts as zero.
 
@@ -93,7 +98,7 @@ def moving_mean(
     """
     behind, ahead = window // 2, (window - 1) // 2
     reach = max(behind, ahead)
-    size = _block_size(window, rows_per_task)
+    size = _block_size(window, rows_per_block)
     at = F.col("rank") - 1
 
     def block(position):
@@ -112,7 +117,7 @@ def moving_mean(
 
 
 def widest_positive_runs(
-    df: DataFrame, group: list[str], value: str, window: int, smooth: str = "smooth", rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, group: list[str], value: str, window: int, smooth: str = "smooth", rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Per group, the run of consecutive ranks with ``smooth >= 0`` that spans most of ``value``.
 
@@ -121,7 +126,7 @@ def widest_positive_runs(
     found inside each block; only pieces that touch a block's edge (two per block
     at most) are put together across blocks.
     """
-    size = _block_size(window, rows_per_task)
+    size = _block_size(window, rows_per_block)
     positive = F.col(smooth) >= 0
     numbered = df.withColumn("_on", positive).withColumn(
         "_island", F.col("rank") - F.row_number().over(W.partitionBy(*group, "_block", "_on").orderBy("rank"))
@@ -162,14 +167,13 @@ def widest_positive_runs(
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float], rows_per_task: int = ROWS_PER_TASK) -> list[float]:
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], ranges: int | None = None) -> list[float]:
     """Exact quantiles with linear interpolation, of a column of any size.
 
-    Up to ``rows_per_task`` values the built-in ``percentile`` is used; it keeps
-    every distinct value in one buffer, which is bounded then. Beyond that a
-    sketch brackets each quantile (its error is a guaranteed share of the rows)
-    and only the values inside the brackets are counted and ranked. The result
-    is a number, so a filter with it reaches the file scan.
+    A sketch brackets each quantile (its error is a guaranteed share of the rows);
+    one pass counts what lies below the brackets, one the values inside of them,
+    and only those are ranked. The result is a number, so a filter with it reaches
+    the file scan.
     """
     values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
     accuracy = 100_000
@@ -179,23 +183,20 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float], rows_per_ta
     n = head["n"]
     if not n:
         return [None] * len(shares)
-    if n <= rows_per_task:
-        row = values.agg(F.percentile("v", F.array(*[F.lit(p) for p in shares])).alias("q")).first()
-        return list(row["q"])
-
     at = dict(zip(near, head["q"]))
-    results = []
-    for p in shares:
-        lo, hi = at[max(p - slack, 0.0)], at[min(p + slack, 1.0)]
+    brackets = [(at[max(p - slack, 0.0)], at[min(p + slack, 1.0)]) for p in shares]
+    inside = F.array_compact(F.array(*[F.when(F.col("v").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(brackets)]))
+    below = values.agg(*[F.count_if(F.col("v") < lo).alias(str(i)) for i, (lo, _) in enumerate(brackets)]).first()
+    counts = values.select("v", F.explode(inside).alias("i")).groupBy("i", "v").count()
+    ranked = running_totals(counts, ["i"], ["v"], {"upto": F.col("count")}, ranges=ranges)
+    wanted = []
+    for i, p in enumerate(shares):
         position = p * (n - 1)
-        below = values.filter(F.col("v") < lo).count()
-        counts = values.filter(F.col("v").between(lo, hi)).groupBy("v").count()
-        ranked = running_totals(counts, [], ["v"], {"upto": F.col("count")}, rows_per_task=rows_per_task)
-        first, second = math.floor(position) - below, math.ceil(position) - below
-        picked = ranked.agg(
-            F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"),
-            F.min(F.when(F.col("upto") > second, F.col("v"))).alias("b"),
-        ).first()
-        fraction = position - math.floor(position)
-        results.append(float(picked["a"]) + (float(picked["b"]) - float(picked["a"])) * fraction)
+        for name, rank in (("a", math.floor(position)), ("b", math.ceil(position))):
+            wanted.append(F.min(F.when((F.col("i") == i) & (F.col("upto") > rank - below[str(i)]), F.col("v"))).alias(f"{name}{i}"))
+    picked = ranked.agg(*wanted).first()
+    results = []
+    for i, p in enumerate(shares):
+        a, b, position = float(picked[f"a{i}"]), float(picked[f"b{i}"]), p * (n - 1)
+        results.append(a + (b - a) * (position - math.floor(position)))
     return results

@@ -6,7 +6,7 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradeloom.operators.ordered import exact_quantiles
+from gradeloom.operators.ordered import exact_quantiles, null_safe
 from gradeloom.session import stage
 
 
@@ -60,8 +60,8 @@ def bin_number(x: Column, start: Column, width: Column, bins: int) -> Column:
 def histogram(df: DataFrame, column: str, bins: int, group: list[str] | None = None) -> DataFrame:
     """Equal-width histogram from smallest to largest value, empty bins included.
 
-    With ``group``, every group has its own range. Rows are counted per bin
-    before anything is shuffled.
+    With ``group``, every group has its own range; null is a group of its own. Rows
+    are counted per bin before anything is shuffled.
     """
     group = group or []
     values = df.select(*group, F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
@@ -69,7 +69,7 @@ def histogram(df: DataFrame, column: str, bins: int, group: list[str] | None = N
     if group:
         # written, so that its real size decides between a broadcast and a shuffle
         ranges = stage(ranges, "ranges")
-        placed = values.join(ranges, group)
+        placed = null_safe(values, ranges, group)
     else:
         range_of = ranges.select(F.struct("start", "width")).scalar()
         placed = values.withColumn("_r", range_of).select("x", "_r.start", "_r.width")
@@ -79,7 +79,7 @@ def histogram(df: DataFrame, column: str, bins: int, group: list[str] | None = N
         .agg(F.count(F.lit(1)).alias("n"))
     )
     frame = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return frame.join(counted, [*group, "bin"], "left").select(
+    return null_safe(frame, counted, [*group, "bin"], "left").select(
         *group,
         "bin",
         (F.col("start") + F.col("bin") * F.col("width")).alias("lo"),

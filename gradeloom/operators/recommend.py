@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom import fixed_values as fixed
 from gradeloom.functions.text import let
-from gradeloom.operators.ordered import ROWS_PER_TASK, moving_mean, widest_positive_runs, with_rank
+from gradeloom.operators.ordered import ROWS_PER_BLOCK, moving_mean, widest_positive_runs, with_rank
 from gradeloom.schemas import DEPENDENCIES, EFFECTS, MESSAGES
 
 INCREASE, DECREASE = "increase", "decrease"
@@ -26,7 +26,8 @@ def mine_ranges(
     features: list[str] | None = None,
     window: int = 5,
     key: str = "row_id",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    ranges: int | None = None,
 ) -> DataFrame:
     """(feature, kind, lo, hi): the widest range of values in which the smoothed effect is not negative.
 
@@ -36,9 +37,9 @@ def mine_ranges(
     rows = attribution.select("feature", "value", "phi", key)
     if features is not None:
         rows = rows.filter(F.col("feature").isin(features))
-    ranked = with_rank(rows, ["feature"], ["value", key], rows_per_task=rows_per_task)
-    smooth = moving_mean(ranked, ["feature"], "phi", window, rows_per_task=rows_per_task)
-    return widest_positive_runs(smooth, ["feature"], "value", window, rows_per_task=rows_per_task).select(
+    ranked = with_rank(rows, ["feature"], ["value", key], ranges=ranges)
+    smooth = moving_mean(ranked, ["feature"], "phi", window, rows_per_block=rows_per_block)
+    return widest_positive_runs(smooth, ["feature"], "value", window, rows_per_block=rows_per_block).select(
         "feature", F.when(F.col("lo").isNull(), F.lit("never")).otherwise(F.lit("range")).alias("kind"), "lo", "hi"
     )
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.fixed_values import HALF_LIFE_DAYS, TEST_SHARE
-from gradeloom.operators.split import with_split
+from gradeloom.operators.split import hash_boundary, within_boundary
 
 MICROS_PER_DAY = 86_400_000_000
 
@@ -49,6 +49,5 @@ def fill_created_at(df: DataFrame, run_end: Column, created_at: str = "created_a
 
 def retrain_split(combined: DataFrame, owner: str, test_share: float = TEST_SHARE, seed: int = 0) -> DataFrame:
     """Mark the test rows of a combined set: only owners of new rows are split, old rows all train."""
-    boundary_source = combined.withColumn("_owner", F.when(F.col("is_new"), F.col(owner)))
-    marked = with_split(boundary_source, "_owner", test_share, seed)
-    return marked.withColumn("is_test", F.coalesce("is_test", F.lit(False))).drop("_owner")
+    boundary = hash_boundary(combined.filter("is_new"), owner, lambda total: math.ceil(test_share * total), seed)
+    return combined.withColumn("is_test", F.col("is_new") & within_boundary(F.col(owner), boundary, seed))

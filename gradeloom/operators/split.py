@@ -9,6 +9,7 @@ shuffled, and an owner with very many rows is no special case.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gradeloom.session import stage
 
 PREFIX_DIGITS = 5  # 16**5 counters; each stands for a millionth of the keys
+CELL = 100_000  # keys that are ranked in one task; larger cells are cut by further digits
+NULL_KEY = "\x00null"  # null is a key of its own
 
 
 class Boundary(NamedTuple):
@@ -24,50 +27,70 @@ class Boundary(NamedTuple):
     key: str | None
 
 
+def _text(key: Column) -> Column:
+    return F.coalesce(key.cast("string"), F.lit(NULL_KEY))
+
+
 def _hash(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), _text(key)))
+
+
+def order_boundary(df: DataFrame, place: Column, size: int | Callable[[int], int]) -> str | None:
+    """The ``size``-th smallest value of ``place``, a string that starts with a hash.
+
+    Rows are counted per prefix (a table of fixed size), and under the one prefix that holds
+    the boundary again by longer prefixes, until few enough are left to rank or they are all
+    equal. ``size`` may be a function of the number of rows. None if no row is wanted.
+    """
+    places = df.select(place.alias("k"))
+    prefix, wanted = "", None
+    while True:
+        cells = places.filter(F.col("k").startswith(prefix)).groupBy(F.substring("k", 1, len(prefix) + PREFIX_DIGITS).alias("p"))
+        counts = stage(cells.agg(F.count("*").alias("count"), F.min("k").alias("least"), F.max("k").alias("most")), "key-counts")
+        if wanted is None:
+            total = counts.agg(F.sum("count")).first()[0] or 0
+            wanted = min(total, size(total) if callable(size) else size)
+            if wanted <= 0:
+                return None
+        upto = counts.withColumn("upto", F.sum("count").over(W.partitionBy(F.lit(0)).orderBy("p")))
+        cell = upto.filter(F.col("upto") >= wanted).orderBy("p").first()
+        wanted -= cell["upto"] - cell["count"]
+        if cell["least"] == cell["most"]:
+            return cell["least"]
+        prefix = os.path.commonprefix([cell["least"], cell["most"]])
+        if cell["count"] <= CELL:
+            inside = places.filter(F.col("k").startswith(prefix) & F.col("k").between(cell["least"], cell["most"]))
+            return inside.withColumn("n", F.row_number().over(W.orderBy("k"))).filter(F.col("n") == wanted).first()["k"]
 
 
 def hash_boundary(
-    df: DataFrame, key: str, size: Callable[[int], int], seed: int, unique: bool = False
+    df: DataFrame, key: str | Column, size: Callable[[int], int], seed: int, unique: bool = False
 ) -> Boundary:
     """Hash and key of the last of the first ``size(number of keys)`` keys in hash order.
 
-    Keys are counted per hash prefix (a table of fixed size), then only the keys
-    under the one prefix that holds the boundary are ranked.
+    With ``unique`` every row counts, repeated keys too.
     """
-    keys = df.select(F.col(key).cast("string").alias("k")).filter(F.col("k").isNotNull())
+    keys = df.select(_text(F.col(key) if isinstance(key, str) else key).alias("k"))
     if not unique:
         keys = keys.distinct()
-    keys = keys.withColumn("h", _hash(F.col("k"), seed)).withColumn("p", F.substring("h", 1, PREFIX_DIGITS))
-    counts = stage(keys.groupBy("p").count(), "key-counts")  # at most one row per prefix
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    wanted = size(total)
-    if wanted <= 0:
-        return Boundary(None, None)
-    upto = counts.withColumn("upto", F.sum("count").over(W.partitionBy(F.lit(0)).orderBy("p")))
-    cell = upto.filter(F.col("upto") >= wanted).orderBy("p").first()
-    position = wanted - (cell["upto"] - cell["count"])
-    last = (
-        keys.filter(F.col("p") == cell["p"])
-        .withColumn("n", F.row_number().over(W.partitionBy("p").orderBy("h", "k")))
-        .filter(F.col("n") == position)
-        .first()
-    )
-    return Boundary(last["h"], last["k"])
+    last = order_boundary(keys, F.concat(F.md5(F.concat(F.lit(f"{seed}:"), F.col("k"))), F.col("k")), size)
+    return Boundary(None, None) if last is None else Boundary(last[:32], last[32:])
 
 
 def within_boundary(key: Column, boundary: Boundary, seed: int) -> Column:
     if boundary.hash is None:
         return F.lit(False)
-    h, k = _hash(key, seed), key.cast("string")
+    h, k = _hash(key, seed), _text(key)
     return (h < boundary.hash) | ((h == boundary.hash) & (k <= boundary.key))
 
 
 def with_split(
     df: DataFrame, key: str, test_share: float = 0.3, seed: int = 0, unique: bool = False, name: str = "is_test"
 ) -> DataFrame:
-    """Mark the test rows: ``ceil(share * keys)`` of the keys, all rows of a key on one side."""
+    """Mark the test rows: ``ceil(share * keys)`` of the keys, all rows of a key on one side.
+
+    Rows without a key are one key, so every row is on exactly one side.
+    """
     boundary = hash_boundary(df, key, lambda total: math.ceil(test_share * total), seed, unique)
     return df.withColumn(name, within_boundary(F.col(key), boundary, seed))
 
@@ -86,7 +109,7 @@ def split_by_row(df: DataFrame, key: str, test_share: float = 0.3, seed: int = 0
 
 def common_owners(train: DataFrame, test: DataFrame, owner: str) -> DataFrame:
     """Owners on both sides."""
-    return train.select(owner).intersect(test.select(owner))
+    return train.select(owner).intersect(test.select(owner))  # null equals null here
 
 
 def count_common_owners(train: DataFrame, test: DataFrame, owner: str, name: str = "common_owners") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql.functions import arrow_udf
 
 from gradeloom.fixed_values import SPECIAL_TOKENS, WINDOW_OVERLAP, WINDOW_TOKENS
 from gradeloom.operators.curate import sample_rows
-from gradeloom.operators.ordered import with_rank
+from gradeloom.operators.ordered import null_safe, with_rank
 from gradeloom.session import stage
 
 
@@ -200,7 +200,7 @@ def silhouette_profile(df: DataFrame, label: str, key: str, silhouette: str = "s
     # written, so that its real size decides between a broadcast and a shuffle on few keys
     sizes = stage(df.groupBy(label).agg(F.count(F.lit(1)).alias("cluster_size")), "cluster-sizes")
     ranked = with_rank(df.select(key, label, silhouette), [label], [silhouette, key], "position")
-    return ranked.join(sizes, label)
+    return null_safe(ranked, sizes, [label])
 
 
 def project_2d(df: DataFrame, vector: str = "embedding") -> DataFrame:

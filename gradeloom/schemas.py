@@ -22,6 +22,8 @@ EFFECTS = ("model_version INT, feature STRING, kind STRING, lo DOUBLE, hi DOUBLE
 DEPENDENCIES = ("model_version INT, feature STRING, pos INT, dependency STRING, min_value DOUBLE")
 MESSAGES = ("model_version INT, feature STRING, direction STRING, message STRING")
 
+PUBLICATIONS = ("model_version INT, part STRING, publication STRING, published_at TIMESTAMP")
+
 LEAVES = ("tree INT, leaf INT, value DOUBLE, feature INT, lo DOUBLE, hi DOUBLE")
 ATTRIBUTION = ("row_id BIGINT, feature STRING, pos INT, value DOUBLE, phi DOUBLE")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,28 +14,48 @@ def submission_stream(spark: SparkSession, path: str, schema, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def not_stored(batch: DataFrame, sink: str, number: int, key: str, time: str) -> DataFrame:
+    """Rows of a batch once each, without those that another batch has stored for the same day.
+
+    Only ids of the days of the batch are read from the sink.
+    """
+    day = lambda: F.to_date(time)
+    once = batch.dropDuplicates([key, time])
+    span = batch.agg(F.min(day()).alias("a"), F.max(day()).alias("b")).first()
+    try:
+        stored = batch.sparkSession.read.parquet(sink)
+    except AnalysisException as error:  # nothing is stored before the first batch
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return once
+    known = stored.filter((F.col("batch") != number) & F.col(time).between(F.lit(span["a"]), F.date_add(F.lit(span["b"]), 1)))
+    return once.withColumn("_day", day()).join(known.select(key, day().alias("_day")).distinct(), [key, "_day"], "left_anti").drop("_day")
+
+
 def start_scoring(
     stream: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     sink: str,
     checkpoint: str,
-    delay: str = "1 day",
     available_now: bool = False,
     key: str = "id",
     time: str = "created_at",
 ) -> StreamingQuery:
     """Score each batch into a folder of its own.
 
-    A submission sent twice within ``delay`` is scored once. A batch that is
-    repeated after a failure writes its folder again, so nothing is stored twice
-    and nothing that is stored has to be read.
+    Every submission is scored, however late it comes; one that is sent again on the day
+    of its time stamp is scored once. A batch that is repeated after a failure writes its
+    folder again, so nothing is stored twice. The stream keeps no state.
     """
-    unique = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
     def handle(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        batch = batch.persist()
+        try:
+            score(not_stored(batch, sink, number, key, time)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        finally:
+            batch.unpersist()
 
-    writer = unique.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

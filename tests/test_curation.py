@@ -125,6 +125,6 @@ def test_drift_distributed_path_agrees(tables):
     e = tables.events
     a, b = e.filter("ts < '2024-01-15'"), e.filter("ts >= '2024-01-15'")
     one = {r["feature"]: r["value"] for r in drift(a, b, ["value", "user_id"]).collect()}
-    many = {r["feature"]: r["value"] for r in drift(a, b, ["value", "user_id"], rows_per_task=60).collect()}
+    many = {r["feature"]: r["value"] for r in drift(a, b, ["value", "user_id"], ranges=7).collect()}
     for k in one:
         assert many[k] == pytest.approx(one[k], rel=1e-9)

@@ -24,11 +24,11 @@ def frame(spark):
     return pdf, spark.createDataFrame(pdf).cache()
 
 
-@pytest.mark.parametrize("rows", [10**6, 170])
-def test_running_totals(frame, rows):
+@pytest.mark.parametrize("ranges", [None, 1, 18])
+def test_running_totals(frame, ranges):
     pdf, df = frame
     got = (
-        running_totals(df, ["g"], ["x", "k"], {"upto": F.col("s"), "r": F.lit(1)}, {"next_k": "k"}, rows)
+        running_totals(df, ["g"], ["x", "k"], {"upto": F.col("s"), "r": F.lit(1)}, {"next_k": "k"}, ranges=ranges)
         .toPandas()
         .sort_values(["g", "x", "k"])
         .reset_index(drop=True)
@@ -61,9 +61,9 @@ def runs_by_hand(part, window):
 @pytest.mark.parametrize("window", [4, 5])
 def test_widest_runs(frame, rows, window):
     pdf, df = frame
-    ranked = with_rank(df, ["g"], ["x", "k"], rows_per_task=rows)
-    smooth = moving_mean(ranked, ["g"], "s", window, rows_per_task=rows)
-    got = {r["g"]: (r["lo"], r["hi"]) for r in widest_positive_runs(smooth, ["g"], "x", window, rows_per_task=rows).collect()}
+    ranked = with_rank(df, ["g"], ["x", "k"], ranges=18)
+    smooth = moving_mean(ranked, ["g"], "s", window, rows_per_block=rows)
+    got = {r["g"]: (r["lo"], r["hi"]) for r in widest_positive_runs(smooth, ["g"], "x", window, rows_per_block=rows).collect()}
     for g, part in pdf.groupby("g"):
         want = runs_by_hand(part, window)
         assert got[g] == (want or (None, None)), g
@@ -72,15 +72,15 @@ def test_widest_runs(frame, rows, window):
 @pytest.mark.parametrize("rows", [170, 40])
 def test_run_that_spans_every_block(spark, rows):
     df = spark.range(1000).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("s"), F.col("id").alias("k"))
-    ranked = with_rank(df, ["g"], ["x", "k"], rows_per_task=rows)
-    smooth = moving_mean(ranked, ["g"], "s", 5, rows_per_task=rows)
-    row = widest_positive_runs(smooth, ["g"], "x", 5, rows_per_task=rows).first()
+    ranked = with_rank(df, ["g"], ["x", "k"], ranges=18)
+    smooth = moving_mean(ranked, ["g"], "s", 5, rows_per_block=rows)
+    row = widest_positive_runs(smooth, ["g"], "x", 5, rows_per_block=rows).first()
     assert (row["lo"], row["hi"]) == (0.0, 999.0)
 
 
-@pytest.mark.parametrize("rows", [10**6, 50])
-def test_exact_quantiles(frame, rows):
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_exact_quantiles(frame, ranges):
     pdf, df = frame
     shares = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    got = exact_quantiles(df, "x", shares, rows)
+    got = exact_quantiles(df, "x", shares, ranges)
     assert np.allclose(got, pdf["x"].quantile(shares).to_numpy())

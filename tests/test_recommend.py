@@ -111,6 +111,6 @@ def test_mined_ranges(spark, rows):
             )
         ).alias("c"),
     ).select("row_id", "c.*")
-    got = {r["feature"]: (r["kind"], r["lo"], r["hi"]) for r in rec.mine_ranges(df, rows_per_task=rows).collect()}
+    got = {r["feature"]: (r["kind"], r["lo"], r["hi"]) for r in rec.mine_ranges(df, rows_per_block=rows).collect()}
     assert got["up"] == ("range", 250.0, 499.0)
     assert got["bad"] == ("never", None, None)
