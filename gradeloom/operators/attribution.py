@@ -29,8 +29,9 @@ from gradeloom.operators.curate import sample_rows
 from gradeloom.schemas import LEAVES
 from gradeloom.session import scratch_path, stage
 
-BACKGROUND_ROWS = 100
 MASKS_PER_BLOCK = 2_000_000
+PRODUCTS = 2_000_000  # row masks x background masks x path features worked on at once
+LONGEST_PATH = 62  # features of a path that fit into the bits of a mask
 DENSE_NUMBERS = 8_000_000  # numbers kept per task for effects already worked out
 
 
@@ -114,17 +115,25 @@ def _weights(longest: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _leaf_effect(leaf: _Leaf, ours: np.ndarray, background: _Masks, gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
-    """Effect per (distinct row mask, path feature)."""
-    bits = np.arange(len(leaf.features), dtype=np.int64)
-    x, z = ours[:, None], background.masks[None]
-    covered = (x | z) == (1 << len(bits)) - 1
-    only_x, only_z = x & ~z, z & ~x
-    a, b = np.bitwise_count(only_x), np.bitwise_count(only_z)
-    scale = np.where(covered, leaf.value * background.shares[None], 0.0)
-    plus, minus = scale * gain[a, b], scale * loss[a, b]
-    on_x = (only_x[..., None] >> bits) & 1
-    on_z = (only_z[..., None] >> bits) & 1
-    return np.einsum("uk,ukf->uf", plus, on_x) - np.einsum("uk,ukf->uf", minus, on_z)
+    """Effect per (distinct row mask, path feature), a bounded number of products at a time."""
+    width = len(leaf.features)
+    bits = np.arange(width, dtype=np.int64)
+    effect = np.zeros((len(ours), width))
+    rows = max(1, min(len(ours), PRODUCTS // width))
+    columns = max(1, PRODUCTS // (rows * width))
+    for i in range(0, len(ours), rows):
+        x = ours[i : i + rows, None]
+        for k in range(0, len(background.masks), columns):
+            z = background.masks[None, k : k + columns]
+            covered = (x | z) == (1 << width) - 1
+            only_x, only_z = x & ~z, z & ~x
+            a, b = np.bitwise_count(only_x), np.bitwise_count(only_z)
+            scale = np.where(covered, leaf.value * background.shares[None, k : k + columns], 0.0)
+            plus, minus = scale * gain[a, b], scale * loss[a, b]
+            on_x = (only_x[..., None] >> bits) & 1
+            on_z = (only_z[..., None] >> bits) & 1
+            effect[i : i + rows] += np.einsum("uk,ukf->uf", plus, on_x) - np.einsum("uk,ukf->uf", minus, on_z)
+    return effect
 
 
 class _LeafEffects:
@@ -196,6 +205,9 @@ def _count_masks(leaves: list[_Leaf], features: list[str]):
 def _collect_leaves(leaves: DataFrame) -> list[_Leaf]:
     """The leaves as arrays. They come from a model that was on the driver already."""
     rows = leaves.filter(F.col("feature").isNotNull()).orderBy("tree", "leaf", "feature").toPandas()
+    longest = rows.groupby(["tree", "leaf"]).size().max() if len(rows) else 0
+    if longest > LONGEST_PATH:
+        raise ValueError(f"a path tests {longest} features; {LONGEST_PATH} is the most")
     return [
         _Leaf(float(part["value"].iloc[0]), part["feature"].to_numpy(dtype=int), part["lo"].to_numpy(), part["hi"].to_numpy())
         for _, part in rows.groupby(["tree", "leaf"], sort=False)
@@ -225,7 +237,8 @@ class Explainer:
 
     def __init__(self, background: DataFrame, leaves: DataFrame, features: list[str]):
         self.features = list(features)
-        z = stage(background.select(*[F.col(c).cast("double").alias(c) for c in features]), "background")
+        # missing values count as 0, in the background as in the rows
+        z = stage(background.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]), "background")
         leaves = stage(leaves, "leaves")
         rows, trees = z.count(), leaves.select("tree").distinct().count()
         self._functions = []
@@ -271,10 +284,10 @@ def attribute_forest(
     features: list[str],
     key: str = "row_id",
     background_key: str | None = None,
-    background_rows: int | None = BACKGROUND_ROWS,
+    background_rows: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Shapley values of a fitted forest; ``background_rows=None`` uses the whole background."""
+    """Shapley values of a fitted forest against the whole background, or a sample of as many rows as the caller names."""
     if background_rows is not None:
         background = sample_rows(background, background_rows, background_key or key, seed)
     return attribute(df, background, leaf_boxes(forest_nodes(df.sparkSession, model)), features, key)

@@ -4,9 +4,9 @@ Every module has ``QUERIES`` (name to function of session and folder) and
 ``ORACLES`` (name to SQL). Queries without SQL are checked by tests instead.
 """
 
-from gradeloom.plans.checks import attribution, code, curation, monitoring, splits, stats, storage, text, vectors
+from gradeloom.plans.checks import attribution, code, curation, monitoring, properties, splits, stats, storage, text, vectors
 
-MODULES = [storage, curation, text, code, stats, splits, vectors, attribution, monitoring]
+MODULES = [storage, curation, text, code, stats, splits, vectors, attribution, monitoring, properties]
 
 
 def all_queries():

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom import schemas
@@ -46,8 +47,11 @@ class Registry:
     def aliases(self) -> DataFrame:
         return self._read("aliases", schemas.ALIASES)
 
-    def log_run(self, run_name: str, tags: dict, params: dict, metrics: dict, end_time: datetime | None = None) -> str:
+    def log_run(self, run_name: str, tags: dict, params: dict, metrics: dict, end_time: datetime | None = None, model=None) -> str:
+        """Log a run; ``model`` is stored first, so that a logged run always has its model."""
         run_id = uuid.uuid4().hex
+        if model is not None:
+            model.write().save(f"{self.root}/models/{run_id}")
         text = lambda d: {k: str(v) for k, v in d.items()}
         row = (run_id, run_name, text(tags), text(params), {k: float(v) for k, v in metrics.items()}, end_time or datetime.now(timezone.utc))
         self._append("runs", row, schemas.RUNS)
@@ -87,6 +91,20 @@ class Registry:
             raise LookupError(f"no run for version {version} of {name!r}")
         return row
 
+    def log_trials(self, run_id: str, trials: DataFrame) -> None:
+        """Append the trial table of a search under the run that it belongs to."""
+        trials.withColumn("run_id", F.lit(run_id)).coalesce(1).write.mode("append").parquet(f"{self.root}/trials")
+
+    def trials_of(self, run_id: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/trials").filter(F.col("run_id") == run_id).drop("run_id")
+
+    def load_model(self, name: str, version: int | None = None, alias: str | None = None, kind=RandomForestRegressionModel):
+        """The fitted model of a version, or of the version that an alias points to."""
+        if (version is None) == (alias is None):
+            raise ValueError("name either a version or an alias")
+        version = self.resolve_alias(name, alias) if version is None else version
+        return kind.load(f"{self.root}/models/{self.run_of(name, version)['run_id']}")
+
     def training_set(self, name: str, version: int, owner: str = "developer") -> tuple[float | None, DataFrame]:
         """Test RMSE of a version and the training rows it was fitted on, split again the same way."""
         run = self.run_of(name, version)

@@ -80,3 +80,33 @@ def test_forest_without_a_split(spark):
     model = fit_forest(df, ["a"], "label", trees=2)
     got = at.attribute_forest(df, df, model, ["a"])
     assert {r["phi"] for r in got.collect()} == {0.0}
+
+
+def test_products_are_bounded_and_blocks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    width = 12
+    leaf = at._Leaf(2.0, np.arange(width), np.zeros(width), np.ones(width))
+    ours = np.unique(rng.integers(0, 1 << width, 300))
+    masks = np.unique(rng.integers(0, 1 << width, 400))
+    background = at._Masks(masks, np.full(len(masks), 1 / len(masks)))
+    whole = at._leaf_effect(leaf, ours, background, *at._weights(width))
+    sizes = []
+    count = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: sizes.append(x.size * width) or count(x))
+    monkeypatch.setattr(at, "PRODUCTS", 5000)
+    assert np.allclose(at._leaf_effect(leaf, ours, background, *at._weights(width)), whole)
+    assert max(sizes) <= 5000
+
+
+def test_missing_values_count_alike_in_rows_and_background(spark):
+    leaves = spark.createDataFrame([(0, 0, 1.0, 0, -float("inf"), 0.5), (0, 1, 5.0, 0, 0.5, float("inf"))], at.LEAVES)
+    rows = spark.createDataFrame([(1, None), (2, 1.0)], "row_id LONG, x DOUBLE")
+    phi = {r.row_id: r.phi for r in at.attribute(rows, rows, leaves, ["x"]).collect()}
+    assert phi == {1: -2.0, 2: 2.0}
+
+
+def test_long_paths_are_refused(spark):
+    leaves = spark.createDataFrame([(0, 0, 1.0, f, 0.0, 1.0) for f in range(63)], at.LEAVES)
+    rows = spark.createDataFrame([(1, *[0.5] * 63)], "row_id LONG, " + ", ".join(f"f{i} DOUBLE" for i in range(63)))
+    with pytest.raises(ValueError):
+        at.Explainer(rows, leaves, [f"f{i}" for i in range(63)])

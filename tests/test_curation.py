@@ -128,3 +128,43 @@ def test_drift_distributed_path_agrees(tables):
     many = {r["feature"]: r["value"] for r in drift(a, b, ["value", "user_id"], ranges=7).collect()}
     for k in one:
         assert many[k] == pytest.approx(one[k], rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 99, 100, 500])
+def test_samples_have_their_size_with_nulls_and_repeats(spark, n):
+    rows = [(None if i % 4 == 0 else i % 7, i % 3) for i in range(100)]
+    df = spark.createDataFrame(rows, "k LONG, v LONG")
+    got = curate.sample_rows(df, n, "k", 1).collect()
+    assert len(got) == min(n, 100)
+    left = list(rows)
+    for r in got:
+        left.remove((r.k, r.v))
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, curate.sample_rows(df.repartition(9), n, "k", 1).collect()), key=str)
+
+
+def test_small_cells_are_descended_to(spark, monkeypatch):
+    from gradeloom.operators import split
+
+    df = spark.range(500).selectExpr("id AS k")
+    want = split.hash_boundary(df, "k", lambda n: 123, 0)
+    monkeypatch.setattr(split, "CELL", 2)
+    monkeypatch.setattr(split, "PREFIX_DIGITS", 1)
+    assert split.hash_boundary(df, "k", lambda n: 123, 0) == want
+
+
+def test_rows_without_owner_are_on_one_side(spark):
+    from gradeloom.operators.split import split_by_owner
+
+    df = spark.createDataFrame([(None if i % 5 == 0 else f"o{i % 9}", i) for i in range(100)], "developer STRING, i INT")
+    train, test = split_by_owner(df)
+    assert train.count() + test.count() == 100
+    assert 0 in (train.filter("developer IS NULL").count(), test.filter("developer IS NULL").count())
+
+
+def test_trees_too_deep_are_refused(spark):
+    from gradeloom.operators.forest import draw_trials, forest
+
+    with pytest.raises(ValueError):
+        forest("y", max_depth=31)
+    depths = [t["max_depth"] for t in draw_trials(2000)]
+    assert (min(depths), max(depths)) == (3, 30) and depths.count(30) < 200

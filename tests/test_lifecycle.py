@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom import fixed_values as fixed
+from gradeloom import fixed_values as fixed, schemas
 from gradeloom.operators import recommend as rec
 from gradeloom.operators.attribution import forest_nodes, leaf_boxes
 from gradeloom.operators.evaluate import metrics
@@ -241,3 +241,47 @@ def test_late_rows_are_not_counted(spark, tmp_path):
     send(1, 10)  # the first is nine days late
     got = {r["start"].day: r["n"] for r in latest_windows(spark, sink).collect()}
     assert got == {1: 1, 10: 2}
+
+
+def test_failing_part_publishes_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    effects = spark.createDataFrame([(1, "a", "always", None, None)], schemas.EFFECTS)
+    published.publish_reco_data(spark, root, 1, effects, rec.dependencies_table(spark, 1, {}), rec.messages_table(spark, 1))
+    broken = rec.messages_table(spark, 2).withColumn("message", F.raise_error(F.lit("no message")))
+    with pytest.raises(Exception, match="no message"):
+        published.publish_reco_data(spark, root, 2, effects, None, broken)
+    assert published.read_reco_part(spark, root, "effects", 2).count() == 0
+    with pytest.raises(LookupError):
+        published.publish_reco_data(spark, root, 3, effects)
+    published.publish_reco_data(spark, root, 2, messages=rec.messages_table(spark, 2))
+    assert published.read_reco_part(spark, root, "effects", 2).count() == 1
+    assert published.read_reco_part(spark, root, "dependencies", 2).count() == 0
+
+
+def test_model_comes_back_in_another_registry(spark, tmp_path, tables):
+    from gradeloom.operators.forest import fit_forest, predict
+    from gradeloom.sources.registry import Registry
+
+    rows = tables.lineitem.limit(500)
+    model = fit_forest(rows, ["l_quantity", "l_tax"], "l_extendedprice", trees=2, max_depth=3)
+    registry = Registry(spark, str(tmp_path))
+    run = registry.log_run("fit", {}, {}, {}, model=model)
+    registry.log_trials(run, spark.createDataFrame([(0, 1.5)], "trial INT, cv_rmse DOUBLE"))
+    version = registry.register("price", run)
+    other = Registry(spark, str(tmp_path))
+    loaded = other.load_model("price", version)
+    want = [r.prediction for r in predict(rows, model, ["l_quantity", "l_tax"]).collect()]
+    assert [r.prediction for r in predict(rows, loaded, ["l_quantity", "l_tax"]).collect()] == want
+    assert other.trials_of(run).first().cv_rmse == 1.5
+    with pytest.raises(LookupError):
+        other.load_model("price", 7)
+
+
+def test_submissions_are_stored_however_late(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda d: datetime(2024, 1, d, tzinfo=timezone.utc)
+    for part in ([(1, day(20)), (2, day(20)), (1, day(20))], [(3, day(5)), (2, day(20))], [(3, day(5)), (4, day(1))]):
+        spark.createDataFrame(part, "id LONG, created_at TIMESTAMP").coalesce(1).write.mode("append").parquet(source)
+        stream = submission_stream(spark, source, "id LONG, created_at TIMESTAMP", 1)
+        start_scoring(stream, lambda b: b, sink, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2, 3, 4]
