@@ -37,7 +37,7 @@ def vectors(rows):
     ]
 
 
-def mcd(x):
+def mcd(x, with_size=False):
     """The same steps on arrays."""
     floors = np.array(list(rq.STATISTICS.values()))
 
@@ -55,7 +55,7 @@ def mcd(x):
         core = x[bins <= reached(bins, rq.CORE)]
         mean = core.mean(0)
         cov = rq.CONSISTENCY * (np.einsum("ij,ik->jk", core, core) / len(core) - np.outer(mean, mean)) + np.diag(floors**2)
-    return mean, cov
+    return (mean, cov, len(core)) if with_size else (mean, cov)
 
 
 def test_estimates_follow_numpy(spark):
