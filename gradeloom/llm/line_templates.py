@@ -65,7 +65,8 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     crowded = stage(crowded, "templates")
     once = crowded.groupBy("template", "doc").agg(F.first("n").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("place"))
     counted = once.groupBy("template").agg(F.count("*").alias("docs"), F.first("n").alias("n"), F.min("place").alias("first"))
-    recurring = counted.filter(F.col("docs") >= needed).select("template", F.col("first.doc").alias("keeper"))
+    # written, so that the join below has two plain sides and Spark can split the documents of a very common line
+    recurring = stage(counted.filter(F.col("docs") >= needed).select("template", F.col("first.doc").alias("keeper")), "recurring")
     return crowded.join(recurring, "template").filter("doc <> keeper").select("doc", "line").distinct()
 
 

@@ -387,7 +387,8 @@ def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, s
     labels = _settle(pairs, sets, threshold)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("one").alias("one"), F.sum("n_rows").alias("n_rows"))
-    of_node = named.select("node", "label").join(least, "label").select("node", "one", "n_rows")
+    # written, so that Spark can split the join for a class with very many rows
+    of_node = stage(named.select("node", "label").join(least, "label").select("node", "one", "n_rows"), "class-components")
     joined = rows.select("id", "mark", "n_shingles", "node").join(of_node, "node", "left")
     alone = F.col("node").isNull() | (F.col("n_rows") == 1)
     return joined.select(

@@ -41,7 +41,8 @@ def op2_token_rollups(spark, folder):
             F.array(F.struct(F.lit(False).alias("tidy"), text.alias("text")), F.struct(F.lit(True).alias("tidy"), tidy.alias("text"))))
     ).alias("t")).select("doc_id", "source", "lang", "mark", "n_words", "t.tidy", "t.text")
     counts = stage(token_rollups.bpe_counts(texts, "text"), "token-counts")
-    first = counts.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    # written, so that Spark can split the join for a text with very many copies
+    first = stage(counts.groupBy("mark").agg(F.min("doc_id").alias("first")), "first-copies")
     raw = counts.filter("NOT tidy")
 
     def changes(rows, op, tokenizer, n):
