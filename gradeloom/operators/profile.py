@@ -65,10 +65,9 @@ def histogram(df: DataFrame, column: str, bins: int, group: list[str] | None = N
     """
     group = group or []
     values = df.select(*group, F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    ranges = bin_ranges(values, bins, group)
+    # written once: it is used twice, and its real size decides between a broadcast and a shuffle
+    ranges = stage(bin_ranges(values, bins, group), "ranges")
     if group:
-        # written, so that its real size decides between a broadcast and a shuffle
-        ranges = stage(ranges, "ranges")
         placed = null_safe(values, ranges, group)
     else:
         range_of = ranges.select(F.struct("start", "width")).scalar()

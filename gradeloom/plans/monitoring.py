@@ -51,7 +51,6 @@ def retrain(
     model_name: str,
     version: int,
     stamp: str,
-    old_model,
     dataset_root: str,
     features: list[str] = fixed.TRANSFORMED_FEATURES,
     test_share: float = fixed.TEST_SHARE,
@@ -60,15 +59,17 @@ def retrain(
 ):
     """Fit on old and new data with decayed weights; compare old and new model on new owners.
 
-    Returns (run id, new model, table of metrics by version).
+    The old model is loaded by its version. The new one is stored with its run and
+    its trials. Returns (run id, new model, table of metrics by version).
     """
     run = registry.run_of(model_name, version)
+    old_model = registry.load_model(model_name, version)
     old = fill_created_at(read_stage(registry.spark, run["tags"]["dataset"]), F.lit(run["end_time"]))
     rows, _ = read_submissions(submissions, str(version), stamp)
     new = prepared_submissions(rows, reports, features)
     old_keyed = old.withColumn("row_key", F.concat(F.lit("old-"), F.col("file_id" if "file_id" in old.columns else "row_key").cast("string")))
     new_keyed = new.withColumn("row_key", F.concat(F.lit("new-"), F.col("id").cast("string")))
-    path = write_stage(combine(old_keyed, new_keyed), f"combined_features_{version}_{stamp}", dataset_root)
+    path = write_stage(combine(old_keyed, new_keyed), f"grown_set_{version}_{stamp}", dataset_root)
     marked = retrain_split(read_stage(registry.spark, path), "developer", test_share, seed)
     train = with_decay_weight(marked.filter(~F.col("is_test")), stamp_to_timestamp(F.lit(stamp)))
     test = stage(marked.filter("is_test"), "retrain-test")
@@ -81,7 +82,7 @@ def retrain(
     compared = stage(judged(old_model, "old").unionByName(judged(model, "new")), "compared")
     scores = compared.filter("version = 'new'").first()
     run_id = registry.log_run(
-        f"retrain_{version}_{stamp}",
+        f"refit_{version}_{stamp}",
         tags={"dataset": path, "test_size": test_share, "random_state": seed, "half_life_days": fixed.HALF_LIFE_DAYS},
         params=best,
         metrics={
@@ -90,7 +91,9 @@ def retrain(
             "test_rmse": scores["rmse"],
             "test_r2": scores["r2"],
         },
+        model=model,
     )
+    registry.log_trials(run_id, table)
     return run_id, model, compared
 
 

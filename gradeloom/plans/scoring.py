@@ -8,11 +8,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom import fixed_values as fixed
-from gradeloom.operators.attribution import Explainer
+from gradeloom.operators.attribution import Explainer, forest_nodes, leaf_boxes
 from gradeloom.operators.code_facts import with_code_facts
 from gradeloom.operators.code_features import transformed_features
 from gradeloom.operators.forest import score_sources
 from gradeloom.operators.recommend import recommend_rows, with_message
+from gradeloom.sources.published import read_reco_part
+from gradeloom.sources.registry import Registry
 
 
 @dataclass
@@ -29,6 +31,16 @@ class Scorer:
     features: list[str] = field(default_factory=lambda: list(fixed.TRANSFORMED_FEATURES))
     feature_stage: object = transformed_features
 
+    @classmethod
+    def from_registry(cls, registry: Registry, reco_root: str, name: str, alias: str = fixed.PRODUCTION_ALIAS, **options) -> Scorer:
+        """Everything by alias: the model, its training rows as background, and what is published for its version."""
+        version = registry.resolve_alias(name, alias)
+        model = registry.load_model(name, version)
+        _, train = registry.training_set(name, version)
+        features = options.get("features") or list(fixed.TRANSFORMED_FEATURES)
+        parts = (read_reco_part(registry.spark, reco_root, part, version).drop("model_version") for part in ("effects", "dependencies", "messages"))
+        return cls(model, str(version), train.select(*features), leaf_boxes(forest_nodes(registry.spark, model)), *parts, **options)
+
     @cached_property
     def explainer(self) -> Explainer:
         """Prepared on first use and shared by all batches of a stream."""

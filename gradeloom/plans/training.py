@@ -47,7 +47,8 @@ def train_and_register(
     seed: int = 0,
     trials: list[dict] | None = None,
 ):
-    """Search, refit, evaluate on the held-out owners, log the run, register and point the alias at it."""
+    """Search, refit, evaluate on the held-out owners, store the model with its run and
+    trials, register it and point the alias at it."""
     path = write_stage(dataset, dataset_name, dataset_root)
     data = dataset.sparkSession.read.parquet(path)
     train, test = split_by_owner(data, test_share, seed)
@@ -63,7 +64,9 @@ def train_and_register(
             "test_rmse": scores["rmse"],
             "test_r2": scores["r2"],
         },
+        model=model,
     )
+    registry.log_trials(run_id, table)
     version = registry.register(model_name, run_id)
     registry.set_alias(model_name, fixed.PRODUCTION_ALIAS, version)
     return model, version, run_id

@@ -131,7 +131,7 @@ def test_monitor_retrain_deploy(spark, world, scorer, incoming):
     assert record["rmse_msg"] in ("exceeded", "did not exceed")
 
     run_id, model, compared = retrain(
-        registry, stored, reports, "model", 1, "2036-02-01_00-00-00_UTC", world["model"], f"{world['root']}/data", trials=TRIALS[:1]
+        registry, stored, reports, "model", 1, "2036-02-01_00-00-00_UTC", f"{world['root']}/data", trials=TRIALS[:1]
     )
     assert {r["version"] for r in compared.collect()} == {"old", "new"}
     assert registry.run_of("model", 1)["run_id"] == world["run_id"]
@@ -285,3 +285,14 @@ def test_submissions_are_stored_however_late(spark, tmp_path):
         stream = submission_stream(spark, source, "id LONG, created_at TIMESTAMP", 1)
         start_scoring(stream, lambda b: b, sink, str(tmp_path / "cp"), available_now=True).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2, 3, 4]
+
+
+def test_scorer_from_the_registry(spark, world, tmp_path):
+    effects = rec.effects_table(rec.fixed_effects(spark), 1)
+    for version in (1, 2):  # another test may have deployed a second version
+        published.publish_reco_data(spark, str(tmp_path), version, effects, rec.dependencies_table(spark, version), rec.messages_table(spark, version))
+    scorer = Scorer.from_registry(world["registry"], str(tmp_path), "model")
+    rows = spark.createDataFrame([(1, 7, source(3), datetime(2024, 1, 1, tzinfo=timezone.utc)), (2, 7, "def (", datetime(2024, 1, 1, tzinfo=timezone.utc))], "id LONG, user_id LONG, raw_code STRING, created_at TIMESTAMP")
+    got = {r.id: r for r in scorer.score(rows).collect()}
+    assert got[1].prediction_output > 0 and got[1].message.startswith("Estimated score") and got[2].prediction_output == -1
+    assert world["registry"].trials_of(world["run_id"]).count() == len(TRIALS)
