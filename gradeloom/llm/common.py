@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -30,10 +31,40 @@ def ensure_shared(spark: SparkSession) -> None:
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gradeloom-llm-"))
 
 
+_staged: list[str] | None = None  # tables of the job that is being put together, if it keeps account of them
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: a later loss of executors does not reach behind it."""
     ensure_shared(df.sparkSession)
-    return session.stage(df, name)
+    path = session.scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    if _staged is not None:
+        _staged.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def recorded(tables: list[str]):
+    """Note in ``tables`` what is staged inside, for :func:`drop_tables`."""
+    global _staged
+    outer, _staged = _staged, tables
+    try:
+        yield
+    finally:
+        _staged = outer
+
+
+def drop_tables(tables: list[str], needed: DataFrame) -> None:
+    """Delete staged tables but those that ``needed`` reads, and take them off the list."""
+    spark = needed.sparkSession
+    files = needed.inputFiles()
+    for path in list(tables):
+        if any(path.rsplit("/", 1)[1] in f for f in files):
+            continue
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        tables.remove(path)
 
 
 def whole_row(df: DataFrame) -> Column:

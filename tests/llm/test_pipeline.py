@@ -160,3 +160,15 @@ def test_registered(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries if re.match(r"op\d+_", name)}
     assert "pipeline" in queries and set(oracles) <= set(queries)
+
+
+def test_stages_drop_what_earlier_ones_staged(spark, stages):
+    folder, _ = stages
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    one = corpus_pipeline.quality(spark, docs, folder)
+    mine = list(corpus_pipeline._tables)
+    assert mine
+    two = corpus_pipeline.lines(spark, one, folder)  # still reads what the first has staged
+    assert two.count() == one.count() and set(corpus_pipeline._tables) & set(mine)
+    corpus_pipeline.pack(spark, docs, folder)
+    assert corpus_pipeline._tables == []
