@@ -61,6 +61,13 @@ def forest_attribution(trees: int):
     return run
 
 
+def peak_memory_mb(spark) -> int:
+    """The most memory that the JVM, driver and executor in one, has had."""
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    with open(f"/proc/{pid}/status") as status:
+        return next(int(line.split()[1]) // 1024 for line in status if line.startswith("VmHWM"))
+
+
 def main() -> None:
     spark = get_session(
         "bench",
@@ -102,6 +109,7 @@ def main() -> None:
                 "rows_per_sec": rates,
                 "sf": os.path.basename(FOLDER.rstrip("/")).removeprefix("sf"),
                 "cpus": int(CPUS),
+                "memory_mb": peak_memory_mb(spark),
             }
         )
     )

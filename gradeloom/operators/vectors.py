@@ -242,7 +242,9 @@ def _cells(pivots: np.ndarray, reach: float):
         # distance to the plane between two pivots bounds the distance to the other's cell
         beyond = squares - squares[np.arange(len(x)), home][:, None]
         near = beyond <= 2 * reach * apart[home] + 1e-9
-        return pa.array([{"home": int(h), "cells": np.flatnonzero(n).tolist()} for h, n in zip(home, near)], type=result)
+        ends = np.concatenate([[0], np.cumsum(near.sum(1))]).astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(near)[1].astype(np.int32)))
+        return pa.StructArray.from_arrays([pa.array(home.astype(np.int32)), found], fields=list(result))
 
     return cells
 
