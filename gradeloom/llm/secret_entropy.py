@@ -4,7 +4,8 @@ Fixed forms are an assignment to a telling name, an access key and a long run of
 digits. Beside them every candidate string (a long run of key characters) is judged by the
 Shannon entropy of a window that slides over it: the counts of the window's characters are
 kept up to date by the one that enters and the one that leaves. Each character class has a
-threshold of its own; what the allow-list names, and plain words and numbers, is left alone.
+threshold of its own, and every candidate has a class; what the allow-list names is left
+alone, and plain words and numbers stay below their threshold.
 All of it is built-in expressions; spans are in code points, ends exclusive.
 """
 
@@ -30,6 +31,10 @@ CLASSES = (
     ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
     ("upper", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", 3.5),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.6),
+    ("lower", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9+/_=-]+$", 3.5),
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z+/_=-]+$", 3.7),
+    # long words and names of constants; numbers stay below it, as ten digits have 3.33 bits at most
+    ("other", r"^", 3.7),
 )
 #: Never secrets: UUIDs, paths, words joined by hyphens or underscores, one character again and again.
 ALLOWED = (

@@ -67,6 +67,17 @@ def test_spans_follow_plain_python(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, *_ in spans) for x in FORMS)
 
 
+def test_keys_of_every_alphabet_are_found(spark):
+    rnd = random.Random(10)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    forms = {"base36": (low + digits, 32), "base32": (low + "234567", 40), "hyphens": (low + digits + "-", 40), "letters": (low + up, 24), "constants": (up + digits + "_", 40)}
+    rows = [(name, "key " + "".join(rnd.choice(chars) for _ in range(n)) + " end") for name, (chars, n) in forms.items() for _ in range(100)]
+    words = ["Donaudampfschifffahrtsgesellschaft", "Rindfleischetikettierungsgesetz", "internationalisationalism", "12345678901234567890123", "----------------------", "Some_Name_Of_A_Name_In_Code"]
+    df = spark.createDataFrame(rows + [("words", w) for w in words], "doc_id string, text string")
+    found = Counter(r.doc_id for r in se.find_secrets(df).collect() if [s.kind for s in r.spans] == ["entropy"])
+    assert all(found[name] >= 95 for name in forms) and not found["words"], found
+
+
 def test_entropy_by_counts(spark):
     rnd = random.Random(9)
     given = ["".join(rnd.choice(se.ALPHABET[: rnd.choice([1, 2, 10, 66])]) for _ in range(rnd.randint(0, 80))) for _ in range(200)]
