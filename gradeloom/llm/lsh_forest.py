@@ -10,6 +10,9 @@ the neighbours are those with the longest common prefix.
 A crowded region holds more classes than a window shows. There the rest is found by
 walking: a class's near neighbours name the best linked class among their own partners, the
 hub of the region, and the class is checked against it, until the walk meets no new pair.
+Where classes resemble each other without links there is no hub; so crowded regions are
+finished by a join on each class's rarest shingles, which leaves out no pair at the
+threshold, between components only.
 Every candidate is first estimated by its sketch and then, if it can be a link at all,
 counted exactly on the full sets. Links are compared as whole numbers.
 
@@ -33,6 +36,8 @@ VALUES, TREES, DEPTH, LEAST = 192, 24, 20, 4
 NEAR = 6
 #: Standard deviations of the estimate below the threshold at which a pair is given up.
 SIGMAS = 4.5
+#: Shingles of crowded regions are ordered by how full their cell of the hash is; the order decides on the work only.
+RARITY_BITS = 18
 SEED = 20
 
 
@@ -246,12 +251,17 @@ def _neighbour_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
     return ordered.mapInArrow(run, "kind string, a binary, b binary, place binary, sketch binary")
 
 
-def candidates(classes: DataFrame, threshold: float) -> DataFrame:
+def active_classes(classes: DataFrame) -> DataFrame:
+    """Classes that share a shortest prefix; ``crowded`` if with more classes than a window is sure to show."""
+    keys = _prefixes(classes)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return stage(keys.join(shared, "key").groupBy("node").agg((F.max("n") > NEAR + 1).alias("crowded")), "forest-active")
+
+
+def candidates(classes: DataFrame, threshold: float, active: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a < b) of classes that are neighbours in some order and can reach the threshold."""
     spark = classes.sparkSession
-    keys = _prefixes(classes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    active = stage(keys.join(shared, "key", "left_semi").select("node").distinct(), "forest-active")
+    active = active_classes(classes) if active is None else active
     rows = _orders(classes.join(active, "node", "left_semi"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stage(_neighbour_pairs(rows.repartitionByRange(parts, "place", "node").sortWithinPartitions("place", "node"), threshold), "forest-pairs")
@@ -343,6 +353,15 @@ def _walk(near: DataFrame, seen: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels after new links: what is new links components, so join those, then rename."""
+    joined = components(_apart(new, labels).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    names = joined.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    ends = _both_ways(new).select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    known = labels.unionByName(ends.join(labels.select("node"), "node", "left_anti"))
+    return stage(known.join(names, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+
 def _settle(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Labels of all linked classes: count the pairs, join components, walk on, until the walk meets no new pair.
 
@@ -365,15 +384,87 @@ def _settle(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         if new.limit(1).count() == 0:
             fresh = stage(_apart(more, labels), "near")
             continue
-        # what is new links components: join those, then rename
-        joined = components(_apart(new, labels).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-        names = joined.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        ends = _both_ways(new).select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
-        known = labels.unionByName(ends.join(labels.select("node"), "node", "left_anti"))
-        labels = stage(known.join(names, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        labels = _joined(labels, new)
         near = fresh = stage(_apart(near, labels), "near")
 
 
+def _rarities(crowd: DataFrame):
+    """How many shingles of a crowd fall into each of 2 ** RARITY_BITS cells of the hash, as an array."""
+    import numpy as np
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
+
+    found = crowd.select("hashes").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def _rare_prefixes(crowd: DataFrame, threshold: int) -> DataFrame:
+    """The rarest shingles of every class, enough of them that classes at the threshold share one.
+
+    Sets x and y with ``|y| <= |x|`` and at least the threshold t share ``t * |x|`` shingles and
+    ``2 * t / (1 + t) * |y|``. In any order common to all sets, their first common shingle is
+    therefore among so many of x that fewer than ``t * |x|`` follow (all rows), and among so
+    many of y that fewer than ``2 * t / (1 + t) * |y|`` follow (``short``).
+    """
+    counts = _rarities(crowd)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, label, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                x = np.frombuffer(x, np.uint64)
+                n = len(x)
+                x = x[np.lexsort((x, counts[(x >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))][: n + threshold * n // -100 + 1]
+                at = np.arange(len(x))
+                short = at <= n + 2 * threshold * n // -(100 + threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.view(np.int64)), pa.array([node] * len(x), pa.binary()), pa.array([label] * len(x), pa.binary()), pa.array([n] * len(x), pa.int64()), pa.array(n - at), pa.array(short)],
+                    names=["shingle", "node", "label", "n", "left", "short"],
+                )
+
+    return crowd.select("node", "label", "hashes").mapInArrow(run, "shingle long, node binary, label binary, n long, left long, short boolean")
+
+
+def _crowd_pairs(crowd: DataFrame, threshold: int) -> DataFrame:
+    """All pairs (a < b) of a crowd's classes (node, label, hashes) with different labels that can reach the threshold.
+
+    One of both is not of the label that most classes with the shingle have, so a large
+    component is only compared with what is outside of it.
+    """
+    rows = stage(_rare_prefixes(crowd, threshold), "crowd-prefixes")
+    found = rows.groupBy("shingle", "label").agg(F.count("*").alias("found"))
+    tops = stage(found.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("found", "label")).alias("top")).filter("labels > 1").select("shingle", "top"), "crowd-shingles")
+    shared = stage(rows.join(tops, "shingle"), "crowd-shared")
+    one = shared.filter("label <> top").alias("x")
+    other = shared.alias("y")
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    shorter = F.when(F.struct("x.n", "x.node") < F.struct("y.n", "y.node"), F.col("x.short")).otherwise(F.col("y.short"))
+    reach = (small * 100 >= large * threshold) & (F.least("x.left", "y.left") * (100 + threshold) >= (small + large) * threshold)
+    pairs = one.join(other, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & shorter & reach)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _finish(labels: DataFrame, crowded: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Labels after all links between the components of crowded classes, found without regard to windows."""
+    crowd = stage(sets.join(crowded, "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowd")
+    counted = stage(_count(_crowd_pairs(crowd, threshold), sets), "counted")
+    new = counted.filter(F.col("both") * 100 >= F.lit(threshold) * F.col("either"))
+    return _joined(labels, new) if new.limit(1).count() else labels
+
+
 def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, shingle: int) -> DataFrame:
     """``id``, ``mark``, ``n_shingles``, ``component_id`` and ``first`` (whether this id and text stand for the component)."""
     share = threshold / 100
@@ -381,10 +472,12 @@ def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, s
     one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark"))
     whole = rows.filter("node IS NOT NULL")
     classes = stage(whole.groupBy("node").agg(one.alias("one"), F.count("*").alias("n_rows"), F.first("sig").alias("sig")), "classes")
-    pairs = stage(candidates(classes, share), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes.select("node", "one.id", "one.mark"), "node")
+    active = active_classes(classes)
+    pairs = stage(candidates(classes, share, active), "candidates")
+    crowded = active.filter("crowded").select("node")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded).distinct().join(classes.select("node", "one.id", "one.mark"), "node")
     sets = stage(_fetch_sets(docs, wanted, id_column, text_column, shingle), "sets")
-    labels = _settle(pairs, sets, threshold)
+    labels = _finish(_settle(pairs, sets, threshold), crowded, sets, threshold)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("one").alias("one"), F.sum("n_rows").alias("n_rows"))
     # written, so that Spark can split the join for a class with very many rows

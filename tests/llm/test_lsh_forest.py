@@ -101,6 +101,25 @@ def test_crowded_region(spark, monkeypatch, near):
     compare(spark, list(enumerate(rows)), 85)
 
 
+def unlinked_crowd(seed, singles, pairs):
+    """Texts alike at 0.74 by a common part, and among them pairs alike at 0.82."""
+    rnd = random.Random(seed)
+    core = [f"c{i}" for i in range(600)]
+    own = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    rows = [" ".join(core + own(100)) for _ in range(singles)]
+    for _ in range(pairs):
+        shared = own(30)
+        rows += [" ".join(core + shared + own(70)) for _ in range(2)]
+    rnd.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("near", [1, 6])
+def test_pairs_in_a_crowd_without_links(spark, monkeypatch, near):
+    monkeypatch.setattr(lf, "NEAR", near)
+    compare(spark, unlinked_crowd(12, 300, 60), 80)
+
+
 def test_chain_of_small_steps(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 8 : i * 8 + 120])) for i in range(30)]
