@@ -34,7 +34,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never running text.
 DROPPED = frozenset("head nav menu aside footer form button select option fieldset dialog noscript template svg canvas object audio video".split())
-#: Parts of classes, ids and roles that name something else than running text.
+#: Classes, ids and roles, or their leading parts, that name something else than running text.
 OTHER_PART = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login footer comment comments disqus discussion "
@@ -62,24 +62,30 @@ def _named_other(tag: str, attributes: str) -> bool:
             if tag == "article":
                 if name.startswith("comment"):
                     return True
-            elif name in OTHER_WHOLE or name.startswith(OTHER_START) or not OTHER_PART.isdisjoint(re.split(r"[-_]+", name)):
+            elif name in OTHER_WHOLE or name.startswith(OTHER_START) or re.split(r"[-_]+", name.lstrip("-_"))[0] in OTHER_PART:
                 return True
     return False
 
 
-def tokens(page: str):
+def tokens(page: str, around: frozenset[int] = frozenset()):
     """(kind, count, text, inside): ``kind`` names what is weighed, ``text`` is None in elements to leave out.
 
     Words have the kind ``w:`` and the innermost block around them, tags ``t:`` and their
-    name. ``inside`` tells whether an ``article`` element is open.
+    name. ``inside`` tells whether an ``article`` element is open. An element with an
+    ``article`` or ``main`` in it is never left out for its class, id or role; the tags at
+    the places ``around`` are known to be such.
     """
     stack: list[tuple[str, bool]] = []  # name, left out
+    named: list[tuple[int, int]] = []  # depth and place of open elements left out for their class, id or role
+    wrong: set[int] = set()
     out = []
     dropped = articles = 0
 
     def pop():
         nonlocal dropped, articles
         name, off = stack.pop()
+        if named and named[-1][0] == len(stack):
+            named.pop()
         dropped -= off
         articles -= name == "article"
 
@@ -120,13 +126,19 @@ def tokens(page: str):
                     break
         if name in ("li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
             pop()
-        off = name in DROPPED or (name == "header" and not articles) or _named_other(name, m[4])
+        off = name in DROPPED or (name == "header" and not articles)
+        other = not off and m.start() not in around and _named_other(name, m[4])
+        off |= other
+        if named and not off and name in ("article", "main"):
+            wrong.update(place for _, place in named)
         out.append(("t:dropped" if dropped or off else kind, 1, None if dropped or off else gap, articles > 0))
         if name not in VOID and not m[4].endswith("/"):
+            if other:
+                named.append((len(stack), m.start()))
             stack.append((name, off))
             dropped += off
             articles += name == "article"
-    return out
+    return tokens(page, around | wrong) if wrong else out
 
 
 def counts(page: str) -> dict[str, list[int]]:

@@ -40,6 +40,13 @@ def test_hand_made_pages(page, text):
     assert he.main_text(page, LEARNED) == text
 
 
+@pytest.mark.parametrize("name", ["content with-sidebar", "has-sidebar", "no-sidebar", "search-results", "has-related", "notice", "share", "ad"])
+@pytest.mark.parametrize("inner", ["article", "main"])
+def test_wrappers_of_the_text_stay(name, inner):
+    page = f"<body><div class='{name}'><div class='{name}'><{inner}><p>one</p><div class='ad'>buy</div><p>two</p></{inner}></div><div class='ad'>buy</div></div></body>"
+    assert he.main_text(page, LEARNED) == "one two"
+
+
 def test_the_stretch_is_the_best_one():
     import random
 
