@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.llm import (
     bloom_digest,
     chat_format,
+    filter_audit,
     html_extract,
     line_templates,
     lsh_forest,
@@ -112,6 +113,11 @@ def op10_secret_scan(spark, folder):
     return secret_entropy.digests(secret_entropy.find_secrets(read(spark, folder, "documents")))
 
 
+def op12_filter_audit(spark, folder):
+    """What five filters remove of each source, in all orders."""
+    return filter_audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_rollups": op2_token_rollups,
@@ -123,6 +129,7 @@ QUERIES = {
     "op8_robust_quality": op8_robust_quality,
     "op9_line_templates": op9_line_templates,
     "op10_secret_scan": op10_secret_scan,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 #: Escaping as the template does it, for DuckDB.
@@ -188,4 +195,36 @@ ORACLES = {
           CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines,
           CASE WHEN lines IS NULL THEN 0 ELSE len(list_filter(string_split(text, chr(10)), lambda x: list_contains(lines, x))) END AS n_dropped
         FROM documents d LEFT JOIN dropped g ON d.doc_id = g.doc_id""",
+    "op12_filter_audit": r"""
+        WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        firsts AS (SELECT t, min(doc_id) AS least FROM docs GROUP BY t),
+        said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        cut AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+        failed AS (
+          SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [f for f in [
+              CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+              CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END,
+              CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN cut.doc_id > least THEN 'E' END] if f IS NOT NULL] AS fails
+          FROM cut JOIN firsts USING (t) LEFT JOIN said ON said.doc_id = cut.doc_id),
+        combinations AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (
+          SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+          WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (
+          SELECT filter_order, step, substr(filter_order, step, 1) AS name, string_split(substr(filter_order, 1, step - 1), '') AS earlier
+          FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+        judged AS (
+          SELECT part, filter_order, step, name, fails, n, good, toxic, list_contains(fails, name) AS hit, len(list_intersect(fails, earlier)) > 0 AS gone
+          FROM combinations, steps),
+        tallies AS (
+          SELECT part, filter_order, step, name,
+            coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+            coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (hit AND len(fails) = 1), 0) AS unique_fails,
+            coalesce(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost
+          FROM judged GROUP BY part, filter_order, step, name)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+          CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+          CAST(sum(removed) OVER (PARTITION BY part, name) AS BIGINT) AS shapley
+        FROM tallies""",
 }
