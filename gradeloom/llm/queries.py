@@ -11,6 +11,7 @@ from gradeloom.llm import (
     html_extract,
     line_templates,
     lsh_forest,
+    merkle,
     packing,
     robust_quality,
     secret_entropy,
@@ -118,6 +119,11 @@ def op12_filter_audit(spark, folder):
     return filter_audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op13_merkle_manifest(spark, folder):
+    """Leaves, proofs and roots of all documents, some of them tampered with."""
+    return merkle.manifest(read(spark, folder, "documents"), merkle.tampered_sample())
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_rollups": op2_token_rollups,
@@ -130,8 +136,15 @@ QUERIES = {
     "op9_line_templates": op9_line_templates,
     "op10_secret_scan": op10_secret_scan,
     "op12_filter_audit": op12_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+
+def _fields(n_chars: str) -> str:
+    """The fields of a leaf as DuckDB writes them."""
+    return " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", n_chars, "text"))
+
+
 #: Escaping as the template does it, for DuckDB.
 _ESCAPED = r"""regexp_replace(replace(text, '\', '\\'), '(<|\[)(/*(?:s>|INST\]|ROLE[ \]]))', '\1\\\2', 'g')"""
 
@@ -227,4 +240,45 @@ ORACLES = {
           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
           CAST(sum(removed) OVER (PARTITION BY part, name) AS BIGINT) AS shapley
         FROM tallies""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE crc_bits(k, v, j) AS (
+          SELECT k, k AS v, 0 FROM (SELECT unnest(range(256)) AS k)
+          UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, j + 1 FROM crc_bits WHERE j < 8),
+        crc_table AS (SELECT list(v ORDER BY k) AS t FROM crc_bits WHERE j = 8),
+        crc(doc_id, v, j) AS (
+          SELECT DISTINCT doc_id, 4294967295::BIGINT, 0 FROM documents WHERE doc_id IS NOT NULL
+          UNION ALL
+          SELECT doc_id, xor(v >> 8, t[1 + (xor(v, ord(substr(CAST(doc_id AS VARCHAR), j + 1, 1))::BIGINT) & 255)]), j + 1
+          FROM crc, crc_table WHERE j < length(CAST(doc_id AS VARCHAR))),
+        hit AS (SELECT doc_id FROM crc WHERE j = length(CAST(doc_id AS VARCHAR)) AND xor(v, 4294967295) % 7 = 0),
+        leaves AS (
+          SELECT doc_id, lang, sha256({_fields("n_chars")}) AS leaf,
+            CASE WHEN doc_id IN (SELECT doc_id FROM hit) THEN sha256({_fields("(n_chars + 1)")}) ELSE sha256({_fields("n_chars")}) END AS given
+          FROM documents),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos FROM leaves),
+        built(lang, lev, pos, h, n) AS (
+          SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM placed
+          UNION ALL SELECT lang, lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM built WHERE n > 1 GROUP BY lang, lev, pos // 2, n),
+        subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM built WHERE n = 1),
+        upper_built(lev, pos, h, n) AS (
+          SELECT 0, pos, subroot, n FROM subroots
+          UNION ALL SELECT lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM upper_built WHERE n > 1 GROUP BY lev, pos // 2, n),
+        climbed(doc_id, lang, leaf, lev, pos, proof, folded) AS (
+          SELECT doc_id, lang, leaf, 0, pos, '', given FROM placed
+          UNION ALL
+          SELECT c.doc_id, c.lang, c.leaf, c.lev + 1, c.pos // 2, proof || coalesce(s.h, ''),
+            sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END)
+          FROM climbed c JOIN built b ON b.lang IS NOT DISTINCT FROM c.lang AND b.lev = c.lev AND b.pos = c.pos AND b.n > 1
+          LEFT JOIN built s ON s.lang IS NOT DISTINCT FROM c.lang AND s.lev = c.lev AND s.pos = xor(c.pos, 1)),
+        at_subroot AS (
+          SELECT c.doc_id, c.leaf, s.subroot, c.proof, c.folded, s.pos FROM climbed c JOIN built b ON b.lang IS NOT DISTINCT FROM c.lang AND b.lev = c.lev AND b.n = 1
+          JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang),
+        finished(doc_id, leaf, subroot, lev, pos, proof, folded) AS (
+          SELECT doc_id, leaf, subroot, 0, pos, proof, folded FROM at_subroot
+          UNION ALL
+          SELECT c.doc_id, c.leaf, c.subroot, c.lev + 1, c.pos // 2, proof || coalesce(s.h, ''),
+            sha256(CASE WHEN c.pos % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END)
+          FROM finished c JOIN upper_built b ON b.lev = c.lev AND b.pos = c.pos AND b.n > 1 LEFT JOIN upper_built s ON s.lev = c.lev AND s.pos = xor(c.pos, 1))
+        SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+        FROM finished JOIN upper_built r ON r.n = 1 AND r.lev = finished.lev""",
 }
