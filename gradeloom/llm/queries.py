@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.llm import (
     bloom_digest,
     chat_format,
+    decontaminate,
     filter_audit,
     html_extract,
     line_templates,
@@ -114,6 +115,12 @@ def op10_secret_scan(spark, folder):
     return secret_entropy.digests(secret_entropy.find_secrets(read(spark, folder, "documents")))
 
 
+def op11_decontaminate(spark, folder):
+    """Words of every document that stand in a window of the benchmark."""
+    rows, behind = decontaminate.find_passages(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return decontaminate.digests(rows, behind).drop("spans")
+
+
 def op12_filter_audit(spark, folder):
     """What five filters remove of each source, in all orders."""
     return filter_audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
@@ -135,6 +142,7 @@ QUERIES = {
     "op8_robust_quality": op8_robust_quality,
     "op9_line_templates": op9_line_templates,
     "op10_secret_scan": op10_secret_scan,
+    "op11_decontaminate": op11_decontaminate,
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -208,6 +216,25 @@ ORACLES = {
           CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines,
           CASE WHEN lines IS NULL THEN 0 ELSE len(list_filter(string_split(text, chr(10)), lambda x: list_contains(lines, x))) END AS n_dropped
         FROM documents d LEFT JOIN dropped g ON d.doc_id = g.doc_id""",
+    "op11_decontaminate": r"""
+        WITH docs AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        items AS (
+          SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        item_windows AS (
+          SELECT DISTINCT item_id, least(10, len(w)) AS size, unnest([array_to_string(w[i:i + least(10, len(w)) - 1], ' ') for i in range(1, len(w) - least(10, len(w)) + 2)]) AS part
+          FROM items WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT size FROM item_windows),
+        cut AS (
+          SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM docs, sizes WHERE len(w) >= size),
+        hits AS (SELECT doc_id, i, cut.size, item_id FROM cut JOIN item_windows t ON t.size = cut.size AND t.part = array_to_string(w[i:i + cut.size - 1], ' ')),
+        hit_words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
+        hit_items AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS item FROM hits) GROUP BY doc_id)
+        SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+          coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
     "op12_filter_audit": r"""
         WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
         firsts AS (SELECT t, min(doc_id) AS least FROM docs GROUP BY t),
