@@ -34,7 +34,7 @@ LAYOUTS = {
     ("instruction", "output"): [("user", ["instruction"]), ("assistant", ["output"])],
     ("input", "instruction", "output"): [("user", ["instruction", "input"]), ("assistant", ["output"])],
 }
-#: Other names of roles.
+#: Other names of roles, in layouts that have ``from`` in place of a role; elsewhere roles stay as they are given.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 OPEN_USER, CLOSE_USER, CLOSE_ANSWER = "<s>[INST] ", " [/INST]", " </s>"
@@ -77,11 +77,12 @@ def canonical_turns(records: DataFrame, id_column: str = "conv_id", extra: tuple
     layout = F.col("layout")
 
     def message(role, text):
-        known = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), role), role)
-        return F.struct(F.coalesce(known, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+        return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
     def messages(value, role, text):
-        return F.transform(value, lambda m: message(m[role], m[text]))
+        others = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+        named = lambda m: F.coalesce(F.element_at(others, m), m) if role == "from" else m
+        return F.transform(value, lambda m: message(named(m[role]), m[text]))
 
     for paths, mapping in LAYOUTS.items():
         if isinstance(mapping, tuple):
@@ -160,7 +161,7 @@ def read_back(pieces: Column) -> Column:
     """Turns from the pieces of a formatted text, told apart by their opening strings alone."""
 
     def turn(piece):
-        role = F.regexp_extract(piece, r"^<s>\[ROLE ((?:\\.|[^\]\\])*)\] ", 1)
+        role = F.regexp_extract(piece, r"^<s>\[ROLE ((?:[^\]\\]++|\\.)*+)\] ", 1)
         opening = (
             F.when(piece.startswith(OPEN_USER), len(OPEN_USER)).when(piece.startswith(OPEN_OTHER), len(OPEN_OTHER) + 2 + F.char_length(role)).otherwise(1)
         )
@@ -171,7 +172,7 @@ def read_back(pieces: Column) -> Column:
 
 
 def under_mask(pieces: Column, loss: Column) -> Column:
-    """The text under the loss spans, unescaped, read from the pieces so that long chats take linear time."""
+    """The text under the loss spans, unescaped, read from the pieces: no text is scanned for the place of another."""
     closing = lambda piece: F.when(piece.startswith(OPEN_USER), len(CLOSE_USER)).when(piece.startswith(OPEN_OTHER), len(CLOSE_OTHER)).otherwise(len(CLOSE_ANSWER))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 

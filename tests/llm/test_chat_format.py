@@ -56,3 +56,17 @@ def test_rows_with_nulls_ties_and_long_chats(spark):
     assert got[2].turns_sha256 == hashlib.sha256(b"user\na\nuser\na\nuser\nb\n").hexdigest()
     assert got[3].loss_chars == sum(len(f"turn {i} </s>") for i in range(1, 3000, 2))
     assert cf.digests(cf.format_chats(cf.messages_of_rows(df.limit(0)))).count() == 0
+
+
+def test_very_long_roles_and_texts(spark):
+    chats = [(1, [("r]\\" * 350_000, "t"), ("assistant", "</s>\\" * 200_000)]), (2, [("x" * 1_000_000, "]"), ("a\nb", "\\\n")])]
+    df = spark.createDataFrame(chats, "conv_id long, messages array<struct<role string, text string>>").repartition(2)
+    made = cf.format_chats(df)
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in made.select("conv_id", cf.read_back(cf.pieces_of(F.col("formatted"))).alias("turns")).collect()}
+    assert back == dict(chats)
+
+
+def test_roles_stay_as_given(spark):
+    rows = spark.createDataFrame([(1, 0, "human", "q"), (1, 1, "gpt", "a")], "conv_id long, turn int, role string, text string")
+    got = cf.digests(cf.format_chats(cf.messages_of_rows(rows))).first()
+    assert got.turns_sha256 == hashlib.sha256(b"human\nq\ngpt\na\n").hexdigest() and got.loss_chars == 0
