@@ -37,10 +37,11 @@ CLASSES = (
     ("other", r"^", 3.7),
 )
 #: Never secrets: UUIDs, paths, words joined by hyphens or underscores, one character again and again.
+#: Repeated groups are possessive: Java matches those in a loop, others by a call for each repeat.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^/?(?:[a-z]+[/_-])+[a-z]*[0-9]{0,4}$",
-    r"^(.)\1*$",
+    r"^/?(?:[a-z]++[/_-])++[a-z]*+[0-9]{0,4}$",
+    r"^(.)\1*+$",
 )
 
 

@@ -92,3 +92,9 @@ def test_redaction_and_odd_rows(spark, odd, odd_rows, nothing):
     assert both.first().t == "é <assign>' and <access>."
     assert Counter(len(r.spans) for r in se.find_secrets(odd).collect()) == Counter(len(plain(t)) for _, t, *_ in odd_rows)
     assert se.find_secrets(nothing).count() == 0
+
+
+def test_long_candidates_do_not_exhaust_the_stack(spark):
+    given = ["a/" * 500_000, "a_" * 500_000, "h" * 300_000, "-" * 300_000, "a/" * 5_000 + "!" + "k9Xw2Lq8Vz4Bn6Tc1Rd5"]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in se.find_secrets(df).collect()} == {0: [], 1: [], 2: [], 3: [], 4: [("entropy", 10_001, 10_021)]}
