@@ -17,17 +17,15 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"  # comment
-    r"|<(script|style|textarea|title|iframe|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"  # raw text
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>"  # tag
-    r"|<[!?/][^>]*(?:>|\Z)"  # declaration
-    r"|([^<]+|<)",  # text
-    re.S | re.I,
-)
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: Attributes up to the end of a tag; no character can be read in two ways, and nothing is tried twice.
+ATTRIBUTES = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Elements whose content is no markup, and what closes them.
+RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in "script style textarea title iframe noembed noframes xmp".split()}
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -67,6 +65,61 @@ def _named_other(tag: str, attributes: str) -> bool:
     return False
 
 
+#: Decimal references with more digits than a code point can have, and leading zeros, which int() would choke on.
+HUGE_REFERENCE = re.compile(r"&#0*+[0-9]{8,}+;?")
+LEADING_ZEROS = re.compile(r"&#0{2,}+")
+
+
+def pieces(page: str):
+    """(place, text, closing, name, attributes) of every run of text and every tag, in one pass over the page.
+
+    For text the last three are None. Comments, declarations and raw elements are left out.
+    A tag ends at the first ``>`` outside of quotes; where quotes never close, it ends at the
+    first ``>``, and so do all tags behind it. Without any ``>`` behind it a tag is text.
+    """
+    at, quoted = 0, True
+    last_end = page.rfind(">")
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            start = len(page)
+        if start > at:
+            yield at, page[at:start], None, None, None
+            at = start
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        head = TAG_NAME.match(page, at) if at < last_end else None
+        if head is None:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                at = len(page) if end < 0 else end + 1
+            else:
+                yield at, "<", None, None, None
+                at += 1
+            continue
+        rest = ATTRIBUTES.match(page, head.end()) if quoted else None
+        if rest:
+            attributes, end = rest[1], rest.end()
+        else:
+            quoted = False
+            end = page.find(">", head.end()) + 1
+            if not end:
+                yield at, "<", None, None, None
+                at += 1
+                continue
+            attributes = page[head.end() : end - 1]
+        raw = RAW.get(head[2].lower()) if not head[1] else None
+        if raw:
+            close = raw.search(page, end)
+            at = close.end() if close else len(page)
+            continue
+        yield at, None, bool(head[1]), head[2].lower(), attributes
+        at = end
+
+
 def tokens(page: str, around: frozenset[int] = frozenset()):
     """(kind, count, text, inside): ``kind`` names what is weighed, ``text`` is None in elements to leave out.
 
@@ -75,7 +128,9 @@ def tokens(page: str, around: frozenset[int] = frozenset()):
     ``article`` or ``main`` in it is never left out for its class, id or role; the tags at
     the places ``around`` are known to be such.
     """
-    stack: list[tuple[str, bool]] = []  # name, left out
+    # name, left out, innermost block, whether the innermost element that is not inline is a paragraph
+    stack: list[tuple[str, bool, str, bool]] = []
+    opened: Counter[str] = Counter()
     named: list[tuple[int, int]] = []  # depth and place of open elements left out for their class, id or role
     wrong: set[int] = set()
     out = []
@@ -83,59 +138,49 @@ def tokens(page: str, around: frozenset[int] = frozenset()):
 
     def pop():
         nonlocal dropped, articles
-        name, off = stack.pop()
+        name, off, _, _ = stack.pop()
+        opened[name] -= 1
         if named and named[-1][0] == len(stack):
             named.pop()
         dropped -= off
         articles -= name == "article"
 
-    for m in TOKEN.finditer(page):
-        text = m[5]
+    for place, text, closing, name, attributes in pieces(page):
         if text is not None:
             words = len(text.split())
-            block = "none"
-            for name, _ in reversed(stack):
-                if name not in INLINE or name == "a":
-                    block = name if name in KNOWN else "other"
-                    break
+            block = stack[-1][2] if stack else "none"
             out.append(("w:dropped" if dropped else f"w:{block}", words, None if dropped else text, articles > 0))
             continue
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
         kind = "t:" + (name if name in KNOWN else "other")
         gap = "" if name in INLINE else " "
-        if m[2]:
+        if closing:
             inside = articles > 1 or (articles == 1 and name != "article")
             left_out = dropped
-            if any(open_ == name for open_, _ in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
             out.append(("t:dropped" if left_out else kind, 1, None if left_out else gap, inside))
             continue
-        if name in _ENDS_P and stack:
-            for open_, _ in reversed(stack):
-                if open_ == "p":
-                    while stack[-1][0] != "p":
-                        pop()
-                    pop()
-                    break
-                if open_ not in INLINE:
-                    break
+        if name in _ENDS_P and stack and stack[-1][3]:
+            while stack[-1][0] != "p":
+                pop()
+            pop()
         if name in ("li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
             pop()
         off = name in DROPPED or (name == "header" and not articles)
-        other = not off and m.start() not in around and _named_other(name, m[4])
+        other = not off and place not in around and _named_other(name, attributes)
         off |= other
         if named and not off and name in ("article", "main"):
-            wrong.update(place for _, place in named)
+            wrong.update(at for _, at in named)
         out.append(("t:dropped" if dropped or off else kind, 1, None if dropped or off else gap, articles > 0))
-        if name not in VOID and not m[4].endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
             if other:
-                named.append((len(stack), m.start()))
-            stack.append((name, off))
+                named.append((len(stack), place))
+            inline = name in INLINE
+            block = (name if name in KNOWN else "other") if not inline or name == "a" else stack[-1][2] if stack else "none"
+            stack.append((name, off, block, stack[-1][3] if inline and stack else name == "p"))
+            opened[name] += 1
             dropped += off
             articles += name == "article"
     return tokens(page, around | wrong) if wrong else out
@@ -175,7 +220,8 @@ def main_text(page: str | None, learned: dict[str, float]) -> str:
         total += n * learned.get(kind, NEW_WORD if kind[0] == "w" else -TAG_COST)
         if total > best:
             best, best_from, best_to = total, begin, i + 1
-    return " ".join(html.unescape("".join(t or " " * (t is None) for _, _, t, _ in found[best_from:best_to])).split())
+    text = "".join(t or " " * (t is None) for _, _, t, _ in found[best_from:best_to])
+    return " ".join(html.unescape(LEADING_ZEROS.sub("&#0", HUGE_REFERENCE.sub("\ufffd", text))).split())
 
 
 def learn(pages: DataFrame, html_column: str = "html") -> dict[str, float]:

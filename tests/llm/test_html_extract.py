@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -69,3 +70,36 @@ def test_odd_pages(spark):
     got = sorted(((r.page_id, r.url, r.n_chars) for r in he.extract(df.selectExpr("*", "1 AS text", "2 AS n_chars")).collect()), key=str)
     assert got == sorted([(1, None, 0), (None, "u", 0), (2, "u", 99_999), (2, "u", 1), (2, "u", 1)], key=str)
     assert he.extract(df.limit(0)).count() == 0
+
+
+def test_quotes_that_close_and_quotes_that_do_not():
+    assert he.main_text("<p><a title='x > y' rel=\"a>b\">one</a> two", LEARNED) == "one two"
+    assert he.main_text("<p>one <a title=\"x>two</a> <b class='y>z'>three</b>", LEARNED) == "one two z'>three"
+    assert he.main_text("<p>one <a", LEARNED) == "one <a"
+
+
+@pytest.mark.parametrize(
+    "page, length",
+    [
+        ("<p>one <a " + '"' * 10_001 + " two", 10_012),
+        ("<p>one <a " + '"' * 10_001 + "> two", 7),
+        ('<a b="> x ' * 20_001, 40_001 - 20_000),
+        ("<script " * 10_000, 79_999),
+        ("<script>" * 10_000, 0),
+        ("<script>" + "</script " * 100_000, 0),
+        ("<!--" * 100_000, 0),
+        ("<" * 100_000, 100_000),
+        ("<p>x" + "<div>" * 8_000 + "</p>" * 8_000, 1),
+        ("<p>x" + "<b>" * 8_000 + "<hr>" * 8_000, 1),
+        ("<b>x " * 20_000, 39_999),
+        ("<div class='ad'>" * 8_000 + "<article>x</article>", 1),
+        ("<p>&#" + "9" * 100_000 + ";&#" + "0" * 100_000 + "65;&#" + "0" * 100_000 + ";", 3),
+        ("<p " + 'class="a ' * 50_000 + "> x", 1),
+    ],
+    ids=range(14),
+)
+def test_hostile_pages_take_linear_time(page, length):
+    began = time.process_time()
+    text = he.main_text(page, {})
+    assert time.process_time() - began < 5
+    assert len(text) == length
