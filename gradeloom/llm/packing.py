@@ -171,7 +171,7 @@ def pack(
         for batch in batches:
             id_type = batch.column(0).type
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array(bpe.encode_ordinary(text or "") + [end_id], "<u4")
+                ids = np.array(bpe.encode(text or "", allowed_special="all") + [end_id], "<u4")
                 docs.append((name, ids, 0, len(ids)))
                 held += len(ids)
                 if held >= BLOCK:

@@ -32,7 +32,7 @@ def bpe_counts(rows: DataFrame, text_column: str, vocabulary: str | None = None)
 
         bpe = encoder(vocabulary)
         for batch in batches:
-            n = [len(bpe.encode_ordinary(t or "")) for t in batch.column(0).to_pylist()]
+            n = [len(bpe.encode(t or "", allowed_special="all")) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64())], names=[*others, "n_tokens"])
 
     kinds = dict(rows.dtypes)

@@ -16,17 +16,16 @@ def reference_ids(texts):
     import public_tokenizers
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_ids_equal_those_of_the_tokenizer():
-    from gradeloom.llm.tokens import encoder
+    from gradeloom.llm.tokens import text_ids
 
     rnd = random.Random(1)
-    texts = ["", "  a", "a\n\n b", "x<|endoftext|>y", "it's don't 'll", "a\x1c b", "é  ü\r\n x"]
+    texts = ["", "  a", "a\n\n b", "x<|endoftext|>y", "a <|endoftext|> b", "<|endoftext|><|endoftext|> <|endoftext |>", "it's don't 'll", "a\x1c b", "é  ü\r\n x"]
     texts += ["".join(rnd.choice(" \n\tab1.'é日😀") for _ in range(rnd.randint(0, 40))) for _ in range(2000)]
-    assert [encoder().encode_ordinary(t) + [1] for t in texts] == reference_ids(texts)
+    assert [text_ids(t) + [1] for t in texts] == reference_ids(texts)
 
 
 def best_cost(at, cost, length):
