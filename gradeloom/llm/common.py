@@ -46,19 +46,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def recorded(tables: list[str]):
-    """Note in ``tables`` what is staged inside, for :func:`drop_tables`."""
+    """Note in ``tables`` what is staged inside, for :func:`drop_tables`; what is left of it counts for the record outside too."""
     global _staged
     outer, _staged = _staged, tables
     try:
         yield
     finally:
         _staged = outer
+        if outer is not None and outer is not tables:
+            outer.extend(tables)
 
 
-def drop_tables(tables: list[str], needed: DataFrame) -> None:
-    """Delete staged tables but those that ``needed`` reads, and take them off the list."""
-    spark = needed.sparkSession
-    files = needed.inputFiles()
+def forget(*needed: DataFrame) -> None:
+    """Delete what the innermost record has noted, but for the tables that ``needed`` read."""
+    if _staged is not None:
+        drop_tables(_staged, *needed)
+
+
+def drop_tables(tables: list[str], *needed: DataFrame) -> None:
+    """Delete staged tables but those that ``needed`` read, and take them off the list."""
+    spark = needed[0].sparkSession
+    files = [f for df in needed for f in df.inputFiles()]
     for path in list(tables):
         if any(path.rsplit("/", 1)[1] in f for f in files):
             continue

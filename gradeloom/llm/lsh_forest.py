@@ -10,9 +10,11 @@ the neighbours are those with the longest common prefix.
 A crowded region holds more classes than a window shows. There the rest is found by
 walking: a class's near neighbours name the best linked class among their own partners, the
 hub of the region, and the class is checked against it, until the walk meets no new pair.
-Where classes resemble each other without links there is no hub; so crowded regions are
-finished by a join on each class's rarest shingles, which leaves out no pair at the
-threshold, between components only.
+Where classes resemble each other without links there is no hub; so crowded regions with
+several components go through further orders, which run deeper and are over longer
+signatures. How deep a region is crowded is measured in each order, and a class leaves when
+the orders it has been in would have shown a partner at the threshold but for one case in
+1 / ``MISS``. Neither candidates nor partners are capped.
 Every candidate is first estimated by its sketch and then, if it can be a link at all,
 counted exactly on the full sets. Links are compared as whole numbers.
 
@@ -28,7 +30,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gradeloom.llm.common import stage, text_or_empty, whole_row
+from gradeloom.llm.common import forget, recorded, stage, text_or_empty, whole_row
 
 SHINGLE = 5
 VALUES, TREES, DEPTH, LEAST = 192, 24, 20, 4
@@ -36,8 +38,11 @@ VALUES, TREES, DEPTH, LEAST = 192, 24, 20, 4
 NEAR = 6
 #: Standard deviations of the estimate below the threshold at which a pair is given up.
 SIGMAS = 4.5
-#: Shingles of crowded regions are ordered by how full their cell of the hash is; the order decides on the work only.
-RARITY_BITS = 18
+#: Minima and depth of the further orders in crowded regions, rows seen on each side, and values that a pair has to share.
+LONG, DEEP, WIDE, SHARED, HEAD = 3072, 40, 32, 2, 3
+#: How probably a class of a crowded region may miss a partner at the threshold, and standard deviations of the long estimate.
+MISS, LONG_SIGMAS = 1e-4, 3.5
+FIRST_ORDERS, MOST_ORDERS = 16, 64
 SEED = 20
 
 
@@ -267,7 +272,8 @@ def candidates(classes: DataFrame, threshold: float, active: DataFrame | None =
     found = stage(_neighbour_pairs(rows.repartitionByRange(parts, "place", "node").sortWithinPartitions("place", "node"), threshold), "forest-pairs")
     # neighbours on both sides of a cut between partitions: a few rows for each partition
     edges = found.filter("kind = 'edge'").select("place", F.col("a").alias("node"), "sketch").distinct()
-    across = _neighbour_pairs(edges.repartition(1).sortWithinPartitions("place", "node"), threshold)
+    # a pair stands in one order, so each order's edges are a task of their own
+    across = _neighbour_pairs(edges.repartition(TREES, F.substring("place", 1, 1)).sortWithinPartitions("place", "node"), threshold)
     return found.filter("kind = 'pair'").select("a", "b").union(across.filter("kind = 'pair'").select("a", "b")).filter("a < b").distinct()
 
 
@@ -362,8 +368,8 @@ def _joined(labels: DataFrame, new: DataFrame) -> DataFrame:
     return stage(known.join(names, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def _settle(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Labels of all linked classes: count the pairs, join components, walk on, until the walk meets no new pair.
+def _settle(pairs: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Labels of all linked classes, and all pairs counted for them: count the pairs, join components, walk on, until the walk meets no new pair.
 
     Components only grow, so a pair within one is never looked at again. A pair that was
     counted leads on to the hub of its own other end; all pairs are walked anew only after
@@ -377,7 +383,7 @@ def _settle(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         every = reduce(DataFrame.union, counted)
         more = stage(_count(_walk(fresh, every, every.filter(linked)), sets), "counted")
         if more.limit(1).count() == 0:
-            return labels
+            return labels, every.select("a", "b")
         counted.append(more)
         near = near.select("a", "b").union(more.select("a", "b"))
         new = more.filter(linked)
@@ -388,85 +394,182 @@ def _settle(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         near = fresh = stage(_apart(near, labels), "near")
 
 
-def _rarities(crowd: DataFrame):
-    """How many shingles of a crowd fall into each of 2 ** RARITY_BITS cells of the hash, as an array."""
-    import numpy as np
+def _long_signatures(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``sig`` (8 bits of each of ``LONG`` minima) in place of ``hashes``."""
+    kept = [c for c in rows.columns if c != "hashes"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        total = np.zeros(1 << RARITY_BITS, np.int64)
+        draw = np.random.default_rng(SEED + 1)
+        scale, shift = (draw.integers(0, 1 << 32, LONG, dtype=np.uint64).astype(np.uint32) | np.uint32(1) for _ in range(2))
         for batch in batches:
+            sigs = []
             for x in batch.column(0).to_pylist():
-                total += np.bincount((np.frombuffer(x, np.uint64) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
-
-    found = crowd.select("hashes").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << RARITY_BITS, np.int64)
-    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return counts
+                x = (np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)
+                low = np.full(LONG, 0xFFFFFFFF, np.uint32)
+                for at in range(0, len(x), 64):
+                    np.minimum(low, (x[at : at + 64, None] * scale + shift).min(axis=0), out=low)
+                sigs.append(((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sigs, pa.binary())], names=[*kept, "sig"])
 
+    kinds = dict(rows.dtypes)
+    return rows.select("hashes", *kept).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", sig binary")
 
-def _rare_prefixes(crowd: DataFrame, threshold: int) -> DataFrame:
-    """The rarest shingles of every class, enough of them that classes at the threshold share one.
 
-    Sets x and y with ``|y| <= |x|`` and at least the threshold t share ``t * |x|`` shingles and
-    ``2 * t / (1 + t) * |y|``. In any order common to all sets, their first common shingle is
-    therefore among so many of x that fewer than ``t * |x|`` follow (all rows), and among so
-    many of y that fewer than ``2 * t / (1 + t) * |y|`` follow (``short``).
-    """
-    counts = _rarities(crowd)
+def _deep_orders(crowd: DataFrame, first: int, n: int) -> DataFrame:
+    """A row for each class and each of ``n`` further orders: ``place`` (order, then values), node, label, live and a 2-bit sketch."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        orders = [np.random.default_rng([SEED, k]).permutation(LONG)[:DEEP] for k in range(first, first + n)]
         for batch in batches:
-            for node, label, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x = np.frombuffer(x, np.uint64)
-                n = len(x)
-                x = x[np.lexsort((x, counts[(x >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))][: n + threshold * n // -100 + 1]
-                at = np.arange(len(x))
-                short = at <= n + 2 * threshold * n // -(100 + threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64)), pa.array([node] * len(x), pa.binary()), pa.array([label] * len(x), pa.binary()), pa.array([n] * len(x), pa.int64()), pa.array(n - at), pa.array(short)],
-                    names=["shingle", "node", "label", "n", "left", "short"],
-                )
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, LONG)
+            low = (sig & 3).reshape(len(sig), -1, 4)
+            packed = low[:, :, 0] | (low[:, :, 1] << 2) | (low[:, :, 2] << 4) | (low[:, :, 3] << 6)
+            sketches = pa.array([r.tobytes() for r in packed], pa.binary())
+            for k, order in enumerate(orders):
+                head = (first + k).to_bytes(HEAD, "big")
+                places = pa.array([head + r.tobytes() for r in np.ascontiguousarray(sig[:, order])], pa.binary())
+                yield pa.RecordBatch.from_arrays([places, *batch.columns[:3], sketches], names=["place", "node", "label", "live", "sketch"])
 
-    return crowd.select("node", "label", "hashes").mapInArrow(run, "shingle long, node binary, label binary, n long, left long, short boolean")
+    return crowd.select("node", "label", "live", "sig").mapInArrow(run, "place binary, node binary, label binary, live boolean, sketch binary")
 
 
-def _crowd_pairs(crowd: DataFrame, threshold: int) -> DataFrame:
-    """All pairs (a < b) of a crowd's classes (node, label, hashes) with different labels that can reach the threshold.
+def _least_long_estimate(threshold: float) -> float:
+    p = 1 / 4 + 3 / 4 * threshold
+    return threshold - LONG_SIGMAS * math.sqrt(p * (1 - p) / LONG) * 4 / 3
 
-    One of both is not of the label that most classes with the shingle have, so a large
-    component is only compared with what is outside of it.
+
+def _deep_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
+    """Neighbours in sorted partitions that can be linked (kind pair), and how far each live class has been searched (kind seen).
+
+    A class sees ``WIDE`` rows on each side. With k values in common with the furthest of them,
+    every class that shares more than k values stands within. A partner at the threshold t does
+    so with a probability of t ** (k + 1); ``miss`` is the logarithm of the other case. A cut
+    between partitions ends the view, which counts as any other end does.
     """
-    rows = stage(_rare_prefixes(crowd, threshold), "crowd-prefixes")
-    found = rows.groupBy("shingle", "label").agg(F.count("*").alias("found"))
-    tops = stage(found.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("found", "label")).alias("top")).filter("labels > 1").select("shingle", "top"), "crowd-shingles")
-    shared = stage(rows.join(tops, "shingle"), "crowd-shared")
-    one = shared.filter("label <> top").alias("x")
-    other = shared.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    shorter = F.when(F.struct("x.n", "x.node") < F.struct("y.n", "y.node"), F.col("x.short")).otherwise(F.col("y.short"))
-    reach = (small * 100 >= large * threshold) & (F.least("x.left", "y.left") * (100 + threshold) >= (small + large) * threshold)
-    pairs = one.join(other, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") != F.col("y.label")) & shorter & reach)
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
-def _finish(labels: DataFrame, crowded: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Labels after all links between the components of crowded classes, found without regard to windows."""
-    crowd = stage(sets.join(crowded, "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowd")
-    counted = stage(_count(_crowd_pairs(crowd, threshold), sets), "counted")
-    new = counted.filter(F.col("both") * 100 >= F.lit(threshold) * F.col("either"))
-    return _joined(labels, new) if new.limit(1).count() else labels
+    least = _least_long_estimate(threshold)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def common(places, i, j):
+            """Values that rows i and j have in common from the start; none in different orders."""
+            differ = places[i] != places[j]
+            n = np.where(differ.any(1), differ.argmax(1), places.shape[1])
+            return np.maximum(n - HEAD, 0)
+
+        def out(kind, a, b, miss):
+            n = len(a)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([kind] * n, pa.string()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(miss, pa.float64())], names=["kind", "a", "b", "miss"]
+            )
+
+        def seen(rows, places, begin, end, last):
+            """The view of rows begin to end (exclusive) in the buffer, whose last row is ``last``."""
+            i = np.arange(begin, end)
+            i = i[[rows[3][k] for k in i.tolist()]] if len(i) else i
+            if len(i):
+                depth = np.maximum(common(places, i, np.maximum(i - WIDE, 0)), common(places, i, np.minimum(i + WIDE, last))) + 1
+                miss = np.log1p(-np.power(threshold, np.maximum(depth, SHARED)))
+                yield out("seen", [rows[1][k] for k in i.tolist()], [None] * len(i), miss)
+
+        held: tuple = ([], [], [], [], [])
+        reported = 0  # rows of the buffer whose view is known
+        for batch in batches:
+            rows = tuple(h + c.to_pylist() for h, c in zip(held, batch.columns))
+            old, n = len(held[0]), len(rows[0])
+            places = np.frombuffer(b"".join(rows[0]), np.uint8).reshape(n, -1)
+            sketches = np.frombuffer(b"".join(rows[4]), np.uint64).reshape(n, -1)
+            names: dict[bytes, int] = {}
+            labels = np.array([names.setdefault(x, len(names)) for x in rows[2]])
+            live = np.array(rows[3])
+            found = {}
+            for gap in range(1, min(WIDE, n - 1) + 1):
+                i = np.arange(max(0, old - gap), n - gap)
+                i = i[(labels[i] != labels[i + gap]) & (live[i] | live[i + gap])]
+                i = i[(places[i, : HEAD + SHARED] == places[i + gap, : HEAD + SHARED]).all(1)]
+                for at in range(0, len(i), 1024):
+                    j = i[at : at + 1024]
+                    x = sketches[j] ^ sketches[j + gap]
+                    other = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
+                    estimate = ((1 - other / LONG) - 1 / 4) * 4 / 3
+                    for k in j[estimate >= least].tolist():
+                        one, two = rows[1][k], rows[1][k + gap]
+                        found[min(one, two), max(one, two)] = None
+            if found:
+                yield out("pair", [a for a, _ in found], [b for _, b in found], [None] * len(found))
+            yield from seen(rows, places, reported, max(reported, n - WIDE), n - 1)
+            keep = max(0, n - 2 * WIDE)
+            reported = max(reported, n - WIDE) - keep
+            held = tuple(x[keep:] for x in rows)
+        if held[0]:
+            n = len(held[0])
+            yield from seen(held, np.frombuffer(b"".join(held[0]), np.uint8).reshape(n, -1), reported, n, n - 1)
+
+    return ordered.mapInArrow(run, "kind string, a binary, b binary, miss double")
+
+
+def _crowd(classes: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Classes (node, label, live) that share a busy prefix with classes of other components.
+
+    Of two components in a region the smaller one has to find the larger one, so a class is
+    not ``live`` where its component is the largest under each of its busy prefixes.
+    """
+    named = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    ranked = stage(named.join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "crowd-labels")
+    keys = stage(_prefixes(classes.join(crowded, "node", "left_semi")).join(ranked, "node"), "crowd-keys")
+    regions = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.max(F.struct("size", "label"))["label"].alias("top"))
+    mixed = stage(regions.filter((F.col("n") > NEAR + 1) & (F.col("least") < F.col("most"))).select("key", "top"), "crowd-regions")
+    return keys.join(mixed, "key").groupBy("node", "label").agg(F.max(F.col("label") != F.col("top")).alias("live"))
+
+
+def _finish(labels: DataFrame, classes: DataFrame, crowded: DataFrame, sets: DataFrame, known: DataFrame, threshold: int, keep: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Labels after all links between components of crowded regions: further orders, as deep as each region needs.
+
+    A class takes part until the orders so far would have shown a partner at the threshold
+    with a probability of ``1 - MISS``, by the depths that its own region has had in them. A
+    pair is found if either of its classes is searched that far, so those that are done leave
+    and the rest of the region becomes thinner. Staged tables but those of ``keep`` go.
+    """
+    share = threshold / 100
+    spark = classes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    crowd = stage(_long_signatures(_crowd(classes, crowded, labels).join(sets, "node")), "crowd")
+    done = stage(crowd.select("node", F.lit(0.0).alias("miss")), "crowd-searched")
+    first, n = 0, FIRST_ORDERS
+    while crowd.filter("live").limit(1).count():
+        rows = _deep_orders(crowd, first, n)
+        found = stage(_deep_pairs(rows.repartitionByRange(parts, "place", "node").sortWithinPartitions("place", "node"), share), "crowd-found")
+        pairs = found.filter("kind = 'pair'").select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
+        counted = stage(_count(pairs, sets), "counted")
+        known = known.union(counted.select("a", "b"))
+        new = counted.filter(F.col("both") * 100 >= F.lit(threshold) * F.col("either"))
+        if new.limit(1).count():
+            labels = _joined(labels, new)
+        more = found.filter("kind = 'seen'").select(F.col("a").alias("node"), "miss")
+        done = stage(done.union(more).groupBy("node").agg(F.sum("miss").alias("miss")), "crowd-searched")
+        searched = done.filter(F.col("miss") <= math.log(MISS)).select("node")
+        left = crowd.join(searched, "node", "left_anti").drop("label").join(labels, "node", "left")
+        crowd = stage(left.select("node", F.coalesce("label", "node").alias("label"), "live", "sig"), "crowd")
+        first, n = first + n, min(2 * n, MOST_ORDERS)
+        forget(crowd, done, labels, known, sets, *keep)
+    return labels
 
 
 def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, shingle: int) -> DataFrame:
     """``id``, ``mark``, ``n_shingles``, ``component_id`` and ``first`` (whether this id and text stand for the component)."""
+    with recorded([]):
+        return _judged_rows(docs, id_column, text_column, threshold, shingle)
+
+
+def _judged_rows(docs: DataFrame, id_column: str, text_column: str, threshold: int, shingle: int) -> DataFrame:
     share = threshold / 100
     rows = stage(signatures(docs, id_column, text_column, shingle), "signatures")
     one = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark"))
@@ -474,15 +577,19 @@ def _judged(docs: DataFrame, id_column: str, text_column: str, threshold: int, s
     classes = stage(whole.groupBy("node").agg(one.alias("one"), F.count("*").alias("n_rows"), F.first("sig").alias("sig")), "classes")
     active = active_classes(classes)
     pairs = stage(candidates(classes, share, active), "candidates")
+    forget(rows, classes, active, pairs)
     crowded = active.filter("crowded").select("node")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded).distinct().join(classes.select("node", "one.id", "one.mark"), "node")
     sets = stage(_fetch_sets(docs, wanted, id_column, text_column, shingle), "sets")
-    labels = _finish(_settle(pairs, sets, threshold), crowded, sets, threshold)
+    labels, known = _settle(pairs, sets, threshold)
+    forget(rows, classes, active, sets, labels, known)
+    labels = _finish(labels, classes, crowded, sets, known, threshold, (rows, classes))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("one").alias("one"), F.sum("n_rows").alias("n_rows"))
     # written, so that Spark can split the join for a class with very many rows
     of_node = stage(named.select("node", "label").join(least, "label").select("node", "one", "n_rows"), "class-components")
     joined = rows.select("id", "mark", "n_shingles", "node").join(of_node, "node", "left")
+    forget(joined)
     alone = F.col("node").isNull() | (F.col("n_rows") == 1)
     return joined.select(
         "id",
