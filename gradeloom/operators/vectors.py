@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from gradeloom.fixed_values import SPECIAL_TOKENS, WINDOW_OVERLAP, WINDOW_TOKENS
-from gradeloom.operators.curate import sample_rows
 from gradeloom.operators.ordered import null_safe, with_rank
 from gradeloom.session import stage
 
@@ -227,30 +226,62 @@ def vector_groups(df: DataFrame, key: str, vector: str, score: str) -> DataFrame
     )
 
 
-def _cells(pivots: np.ndarray, reach: float):
-    """Arrow function: the nearest pivot, and every pivot whose cell lies within ``reach``."""
-    apart = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(-1), 0.0))
-    result = pa.struct([("home", pa.int32()), ("cells", pa.list_(pa.int32()))])
+#: Leading components in which cells are told apart and bounded.
+HEAD = 16
+_PAIRS = "a BIGINT, b BIGINT, cosine DOUBLE, gap DOUBLE"
+
+
+def _rotated(groups: DataFrame, dims: int) -> DataFrame:
+    """Add ``head``, the vector in its leading components, and ``rest``, the length of what is left."""
+    model = PCA(k=dims, inputCol="_vector", outputCol="_head").fit(_as_vector(groups, "_unit"))
+    turn = model.pc.toArray()
+    result = pa.struct([("head", pa.list_(pa.float64())), ("rest", pa.float64())])
 
-    @arrow_udf("STRUCT<home: INT, cells: ARRAY<INT>>")
-    def cells(units: pa.Array) -> pa.Array:
+    @arrow_udf("STRUCT<head: ARRAY<DOUBLE>, rest: DOUBLE>")
+    def rotate(units: pa.Array) -> pa.Array:
         if not len(units):
             return pa.array([], type=result)
         x = _matrix(units)
-        squares = (x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)[None]
-        home = squares.argmin(1)
-        # distance to the plane between two pivots bounds the distance to the other's cell
-        beyond = squares - squares[np.arange(len(x)), home][:, None]
-        near = beyond <= 2 * reach * apart[home] + 1e-9
-        ends = np.concatenate([[0], np.cumsum(near.sum(1))]).astype(np.int32)
-        found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(near)[1].astype(np.int32)))
-        return pa.StructArray.from_arrays([pa.array(home.astype(np.int32)), found], fields=list(result))
+        head = x @ turn
+        rest = np.sqrt(np.maximum((x**2).sum(1) - (head**2).sum(1), 0.0))
+        ends = pa.array(np.arange(0, head.size + 1, dims, dtype=np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(head.ravel())), pa.array(rest)], fields=list(result))
 
-    return cells
+    return groups.withColumn("_turned", rotate("_unit")).select(*groups.columns, "_turned.*")
 
 
-MOST_PIVOTS = 1024  # a few megabytes, sent to every task
-_PAIRS = "a BIGINT, b BIGINT, cosine DOUBLE, gap DOUBLE"
+def _with_cell(placed: DataFrame, levels: int) -> DataFrame:
+    """Add ``cell``: one bit for each of the first components, whether it is above its median."""
+    if not levels:
+        return placed.withColumn("cell", F.lit(0).cast("bigint"))
+    medians = placed.agg(*[F.percentile_approx(F.col("head")[k], 0.5).alias(str(k)) for k in range(levels)]).first()
+    bits = [F.when(F.col("head")[k] > medians[k], 1 << (levels - 1 - k)).otherwise(0) for k in range(levels)]
+    return placed.withColumn("cell", sum(bits, F.lit(0)).cast("bigint"))
+
+
+def _reachable_cells(placed: DataFrame, levels: int, dims: int, min_cosine: float) -> DataFrame:
+    """Pairs of cells (a <= b, with their rows) whose vectors can reach the cosine, found from the top of a tree of cells down.
+
+    A cell is bounded by a box of its heads and its longest rest. Two boxes cannot hold vectors
+    with a larger product than the sum of the largest products of their sides plus that of the
+    rests. A pair of cells is looked at only if the pair of cells around them can reach it.
+    """
+    lo = lambda c: [F.min(F.col(c)[k]) for k in range(dims)]
+    hi = lambda c: [F.max(F.col(c)[k]) for k in range(dims)]
+    cells = [placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("rest"), F.array(*lo("head")).alias("lo"), F.array(*hi("head")).alias("hi"))]
+    cells[0] = stage(cells[0], "cells")
+    for _ in range(levels):
+        above = cells[0].withColumn("cell", F.shiftright("cell", 1)).groupBy("cell")
+        cells.insert(0, stage(above.agg(F.sum("n").alias("n"), F.max("rest").alias("rest"), F.array(*lo("lo")).alias("lo"), F.array(*hi("hi")).alias("hi")), "cells"))
+    pairs = cells[0].select(F.col("cell").alias("a"), F.col("cell").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    for level in cells[1:]:
+        one, other = (level.select(F.col("cell").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "rest", "lo", "hi")]) for x in "ab")
+        halves = lambda x: F.explode(F.array(F.col(x) * 2, F.col(x) * 2 + 1)).alias(x)
+        split = pairs.select(halves("a"), "b").select("a", halves("b"))
+        corners = [F.greatest(*[F.col(f"{x}_a")[k] * F.col(f"{y}_b")[k] for x in ("lo", "hi") for y in ("lo", "hi")]) for k in range(dims)]
+        bound = sum(corners, F.col("rest_a") * F.col("rest_b"))
+        pairs = stage(split.filter("a <= b").join(one, "a").join(other, "b").filter(bound >= min_cosine - 1e-9).select("a", "b", "n_a", "n_b"), "cell-pairs")
+    return pairs
 
 
 def _compare_block(min_cosine: float, min_gap: float):
@@ -263,12 +294,22 @@ def _compare_block(min_cosine: float, min_gap: float):
             np.abs(left["hi"].to_numpy()[:, None] - right["lo"].to_numpy()[None]),
             np.abs(right["hi"].to_numpy()[None] - left["lo"].to_numpy()[:, None]),
         )
-        i, j = np.nonzero((cosine >= min_cosine) & (gap >= min_gap) & (a[:, None] < b[None]))
-        return pd.DataFrame({"a": a[i], "b": b[j], "cosine": cosine[i, j], "gap": gap[i, j]})
+        near = (cosine >= min_cosine) & (gap >= min_gap)
+        if left["a"].iloc[0] == left["b"].iloc[0]:  # a cell with itself shows each pair twice
+            near &= a[:, None] < b[None]
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j]), "cosine": cosine[i, j], "gap": gap[i, j]})
 
     return compare
 
 
+def _own_pairs(groups: DataFrame, min_gap: float) -> DataFrame:
+    """A vector whose copies differ in score is paired with itself."""
+    return groups.filter(F.col("hi") - F.col("lo") >= min_gap).select(
+        F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"), (F.col("hi") - F.col("lo")).alias("gap")
+    )
+
+
 def close_pairs(
     df: DataFrame,
     key: str,
@@ -276,56 +317,127 @@ def close_pairs(
     score: str,
     min_cosine: float,
     min_gap: float,
-    pivots: int | None = None,
+    cells: int | None = None,
     block_rows: int = 2000,
 ) -> DataFrame:
     """(a, b, cosine, gap): distinct vectors that are alike while their scores differ.
 
     Exact. Copies of a vector count as one (see ``vector_groups``), so a vector
     repeated many times costs one row; where its own copies differ in score it is
-    paired with itself. The space is cut into the cells of a few pivots; a vector
-    is compared in its own cell with all vectors of that cell and with those near
-    enough to its border. Cells of many vectors are cut into blocks of bounded
-    size on both sides, each compared by one task.
+    paired with itself. Vectors are turned into their principal components and cut
+    into cells of about ``block_rows`` at the medians of the leading ones; only
+    pairs of cells whose bounds reach the cosine are compared, in blocks of
+    bounded size on both sides. How much that saves depends on how much of the
+    vectors lies in their leading components: without any structure and at a low
+    cosine every pair of cells can reach it, and the work grows with the square.
+    ``similar_pairs`` does not, and misses a stated share.
     """
     groups = unit_vectors(vector_groups(df, key, vector, score), vector)
     groups = stage(groups.select("id", "lo", "hi", "_unit"), "vector-groups")
-    reach = math.sqrt(max(2 - 2 * min_cosine, 0.0))
-    if pivots is None:
-        pivots = min(MOST_PIVOTS, max(16, math.isqrt(groups.count())))
-    centres = np.array([r["_unit"] for r in sample_rows(groups, pivots, "id").collect()])
-    if not len(centres):
-        return df.sparkSession.createDataFrame([], _PAIRS)
-    placed = stage(groups.withColumn("c", _cells(centres, reach)("_unit")), "cells")
-
-    # at most one row per pivot
-    homes = placed.groupBy(F.col("c.home").alias("cell")).agg(F.count(F.lit(1)).alias("n_home"))
-    guests = placed.select(F.explode("c.cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_all"))
-    splits = homes.join(guests, "cell").select(
-        "cell",
-        F.ceil(F.col("n_home") / block_rows).cast("int").alias("rows"),
-        F.ceil(F.col("n_all") / block_rows).cast("int").alias("cols"),
-    )
-    splits = F.broadcast(splits)
+    shape = groups.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_unit")).alias("dim")).first()
+    if shape["n"] < 2:
+        return _own_pairs(groups, min_gap).select(*[F.col(c).cast(t) for c, t in (("a", "bigint"), ("b", "bigint"), ("cosine", "double"), ("gap", "double"))])
+    dims = min(HEAD, shape["dim"])
+    levels = min(dims, max(0, math.ceil(math.log2((cells or shape["n"] / block_rows)))))
+    placed = stage(_with_cell(stage(_rotated(groups, dims), "rotated"), levels), "placed")
+    pairs = _reachable_cells(placed, levels, dims, min_cosine)
     piece = F.xxhash64("id")
 
-    def blocks(side: DataFrame, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
-        return side.join(splits, "cell").select(
-            "cell",
-            F.pmod(piece, F.col(own)).alias(own_name),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col(other) - 1).cast("bigint"))).alias(other_name),
+    def blocks(own: str, other: str, own_name: str, other_name: str) -> DataFrame:
+        n_own, n_other = (F.ceil(F.col(f"n_{x}") / block_rows) for x in (own, other))
+        return placed.join(pairs.withColumn("cell", F.col(own)), "cell").select(
+            F.pmod(piece, n_own).alias(own_name),
+            F.explode(F.sequence(F.lit(0).cast("bigint"), n_other - 1)).alias(other_name),
             # new columns on each side: both come from one table
-            *[F.col(c).alias(n) for c, n in (("id", "id"), ("lo", "lo"), ("hi", "hi"), ("_unit", "unit"))],
+            *[F.col(c).alias(n) for c, n in (("a", "a"), ("b", "b"), ("id", "id"), ("lo", "lo"), ("hi", "hi"), ("_unit", "unit"))],
         )
 
-    left = blocks(placed.withColumn("cell", F.col("c.home")), "rows", "cols", "i", "j")
-    right = blocks(placed.withColumn("cell", F.explode("c.cells")), "cols", "rows", "j", "i")
-    across = (
-        left.groupBy("cell", "i", "j")
-        .cogroup(right.groupBy("cell", "i", "j"))
-        .applyInPandas(_compare_block(min_cosine, min_gap), _PAIRS)
-    )
-    within = groups.filter(F.col("hi") - F.col("lo") >= min_gap).select(
-        F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"), (F.col("hi") - F.col("lo")).alias("gap")
-    )
-    return across.unionByName(within)
+    block = ["a", "b", "i", "j"]
+    across = blocks("a", "b", "i", "j").groupBy(*block).cogroup(blocks("b", "a", "j", "i").groupBy(*block)).applyInPandas(_compare_block(min_cosine, min_gap), _PAIRS)
+    return across.unionByName(_own_pairs(groups, min_gap))
+
+
+# --- similar vectors by random projections ----------------------------------------------
+
+#: Random vectors that share a bucket, on average; bits of the sketch that a pair is estimated by, and how far below (standard deviations) it is given up.
+BUCKET_ROWS, SKETCH_BITS, SKETCH_SIGMAS = 16, 512, 4.0
+
+
+def bands_for(n: int, min_cosine: float, recall: float) -> tuple[int, int]:
+    """Bits of a band and number of bands for ``n`` vectors.
+
+    Two vectors at an angle a agree in the sign of a random projection with a probability of
+    1 - a / pi. A band has enough bits to keep buckets of strangers small at any ``n``; there
+    are enough bands for a pair at ``min_cosine`` to share one with a probability of ``recall``.
+    """
+    bits = min(62, max(1, math.ceil(math.log2(max(n, 2) / BUCKET_ROWS))))
+    agree = 1 - math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
+    share = agree**bits
+    return bits, 1 if share >= recall else math.ceil(math.log1p(-recall) / math.log1p(-share))
+
+
+def _buckets(groups: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
+    """``groups`` with ``bucket``, a number for each band, and ``sketch``, further signs packed into integers."""
+    words = SKETCH_BITS // 64
+
+    @arrow_udf("STRUCT<bucket: ARRAY<BIGINT>, sketch: ARRAY<BIGINT>>")
+    def project(units: pa.Array) -> pa.Array:
+        result = pa.struct([("bucket", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+        if not len(units):
+            return pa.array([], type=result)
+        x = _matrix(units)
+        draw = np.random.default_rng(seed)
+
+        def signs(n):
+            return (x @ draw.normal(size=(x.shape[1], n))) >= 0
+
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        buckets = np.stack([signs(bits) @ weights for _ in range(bands)], 1)
+        sketch = np.packbits(signs(SKETCH_BITS), axis=1).view(np.int64)
+
+        def lists(values):
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
+
+        return pa.StructArray.from_arrays([lists(buckets), lists(np.ascontiguousarray(sketch))], fields=list(result))
+
+    made = groups.withColumn("_made", project("_unit"))
+    return made.select("id", "lo", "hi", F.col("_made.bucket").alias("bucket"), *[F.col("_made.sketch")[k].alias(f"s{k}") for k in range(words)])
+
+
+def candidate_pairs(groups: DataFrame, min_cosine: float, min_gap: float, recall: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) of groups in one bucket of some band whose scores differ, once for each band: all, and those whose sketch can reach the cosine."""
+    bits, bands = bands_for(groups.count(), min_cosine, recall)
+    rows = _buckets(groups, bits, bands, seed)
+    sketch = [c for c in rows.columns if c[0] == "s"]
+    banded = stage(rows.select("id", "lo", "hi", *sketch, F.posexplode("bucket").alias("band", "bucket")), "bands")
+    one, other = (banded.select("band", "bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "lo", "hi", *sketch)]) for x in ("one", "other"))
+    gap = F.greatest(F.abs(F.col("one_hi") - F.col("other_lo")), F.abs(F.col("other_hi") - F.col("one_lo")))
+    met = one.join(other, ["band", "bucket"]).filter((F.col("one_id") < F.col("other_id")) & (gap >= min_gap))
+    apart = sum((F.bit_count(F.col(f"one_{s}").bitwiseXOR(F.col(f"other_{s}"))) for s in sketch), F.lit(0))
+    differ = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
+    most = SKETCH_BITS * (differ + SKETCH_SIGMAS * math.sqrt(differ * (1 - differ) / SKETCH_BITS))
+    named = [F.col("one_id").alias("a"), F.col("other_id").alias("b")]
+    return met.select(*named), met.filter(apart <= most).select(*named)
+
+
+def similar_pairs(
+    df: DataFrame, key: str, vector: str, score: str, min_cosine: float, min_gap: float, recall: float = 0.95, seed: int = 0
+) -> DataFrame:
+    """(a, b, cosine, gap) as of ``close_pairs``, by the signs of random projections.
+
+    Every row is right: cosines and gaps are those of the vectors. A pair at exactly
+    ``min_cosine`` is found with a probability of ``recall``, one above it more surely. Bands
+    get longer with the number of vectors, so a vector meets about as many strangers in a
+    table of any size; their number grows with a small power of it (0.22 at a cosine of 0.9).
+    The buckets are joined as any other key, so Spark splits those that are hot.
+    """
+    groups = unit_vectors(vector_groups(df, key, vector, score), vector)
+    groups = stage(groups.select("id", "lo", "hi", "_unit"), "vector-groups")
+    _, met = candidate_pairs(groups, min_cosine, min_gap, recall, seed)
+    pairs = stage(met.distinct(), "similar-candidates")
+    one, other = (groups.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "lo", "hi", "_unit")]) for x in ("one", "other"))
+    both = pairs.join(one, F.col("a") == F.col("one_id")).join(other, F.col("b") == F.col("other_id"))
+    product = F.aggregate(F.zip_with("one__unit", "other__unit", lambda x, y: x * y), F.lit(0.0), lambda at, x: at + x)
+    gap = F.greatest(F.abs(F.col("one_hi") - F.col("other_lo")), F.abs(F.col("other_hi") - F.col("one_lo")))
+    found = both.select("a", "b", product.alias("cosine"), gap.alias("gap")).filter(F.col("cosine") >= min_cosine)
+    return found.unionByName(_own_pairs(groups, min_gap))

@@ -69,6 +69,14 @@ def close_pairs(spark, folder):
     return pairs.withColumns({"cosine": F.round("cosine", 5), "gap": F.round("gap", 6)})
 
 
+def similar_pairs(spark, folder):
+    """Every vector and its coarse copy (whole eighths, labels one up), joined by random projections."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("double").alias("label"))
+    coarse = rows.select((-1 - F.col("vec_id")).alias("vec_id"), F.transform("embedding", lambda x: F.floor(x * 8 + 0.5).cast("double")).alias("embedding"), (F.col("label") + 1).alias("label"))
+    pairs = vectors.similar_pairs(rows.unionByName(coarse), "vec_id", "embedding", "label", 0.9, 1, recall=0.99999)
+    return pairs.withColumns({"cosine": F.round("cosine", 5), "gap": F.round("gap", 6)})
+
+
 QUERIES = {
     "g12_token_windows": windows,
     "g13_mean_pool": mean_pool,
@@ -79,6 +87,7 @@ QUERIES = {
     "g17_silhouette_profile": silhouette_profile,
     "g18_projection": projection,
     "e9_close_pairs": close_pairs,
+    "e9_similar_pairs": similar_pairs,
 }
 
 _WINDOWS = """
@@ -117,4 +126,10 @@ ORACLES = {
         SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.u, b.u), 5) AS cosine, round(CAST(abs(a.label - b.label) AS DOUBLE), 6) AS gap
         FROM {_UNIT} a JOIN {_UNIT} b ON a.vec_id < b.vec_id
         WHERE list_dot_product(a.u, b.u) >= 0.35 AND abs(a.label - b.label) >= 1""",
+    "e9_similar_pairs": """
+        WITH given AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+        every AS (SELECT vec_id, CAST(label AS DOUBLE) AS label, e FROM given UNION ALL SELECT -1 - vec_id, label + 1, [floor(x * 8 + 0.5) FOR x IN e] FROM given),
+        unit AS (SELECT vec_id, label, [x / n FOR x IN e] AS u FROM (SELECT *, sqrt(list_sum([x * x FOR x IN e])) AS n FROM every))
+        SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.u, b.u), 5) AS cosine, round(abs(a.label - b.label), 6) AS gap
+        FROM unit a JOIN unit b ON a.vec_id < b.vec_id WHERE list_dot_product(a.u, b.u) >= 0.9 AND abs(a.label - b.label) >= 1""",
 }

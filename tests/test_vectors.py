@@ -93,3 +93,56 @@ def test_histogram_of_one_value(spark):
     df = spark.range(10).select(F.lit(3.0).alias("x"))
     rows = histogram(df, "x", 4).collect()
     assert [r["n"] for r in sorted(rows, key=lambda r: r["bin"])] == [0, 0, 10, 0]
+
+
+@pytest.mark.parametrize("cosine_", [0.6, 0.9])
+def test_similar_pairs_reach_their_recall(spark, cosine_):
+    """Planted pairs at just the cosine, among strangers; what strangers meet does not grow with the table."""
+    rng = np.random.default_rng(8)
+    met = {}
+    for n in (600, 2400):
+        x = rng.normal(size=(n, 48))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.normal(size=(n, 48))
+        y -= (y * x).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        near = (cosine_ + 0.001) * x + np.sqrt(1 - (cosine_ + 0.001) ** 2) * y
+        rows = [(i, [float(v) for v in r], float(i >= n)) for i, r in enumerate(np.concatenate([x, near]))]
+        df = spark.createDataFrame(rows, "id BIGINT, v ARRAY<DOUBLE>, s DOUBLE").repartition(4)
+        found = {(r["a"], r["b"]): r for r in vectors.similar_pairs(df, "id", "v", "s", cosine_, 1, recall=0.95).collect()}
+        assert np.mean([(i, i + n) in found for i in range(n)]) >= 0.94  # 0.95 of them, give or take two standard deviations
+        u = np.concatenate([x, near])
+        assert all(abs(r["cosine"] - u[a] @ u[b]) < 1e-9 and r["cosine"] >= cosine_ and r["gap"] >= 1 for (a, b), r in found.items())
+        groups = vectors.unit_vectors(vectors.vector_groups(df, "id", "v", "s"), "v")
+        every, _ = vectors.candidate_pairs(groups, cosine_, 1, 0.95)
+        met[n] = every.count() / (2 * n) / vectors.bands_for(2 * n, cosine_, 0.95)[1]
+    assert met[2400] < 1.5 * met[600]
+
+
+def test_bands_follow_the_table_and_the_recall():
+    assert vectors.bands_for(1000, 1.0, 0.99)[1] == 1
+    for n in (10, 1000, 10**6, 10**9):
+        bits, bands = vectors.bands_for(n, 0.8, 0.97)
+        share = (1 - np.arccos(0.8) / np.pi) ** bits
+        assert n / 2**bits <= vectors.BUCKET_ROWS and 1 - (1 - share) ** bands >= 0.97
+
+
+def test_pairs_of_tiny_tables(spark):
+    schema = "id BIGINT, v ARRAY<DOUBLE>, s DOUBLE"
+    for find in (vectors.close_pairs, vectors.similar_pairs):
+        assert find(spark.createDataFrame([], schema), "id", "v", "s", 0.5, 1).count() == 0
+        one = spark.createDataFrame([(1, [1.0, 0.0], 0.0), (2, [1.0, 0.0], 3.0)], schema)
+        assert [tuple(r) for r in find(one, "id", "v", "s", 0.5, 1).collect()] == [(1, 1, 1.0, 3.0)]
+        three = spark.createDataFrame([(1, [1.0, 0.1], 0.0), (2, [1.0, 0.0], 3.0), (3, [0.0, 0.0], 9.0)], schema)
+        assert [(r["a"], r["b"], r["gap"]) for r in find(three, "id", "v", "s", 0.5, 1).collect()] == [(1, 2, 3.0)]
+
+
+def test_cells_that_cannot_reach_are_not_compared(spark):
+    """Clusters along the leading components: only cells of one cluster meet at a high cosine."""
+    rng = np.random.default_rng(9)
+    x = np.eye(8)[rng.integers(0, 4, 400)] + rng.normal(scale=0.02, size=(400, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0.0) for i, r in enumerate(x)], "id BIGINT, v ARRAY<DOUBLE>, s DOUBLE")
+    groups = vectors.unit_vectors(vectors.vector_groups(df, "id", "v", "s"), "v").select("id", "_unit")
+    placed = vectors._with_cell(vectors._rotated(groups, 8), 5)
+    cells = placed.select("cell").distinct().count()
+    assert vectors._reachable_cells(placed, 5, 8, 0.9).count() < 0.5 * cells * (cells + 1) / 2
