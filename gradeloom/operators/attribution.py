@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from gradeloom.operators.curate import sample_rows
+from gradeloom.operators.ordered import with_rank
 from gradeloom.schemas import LEAVES
 from gradeloom.session import scratch_path, stage
 
 MASKS_PER_BLOCK = 2_000_000
+CELLS = 2_000_000  # leaves x rows worked on at once
 PRODUCTS = 2_000_000  # row masks x background masks x path features worked on at once
 LONGEST_PATH = 62  # features of a path that fit into the bits of a mask
 DENSE_NUMBERS = 8_000_000  # numbers kept per task for effects already worked out
@@ -97,12 +99,41 @@ class _Masks(NamedTuple):
     shares: np.ndarray
 
 
-def _mask(leaf: _Leaf, x: np.ndarray) -> np.ndarray:
-    """Bit j is set where the row lies in the leaf's box on path feature j."""
-    mask = np.zeros(x.shape[1], dtype=np.int64)
-    for j, (feature, lo, hi) in enumerate(zip(leaf.features, leaf.lo, leaf.hi)):
-        mask |= ((x[feature] > lo) & (x[feature] <= hi)).astype(np.int64) << j
-    return mask
+class _Boxes:
+    """Leaves by feature, so that the masks of many rows and leaves take a few comparisons for each feature."""
+
+    def __init__(self, leaves: list[_Leaf]):
+        found: dict[int, list] = {}
+        for i, leaf in enumerate(leaves):
+            for j, (feature, lo, hi) in enumerate(zip(leaf.features, leaf.lo, leaf.hi)):
+                found.setdefault(int(feature), []).append((i, j, lo, hi))
+        self.size = len(leaves)
+        #: feature: leaves that test it, its place in their paths, bounds
+        self.tests = {f: tuple(np.array(c) for c in zip(*rows)) for f, rows in found.items()}
+
+    def masks(self, x: np.ndarray) -> np.ndarray:
+        """Leaf by row; bit j is set where the row lies in the leaf's box on path feature j. ``x`` is feature by row."""
+        masks = np.zeros((self.size, x.shape[1]), dtype=np.int64)
+        for feature, (i, j, lo, hi) in self.tests.items():
+            masks[i] |= ((x[feature] > lo[:, None]) & (x[feature] <= hi[:, None])).astype(np.int64) << j[:, None]
+        return masks
+
+
+def _dense_and_wide(leaves: list[_Leaf], numbers) -> tuple[list[int], list[int]]:
+    """Leaves whose masks index a table of bounded size (``numbers`` of a leaf's width), and the others."""
+    room, dense, wide = DENSE_NUMBERS, [], []
+    for i, leaf in enumerate(leaves):
+        need = numbers(len(leaf.features))
+        (dense if need <= room else wide).append(i)
+        room -= need if need <= room else 0
+    return dense, wide
+
+
+def _slices(positions: list[int], rows: int) -> Iterator[list[int]]:
+    """The leaves a bounded number at a time."""
+    step = max(1, CELLS // max(rows, 1))
+    for at in range(0, len(positions), step):
+        yield positions[at : at + step]
 
 
 def _weights(longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,125 +167,156 @@ def _leaf_effect(leaf: _Leaf, ours: np.ndarray, background: _Masks, gain: np.nda
     return effect
 
 
-class _LeafEffects:
-    """Effects of one leaf, kept per mask once they have been worked out.
+class _Effects:
+    """Effects of leaves, kept by mask once they have been worked out.
 
-    ``dense`` leaves index a table by mask; the others, with long paths, look at
-    the distinct masks of each batch.
+    Dense leaves index one flat table; the others, with long paths, look at the distinct
+    masks of each batch.
     """
 
-    def __init__(self, leaf: _Leaf, background: _Masks, weights, dense: bool):
-        self.leaf, self.background, self.weights = leaf, background, weights
-        width = len(leaf.features)
-        self.table = np.zeros((1 << width, width)) if dense else None
-        self.known = np.zeros(1 << width, dtype=bool) if dense else None
+    def __init__(self, leaves: list[_Leaf], backgrounds: list[_Masks]):
+        self.leaves, self.backgrounds = leaves, backgrounds
+        self.weights = _weights(max(len(leaf.features) for leaf in leaves))
+        self.dense, self.wide = _dense_and_wide(leaves, lambda width: width << width)
+        widths = np.array([len(leaf.features) for leaf in leaves], dtype=np.int64)
+        sizes = np.zeros(len(leaves), dtype=np.int64)
+        sizes[self.dense] = 1 << widths[self.dense]
+        self.widths = widths
+        self.first_mask = np.cumsum(sizes) - sizes
+        self.first = np.cumsum(sizes * widths) - sizes * widths
+        self.known = np.zeros(int(sizes.sum()), dtype=bool)
+        self.table = np.zeros(int((sizes * widths).sum()))
+        self._boxes: dict[tuple, _Boxes] = {}
+
+    def _part(self, chosen: list[int]) -> _Boxes:
+        key = (chosen[0], chosen[-1], len(chosen))
+        if key not in self._boxes:
+            self._boxes[key] = _Boxes([self.leaves[i] for i in chosen])
+        return self._boxes[key]
+
+    def _learn(self, chosen: list[int], masks: np.ndarray, known: np.ndarray) -> None:
+        for k in np.flatnonzero(~known.all(axis=1)):
+            i = chosen[k]
+            new = np.unique(masks[k][~known[k]])
+            width = self.widths[i]
+            places = self.first[i] + new[:, None] * width + np.arange(width)
+            self.table[places] = _leaf_effect(self.leaves[i], new, self.backgrounds[i], *self.weights)
+            self.known[self.first_mask[i] + new] = True
 
     def add_to(self, phi: np.ndarray, x: np.ndarray) -> None:
         """Add the effects to ``phi``; both are feature by row."""
-        mask = _mask(self.leaf, x)
-        if self.table is None:
-            distinct, which = np.unique(mask, return_inverse=True)
-            part = _leaf_effect(self.leaf, distinct, self.background, *self.weights)[which]
-        else:
-            known = self.known[mask]
+        for chosen in _slices(self.dense, x.shape[1]):
+            boxes = self._part(chosen)
+            masks = boxes.masks(x)
+            known = self.known[masks + self.first_mask[chosen][:, None]]
             if not known.all():
-                new = np.unique(mask[~known])
-                self.table[new] = _leaf_effect(self.leaf, new, self.background, *self.weights)
-                self.known[new] = True
-            part = self.table[mask]
-        for j, feature in enumerate(self.leaf.features):
-            phi[feature] += part[:, j]
-
-
-def _effects_function(leaves: list[_Leaf], masks: list[_Masks], trees: int):
-    """Arrow function: feature values of a row to their effects."""
+                self._learn(chosen, masks, known)
+            masks *= self.widths[chosen][:, None]
+            masks += self.first[chosen][:, None]
+            for feature, (i, j, _, _) in boxes.tests.items():
+                phi[feature] += self.table[masks[i] + j[:, None]].sum(axis=0)
+        for i in self.wide:
+            leaf = self.leaves[i]
+            distinct, which = np.unique(self._part([i]).masks(x)[0], return_inverse=True)
+            part = _leaf_effect(leaf, distinct, self.backgrounds[i], *self.weights)[which]
+            for j, feature in enumerate(leaf.features):
+                phi[feature] += part[:, j]
+
+
+def _effects_function(block, trees: int):
+    """Arrow function: feature values of a row to their effects; ``block`` is a broadcast of leaves and their masks."""
 
     @arrow_udf("ARRAY<DOUBLE>")
     def effects(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        weights = _weights(max(len(leaf.features) for leaf in leaves))
-        room, known = DENSE_NUMBERS, []
-        for leaf, background in zip(leaves, masks):
-            need = len(leaf.features) << len(leaf.features)
-            dense = need <= room
-            room -= need if dense else 0
-            known.append(_LeafEffects(leaf, background, weights, dense))
+        known = _Effects(*block.value)
         for batch in batches:
             n = len(batch)
             x = np.ascontiguousarray(batch.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).T) if n else np.zeros((0, 0))
             phi = np.zeros_like(x)
             if n:
-                for leaf in known:
-                    leaf.add_to(phi, x)
+                known.add_to(phi, x)
             ends = pa.array(np.arange(n + 1, dtype=np.int32) * len(x))
             yield pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(phi.T / trees).ravel()))
 
     return effects.asNondeterministic()
 
 
-def _count_masks(leaves: list[_Leaf], features: list[str]):
-    def count(batches):
+def _count_masks(shared):
+    """Arrow function: rows (arrays of feature values) to (leaf, mask, n), one row for each mask of a dense leaf and task."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves = shared.value
+        dense, wide = _dense_and_wide(leaves, lambda width: 1 << width)
+        totals = {i: np.zeros(1 << len(leaves[i].features), dtype=np.int64) for i in dense}
+        parts: dict[tuple, _Boxes] = {}
+
+        def table(leaf, masks, n):
+            return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(masks, pa.int64()), pa.array(n, pa.int64())], names=["leaf", "mask", "n"])
+
         for batch in batches:
-            x = np.ascontiguousarray(batch[features].to_numpy(dtype=float).T)
-            for i, leaf in enumerate(leaves):
-                found, n = np.unique(_mask(leaf, x), return_counts=True)
-                yield pd.DataFrame({"leaf": i, "mask": found, "n": n})
+            rows = batch.column(0)
+            if not len(rows):
+                continue
+            x = np.ascontiguousarray(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).T)
+            for chosen in [*_slices(dense, len(rows)), *([i] for i in wide)]:
+                key = (chosen[0], len(chosen))
+                if key not in parts:
+                    parts[key] = _Boxes([leaves[i] for i in chosen])
+                for i, found in zip(chosen, parts[key].masks(x)):
+                    if i in totals:
+                        totals[i] += np.bincount(found, minlength=len(totals[i]))
+                    else:
+                        masks, n = np.unique(found, return_counts=True)
+                        yield table(np.full(len(masks), i), masks, n)
+        for i, n in totals.items():
+            masks = np.flatnonzero(n)
+            if len(masks):
+                yield table(np.full(len(masks), i), masks, n[masks])
 
     return count
 
 
 def _collect_leaves(leaves: DataFrame) -> list[_Leaf]:
     """The leaves as arrays. They come from a model that was on the driver already."""
-    rows = leaves.filter(F.col("feature").isNotNull()).orderBy("tree", "leaf", "feature").toPandas()
-    longest = rows.groupby(["tree", "leaf"]).size().max() if len(rows) else 0
+    found: dict[tuple, list] = {}
+    for r in leaves.filter(F.col("feature").isNotNull()).select("tree", "leaf", "feature", "value", "lo", "hi").sort("tree", "leaf", "feature").collect():
+        found.setdefault((r.tree, r.leaf), []).append(r)
+    longest = max(map(len, found.values()), default=0)
     if longest > LONGEST_PATH:
         raise ValueError(f"a path tests {longest} features; {LONGEST_PATH} is the most")
-    return [
-        _Leaf(float(part["value"].iloc[0]), part["feature"].to_numpy(dtype=int), part["lo"].to_numpy(), part["hi"].to_numpy())
-        for _, part in rows.groupby(["tree", "leaf"], sort=False)
-    ]
-
-
-def _blocks(leaves: list[_Leaf], background_rows: int) -> list[list[_Leaf]]:
-    """Cut the leaves so that no block can have more masks than the limit."""
-    blocks, filled = [[]], 0
-    for leaf in leaves:
-        most = min(2 ** len(leaf.features), background_rows)
-        if blocks[-1] and filled + most > MASKS_PER_BLOCK:
-            blocks.append([])
-            filled = 0
-        blocks[-1].append(leaf)
-        filled += most
-    return blocks
+    return [_Leaf(float(rows[0].value), *(np.array([r[c] for r in rows], dtype=t) for c, t in (("feature", int), ("lo", float), ("hi", float)))) for rows in found.values()]
 
 
 class Explainer:
     """Effects of a fixed set of leaves against a fixed background, prepared once and used on any rows.
 
-    ``leaves`` is a table as from ``leaf_boxes``; feature numbers index ``features``.
-    Leaves are worked through in blocks of bounded size whose results are added
-    up inside the row, so rows are never shuffled.
+    ``leaves`` is a table as from ``leaf_boxes``; feature numbers index ``features``. What
+    masks the background has is a table, whose rows are numbered and cut into blocks of
+    ``MASKS_PER_BLOCK``, a leaf's masks too: effects are sums over masks, so it does not matter
+    which block adds them. One block at a time becomes a broadcast; functions carry its handle
+    only. The results of the blocks are added up inside the row, so rows are never shuffled.
     """
 
     def __init__(self, background: DataFrame, leaves: DataFrame, features: list[str]):
         self.features = list(features)
+        self._functions = []
+        spark = background.sparkSession
         # missing values count as 0, in the background as in the rows
-        z = stage(background.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]), "background")
+        z = background.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
         leaves = stage(leaves, "leaves")
-        rows, trees = z.count(), leaves.select("tree").distinct().count()
-        self._functions = []
-        for block in _blocks(_collect_leaves(leaves), rows):
-            if not block:
-                continue
-            # at most MASKS_PER_BLOCK rows
-            counts = (
-                z.mapInPandas(_count_masks(block, self.features), "leaf INT, mask BIGINT, n BIGINT")
-                .groupBy("leaf", "mask")
-                .agg(F.sum("n").alias("n"))
-                .orderBy("leaf", "mask")
-                .toPandas()
-            )
-            masks = [_Masks(part["mask"].to_numpy(), part["n"].to_numpy() / rows) for _, part in counts.groupby("leaf", sort=True)]
-            self._functions.append(_effects_function(block, masks, trees))
+        boxes, trees = _collect_leaves(leaves), leaves.select("tree").distinct().count()
+        if not boxes:
+            return
+        counted = z.mapInArrow(_count_masks(spark.sparkContext.broadcast(boxes)), "leaf INT, mask BIGINT, n BIGINT").groupBy("leaf", "mask").agg(F.sum("n").alias("n"))
+        masks = stage(with_rank(stage(counted, "masks"), [], ["leaf", "mask"], "number"), "masks")
+        # every row of the background has one mask in each leaf
+        rows = masks.filter("leaf = 0").agg(F.sum("n")).first()[0]
+        for k in range(-(-masks.count() // MASKS_PER_BLOCK) if rows else 0):
+            block = masks.filter(F.col("number").between(k * MASKS_PER_BLOCK + 1, (k + 1) * MASKS_PER_BLOCK)).select("leaf", "mask", "n").sort("leaf", "mask").toArrow()
+            leaf, mask, n = (c.to_numpy() for c in block.columns)
+            chosen, starts = np.unique(leaf, return_index=True)
+            found = [_Masks(m, c / rows) for m, c in zip(np.split(mask, starts[1:]), np.split(n, starts[1:]))]
+            self._functions.append(_effects_function(spark.sparkContext.broadcast(([boxes[i] for i in chosen], found)), trees))
 
     def add_to(self, df: DataFrame, name: str = "phi") -> DataFrame:
         """Add an array with the effect of every feature, in feature order. Missing values count as 0."""
