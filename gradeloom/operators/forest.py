@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from operator import add
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradeloom.fixed_values import SEARCH_FOLDS, SEARCH_TRIALS, TRANSFORMED_FEATURES
 from gradeloom.operators.code_features import transformed_features
@@ -76,6 +80,53 @@ def out_of_fold_predictions(
     return result.drop("features", "fold")
 
 
+def poisson_weight(key: Column, tree: int, seed: int = 0) -> Column:
+    """How often a bootstrap of mean 1 draws a row for a tree; follows from the row's key alone."""
+    share = F.xxhash64(key, F.lit(tree), F.lit(seed)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
+    upto, limits = 0.0, []
+    for k in range(18):  # beyond that no double tells the sum from 1
+        upto += math.exp(-1) / math.factorial(k)
+        limits.append(upto)
+    return reduce(add, [(share >= x).cast("int") for x in limits])
+
+
+def fit_bagged(
+    df: DataFrame, features: list[str], label: str, key: str, trees: int = 100, seed: int = 0, weight: str | None = None,
+    embedding: str | None = None, parallelism: int = 4, **params,
+) -> list[RandomForestRegressionModel]:
+    """One model of one tree for each bootstrap of the rows, whose weights ``poisson_weight`` knows again.
+
+    Rows are drawn by ``key``: rows that share one are drawn together. ``weight`` names a
+    sample weight on top.
+    """
+    data = stage(assemble(df, features, embedding), "bagged")
+
+    def fit(tree: int):
+        drawn = poisson_weight(F.col(key), tree, seed).cast("double")
+        weighted = data.withColumn("_drawn", drawn * F.col(weight) if weight else drawn).filter("_drawn > 0")
+        return forest(label, trees=1, seed=seed + tree, weight="_drawn", **params).setBootstrap(False).fit(weighted)
+
+    with ThreadPool(parallelism) as pool:
+        return pool.map(fit, range(trees))
+
+
+def out_of_bag_predictions(
+    df: DataFrame, models: list[RandomForestRegressionModel], features: list[str], key: str, seed: int = 0, embedding: str | None = None
+) -> DataFrame:
+    """Add ``prediction``, the mean of the trees that were fitted without the row, and ``trees``, how many those are.
+
+    A row that every tree has seen has no prediction. One pass; a tree is asked about
+    its own rows only.
+    """
+    rows, parts = assemble(df, features, embedding), []
+    for tree, model in enumerate(models):
+        rows = model.copy().setPredictionCol(f"_tree{tree}").transform(rows)
+        parts.append(F.when(poisson_weight(F.col(key), tree, seed) == 0, F.col(f"_tree{tree}")))
+    n = reduce(add, [p.isNotNull().cast("int") for p in parts])
+    total = reduce(add, [F.coalesce(p, F.lit(0.0)) for p in parts])
+    return rows.select(*df.columns, F.when(n > 0, total / n).alias("prediction"), n.cast("bigint").alias("trees"))
+
+
 def draw_trials(trials: int = SEARCH_TRIALS, seed: int = 0) -> list[dict]:
     """Random points of the search space."""
     rng = random.Random(seed)
@@ -137,6 +188,117 @@ def search_forest(
     return fitted.bestModel, table, best
 
 
+#: Space of the guided search: whole numbers from and to, or choices. Same as of ``draw_trials``.
+SPACE = {"trees": (100, 600), "max_depth": (3, MAX_DEPTH), "min_leaf": (1, 10), "subset": ["sqrt", "log2", "all"]}
+
+
+def propose_trials(seen: list[dict], number: int, seed: int = 0, space: dict = SPACE, warm_up: int = 10, good_share: float = 0.25, tries: int = 24) -> list[dict]:
+    """The next trials after those ``seen`` (with their ``cv_rmse``), by the ratio of two densities.
+
+    The best quarter of the trials is one density, the others are the second; of ``tries``
+    points drawn from the first, the one where it is highest against the second is taken. Every
+    parameter has densities of its own: a mixture of kernels around the trials' values and
+    the whole space. Proposals of one round count as seen by the next ones, at the middle of
+    the scores, so a round does not propose one point several times. The same trials and seed
+    give the same proposals; the first ``warm_up`` trials are drawn from the whole space.
+    """
+    known, proposed = [dict(t) for t in seen], []
+
+    def drawn(rng, name, near):
+        kind = space[name]
+        if isinstance(kind, list):
+            return rng.choice(kind if not near or rng.random() < 1 / (len(near) + 1) else [t[name] for t in near])
+        low, high = kind
+        if not near or rng.random() < 1 / (len(near) + 1):
+            return rng.randint(low, high)
+        return min(high, max(low, round(rng.gauss(rng.choice(near)[name], width(kind, near)))))
+
+    def width(kind, near):
+        return max(1.0, (kind[1] - kind[0]) / max(1, len(near)))
+
+    def density(name, value, near):
+        kind = space[name]
+        if isinstance(kind, list):
+            return (sum(t[name] == value for t in near) + 1 / len(kind)) / (len(near) + 1)
+        spread, flat = width(kind, near), 1 / (kind[1] - kind[0] + 1)
+        kernels = sum(math.exp(-0.5 * ((value - t[name]) / spread) ** 2) for t in near) / (spread * math.sqrt(2 * math.pi))
+        return (kernels + flat) / (len(near) + 1)
+
+    for _ in range(number):
+        rng = random.Random(f"{seed}:{len(known)}")
+        ranked = sorted(known, key=lambda t: t["cv_rmse"])
+        cut = max(1, math.ceil(good_share * len(ranked)))
+        good, rest = ranked[:cut], ranked[cut:]
+        if len(known) < warm_up:
+            trial = {name: drawn(rng, name, []) for name in space}
+        else:
+            points = [{name: drawn(rng, name, good) for name in space} for _ in range(tries)]
+            trial = max(points, key=lambda p: sum(math.log(density(n, p[n], good) / density(n, p[n], rest)) for n in space))
+        proposed.append(trial)
+        known.append(trial | {"cv_rmse": ranked[len(ranked) // 2]["cv_rmse"] if ranked else 0.0})
+    return proposed
+
+
+def guided_search(
+    df: DataFrame,
+    features: list[str],
+    label: str,
+    key: str,
+    trials: int = SEARCH_TRIALS,
+    round_size: int = 5,
+    folds: int = SEARCH_FOLDS,
+    seed: int = 0,
+    weight: str | None = None,
+    parallelism: int = 4,
+    registry=None,
+    study: str | None = None,
+    space: dict = SPACE,
+):
+    """A search that learns from its trials, in rounds of parallel ones; returns as ``search_forest`` does.
+
+    With a registry and the name of a study, every round's trials are stored before the next
+    one begins. A search that was stopped goes on behind them, with the trials that it would
+    have had without the stop; one that is complete only refits its best trial. A ``space`` of
+    one's own has the same parameters.
+    """
+    schema = "trial INT, trees INT, max_depth INT, min_leaf INT, subset STRING, cv_rmse DOUBLE"
+    seen = []
+    if registry is not None:
+        # as many rows as a study has trials; a round that was stored twice has the same ones
+        stored = {r["trial"]: r.asDict() for r in registry.trials_of(study, missing=schema).collect()}
+        while len(seen) in stored:
+            seen.append(stored[len(seen)])
+    data = stage(with_fold(df, key, folds, seed), "guided")
+    while len(seen) < trials:
+        # rounds begin at fixed places, so a search that goes on proposes what it would have proposed
+        proposals = propose_trials(seen, min(round_size - len(seen) % round_size, trials - len(seen)), seed, space)
+        scores = cross_validated(data, features, label, proposals, folds, seed, weight, parallelism)
+        done = [{"trial": len(seen) + i, **t, "cv_rmse": s} for i, (t, s) in enumerate(zip(proposals, scores))]
+        if registry is not None:
+            registry.log_trials(study, df.sparkSession.createDataFrame([tuple(t[c] for c in ("trial", *SPACE, "cv_rmse")) for t in done], schema))
+        seen += done
+    best = min(seen, key=lambda t: (t["cv_rmse"], t["trial"]))
+    chosen = {name: best[name] for name in SPACE}
+    model = forest(label, seed=seed, weight=weight, **chosen).fit(assemble(data, features))
+    table = df.sparkSession.createDataFrame([tuple(t[c] for c in ("trial", *SPACE, "cv_rmse")) for t in seen], schema)
+    return model, table, chosen
+
+
+def cross_validated(data: DataFrame, features: list[str], label: str, trials: list[dict], folds: int, seed: int, weight: str | None, parallelism: int) -> list[float]:
+    """Mean RMSE over the folds (column ``fold``) of each trial."""
+    rows = stage(assemble(data, features), "search")
+    judge = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
+
+    def score(job):
+        trial, fold = job
+        model = forest(label, seed=seed, weight=weight, **trial).fit(rows.filter(F.col("fold") != fold))
+        return judge.evaluate(model.transform(rows.filter(F.col("fold") == fold)))
+
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(score, [(t, i) for t in trials for i in range(folds)], 1)
+    return [sum(found[i * folds : (i + 1) * folds]) / folds for i in range(len(trials))]
+
+
 INVALID_SCORE = -1.0
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.fixed_values import (
@@ -115,8 +116,44 @@ def distances(counts: DataFrame, ranges: int | None = None) -> DataFrame:
     )
 
 
+MOST_EXACT_ROWS = 10_000  # of the larger sample; beyond that the limit distribution is as good
+
+
 def kolmogorov_p_value(gap: float, n: int, m: int) -> float:
-    """Asymptotic two-sided p-value of the two-sample Kolmogorov-Smirnov statistic."""
+    """Two-sided p-value of the two-sample Kolmogorov-Smirnov statistic: exact for samples of up to ``MOST_EXACT_ROWS``."""
+    if max(n, m) <= MOST_EXACT_ROWS:
+        return exact_kolmogorov_p_value(gap, n, m)
+    return limit_kolmogorov_p_value(gap, n, m)
+
+
+def exact_kolmogorov_p_value(gap: float, n: int, m: int) -> float:
+    """Share of the orders of n and m values whose distribution functions are at least ``gap`` apart somewhere.
+
+    An order is a lattice path from (0, 0) to (n, m), and all paths are equally likely. Step
+    by step, ``inside`` is the probability that a path has come to a point of the diagonal and
+    has never left the band between the bounds. These are probabilities and not counts, so
+    none of those that matter is too large or too small for a double.
+    """
+    n, m = sorted((int(n), int(m)))
+    # gaps are multiples of 1 / (n * m); half a step below the given one separates smaller from equal ones
+    bound = math.floor(gap * n * m + 1e-7) - 0.5
+    if bound < 0:
+        return 1.0
+    at = np.arange(n + 1)
+    inside = np.zeros(n + 1)
+    inside[0] = 1.0
+    for step in range(1, n + m + 1):
+        left = n + m - step + 1
+        other = step - at  # how many of the larger sample have come
+        moved = inside * np.clip(m - other + 1, 0, None) / left
+        moved[1:] += inside[:-1] * (n - at[:-1]) / left
+        moved[(other < 0) | (other > m) | (np.abs(at * m - other * n) > bound)] = 0.0
+        inside = moved
+    return min(1.0, max(0.0, 1.0 - float(inside[n])))
+
+
+def limit_kolmogorov_p_value(gap: float, n: int, m: int) -> float:
+    """The same in the limit of large samples."""
     t = gap * math.sqrt(n * m / (n + m))
     if t < 0.2:
         return 1.0

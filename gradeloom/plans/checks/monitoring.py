@@ -15,7 +15,7 @@ from gradeloom.operators.code_facts import with_code_facts
 from gradeloom.operators.code_features import transformed_features
 from gradeloom.operators.curate import sample_rows
 from gradeloom.operators.forest import fit_forest
-from gradeloom.plans.checks.tables import EVENTS, SOURCES, events, sources, submissions
+from gradeloom.plans.checks.tables import EVENTS, SOURCES, events, sources, submissions, table
 from gradeloom.plans.scoring import Scorer
 from gradeloom.session import scratch_path, stage
 from gradeloom.streaming.jobs import latest_windows, rolling_error, start_rolling_error, start_scoring, submission_stream
@@ -49,6 +49,19 @@ def distances(spark, folder):
     )
 
 
+def small_drift(spark, folder):
+    """Suppliers against customers: references of up to 1 000 rows are judged by p-values, one for each of the three tests."""
+    nations = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
+
+    def side(name, prefix):
+        rows = table(spark, folder, name).join(nations, F.col(f"{prefix}_nationkey") == F.col("n_nationkey"))
+        balance = F.col(f"{prefix}_acctbal")
+        return rows.select(balance.alias("balance"), F.col("n_regionkey").alias("region"), (balance < 0).cast("int").alias("in_debt"))
+
+    found = monitor.drift(side("supplier", "s"), side("customer", "c"), ["balance", "region", "in_debt"])
+    return found.withColumn("value", F.round("value", 6))
+
+
 def share(spark, folder):
     found = monitor.drift_share(monitor.drift(*_halves(spark, folder), FEATURES))
     return found.select(F.round("share", 6).alias("share"), "drift_msg", F.array_join(F.map_keys("drifts"), ",").alias("drifted"))
@@ -113,6 +126,7 @@ def scoring_stream(spark, folder):
 QUERIES = {
     "i1_performance_decline": decline,
     "i2_drift": drift,
+    "i2_small_references": small_drift,
     "i2_distances": distances,
     "i3_drift_share": share,
     "i4_monitoring_record": record,
@@ -142,6 +156,27 @@ _DRIFT = f"""
   (SELECT feature, method, value, CAST(0.1 AS DOUBLE) AS threshold, value >= 0.1 AS drifted FROM (
      SELECT feature, CASE WHEN "distinct" <= 5 THEN 'jensen_shannon' ELSE 'wasserstein' END AS method,
             CASE WHEN "distinct" <= 5 THEN jensen_shannon ELSE wasserstein END AS value FROM {_DISTANCES}))"""
+_SMALL = """
+  sides AS (
+    SELECT true AS ref, CAST(s_acctbal AS DOUBLE) AS balance, n_regionkey AS region, s_acctbal < 0 AS in_debt FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    UNION ALL SELECT false, CAST(c_acctbal AS DOUBLE), n_regionkey, c_acctbal < 0 FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  sizes AS (SELECT count(*) FILTER (ref) AS n, count(*) FILTER (NOT ref) AS m FROM sides),
+  steps AS (SELECT balance, sum(CASE WHEN ref THEN 1 ELSE 0 END) OVER (ORDER BY balance) AS r, sum(CASE WHEN ref THEN 0 ELSE 1 END) OVER (ORDER BY balance) AS c FROM sides),
+  gap AS (SELECT max(abs(r * m - c * n)) AS g FROM steps, sizes),
+  bound AS (SELECT n, m, (g - 0.5) / (n::DOUBLE * m) AS q FROM gap, sizes),
+  paths(i, u) AS (
+    SELECT 0, [CASE WHEN j / n::DOUBLE <= q THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR j IN range(n + 1)] FROM bound
+    UNION ALL
+    SELECT i + 1, [CASE WHEN abs((i + 1) / m::DOUBLE - j / n::DOUBLE) <= q
+        THEN coalesce(list_sum([CASE WHEN abs((i + 1) / m::DOUBLE - k / n::DOUBLE) <= q THEN u[k + 1] ELSE 0.0 END FOR k IN range(j + 1)]), 0.0) * (i + 1) / (i + 1 + n)
+        ELSE 0.0::DOUBLE END FOR j IN range(n + 1)]
+    FROM paths, bound WHERE i < m),
+  ks AS (SELECT 1 - u[n + 1] AS p FROM paths, sizes WHERE i = m),
+  regions AS (SELECT region, count(*) FILTER (ref) * m::DOUBLE / n AS e, count(*) FILTER (NOT ref) AS o FROM sides, sizes GROUP BY region, n, m),
+  chi AS (SELECT sum((o - e) * (o - e) / e) / 2 AS h FROM regions),
+  debts AS (SELECT avg(CAST(in_debt AS INTEGER)) FILTER (ref) AS a, avg(CAST(in_debt AS INTEGER)) FILTER (NOT ref) AS b, avg(CAST(in_debt AS INTEGER)) AS s FROM sides),
+  z AS (SELECT abs(a - b) / sqrt(s * (1 - s) * (1 / n::DOUBLE + 1 / m::DOUBLE)) / sqrt(2) AS x FROM debts, sizes),
+  erf AS (SELECT 2 / sqrt(pi()) * sum(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * pow(x, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1))) AS e FROM z, range(80) t(k))"""
 _DECLINE = f"(SELECT sqrt(avg((k - value) * (k - value))) AS rmse FROM {EVENTS})"
 _ROLLING = f"""
     SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type AS model_version,
@@ -152,6 +187,13 @@ ORACLES = {
         SELECT CAST(30 AS DOUBLE) AS old_rmse, round(rmse, 6) AS new_rmse, round(rmse - 30, 6) AS rmse_diff,
                CASE WHEN rmse - 30 > 0.25 * 30 THEN 'exceeded' ELSE 'did not exceed' END AS rmse_msg FROM {_DECLINE}""",
     "i2_drift": f"SELECT feature, method, round(value, 6) AS value, threshold, drifted FROM {_DRIFT}",
+    "i2_small_references": f"""
+        WITH RECURSIVE {_SMALL},
+        judged AS (
+          SELECT 'balance' AS feature, 'ks' AS method, p AS value FROM ks
+          UNION ALL SELECT 'region', 'chi_square', exp(-h) * (1 + h) FROM chi
+          UNION ALL SELECT 'in_debt', 'z_test', 1 - e FROM erf)
+        SELECT feature, method, round(value, 6) AS value, CAST(0.05 AS DOUBLE) AS threshold, value < 0.05 AS drifted FROM judged""",
     "i2_distances": f"""
         SELECT feature, ref_rows, cur_rows, "distinct", round(wasserstein, 6) AS wasserstein, round(ks, 6) AS ks, round(jensen_shannon, 6) AS jensen_shannon
         FROM {_DISTANCES}""",

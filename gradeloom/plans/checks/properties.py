@@ -6,13 +6,25 @@ rows has: the queries return it, the SQL says for which rows it must be true.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from gradeloom.operators import attribution as at
 from gradeloom.operators import curate, evaluate, profile, vectors
 from gradeloom.operators import recommend as rec
-from gradeloom.operators.forest import feature_importance, fit_forest, out_of_fold_predictions, predict, search_forest
+from gradeloom.operators.forest import (
+    feature_importance,
+    fit_bagged,
+    fit_forest,
+    guided_search,
+    out_of_bag_predictions,
+    out_of_fold_predictions,
+    predict,
+    search_forest,
+)
 from gradeloom.operators.monitor import performance_decline
 from gradeloom.operators.ordered import with_rank
 from gradeloom.operators.split import NULL_KEY, with_split
@@ -72,6 +84,32 @@ def held_out_predictions(spark, folder):
     return oof.groupBy("l_orderkey", "l_linenumber").agg(F.count("prediction").alias("n")).withColumn("better", better)
 
 
+def out_of_bag(spark, folder):
+    """Every line item is judged by some of the trees, never by all, and together better than by the mean."""
+    rows = stage(_priced(spark, folder), "lines")
+    models = fit_bagged(rows, COLUMNS, PRICE, "row_key", trees=30, max_depth=6)
+    oob = stage(out_of_bag_predictions(rows, models, COLUMNS, "row_key"), "oob")
+    better = oob.agg(F.sum(F.pow(F.col(PRICE) - F.col("prediction"), 2)) < F.var_pop(PRICE) * F.count("*")).scalar()
+    return oob.select("l_orderkey", "l_linenumber", ((F.col("trees") > 0) & (F.col("trees") < 30)).alias("some"), better.alias("better"))
+
+
+SMALL_SPACE = {"trees": (2, 5), "max_depth": (2, 6), "min_leaf": (1, 10), "subset": ["sqrt", "all"]}
+
+
+def guided_trials(spark, folder):
+    """A search that is stopped after its first round and goes on has the trials of one that is not."""
+    rows, registry = stage(_priced(spark, folder), "lines"), Registry(spark, scratch_path(spark, "studies"))
+    search = lambda n, study: guided_search(rows, COLUMNS, PRICE, "row_key", n, 3, 2, space=SMALL_SPACE, registry=registry, study=study)[1:]
+    search(3, "stopped")
+    one, _ = search(6, "stopped")
+    two, best = search(6, "whole")
+    both = one.alias("x").join(two.alias("y"), "trial")
+    same = reduce(and_, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("trees", "max_depth", "min_leaf", "subset")]) & (F.abs(F.col("x.cv_rmse") - F.col("y.cv_rmse")) < 1e-6)
+    least = two.agg(F.min(F.struct("cv_rmse", "trial"))["trial"]).scalar()
+    chosen = reduce(and_, [F.col(f"y.{c}") == best[c] for c in best])
+    return both.select("trial", same.alias("same"), F.col("x.trees").between(2, 5).alias("inside"), (chosen | (F.col("trial") != least)).alias("best_is_chosen"))
+
+
 def importance_adds_up(spark, folder):
     """Every feature has its importance, none is negative, and they add up to one."""
     found = stage(feature_importance(spark, fit_forest(_lines(spark, folder), COLUMNS, LABEL, trees=10, max_depth=6), COLUMNS), "importance")
@@ -180,14 +218,20 @@ def profile_null_label(spark, folder):
 
 
 def late_submissions(spark, folder):
-    """Submissions arrive newest first, some of them twice: each is stored once, however late."""
-    rows = submissions(spark, folder).select("id", "created_at", "model_version")
+    """Submissions arrive newest first, from several writers and some of them again, on other days or without one: each is scored once."""
+    rows = submissions(spark, folder).select("id", "created_at", "model_version", "k", F.col("user_id").cast("double").alias("user"), F.col("prediction_output").alias("label"))
+    model = fit_forest(stage(rows, "known"), ["user", "k"], "label", trees=3, max_depth=4)
     source, sink = scratch_path(spark, "late-in"), scratch_path(spark, "late-out")
-    for part in (rows.filter("created_at >= '2024-01-16'"), rows.filter("created_at < '2024-01-20'")):
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = submission_stream(spark, source, rows.schema, 1)
-    start_scoring(stream, lambda batch: batch, sink, scratch_path(spark, "late-checkpoint"), available_now=True).awaitTermination()
-    return spark.read.parquet(sink).select("id", "model_version")
+    day = F.col("created_at")
+    again = rows.filter("created_at < '2024-01-20'").withColumn("created_at", F.when(F.col("k") % 3 == 0, day + F.expr("INTERVAL 9 DAYS")).when(F.col("k") % 3 == 1, day))
+    for part in (rows.filter("created_at >= '2024-01-16'"), rows.filter("created_at < '2024-01-20'"), again):
+        part.write.mode("append").parquet(source)
+    stream = submission_stream(spark, source, rows.schema, 8)
+    scored = lambda batch: predict(batch, model, ["user", "k"])
+    start_scoring(stream, scored, sink, scratch_path(spark, "late-checkpoint"), available_now=True).awaitTermination()
+    stored = spark.read.parquet(sink).select("id", "model_version", F.col("prediction").alias("streamed"))
+    at_once = predict(rows, model, ["user", "k"]).select(F.col("id").alias("own"), "prediction")
+    return stored.join(at_once, F.col("id") == F.col("own")).select("id", "model_version", (F.abs(F.col("streamed") - F.col("prediction")) < 1e-9).alias("as_at_once"))
 
 
 def empty_dependencies(spark, folder):
@@ -227,6 +271,8 @@ QUERIES = {
     "g7_zero_weights": zero_weights,
     "g8_best_trial": best_trial,
     "g9_held_out_predictions": held_out_predictions,
+    "g9_out_of_bag": out_of_bag,
+    "g8_guided_trials": guided_trials,
     "f11_importance_adds_up": importance_adds_up,
     "g15_cluster_sweep": cluster_sweep,
     "g18_principal_axes": principal_axes,
@@ -252,6 +298,8 @@ ORACLES = {
     "g7_zero_weights": "SELECT event_id, true AS same FROM events",
     "g8_best_trial": "SELECT CAST(trial AS INTEGER) AS trial, CAST(d AS INTEGER) AS max_depth, CAST(m AS INTEGER) AS min_leaf, true AS agrees FROM (VALUES (0, 2, 1), (1, 4, 1), (2, 6, 5)) t(trial, d, m)",
     "g9_held_out_predictions": "SELECT l_orderkey, l_linenumber, count(*) AS n, true AS better FROM lineitem GROUP BY ALL",
+    "g9_out_of_bag": "SELECT l_orderkey, l_linenumber, true AS some, true AS better FROM lineitem",
+    "g8_guided_trials": "SELECT CAST(trial AS INTEGER) AS trial, true AS same, true AS inside, true AS best_is_chosen FROM range(6) t(trial)",
     "f11_importance_adds_up": f"SELECT feature, true AS positive, true AS adds_up FROM (VALUES {', '.join(f"('{c}')" for c in COLUMNS)}) t(feature)",
     "g15_cluster_sweep": "SELECT CAST(k AS INTEGER) AS k, true AS agrees FROM range(2, 5) t(k)",
     "g18_principal_axes": "SELECT count(*) AS n, true AS uncorrelated, true AS in_order FROM embeddings",
@@ -275,7 +323,7 @@ ORACLES = {
     "g17_profile_null_label": f"""
         SELECT o_orderkey AS id, customer % 5 AS label, row_number() OVER (PARTITION BY customer % 5 ORDER BY error, o_orderkey) AS position,
           count(*) OVER (PARTITION BY customer % 5) AS cluster_size FROM {_ORDERS}""",
-    "k1_late_submissions": f"SELECT id, model_version FROM {SUBMISSIONS}",
+    "k1_late_submissions": f"SELECT id, model_version, true AS as_at_once FROM {SUBMISSIONS}",
     "a9_empty_dependencies": "SELECT DISTINCT CAST(2 AS INTEGER) AS model_version, event_type AS feature FROM events",
     "a8_reports_of_all_versions": f"""
         SELECT model_version, round(rmse, 6) AS new_rmse, CASE WHEN rmse - 50.0 > 0.25 * 50.0 THEN 'exceeded' ELSE 'did not exceed' END AS rmse_msg

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -95,8 +96,15 @@ class Registry:
         """Append the trial table of a search under the run that it belongs to."""
         trials.withColumn("run_id", F.lit(run_id)).coalesce(1).write.mode("append").parquet(f"{self.root}/trials")
 
-    def trials_of(self, run_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/trials").filter(F.col("run_id") == run_id).drop("run_id")
+    def trials_of(self, run_id: str, missing: str | None = None) -> DataFrame:
+        """The trials under a run or study; where none was ever stored, an empty table of the schema ``missing`` if one is given."""
+        try:
+            found = self.spark.read.parquet(f"{self.root}/trials")
+        except AnalysisException as error:
+            if missing is None or error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], missing)
+        return found.filter(F.col("run_id") == run_id).drop("run_id")
 
     def load_model(self, name: str, version: int | None = None, alias: str | None = None, kind=RandomForestRegressionModel):
         """The fitted model of a version, or of the version that an alias points to."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,22 +13,16 @@ def submission_stream(spark: SparkSession, path: str, schema, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def not_stored(batch: DataFrame, sink: str, number: int, key: str, time: str) -> DataFrame:
-    """Rows of a batch once each, without those that another batch has stored for the same day.
+def first_arrivals(stream: DataFrame, key: str = "id") -> DataFrame:
+    """Every submission once, by its id, whenever and with whatever time stamp it is sent again.
 
-    Only ids of the days of the batch are read from the sink.
+    The ids that have arrived are the stream's state, kept by Spark next to its checkpoint
+    and spread by id; no stored result is read. A row without an id counts once for each
+    different content. On a table it does the same for its rows.
     """
-    day = lambda: F.to_date(time)
-    once = batch.dropDuplicates([key, time])
-    span = batch.agg(F.min(day()).alias("a"), F.max(day()).alias("b")).first()
-    try:
-        stored = batch.sparkSession.read.parquet(sink)
-    except AnalysisException as error:  # nothing is stored before the first batch
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return once
-    known = stored.filter((F.col("batch") != number) & F.col(time).between(F.lit(span["a"]), F.date_add(F.lit(span["b"]), 1)))
-    return once.withColumn("_day", day()).join(known.select(key, day().alias("_day")).distinct(), [key, "_day"], "left_anti").drop("_day")
+    content = F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256)
+    own = F.when(F.col(key).isNotNull(), F.concat(F.lit("id:"), F.col(key).cast("string"))).otherwise(F.concat(F.lit("row:"), content))
+    return stream.withColumn("_arrival", own).dropDuplicates(["_arrival"]).drop("_arrival")
 
 
 def start_scoring(
@@ -39,23 +32,19 @@ def start_scoring(
     checkpoint: str,
     available_now: bool = False,
     key: str = "id",
-    time: str = "created_at",
 ) -> StreamingQuery:
     """Score each batch into a folder of its own.
 
-    Every submission is scored, however late it comes; one that is sent again on the day
-    of its time stamp is scored once. A batch that is repeated after a failure writes its
-    folder again, so nothing is stored twice. The stream keeps no state.
+    Every submission is scored, however late it comes, and one that is sent again is
+    scored once. State and offsets advance together, and a batch that is repeated after a
+    failure writes its folder again, so nothing is lost or stored twice. The state
+    has an entry for each id; sessions of ``get_session`` keep it in RocksDB, outside of the heap.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            score(not_stored(batch, sink, number, key, time)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        finally:
-            batch.unpersist()
+        score(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    writer = first_arrivals(stream, key).writeStream.outputMode("append").foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -20,7 +20,7 @@ from gradeloom.sources import published
 from gradeloom.sources.corpus import assign_ids, read_corpus, read_csv_corpus, write_csv_corpus
 from gradeloom.sources.registry import Registry
 from gradeloom.sources.submissions import append_submissions, get_submissions, read_submissions
-from gradeloom.streaming.jobs import latest_windows, rolling_error, start_rolling_error, start_scoring, submission_stream
+from gradeloom.streaming.jobs import first_arrivals, latest_windows, rolling_error, start_rolling_error, start_scoring, submission_stream
 
 FEATURES = fixed.TRANSFORMED_FEATURES
 TRIALS = [
@@ -296,3 +296,19 @@ def test_scorer_from_the_registry(spark, world, tmp_path):
     got = {r.id: r for r in scorer.score(rows).collect()}
     assert got[1].prediction_output > 0 and got[1].message.startswith("Estimated score") and got[2].prediction_output == -1
     assert world["registry"].trials_of(world["run_id"]).count() == len(TRIALS)
+
+
+def test_submissions_without_an_id_or_a_time_count_once(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda d: datetime(2024, 1, d, tzinfo=timezone.utc)
+    schema = "id LONG, created_at TIMESTAMP, code STRING"
+    for part in ([(1, None, "a"), (None, day(1), "b"), (None, day(1), "b")], [(1, day(9), "a"), (None, day(1), "c"), (None, day(1), "b")], [(1, None, "z"), (2, None, "b")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        stream = submission_stream(spark, source, schema, 2)
+        start_scoring(stream, lambda b: b, sink, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    assert sorted((r.id or 0, r.code) for r in spark.read.parquet(sink).collect()) == [(0, "b"), (0, "c"), (1, "a"), (2, "b")]
+
+
+def test_first_arrivals_read_no_sink(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (None, "a")], "id LONG, x STRING")
+    assert sorted((r.id or 0) for r in first_arrivals(df).collect()) == [0, 1]
