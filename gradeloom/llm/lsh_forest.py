@@ -211,7 +211,7 @@ def _least_estimate(threshold: float) -> float:
 
 
 def _neighbour_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of neighbours in sorted partitions, and the rows at both ends of each partition."""
+    """Pairs of neighbours in sorted partitions (kind next to each other, or pair), and the rows at both ends of each partition (edge)."""
     least = _least_estimate(threshold)
     head = 1 + 2 * LEAST
 
@@ -237,8 +237,8 @@ def _neighbour_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
             place, node, sketch = (h + r for h, r in zip(held, rows))
             places = np.frombuffer(b"".join(p[:head] for p in place), np.uint8).reshape(-1, head)
             sketches = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(sketch), -1)
-            a, b = [], []
             for gap in range(1, min(NEAR, len(place) - 1) + 1):
+                a, b = [], []
                 first = np.arange(max(0, old - gap), len(place) - gap)
                 first = first[(places[first] == places[first + gap]).all(1)]
                 first = first[_agreement(np, sketches[first], sketches[first + gap]) >= least] if len(first) else first
@@ -246,9 +246,9 @@ def _neighbour_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
                     one, other = node[i], node[i + gap]
                     a.append(min(one, other))
                     b.append(max(one, other))
-            if a:
-                found = list(dict.fromkeys(zip(a, b)))
-                yield out("pair", [x for x, _ in found], [y for _, y in found])
+                if a:
+                    found = list(dict.fromkeys(zip(a, b)))
+                    yield out("next" if gap == 1 else "pair", [x for x, _ in found], [y for _, y in found])
             held = tuple(x[-NEAR:] for x in (place, node, sketch))
         if started:
             yield out("edge", held[1], [None] * len(held[1]), held[0], held[2])
@@ -264,7 +264,7 @@ def active_classes(classes: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, threshold: float, active: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a < b) of classes that are neighbours in some order and can reach the threshold."""
+    """Distinct pairs (a < b) of classes that are neighbours in some order and can reach the threshold; ``next``: with none between them."""
     spark = classes.sparkSession
     active = active_classes(classes) if active is None else active
     rows = _orders(classes.join(active, "node", "left_semi"))
@@ -274,7 +274,8 @@ def candidates(classes: DataFrame, threshold: float, active: DataFrame | None =
     edges = found.filter("kind = 'edge'").select("place", F.col("a").alias("node"), "sketch").distinct()
     # a pair stands in one order, so each order's edges are a task of their own
     across = _neighbour_pairs(edges.repartition(TREES, F.substring("place", 1, 1)).sortWithinPartitions("place", "node"), threshold)
-    return found.filter("kind = 'pair'").select("a", "b").union(across.filter("kind = 'pair'").select("a", "b")).filter("a < b").distinct()
+    pairs = found.select("kind", "a", "b").union(across.select("kind", "a", "b")).filter("kind <> 'edge' AND a < b")
+    return pairs.groupBy("a", "b").agg(F.max(F.col("kind") == "next").alias("next"))
 
 
 def _fetch_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
@@ -320,22 +321,36 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _roots(up: DataFrame) -> DataFrame:
+    """``node`` and ``label``, where each pointer to a label has been followed to its end."""
+    while True:
+        over = up.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        up = stage(up.join(over, "label").select("node", "label", "root"), "labels")
+        moved = up.filter("label <> root").limit(1).count()
+        up = up.select("node", F.col("root").alias("label"))
+        if not moved:
+            return up
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (its component's smallest node) of every class that has a link.
 
-    Labels spread along links and then jump to their label's label, so the number of rounds
-    follows the logarithm of a component's diameter.
+    Every node points to its smallest neighbour, pointers are followed to their ends, and what
+    links remain between different ends are the links of the next, smaller round.
     """
-    both = stage(_both_ways(links), "links")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
+    edges, labels = stage(links.select("a", "b"), "links"), None
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label").union(labels)
-        spread = stage(seen.groupBy("node").agg(F.min("label").alias("label")), "labels")
-        roots = spread.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        new = stage(spread.join(roots, "label").select("node", F.col("root").alias("label")), "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
-        labels = new
-        if not changed:
+        least = _both_ways(edges).groupBy("a").agg(F.min("b").alias("least"))
+        up = _roots(stage(least.select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels"))
+        if labels is None:
+            labels = up
+        else:
+            further = up.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            labels = stage(labels.join(further, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        own, other = (up.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+        ends = edges.join(own, "a").join(other, "b").filter("label_a <> label_b")
+        edges = stage(ends.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct(), "links")
+        if edges.limit(1).count() == 0:
             return labels
 
 
@@ -347,13 +362,16 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.withColumns({"label_a": F.coalesce("label_a", "a"), "label_b": F.coalesce("label_b", "b")}).filter("label_a <> label_b")
 
 
-def _walk(near: DataFrame, seen: DataFrame, links: DataFrame) -> DataFrame:
-    """New pairs: a class with the hub of a near neighbour in another component."""
+def _hubs(links: DataFrame) -> DataFrame:
+    """Every linked class (column b) with the one that has most links among itself and its partners."""
     linked = _both_ways(links)
     degree = linked.groupBy("a").agg(F.count("*").alias("degree"))
-    # of a class and its partners the one with most links
     partners = linked.join(degree.withColumnRenamed("a", "b"), "b").union(degree.select(F.col("a").alias("b"), "a", "degree"))
-    hubs = partners.groupBy("a").agg(F.max(F.struct("degree", "b"))["b"].alias("hub")).withColumnRenamed("a", "b")
+    return stage(partners.groupBy("a").agg(F.max(F.struct("degree", "b"))["b"].alias("hub")).withColumnRenamed("a", "b"), "hubs")
+
+
+def _walk(near: DataFrame, seen: DataFrame, hubs: DataFrame) -> DataFrame:
+    """New pairs: a class with the hub of a near neighbour in another component."""
     steps = _both_ways(near).join(hubs, "b").select("a", F.col("hub").alias("b")).filter("a <> b")
     pairs = steps.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
@@ -372,26 +390,36 @@ def _settle(pairs: DataFrame, sets: DataFrame, threshold: int) -> tuple[DataFram
     """Labels of all linked classes, and all pairs counted for them: count the pairs, join components, walk on, until the walk meets no new pair.
 
     Components only grow, so a pair within one is never looked at again. A pair that was
-    counted leads on to the hub of its own other end; all pairs are walked anew only after
-    new links, when hubs may have changed.
+    counted leads on to the hub of its own other end; older pairs are walked anew only
+    where new links have changed a hub.
     """
     linked = F.col("both") * 100 >= F.lit(threshold) * F.col("either")
-    counted = [stage(_count(pairs, sets), "counted")]
+    # what stands side by side joins most of a region; of the other pairs only those between components are left to count
+    counted = [stage(_count(pairs.filter("next").select("a", "b"), sets), "counted")]
     labels = components(counted[0].filter(linked))
-    near = fresh = stage(_apart(counted[0], labels), "near")
+    counted.append(stage(_count(_apart(pairs.filter("NOT next"), labels).select("a", "b"), sets), "counted"))
+    labels = _joined(labels, counted[1].filter(linked))
+    every = reduce(DataFrame.union, counted)
+    near = fresh = stage(_apart(every, labels).select("a", "b"), "near")
+    hubs = _hubs(every.filter(linked))
     while True:
-        every = reduce(DataFrame.union, counted)
-        more = stage(_count(_walk(fresh, every, every.filter(linked)), sets), "counted")
+        more = stage(_count(_walk(fresh, every, hubs), sets), "counted")
         if more.limit(1).count() == 0:
             return labels, every.select("a", "b")
-        counted.append(more)
-        near = near.select("a", "b").union(more.select("a", "b"))
+        every = every.union(more)
         new = more.filter(linked)
         if new.limit(1).count() == 0:
-            fresh = stage(_apart(more, labels), "near")
+            near = near.union(more.select("a", "b"))
+            fresh = stage(_apart(more, labels).select("a", "b"), "near")
             continue
         labels = _joined(labels, new)
-        near = fresh = stage(_apart(near, labels), "near")
+        old, hubs = hubs.withColumnRenamed("hub", "old"), _hubs(every.filter(linked))
+        changed = stage(hubs.join(old, "b", "left").filter(~F.col("hub").eqNullSafe(F.col("old"))).select("b"), "changed-hubs")
+        near = stage(_apart(near, labels).select("a", "b"), "near")
+        again = near.join(changed, "b", "left_semi").union(near.join(changed.withColumnRenamed("b", "a"), "a", "left_semi").select("a", "b"))
+        further = stage(_apart(more, labels).select("a", "b"), "near")
+        fresh = stage(further.union(again.select("a", "b")).distinct(), "near")
+        near = near.union(further)
 
 
 def _long_signatures(rows: DataFrame) -> DataFrame:
