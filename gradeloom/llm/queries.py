@@ -74,8 +74,9 @@ def op4_source_mix(spark, folder):
     """What the mix of sources takes of each document."""
     docs = read(spark, folder, "documents")
     sized = stage(docs.select("doc_id", "source", word_count(text_or_empty()).alias("size"), F.xxhash64("text").alias("mark")), "mix-sizes")
-    plan = source_mix.schedule(sized, size=F.col("size"))
-    return plan.select("doc.doc_id", "size", "source_size", "target", source_mix.taken_words(F.col("turns")).alias("taken"))
+    plan = stage(source_mix.schedule(sized, size=F.col("size")), "mix-schedule")
+    kept = source_mix.truncated(plan)
+    return plan.join(kept, "row").select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_chat_format(spark, folder):

@@ -3,10 +3,11 @@
 Every source sends its documents, in an order shuffled by a seeded hash, at a rate in
 proportion to its target. A document that is served when its source has served ``c`` tokens
 in all finishes at the virtual time ``c / target``. The mix is the global order of these
-finish times, cut off where the total budget is used up: with rates equal to the targets
-that is virtual time 1, at which each source has served its target. The document in service
-at that moment is served in part, so every source meets its target to the token. A source
-whose target is above its size starts over with its first document.
+finish times, cut off where the total budget is used up: documents are range-sorted by
+finish time, summed up in that order and truncated at the budget. A document in service at
+virtual time 1, when sources have had their targets, is two pieces in that order, so every
+source meets its target to the token. A source whose target is above its size starts over
+with its first document.
 
 Running sums are taken in two steps, over hash buckets of a source and then within a
 bucket, so a source that holds a third of all rows is not summed in one task.
@@ -19,9 +20,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom.llm.common import SPACES, WORDS, text_or_empty, whole_row, word_count
+from gradeloom.operators.ordered import running_totals
 
 #: Each source has two to this power hash buckets.
-BUCKET_BITS = 10
+BUCKET_BITS = 12
 
 
 def source_targets(sizes: DataFrame, source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -60,18 +62,19 @@ def source_targets(sizes: DataFrame, source: str = "source", weights: Sequence[f
 def schedule(docs: DataFrame, source: str = "source", size: Column | None = None, key: Sequence[str] = ("doc_id",), seed: int = 17, passes: int = 2, **targets) -> DataFrame:
     """What the mix takes of every row of ``docs``, one row for each.
 
-    Columns: ``doc`` (the row as a struct, so its names cannot clash), ``size``,
-    ``source_size``, ``target`` and ``turns``, an array with ``pass`` (from 0), ``finish``
+    Columns: ``doc`` (the row as a struct, so its names cannot clash), ``row`` (a name for it
+    that no other row has), ``size``, ``source_size``, ``target`` and ``turns``, an array with ``pass`` (from 0), ``finish``
     (virtual time at which the document is through) and ``taken`` (tokens of this pass,
-    0 once the budget is used up). The shuffle orders rows by a hash of ``key``, then by
-    ``key`` and the whole row, so null and repeated keys and repeated rows count one by one
-    and reruns agree. Null sources are one source, null texts have size 0, an empty table
+    0 once its source has had its target). The shuffle orders rows by a hash of ``key`` (of the
+    whole row where that is null), then by ``key`` and the whole row, so null and repeated keys
+    and repeated rows count one by one and reruns agree. Null sources are one source, null texts have size 0, an empty table
     gives no rows. ``passes`` has to be at least ``most`` of the targets.
     """
     size = word_count(text_or_empty()) if size is None else size
     name = F.col(f"`{source}`")
     # 60 bits of MD5, which SQL engines agree on
-    shuffled = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(f"`{k}`").cast("string") for k in key])), 1, 15), 16, 10).cast("long")
+    known = F.array_compact(F.array(*[F.col(f"`{k}`").cast("string") for k in key]))
+    shuffled = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.when(F.size(known) > 0, known).otherwise(F.array(F.xxhash64(whole_row(docs)).cast("string"))))), 1, 15), 16, 10).cast("long")
     sized = docs.select(
         whole_row(docs).alias("doc"),
         size.cast("long").alias("size"),
@@ -88,8 +91,9 @@ def schedule(docs: DataFrame, source: str = "source", size: Column | None = None
     )
     in_front = Window.partitionBy("nosource", "named").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select(*group, F.coalesce(F.sum("bucket_size").over(in_front), F.lit(0)).alias("bucket_start")).join(target, ["nosource", "named"])
-    inside = Window.partitionBy(*group).orderBy("place", *[F.col(f"doc.`{k}`") for k in key], F.xxhash64("doc")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    served = sized.withColumn("upto", F.sum("size").over(inside)).join(starts, group)
+    ranked = Window.partitionBy(*group).orderBy("place", *[F.col(f"doc.`{k}`") for k in key], F.xxhash64("doc"))
+    inside = ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    served = sized.withColumns({"upto": F.sum("size").over(inside), "number": F.row_number().over(ranked)}).join(starts, group)
 
     def turn(number):
         begin = F.col("bucket_start") + F.col("upto") - F.col("size") + number * F.col("source_size")
@@ -99,7 +103,32 @@ def schedule(docs: DataFrame, source: str = "source", size: Column | None = None
             F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - begin)).cast("long").alias("taken"),
         )
 
-    return served.select("doc", "size", "source_size", "target", F.array(*[turn(F.lit(p)) for p in range(passes)]).alias("turns"))
+    row = F.struct(*group, "number").alias("row")
+    return served.select("doc", row, "size", "source_size", "target", F.array(*[turn(F.lit(p)) for p in range(passes)]).alias("turns"))
+
+
+def truncated(plan: DataFrame) -> DataFrame:
+    """What the global order of finish times keeps within the budget: ``row``, ``taken`` and ``position``, one row for each of the ``plan``.
+
+    The budget is the sum of the whole tokens of all targets. ``position`` is where the document's
+    first token stands in the mix, null if it has none. Only names and numbers are sorted.
+    """
+    budget = plan.groupBy("row.nosource", "row.named").agg(F.first("target").alias("target")).agg(F.sum(F.floor("target"))).scalar()
+    turn = F.col("turn")
+    # a document in service when its source has had its target is cut there; what is behind comes later than all that is not
+    pieces = F.array(
+        F.struct(F.when(turn["taken"] < F.col("size"), F.least(turn["finish"], F.lit(1.0))).otherwise(turn["finish"]).alias("finish"), F.lit(False).alias("late"), turn["taken"].alias("tokens")),
+        F.struct(turn["finish"].alias("finish"), F.lit(True).alias("late"), (F.col("size") - turn["taken"]).alias("tokens")),
+    )
+    queue = plan.select("row", "size", F.explode("turns").alias("turn")).select("row", "turn.pass", F.explode(F.filter(pieces, lambda p: p["tokens"] > 0)).alias("piece"))
+    queue = queue.select("row.*", "pass", "piece.*")
+    order = ["finish", "late", "nosource", "named", "bucket", "number", "pass"]
+    summed = running_totals(queue, [], order, {"upto": F.col("tokens")})
+    before = F.col("upto") - F.col("tokens")
+    taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("tokens"), budget - before))
+    kept = summed.select(F.struct("nosource", "named", "bucket", "number").alias("row"), taken.alias("taken"), F.when(taken > 0, before).alias("position"))
+    every = kept.unionByName(plan.select("row", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("position")))
+    return every.groupBy("row").agg(F.sum("taken").alias("taken"), F.min("position").alias("position"))
 
 
 def taken_words(turns: Column) -> Column:

@@ -71,3 +71,19 @@ def test_cut_keeps_white_space(spark):
 
 def test_empty_table(nothing):
     assert source_mix.schedule(nothing).count() == 0 and source_mix.mix(nothing).count() == 0
+
+
+def test_truncation_of_the_global_order(spark, odd):
+    """The budget cuts the order of finish times where each source has had its target, and positions are gapless."""
+    rnd = random.Random(6)
+    rows = [(i if i % 9 else None, " ".join("w" for _ in range(rnd.choice([0, 1, 5, 40, 300]))), rnd.choice(["a", "b", "c", None])) for i in range(300)]
+    for docs in (odd, spark.createDataFrame(rows + rows[:20], "doc_id long, text string, source string").repartition(3)):
+        plan = source_mix.schedule(docs)
+        want = {r.row: r.taken for r in plan.select("row", source_mix.taken_words(F.col("turns")).alias("taken")).collect()}
+        got = {r.row: r for r in source_mix.truncated(plan).collect()}
+        assert {k: r.taken for k, r in got.items()} == want and len(got) == docs.count()
+        used = sorted(r.position for r in got.values() if r.taken)
+        assert used[0] == 0 and len(set(used)) == len(used) and all((r.position is None) == (r.taken == 0) for r in got.values())
+        assert max(used) < sum(r.taken for r in got.values())
+
+
