@@ -96,22 +96,28 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer) without replacement, repeatable for a seed.
 
     Rows are taken in the order of a hash of their key, then of the key, then of the whole
-    row. The place of the last one is looked up from counts, so a sample of any size is a
-    filter; of rows that are equal in every column as many as are missing are added. Null
-    keys are rows like any other.
+    row. The place of the last key is looked up from counts, so a sample of any size is a
+    filter; whole rows are hashed only among those that share this key, and of rows that
+    are equal in every column as many as are missing are added. Null keys are rows like
+    any other.
     """
-    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
     text = F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY))
-    place = F.concat(F.md5(F.concat(F.lit(f"{seed}:"), text)), text, whole)
+    place = F.concat(F.md5(F.concat(F.lit(f"{seed}:"), text)), text)
     last = order_boundary(df, place, n)
     if last is None:
         return df.limit(0)
-    before = df.filter(place < last)
-    equal = df.filter(place == last)
-    missing = min(n - before.count(), equal.count())
+    before, ties = df.filter(place < last), df.filter(place == last)
+    counts = df.agg(F.count_if(place < last).alias("before"), F.count_if(place == last).alias("ties")).first()
+    missing = n - counts["before"]
+    if missing >= counts["ties"]:
+        return df.filter(place <= last)
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    edge = order_boundary(ties, whole, missing)
+    equal = ties.filter(whole == edge)
+    missing -= ties.filter(whole < edge).count()
     one = equal.agg(F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("row"))
     repeated = one.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(missing)))).select("row.*")
-    return before.unionByName(repeated)
+    return before.unionByName(ties.filter(whole < edge)).unionByName(repeated)
 
 
 def project(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.operators.profile import bin_number, bin_ranges
 
@@ -60,18 +62,13 @@ def residual_bins(df: DataFrame, prediction: str, error: str, bins: int = 10) ->
 def top_k(df: DataFrame, error: str, k: int, key: str) -> DataFrame:
     """The ``k`` best, most over-estimated and most under-estimated rows, tagged ``kind``.
 
-    Rows without an error are in none of the lists; ties go to the smaller key. One scan:
-    every partition keeps its own best rows for the three lists (a report of ``k`` rows is
-    what is asked for), and the lists are ranked from those.
+    Rows without an error are in none of the lists; ties go to the smaller key. For each
+    list a task keeps ``k`` rows at most while it reads, and only those travel.
     """
     kinds = {"top_performing": F.abs(F.col(error)), "over_estimated": F.col(error), "under_estimated": -F.col(error)}
-    marked = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), rank.alias("rank")) for kind, rank in kinds.items()]))
-    rows = df.filter(F.col(error).isNotNull()).select(F.struct(*df.columns).alias("row"), F.col(key).alias("key"), marked.alias("list"))
-    # most rows of a partition are cut off before anything is shuffled
-    local = Window.partitionBy("list.kind", "part").orderBy("list.rank", "key")
-    few = rows.withColumn("part", F.spark_partition_id()).withColumn("n", F.row_number().over(local)).filter(F.col("n") <= k)
-    best = Window.partitionBy("list.kind").orderBy("list.rank", "key")
-    return few.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("row.*", "list.kind")
+    rows = df.filter(F.col(error).isNotNull())
+    lists = [rows.orderBy(rank, key).limit(k).withColumn("kind", F.lit(kind)) for kind, rank in kinds.items()]
+    return reduce(DataFrame.unionByName, lists)
 
 
 def compare_versions(df: DataFrame, label: str, predictions: dict[str, str]) -> DataFrame:

@@ -9,6 +9,8 @@ group that holds a third of all rows is spread like any other data.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -167,36 +169,70 @@ def widest_positive_runs(
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float], ranges: int | None = None) -> list[float]:
+#: Values that a bracket of a quantile may list, and accuracy of the sketch that brackets it.
+LISTED_VALUES, ACCURACY = 100_000, 100_000
+
+
+def _bracket(values: DataFrame, shares: list[float]) -> tuple[int, list[tuple[float, float]]]:
+    """Number of values, and for each share two of them between which its quantile lies."""
+    slack = 2.0 / ACCURACY
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in shares for d in (-slack, slack)})
+    head = values.agg(F.count("v").alias("n"), F.percentile_approx("v", near, ACCURACY).alias("q")).first()
+    at = dict(zip(near, head["q"] or []))
+    return head["n"], [(at[max(p - slack, 0.0)], at[min(p + slack, 1.0)]) for p in shares] if head["n"] else []
+
+
+def _listed(values: DataFrame, brackets: list[tuple[float, float]]) -> list[tuple] | None:
+    """(value or None, rows) in order: values inside the brackets one by one, the rows between them together; None if there are too many."""
+    merged: list[list[float]] = []
+    for lo, hi in sorted(brackets):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    gap = reduce(add, [(F.col("v") > hi).cast("int") for _, hi in merged])
+    inside = reduce(or_, [F.col("v").between(lo, hi) for lo, hi in merged])
+    rows = values.groupBy(gap.alias("gap"), F.when(inside, F.col("v")).alias("v")).count().limit(LISTED_VALUES + 1).collect()
+    if len(rows) > LISTED_VALUES:
+        return None
+    # what stands in a gap lies below the bracket with its number
+    return [(r["v"], r["count"]) for r in sorted(rows, key=lambda r: (r["gap"], r["v"] is not None, r["v"] or 0.0))]
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
     """Exact quantiles with linear interpolation, of a column of any size.
 
-    A sketch brackets each quantile (its error is a guaranteed share of the rows);
-    one pass counts what lies below the brackets, one the values inside of them,
-    and only those are ranked. The result is a number, so a filter with it reaches
-    the file scan.
+    A sketch brackets each quantile (its error is a guaranteed share of the rows), and one
+    pass counts the values inside the brackets one by one and all others together. Where
+    the brackets hold too many different values, each is bracketed again among its own. The
+    result is a number, so a filter with it reaches the file scan.
     """
-    values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
-    accuracy = 100_000
-    slack = 2.0 / accuracy
-    near = sorted({min(max(p + d, 0.0), 1.0) for p in shares for d in (-slack, slack)})
-    head = values.agg(F.count("v").alias("n"), F.percentile_approx("v", near, accuracy).alias("q")).first()
-    n = head["n"]
+    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    n, brackets = _bracket(values, shares)
     if not n:
         return [None] * len(shares)
-    at = dict(zip(near, head["q"]))
-    brackets = [(at[max(p - slack, 0.0)], at[min(p + slack, 1.0)]) for p in shares]
-    inside = F.array_compact(F.array(*[F.when(F.col("v").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(brackets)]))
-    below = values.agg(*[F.count_if(F.col("v") < lo).alias(str(i)) for i, (lo, _) in enumerate(brackets)]).first()
-    counts = values.select("v", F.explode(inside).alias("i")).groupBy("i", "v").count()
-    ranked = running_totals(counts, ["i"], ["v"], {"upto": F.col("count")}, ranges=ranges)
-    wanted = []
-    for i, p in enumerate(shares):
-        position = p * (n - 1)
-        for name, rank in (("a", math.floor(position)), ("b", math.ceil(position))):
-            wanted.append(F.min(F.when((F.col("i") == i) & (F.col("upto") > rank - below[str(i)]), F.col("v"))).alias(f"{name}{i}"))
-    picked = ranked.agg(*wanted).first()
+    while (listed := _listed(values, brackets)) is None:
+        narrower = []
+        for p, (lo, hi) in zip(shares, brackets):
+            below = values.filter(F.col("v") < lo).count()
+            inside = values.filter(F.col("v").between(lo, hi))
+            size = inside.count()
+            ends = [min(max((rank - below) / max(size - 1, 1), 0.0), 1.0) for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+            _, found = _bracket(inside, ends)
+            narrower.append((found[0][0], found[-1][1]))
+        brackets = narrower
+
+    def value_at(rank: int) -> float:
+        upto = 0
+        for value, rows in listed:
+            upto += rows
+            if rank < upto:
+                return float(value)
+        raise AssertionError("a rank beyond the last row")
+
     results = []
-    for i, p in enumerate(shares):
-        a, b, position = float(picked[f"a{i}"]), float(picked[f"b{i}"]), p * (n - 1)
+    for p in shares:
+        position = p * (n - 1)
+        a, b = value_at(math.floor(position)), value_at(math.ceil(position))
         results.append(a + (b - a) * (position - math.floor(position)))
     return results

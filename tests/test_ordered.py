@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.operators import ordered
 from gradeloom.operators.ordered import exact_quantiles, moving_mean, running_totals, widest_positive_runs, with_rank
 
 
@@ -78,9 +79,17 @@ def test_run_that_spans_every_block(spark, rows):
     assert (row["lo"], row["hi"]) == (0.0, 999.0)
 
 
-@pytest.mark.parametrize("ranges", [None, 7])
-def test_exact_quantiles(frame, ranges):
+@pytest.mark.parametrize("listed,accuracy", [(100_000, 100_000), (60, 100_000), (60, 50)])
+def test_exact_quantiles(spark, frame, monkeypatch, listed, accuracy):
+    """Also where brackets are wide and hold more values than may be listed, so that they are bracketed again."""
+    monkeypatch.setattr(ordered, "LISTED_VALUES", listed)
+    monkeypatch.setattr(ordered, "ACCURACY", accuracy)
     pdf, df = frame
     shares = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    got = exact_quantiles(df, "x", shares, ranges)
+    got = exact_quantiles(df, "x", shares)
     assert np.allclose(got, pdf["x"].quantile(shares).to_numpy())
+    x = np.random.default_rng(3).normal(size=4000).round(2)
+    some = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 5, "x DOUBLE").repartition(3)
+    assert np.allclose(exact_quantiles(some, "x", [0.013, 0.5, 0.977]), np.quantile(x, [0.013, 0.5, 0.977]))
+    assert exact_quantiles(some.filter("x IS NULL"), "x", [0.5]) == [None]
+    assert exact_quantiles(some.limit(0).union(spark.createDataFrame([(7.5,)], "x DOUBLE")), "x", [0.0, 0.3, 1.0]) == [7.5] * 3
