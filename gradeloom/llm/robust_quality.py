@@ -208,7 +208,9 @@ def judge(statistics: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     Documents that fail the base rules take no part in the estimates. Null languages and
     sources are groups of their own. An empty table gives no rows.
     """
-    marked = statistics.withColumns({"base_failed": base_failed(), "x": vector(), "of_lang": F.xxhash64("lang"), "group": F.xxhash64("lang", "source")})
+    # a hash passes over nulls, so whether there is a value is hashed too
+    name = lambda c: [F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))]
+    marked = statistics.withColumns({"base_failed": base_failed(), "x": vector(), "of_lang": F.xxhash64(*name("lang")), "group": F.xxhash64(*name("lang"), *name("source"))})
     live = marked.filter(~F.col("base_failed"))
     # one run for the groups and for the languages, told apart by the sign bit of their hashes
     both = live.select(F.explode(F.array(F.shiftleft(F.col("of_lang"), 1), F.shiftleft(F.col("group"), 1) + 1)).alias("group"), "x")

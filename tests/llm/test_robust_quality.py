@@ -92,3 +92,13 @@ def test_odd_rows_and_empty_table(odd, odd_rows, nothing):
     assert kept.columns == odd.columns and kept.count() == sum(r.kept for r in judged)
     assert {r.n_words for r in kept.collect()} == {"clash"}
     assert rq.judged_documents(nothing).count() == 0 and rq.kept_documents(nothing).count() == 0
+
+
+def test_a_language_without_sources_is_not_a_source_without_language(spark):
+    """The two groups differ in their words; together they would make each other's documents outliers or normal."""
+    rnd = random.Random(4)
+    say = lambda low, high: " ".join("x" * rnd.randint(low, high) for _ in range(60))
+    rows = [(i, say(3, 5), "en", None) for i in range(300)] + [(i, say(13, 15), None, "en") for i in range(300, 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    far = {r.doc_id: r.distance for r in rq.judged_documents(df).collect()}
+    assert max(far.values()) < 20 and max(far[i] for i in range(300)) > 0
