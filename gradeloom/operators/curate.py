@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gradeloom.fixed_values import LINT_DIRECTIVES, SAFE_LICENSES
 from gradeloom.operators.ordered import exact_quantiles
@@ -66,6 +66,30 @@ def unreadable_reports(df: DataFrame, name: str = "pylint_score") -> DataFrame:
     return df.filter(F.col(name).isNull())
 
 
+def report_fault(report: str = "pylint_text", name: str = "pylint_score") -> Column:
+    """Why a row has no lint score: ``missing report`` or ``unreadable report``; null where it has one."""
+    return F.when(F.col(report).isNull(), "missing report").when(F.col(name).isNull(), "unreadable report")
+
+
+def quarantine(df: DataFrame, fault: Column, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """One pass into two sinks: rows without a fault, and rows with one in column ``fault``.
+
+    Both are written below ``path`` from a single evaluation of ``df`` and read back; an
+    earlier content of ``path`` is replaced. The third value says how many rows were
+    ``read``, ``kept`` and ``quarantined``, counted while they were written.
+    """
+    seen = Observation()
+    marked = df.withColumn("fault", fault)
+    counted = marked.observe(
+        seen, F.count(F.lit(1)).alias("read"), F.count_if(F.col("fault").isNull()).alias("kept"), F.count_if(F.col("fault").isNotNull()).alias("quarantined")
+    )
+    tagged = counted.withColumn("sink", F.when(F.col("fault").isNull(), "kept").otherwise("quarantined"))
+    tagged.write.mode("overwrite").partitionBy("sink").parquet(path)
+    rows = df.sparkSession.read.schema(tagged.schema).parquet(path)
+    kept = rows.filter("sink = 'kept'").drop("sink", "fault")
+    return kept, rows.filter("sink = 'quarantined'").drop("sink"), dict(seen.get)
+
+
 def expand_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     """JSON keys become columns of the same row; nothing can shift between rows."""
     parsed = F.from_json(F.col(column), schema)

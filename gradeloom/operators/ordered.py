@@ -183,7 +183,7 @@ def _bracket(values: DataFrame, shares: list[float]) -> tuple[int, list[tuple[fl
 
 
 def _listed(values: DataFrame, brackets: list[tuple[float, float]]) -> list[tuple] | None:
-    """(value or None, rows) in order: values inside the brackets one by one, the rows between them together; None if there are too many."""
+    """(rows, smallest, largest) in order: values inside the brackets one by one, those between them together; None if there are too many."""
     merged: list[list[float]] = []
     for lo, hi in sorted(brackets):
         if merged and lo <= merged[-1][1]:
@@ -192,11 +192,11 @@ def _listed(values: DataFrame, brackets: list[tuple[float, float]]) -> list[tupl
             merged.append([lo, hi])
     gap = reduce(add, [(F.col("v") > hi).cast("int") for _, hi in merged])
     inside = reduce(or_, [F.col("v").between(lo, hi) for lo, hi in merged])
-    rows = values.groupBy(gap.alias("gap"), F.when(inside, F.col("v")).alias("v")).count().limit(LISTED_VALUES + 1).collect()
+    cells = values.groupBy(gap.alias("gap"), F.when(inside, F.col("v")).alias("own"))
+    rows = cells.agg(F.count("v").alias("rows"), F.min("v").alias("least"), F.max("v").alias("most")).limit(LISTED_VALUES + 1).collect()
     if len(rows) > LISTED_VALUES:
         return None
-    # what stands in a gap lies below the bracket with its number
-    return [(r["v"], r["count"]) for r in sorted(rows, key=lambda r: (r["gap"], r["v"] is not None, r["v"] or 0.0))]
+    return [(r["rows"], r["least"], r["most"]) for r in sorted(rows, key=lambda r: r["least"])]
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
@@ -223,12 +223,15 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[flo
         brackets = narrower
 
     def value_at(rank: int) -> float:
+        # a rank next to a bracket, as its rounding may have it, is the last or first of what stands between
         upto = 0
-        for value, rows in listed:
+        for rows, least, most in listed:
+            if upto == rank or (rank < upto + rows and least == most):
+                return float(least)
+            if rank == upto + rows - 1:
+                return float(most)
             upto += rows
-            if rank < upto:
-                return float(value)
-        raise AssertionError("a rank beyond the last row")
+        raise AssertionError(f"rank {rank} is in no bracket")
 
     results = []
     for p in shares:

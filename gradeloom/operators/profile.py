@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -128,3 +130,31 @@ def weight_summary(df: DataFrame, column: str = "weight") -> DataFrame:
 
 def submission_totals(df: DataFrame, user: str = "user_id") -> DataFrame:
     return df.agg(F.count_distinct(user).alias("total_users"), F.count(F.lit(1)).alias("total_submissions"))
+
+
+# --- quantiles from stored sketches ----------------------------------------------------
+
+
+def sketch_size(rank_error: float) -> int:
+    """Size of a KLL sketch whose quantiles are off by at most this share of the rows, with 99 % confidence."""
+    return max(8, min(65_535, math.ceil((2.296 / rank_error) ** (1 / 0.9723))))
+
+
+def quantile_sketches(df: DataFrame, columns: list[str], by: list[str], rank_error: float = 0.005) -> DataFrame:
+    """(by, column, n, sketch): a mergeable sketch of each column for each part of the rows, to be stored.
+
+    An opt-in beside the exact quantiles: once the parts of a day are written, quantiles of any
+    span of parts come from ``merged_quantiles`` without reading rows again. Nulls are left out.
+    """
+    size = sketch_size(rank_error)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(*by, F.inline(pairs)).filter(F.col("v").isNotNull())
+    return long.groupBy(*by, "column").agg(F.count("v").alias("n"), F.kll_sketch_agg_double("v", size).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, column, n, share, value): quantiles of the rows behind all sketches of a column and group."""
+    merged = sketches.groupBy(*(by or []), "column").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    asked = F.array(*[F.lit(float(p)) for p in shares])
+    found = F.arrays_zip(asked.alias("share"), F.kll_sketch_get_quantile_double("sketch", asked).alias("value"))
+    return merged.select(*(by or []), "column", "n", F.inline(found))

@@ -128,15 +128,16 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), width)
 
 
-def _cluster_distances(labels: list, sizes: np.ndarray, sums: np.ndarray):
-    """Arrow function: (mean distance to the own cluster, smallest to any other) among these clusters."""
-    position = pd.Index(labels)
+def _cluster_distances(block):
+    """Arrow function: (mean distance to the own cluster, smallest to any other) among the clusters of a broadcast (labels, sizes, sums)."""
     result = pa.struct([("own", pa.float64()), ("other", pa.float64())])
 
     @arrow_udf("STRUCT<own: DOUBLE, other: DOUBLE>")
     def distances(units: pa.Array, own_labels: pa.Array) -> pa.Array:
         if not len(units):
             return pa.array([], type=result)
+        labels, sizes, sums = block.value
+        position = pd.Index(labels)
         total = sizes - _matrix(units) @ sums.T
         rows = np.arange(len(total))
         at = position.get_indexer(pd.Index(own_labels.to_pandas()))
@@ -156,8 +157,9 @@ def silhouettes(
 ) -> DataFrame:
     """Cosine silhouette of every row, from one sum of unit vectors per cluster.
 
-    The cost is rows times clusters, not rows squared. Cluster sums are sent to
-    the tasks in blocks of a fixed size, so any number of clusters works.
+    The cost is rows times clusters, not rows squared. Cluster sums are numbered and
+    broadcast one block of a fixed size after the other; functions carry a block's handle
+    only, so any number of clusters works.
     """
     units = unit_vectors(df, vector)
     sums = stage(
@@ -167,17 +169,14 @@ def silhouettes(
         "cluster-sums",
     )
     shape = sums.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("s")).alias("dim")).first()
-    blocks = max(1, math.ceil(shape["k"] * (shape["dim"] or 1) / numbers_per_block))
-    in_block = F.pmod(F.xxhash64(label), F.lit(blocks))
+    per_block = max(1, numbers_per_block // (shape["dim"] or 1))
+    numbered = with_rank(sums.select(F.col(label).alias("label"), "n", "s"), [], ["label"], "number")
+    numbered = stage(numbered, "cluster-sums")
     found = []
-    for i in range(blocks):
-        rows = sums.filter(in_block == i).collect()
-        if not rows:
-            continue
-        udf = _cluster_distances(
-            [r[label] for r in rows], np.array([r["n"] for r in rows], float), np.array([r["s"] for r in rows])
-        )
-        units = units.withColumn(f"_d{i}", udf("_unit", label))
+    for i in range(math.ceil(shape["k"] / per_block)):
+        rows = numbered.filter(F.col("number").between(i * per_block + 1, (i + 1) * per_block)).toArrow()
+        block = (rows["label"].to_pylist(), rows["n"].to_numpy().astype(float), _matrix(rows["s"].combine_chunks()))
+        units = units.withColumn(f"_d{i}", _cluster_distances(df.sparkSession.sparkContext.broadcast(block))("_unit", label))
         found.append(f"_d{i}")
     own = F.coalesce(*[F.col(f"{c}.own") for c in found])
     other = F.array_min(F.array(*[F.col(f"{c}.other") for c in found]))

@@ -8,6 +8,7 @@ from gradeloom.functions.scalars import owner_of, stamp_to_timestamp, timestamp_
 from gradeloom.operators import curate
 from gradeloom.operators.profile import column_profile
 from gradeloom.plans.checks.tables import EVENTS, events, submissions, table
+from gradeloom.session import scratch_path
 
 # documents have no license; their source stands in for one
 ALLOWED = ["src0", "src1", "src2", "src3", "src4", "src5"]
@@ -70,6 +71,17 @@ def quarantine(spark, folder):
     return curate.unreadable_reports(curate.with_lint_score(rows)).select("event_id", "user_id")
 
 
+def quarantined_reports(spark, folder):
+    """Every event in one of two sinks, written by one pass, whose counts add up."""
+    good = F.lit('{"statistics": {"messageTypeCount": {"fatal": 0, "error": 0}, "score": 5.0}}')
+    text = F.when(F.col("k") % 9 == 4, F.lit(None)).when(F.col("k") % 9 == 7, F.lit("{broken")).otherwise(good)
+    rows = curate.with_lint_score(events(spark, folder).withColumn("pylint_text", text))
+    kept, bad, counts = curate.quarantine(rows, curate.report_fault(), scratch_path(spark, "quarantine"))
+    adds_up = counts["read"] == counts["kept"] + counts["quarantined"]
+    both = kept.withColumn("fault", F.lit("")).unionByName(bad)
+    return both.select("event_id", "fault", F.lit(adds_up).alias("adds_up"), F.lit(counts["read"]).alias("n_read"))
+
+
 def json_columns(spark, folder):
     """The schema of the JSON is found from the data."""
     rows = table(spark, folder, "events")
@@ -117,6 +129,7 @@ QUERIES = {
     "b5_directive_exclusion": directives,
     "b7_drop_unscored": unscored,
     "b8_lint_score": lint_reports,
+    "b8_quarantine": quarantined_reports,
     "b8_unreadable_reports": quarantine,
     "b9_json_columns": json_columns,
     "b10_training_names": training_names,
@@ -145,6 +158,9 @@ ORACLES = {
         SELECT doc_id, source FROM documents
         WHERE NOT regexp_matches(text, '[Ll]icen[cs]e') AND NOT regexp_matches(text, 'https?://')""",
     "b7_drop_unscored": f"SELECT event_id, k AS score FROM {EVENTS} WHERE k <> 0",
+    "b8_quarantine": f"""
+        SELECT event_id, CASE k % 9 WHEN 4 THEN 'missing report' WHEN 7 THEN 'unreadable report' ELSE '' END AS fault, true AS adds_up,
+          CAST(count(*) OVER () AS INTEGER) AS n_read FROM {EVENTS}""",
     "b8_lint_score": f"""
         SELECT event_id, CASE WHEN k = 50 THEN NULL WHEN k < 5 OR k % 10 = 7 THEN CAST(-1 AS DOUBLE) ELSE value END AS pylint_score
         FROM {EVENTS}""",

@@ -10,6 +10,7 @@ from gradeloom.operators.ordered import moving_mean, with_rank
 from gradeloom.operators.retraining import combine, with_decay_weight
 from gradeloom.operators.split import with_split
 from gradeloom.plans.checks.tables import EVENTS, events, table
+from gradeloom.session import stage
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PREDICTIONS = {"low": "low", "high": "high"}
@@ -25,6 +26,19 @@ def quantiles(spark, folder):
     )
 
 
+SPAN = [0.01, 0.25, 0.5, 0.9, 0.99]
+
+
+def stored_sketches(spark, folder):
+    """Quantiles of all documents from stored sketches of their parts: each has its rank, give or take the stated error."""
+    docs, error = table(spark, folder, "documents"), 0.01
+    sketches = stage(profile.quantile_sketches(docs, ["n_chars"], ["lang", "source"], error), "sketches")
+    found = profile.merged_quantiles(sketches, SPAN).collect()  # a row for each share
+    below = docs.agg(*[F.struct(F.count_if(F.col("n_chars") < r["value"]).alias("lo"), F.count_if(F.col("n_chars") <= r["value"]).alias("hi")).alias(str(i)) for i, r in enumerate(found)])
+    inside = lambda i, r: (F.col(f"{i}.lo") <= (r["share"] + error) * r["n"]) & (F.col(f"{i}.hi") >= (r["share"] - error) * r["n"])
+    return below.select(F.inline(F.array(*[F.struct(F.lit(r["share"]).alias("share"), F.lit(r["n"]).alias("n"), inside(i, r).alias("inside")) for i, r in enumerate(found)])))
+
+
 def histogram(spark, folder):
     return _edges(profile.histogram(table(spark, folder, "documents"), "n_chars", 400))
 
@@ -138,6 +152,7 @@ def flagged_documents(spark, folder):
 QUERIES = {
     "f1_value_counts": value_counts,
     "f2_quantiles": quantiles,
+    "f2_stored_sketches": stored_sketches,
     "f3_histogram": histogram,
     "f4_histogram_by_score": histogram_by_score,
     "f5_skewness": skewness,
@@ -185,6 +200,7 @@ def _metrics_sql(label: str, prediction: str, digits: int = 4) -> str:
 
 ORACLES = {
     "f1_value_counts": "SELECT source, count(*) AS n FROM documents GROUP BY source",
+    "f2_stored_sketches": f"SELECT CAST(share AS DOUBLE) AS share, CAST(n AS INTEGER) AS n, true AS inside FROM (SELECT unnest({SPAN}) AS share), (SELECT count(n_chars) AS n FROM documents)",
     "f2_quantiles": " UNION ALL ".join(
         f"SELECT CAST({p} AS DOUBLE) AS share, round(CAST(quantile_cont(n_chars, {p}) AS DOUBLE), 6) AS value FROM documents"
         for p in (0.0, 0.25, 0.5, 0.99, 1.0)

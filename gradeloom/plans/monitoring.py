@@ -17,12 +17,20 @@ from gradeloom.sources.registry import Registry
 from gradeloom.sources.submissions import read_submissions
 
 
-def prepared_submissions(rows: DataFrame, reports: DataFrame, features: list[str] = fixed.TRANSFORMED_FEATURES) -> DataFrame:
-    """Valid submissions with their features as columns and a lint score. ``reports``: (id, pylint_text)."""
+def prepared_submissions(
+    rows: DataFrame, reports: DataFrame, features: list[str] = fixed.TRANSFORMED_FEATURES, quarantine: str | None = None
+) -> DataFrame:
+    """Valid submissions with their features as columns and a lint score. ``reports``: (id, pylint_text).
+
+    Submissions without a readable report go to the folder ``quarantine``, if one is named.
+    """
     valid = curate.drop_unscored(rows, "prediction_output")
     expanded = curate.for_training(curate.expand_map(valid, "extracted_features", features))
-    scored = curate.drop_unscored(curate.with_lint_score(reports), "pylint_score").select("id", "pylint_score")
-    return expanded.join(scored, "id").withColumn("developer", owner_of(F.col("repo_name")))
+    scored = curate.with_lint_score(reports).select("id", "pylint_text", "pylint_score")
+    labelled = expanded.join(scored, "id", "left").withColumn("developer", owner_of(F.col("repo_name")))
+    fault = curate.report_fault()
+    kept = curate.quarantine(labelled, fault, quarantine)[0] if quarantine else labelled.filter(fault.isNull())
+    return curate.drop_unscored(kept, "pylint_score").drop("pylint_text")
 
 
 def monitoring_report(
@@ -33,13 +41,14 @@ def monitoring_report(
     version: int | None = None,
     max_time: str | None = None,
     features: list[str] = fixed.TRANSFORMED_FEATURES,
+    quarantine: str | None = None,
 ) -> DataFrame:
     """One row: error decline and feature drift of a version against its training data."""
     if version is None:
         version = registry.resolve_alias(model_name, fixed.PRODUCTION_ALIAS)
     old_rmse, train = registry.training_set(model_name, version)
     rows, stamp = read_submissions(submissions, str(version), max_time)
-    current = stage(prepared_submissions(rows, reports, features), "prepared")
+    current = stage(prepared_submissions(rows, reports, features, quarantine), "prepared")
     decline = performance_decline(current, "pylint_score", "prediction_output", old_rmse)
     return monitoring_record(decline, drift_share(drift(train, current, features)), str(version), stamp)
 
@@ -56,6 +65,7 @@ def retrain(
     test_share: float = fixed.TEST_SHARE,
     seed: int = 0,
     trials: list[dict] | None = None,
+    quarantine: str | None = None,
 ):
     """Fit on old and new data with decayed weights; compare old and new model on new owners.
 
@@ -66,7 +76,7 @@ def retrain(
     old_model = registry.load_model(model_name, version)
     old = fill_created_at(read_stage(registry.spark, run["tags"]["dataset"]), F.lit(run["end_time"]))
     rows, _ = read_submissions(submissions, str(version), stamp)
-    new = prepared_submissions(rows, reports, features)
+    new = prepared_submissions(rows, reports, features, quarantine)
     old_keyed = old.withColumn("row_key", F.concat(F.lit("old-"), F.col("file_id" if "file_id" in old.columns else "row_key").cast("string")))
     new_keyed = new.withColumn("row_key", F.concat(F.lit("new-"), F.col("id").cast("string")))
     path = write_stage(combine(old_keyed, new_keyed), f"grown_set_{version}_{stamp}", dataset_root)

@@ -23,14 +23,19 @@ def curated_corpus(raw: DataFrame) -> DataFrame:
     return curate.exclude_directives(sized)
 
 
-def labelled_features(corpus: DataFrame, reports: DataFrame, feature_stage=transformed_features) -> DataFrame:
+def labelled_features(corpus: DataFrame, reports: DataFrame, feature_stage=transformed_features, quarantine: str | None = None) -> DataFrame:
     """Features and score per file. ``reports`` has ``file_id`` and ``pylint_text``.
 
-    The text is dropped before the join, so only numbers are shuffled.
+    The text is dropped before the join, so only numbers and reports are shuffled. Files
+    without a report, or with one that cannot be read, go to the folder ``quarantine``
+    by the pass that writes the others; without a folder they are left out.
     """
     featured = feature_stage(keep_executable(with_code_facts(corpus))).drop("text", "facts")
-    scores = curate.drop_unscored(curate.with_lint_score(reports), "pylint_score").select("file_id", "pylint_score")
-    return featured.join(scores, "file_id").withColumn("developer", owner_of(F.col("repo_name")))
+    scored = curate.with_lint_score(reports).select("file_id", "pylint_text", "pylint_score")
+    labelled = featured.join(scored, "file_id", "left").withColumn("developer", owner_of(F.col("repo_name")))
+    fault = curate.report_fault()
+    kept = curate.quarantine(labelled, fault, quarantine)[0] if quarantine else labelled.filter(fault.isNull())
+    return curate.drop_unscored(kept, "pylint_score").drop("pylint_text")
 
 
 def train_and_register(

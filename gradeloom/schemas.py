@@ -16,7 +16,7 @@ RUNS = (
     "metrics MAP<STRING,DOUBLE>, end_time TIMESTAMP"
 )
 MODEL_VERSIONS = ("name STRING, version INT, run_id STRING, created_at TIMESTAMP")
-ALIASES = ("name STRING, alias STRING, version INT, moved_at TIMESTAMP")
+ALIASES = ("name STRING, alias STRING, version INT, moved_at TIMESTAMP, move BIGINT")
 
 EFFECTS = ("model_version INT, feature STRING, kind STRING, lo DOUBLE, hi DOUBLE")
 DEPENDENCIES = ("model_version INT, feature STRING, pos INT, dependency STRING, min_value DOUBLE")

@@ -1,10 +1,11 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import curate
+from gradeloom.operators import curate, profile
 from gradeloom.operators.monitor import chi_square_p_value, drift, drift_share, kolmogorov_p_value, limit_kolmogorov_p_value, two_share_p_value
 from gradeloom.operators.retraining import combine, retrain_split, with_decay_weight
 from gradeloom.operators.split import count_common_owners, split_by_owner, split_by_row, with_split
@@ -168,3 +169,35 @@ def test_trees_too_deep_are_refused(spark):
         forest("y", max_depth=31)
     depths = [t["max_depth"] for t in draw_trials(2000)]
     assert (min(depths), max(depths)) == (3, 30) and depths.count(30) < 200
+
+
+def test_quarantine_is_one_pass(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            reads.add(len(r))
+            yield r
+
+    good = json.dumps({"statistics": {"messageTypeCount": {"fatal": 0, "error": 0}, "score": 5.0}})
+    df = spark.createDataFrame([(1, good), (2, None), (3, "{"), (4, good)], "id INT, pylint_text STRING").mapInPandas(seen, "id INT, pylint_text STRING")
+    kept, bad, counts = curate.quarantine(curate.with_lint_score(df), curate.report_fault(), str(tmp_path / "q"))
+    assert reads.value == 4 and counts == {"read": 4, "kept": 2, "quarantined": 2}
+    assert sorted(r.id for r in kept.collect()) == [1, 4] and kept.columns == ["id", "pylint_text", "pylint_score"]
+    assert {r.id: r.fault for r in bad.collect()} == {2: "missing report", 3: "unreadable report"}
+    kept, bad, counts = curate.quarantine(curate.with_lint_score(df.filter("id = 1")), curate.report_fault(), str(tmp_path / "q"))
+    assert (kept.count(), bad.count(), counts["quarantined"]) == (1, 0, 0)
+
+
+@pytest.mark.parametrize("error", [0.01, 0.002])
+def test_sketches_merge_within_their_error(spark, error):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.lognormal(3, 2, 30_000), 1)
+    df = spark.createDataFrame([(i % 7, float(v)) for i, v in enumerate(x)] + [(0, None)], "day INT, x DOUBLE").repartition(5)
+    parts = profile.quantile_sketches(df, ["x"], ["day"], error).cache()
+    assert parts.count() == 7
+    for rows, span in ((parts, x), (parts.filter("day < 2"), x[np.arange(len(x)) % 7 < 2])):
+        for r in profile.merged_quantiles(rows, [0.0, 0.05, 0.5, 0.999, 1.0]).collect():
+            assert r["n"] == len(span)
+            assert (span < r["value"]).mean() <= r["share"] + error and (span <= r["value"]).mean() >= r["share"] - error
+    assert len(profile.merged_quantiles(parts, [0.5], ["day"]).collect()) == 7

@@ -1,6 +1,7 @@
 """From a raw corpus to training, scoring, monitoring, retraining and streaming, on a small corpus."""
 
 import json
+from multiprocessing.pool import ThreadPool
 from datetime import datetime, timezone
 
 import pytest
@@ -312,3 +313,35 @@ def test_submissions_without_an_id_or_a_time_count_once(spark, tmp_path):
 def test_first_arrivals_read_no_sink(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a"), (None, "a")], "id LONG, x STRING")
     assert sorted((r.id or 0) for r in first_arrivals(df).collect()) == [0, 1]
+
+
+def test_concurrent_writers_get_numbers_of_their_own(spark, tmp_path):
+    registries = [Registry(spark, str(tmp_path)) for _ in range(6)]
+    with ThreadPool(6) as pool:
+        numbers = pool.map(lambda i: registries[i].register("price/1", f"run{i}"), range(6))
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+    assert {r.version: r.run_id for r in registries[0].versions.collect()} == {n: f"run{i}" for i, n in enumerate(numbers)}
+    assert registries[1].register("other", "x") == 1 and registries[2].register("price/1", "y") == 7
+
+
+def test_the_last_move_of_an_alias_holds_whatever_the_clock(spark, tmp_path, monkeypatch):
+    registry = Registry(spark, str(tmp_path))
+    registry.set_alias("price", "production", 4)
+
+    class Behind:
+        now = staticmethod(lambda zone: datetime(2001, 1, 1, tzinfo=zone))
+
+    monkeypatch.setattr("gradeloom.sources.registry.datetime", Behind)
+    registry.set_alias("price", "production", 3)
+    assert registry.resolve_alias("price", "production") == 3
+
+
+def test_files_without_a_readable_report_are_quarantined(spark, world, tmp_path):
+    corpus = spark.createDataFrame([(1, source(1), "a/x"), (2, source(2), "b/x"), (3, source(3), "c/x")], "file_id LONG, text STRING, repo_name STRING")
+    good = json.dumps({"statistics": {"messageTypeCount": {"fatal": 0, "error": 0}, "score": 5.0}})
+    reports = spark.createDataFrame([(1, good), (2, "{")], "file_id LONG, pylint_text STRING")
+    kept = labelled_features(corpus, reports, quarantine=str(tmp_path / "q"))
+    plain = labelled_features(corpus, reports)
+    assert kept.columns == plain.columns and [r.file_id for r in kept.collect()] == [r.file_id for r in plain.collect()] == [1]
+    bad = spark.read.parquet(str(tmp_path / "q")).filter("sink = 'quarantined'").collect()
+    assert {r.file_id: r.fault for r in bad} == {2: "unreadable report", 3: "missing report"}

@@ -91,5 +91,7 @@ def test_exact_quantiles(spark, frame, monkeypatch, listed, accuracy):
     x = np.random.default_rng(3).normal(size=4000).round(2)
     some = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 5, "x DOUBLE").repartition(3)
     assert np.allclose(exact_quantiles(some, "x", [0.013, 0.5, 0.977]), np.quantile(x, [0.013, 0.5, 0.977]))
+    for n in (2, 3, 7, 50, 215, 999):
+        assert np.allclose(exact_quantiles(spark.range(n).selectExpr("CAST(id * id AS DOUBLE) AS x"), "x", shares + [0.07, 0.333]), np.quantile(np.arange(n) ** 2, shares + [0.07, 0.333]))
     assert exact_quantiles(some.filter("x IS NULL"), "x", [0.5]) == [None]
     assert exact_quantiles(some.limit(0).union(spark.createDataFrame([(7.5,)], "x DOUBLE")), "x", [0.0, 0.3, 1.0]) == [7.5] * 3
