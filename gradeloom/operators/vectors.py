@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
 from gradeloom.fixed_values import SPECIAL_TOKENS, WINDOW_OVERLAP, WINDOW_TOKENS
@@ -440,3 +440,141 @@ def similar_pairs(
     gap = F.greatest(F.abs(F.col("one_hi") - F.col("other_lo")), F.abs(F.col("other_hi") - F.col("one_lo")))
     found = both.select("a", "b", product.alias("cosine"), gap.alias("gap")).filter(F.col("cosine") >= min_cosine)
     return found.unionByName(_own_pairs(groups, min_gap))
+
+
+# --- neighbours, and a layout that keeps them ----------------------------------------------
+
+#: Orders that rows are sorted in for the first neighbours, rows looked at behind each, and joins of neighbours with neighbours.
+FIRST_ORDERS, FIRST_ROWS, DESCENTS = 8, 8, 3
+
+
+def _dot_product():
+    """Arrow function: product of two vectors of one length."""
+
+    @arrow_udf("DOUBLE")
+    def dot(one: pa.Array, other: pa.Array) -> pa.Array:
+        return pa.array(np.einsum("ij,ij->i", _matrix(one), _matrix(other)) if len(one) else [], pa.float64())
+
+    return dot
+
+
+def _first_neighbours(units: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) that stand close to each other in some order by the signs of random projections."""
+
+    @arrow_udf("ARRAY<BIGINT>")
+    def codes(vectors: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.list_(pa.int64()))
+        x = _matrix(vectors)
+        draw = np.random.default_rng(seed)
+        weights = 1 << np.arange(62, dtype=np.int64)[::-1]
+        found = np.stack([((x @ draw.normal(size=(x.shape[1], 62))) >= 0) @ weights for _ in range(FIRST_ORDERS)], 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, FIRST_ORDERS, dtype=np.int32)), pa.array(found.ravel()))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            orders, ids = np.concatenate([orders, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(2).to_numpy()])
+            for gap in range(1, min(FIRST_ROWS, len(ids) - 1) + 1):
+                same = orders[gap:] == orders[:-gap]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:-gap][same]), pa.array(ids[gap:][same])], names=["a", "b"])
+            orders, ids = orders[-FIRST_ROWS:], ids[-FIRST_ROWS:]
+
+    coded = units.select("id", F.posexplode(codes("unit")).alias("order", "code")).select(F.col("order").cast("bigint").alias("order"), "code", "id")
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = coded.repartitionByRange(parts, "order", "code", "id").sortWithinPartitions("order", "code", "id")
+    return ordered.mapInArrow(link, "a BIGINT, b BIGINT").filter("a <> b").distinct()
+
+
+def _nearest(pairs: DataFrame, by: str, k: int) -> DataFrame:
+    """Of each value of ``by`` the ``k`` pairs with the largest cosine; others are cut off before the shuffle."""
+    other = "b" if by == "a" else "a"
+    order = W.partitionBy(by).orderBy(F.desc("cosine"), other)
+    return pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+
+
+def neighbour_graph(df: DataFrame, key: str, vector: str, k: int = 10, seed: int = 0, descents: int = DESCENTS) -> DataFrame:
+    """(a, b, cosine): about the ``k`` rows with the largest cosine to each row.
+
+    Approximate: the first neighbours stand next to each other in a few orders; then what is
+    a neighbour of a neighbour is tried, some rounds in a row. A row is compared with a
+    bounded number of others in each round, whatever the table's size. Keys have to be whole
+    numbers, one for each row.
+    """
+    units = stage(unit_vectors(df, vector).select(F.col(key).cast("bigint").alias("id"), F.col("_unit").alias("unit")), "units")
+    one, other = units.select(F.col("id").alias("a"), F.col("unit").alias("one")), units.select(F.col("id").alias("b"), F.col("unit").alias("other"))
+
+    dot = _dot_product()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(one, "a").join(other, "b").select("a", "b", dot("one", "other").alias("cosine"))
+
+    def both_ways(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def with_turned(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b", "cosine").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+
+    graph = stage(_nearest(with_turned(scored(_first_neighbours(units, seed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())), "a", k), "neighbours")
+    for _ in range(descents):
+        # a row's neighbours, and the closest of the rows whose neighbour it is
+        near = stage(both_ways(graph.select("a", "b").union(_nearest(graph, "b", k).select("a", "b"))).distinct(), "near")
+        left, right = near.select("a", F.col("b").alias("x")), near.select("a", F.col("b").alias("y"))
+        met = left.join(right, "a").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        new = with_turned(scored(met)).join(graph.select("a", "b"), ["a", "b"], "left_anti")
+        graph = stage(_nearest(graph.unionByName(new), "a", k), "neighbours")
+    return graph
+
+
+def project_neighbours(df: DataFrame, key: str, vector: str = "embedding", k: int = 10, steps: int = 40, seed: int = 0, graph: DataFrame | None = None) -> DataFrame:
+    """(key, x, y): a layout in which neighbours stand close to each other.
+
+    The two smoothest functions on the graph of neighbours: eigenvectors of its normalised
+    adjacency next to the constant one, by power iteration. A step is a join of the edges
+    with the values and a sum; after some steps a few sums over all rows make the two
+    independent of each other and of the constant again. Rows without a neighbour stand at the
+    origin. ``graph`` is a table as of ``neighbour_graph``, if there is one already.
+    """
+    graph = neighbour_graph(df, key, vector, k, seed) if graph is None else graph
+    edges = graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = stage(edges.groupBy("a").agg(F.sqrt(F.count(F.lit(1)).cast("double")).alias("root")), "degrees")
+    weighted = edges.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("root").alias("root_b")), "b")
+    # half of the step is to stay, which keeps alternating functions out
+    weighted = weighted.select("a", "b", (0.5 / F.col("root") / F.col("root_b")).alias("w")).union(degree.select("a", F.col("a").alias("b"), F.lit(0.5).alias("w")))
+    weighted = stage(weighted, "weights")
+    noise = lambda name: F.xxhash64("a", F.lit(f"{seed}{name}")) / F.lit(2.0**63)
+    values = degree.select("a", "root", noise("x").alias("x"), noise("y").alias("y"))
+    done = 0
+    while done < steps:
+        for _ in range(min(STEPS_AT_ONCE, steps - done)):
+            moved = weighted.join(values.select(F.col("a").alias("b"), "x", "y"), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"))
+            values = moved.join(degree, "a")
+        done += STEPS_AT_ONCE
+        values = stage(values, "layout")
+        names = ("root", "x", "y")
+        s = values.agg(*[F.sum(F.col(i) * F.col(j)).alias(i + j) for i in names for j in names]).first()
+        if not s["rootroot"]:
+            break
+        product = np.array([[s[i + j] for j in names] for i in names])
+        # columns of this are the constant, and x and y freed from it and from each other
+        turn = np.linalg.solve(np.linalg.cholesky(product + 1e-300 * np.eye(3)), np.eye(3))
+        values = values.select("a", "root", *[sum((F.col(n) * float(turn[i, j]) for j, n in enumerate(names)), F.lit(0.0)).alias(c) for i, c in ((1, "x"), (2, "y"))])
+    placed = values.select(F.col("a").alias("_a"), (F.col("x") / F.col("root")).alias("x"), (F.col("y") / F.col("root")).alias("y"))
+    rows = df.select(key).join(placed, F.col(key).cast("bigint") == F.col("_a"), "left")
+    return rows.select(key, F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+
+
+#: Steps of the layout between two tables.
+STEPS_AT_ONCE = 5
+
+
+def kept_neighbours(layout: DataFrame, key: str, graph: DataFrame, k: int = 10) -> DataFrame:
+    """One row, ``kept``: the share of the graph's edges whose ends are among each other's ``k`` nearest in the layout (columns x and y).
+
+    The plane is bent onto a small part of a sphere, where nearer means a larger cosine.
+    """
+    wide = layout.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).scalar()
+    bent = layout.select(key, F.array((F.col("x") / wide).alias("x"), F.col("y") / wide, F.lit(8.0)).alias("place"))
+    flat = neighbour_graph(bent, key, "place", k)
+    own = graph.select("a", "b", F.lit(1).alias("own")).join(flat.select("a", "b", F.lit(1).alias("found")), ["a", "b"], "left")
+    return own.agg((F.count("found") / F.count("own")).alias("kept"))

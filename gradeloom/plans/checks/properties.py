@@ -139,6 +139,17 @@ def principal_axes(spark, folder):
     )
 
 
+def neighbours_kept(spark, folder):
+    """Of two layouts of the embeddings, the one by neighbours keeps more of them than the principal components do."""
+    rows = stage(table(spark, folder, "embeddings").select("vec_id", "embedding"), "vectors")
+    graph = vectors.neighbour_graph(rows, "vec_id", "embedding", 10)
+    near = stage(vectors.project_neighbours(rows, "vec_id", "embedding", graph=graph), "near")
+    flat = stage(vectors.project_2d(rows).select("vec_id", "x", "y"), "flat")
+    kept = [vectors.kept_neighbours(layout, "vec_id", graph).scalar() for layout in (near, flat)]
+    whole = graph.groupBy("a").agg(F.count("*").alias("n"))
+    return near.join(whole, F.col("vec_id") == F.col("a")).select("vec_id", F.col("n").alias("neighbours"), (kept[0] > kept[1]).alias("more_kept"))
+
+
 def leaves_hold_rows(spark, folder):
     """Every event lies in one leaf of each tree, and the mean of their values is its prediction."""
     rows, model = _fitted(spark, folder)
@@ -276,6 +287,7 @@ QUERIES = {
     "f11_importance_adds_up": importance_adds_up,
     "g15_cluster_sweep": cluster_sweep,
     "g18_principal_axes": principal_axes,
+    "g18_neighbours_kept": neighbours_kept,
     "h2_leaves_hold_rows": leaves_hold_rows,
     "a10_loaded_model_scores": loaded_model,
     "b12_sample_nulls_and_repeats": sample_nulls_and_repeats,
@@ -303,6 +315,7 @@ ORACLES = {
     "f11_importance_adds_up": f"SELECT feature, true AS positive, true AS adds_up FROM (VALUES {', '.join(f"('{c}')" for c in COLUMNS)}) t(feature)",
     "g15_cluster_sweep": "SELECT CAST(k AS INTEGER) AS k, true AS agrees FROM range(2, 5) t(k)",
     "g18_principal_axes": "SELECT count(*) AS n, true AS uncorrelated, true AS in_order FROM embeddings",
+    "g18_neighbours_kept": "SELECT vec_id, CAST(10 AS BIGINT) AS neighbours, true AS more_kept FROM embeddings",
     "h2_leaves_hold_rows": "SELECT event_id, CAST(3 AS BIGINT) AS trees, CAST(3 AS BIGINT) AS leaves, true AS mean_is_prediction FROM events",
     "a10_loaded_model_scores": "SELECT l_orderkey, l_linenumber, true AS same FROM lineitem",
     "b12_sample_nulls_and_repeats": f"""

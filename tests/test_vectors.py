@@ -146,3 +146,31 @@ def test_cells_that_cannot_reach_are_not_compared(spark):
     placed = vectors._with_cell(vectors._rotated(groups, 8), 5)
     cells = placed.select("cell").distinct().count()
     assert vectors._reachable_cells(placed, 5, 8, 0.9).count() < 0.5 * cells * (cells + 1) / 2
+
+
+def test_neighbours_and_their_layout(spark):
+    """Rings: neighbours along a ring stay neighbours, and the graph has nearly all of the true ones."""
+    rng = np.random.default_rng(6)
+    angle = rng.uniform(0, 2 * np.pi, 500)
+    lift = rng.normal(size=(4, 24))
+    x = np.stack([np.cos(angle), np.sin(angle), 0.5 * np.cos(2 * angle), 0.5 * np.sin(2 * angle)], 1) @ lift
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id BIGINT, v ARRAY<DOUBLE>").repartition(4)
+    graph = vectors.neighbour_graph(df, "id", "v", 8).cache()
+    c = cosine(x)
+    np.fill_diagonal(c, -2)
+    true = {(i, int(j)) for i, r in enumerate(np.argsort(-c, 1)[:, :8]) for j in r}
+    found = {(r["a"], r["b"]): r["cosine"] for r in graph.collect()}
+    assert len(found) == 4000 and len(true & set(found)) >= 0.98 * 4000
+    assert all(abs(c[e] - v) < 1e-9 for e, v in found.items())
+    layout = vectors.project_neighbours(df, "id", "v", graph=graph, steps=120)
+    kept = vectors.kept_neighbours(layout, "id", graph, 8).first()["kept"]
+    assert kept > 0.5 and layout.count() == 500
+
+
+def test_layout_of_tiny_tables(spark):
+    schema = "id BIGINT, v ARRAY<DOUBLE>"
+    assert vectors.project_neighbours(spark.createDataFrame([], schema), "id", "v").count() == 0
+    one = vectors.project_neighbours(spark.createDataFrame([(4, [1.0, 2.0])], schema), "id", "v").collect()
+    assert [tuple(r) for r in one] == [(4, 0.0, 0.0)]
+    three = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], schema)
+    assert vectors.project_neighbours(three, "id", "v", steps=4).count() == 3
