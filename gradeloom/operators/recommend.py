@@ -199,13 +199,16 @@ def recommend(
 
 
 def with_message(df: DataFrame, messages: DataFrame) -> DataFrame:
-    """Add the text shown to the user. The score prints with two decimals."""
+    """Add the text shown to the user. The score prints with two decimals. Advice that has no text is an error."""
     entry = F.struct(F.concat_ws("/", "feature", "direction"), "message")
     texts = messages.agg(F.map_from_entries(F.collect_list(entry))).scalar()
     header = F.format_string(fixed.SCORE_HEADER, F.col("score"))
-    lines = F.transform(
-        "recommendations", lambda r: F.concat(F.coalesce(F.col("_texts")[F.concat_ws("/", r["feature"], r["direction"])], F.lit("")), F.lit("\n\n"))
-    )
+
+    def line(r):
+        name = F.concat_ws("/", r["feature"], r["direction"])
+        return F.concat(F.coalesce(F.col("_texts")[name], F.raise_error(F.concat(F.lit("no text for "), name))), F.lit("\n\n"))
+
+    lines = F.transform("recommendations", line)
     message = (
         F.when(F.col("score") == -1, F.lit(fixed.INVALID_MESSAGE))
         .when(F.col("score") == 10, F.concat(header, F.lit(fixed.PERFECT_MESSAGE)))

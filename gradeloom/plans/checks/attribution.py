@@ -134,6 +134,34 @@ def recommendations_from_long(spark, folder):
     return _advice_text(_advised_from_long(spark, folder))
 
 
+#: Rules with everything in them: needs that are met or not, a lasting conflict of two features, and more faults than are reported.
+RULED = ["characters", "line_length_std", "func_density", "long_line", "code_compactness", "has_docstring"]
+RULED_EFFECTS = [
+    ("characters", "range", 20.0, 60.0), ("line_length_std", "range", 20.0, 70.0), ("func_density", "never", None, None),
+    ("long_line", "never", None, None), ("code_compactness", "range", 1.0, 1.0), ("has_docstring", "always", None, None),
+]
+RULED_NEEDS = {"line_length_std": {"effective_lines": 10}, "code_compactness": {"func_density": 0, "effective_lines": 15}}
+
+
+def rules_with_needs(spark, folder):
+    """Advice by all rules: each event is a file whose measures are small functions of its columns."""
+    rows = spread(events(spark, folder), "event_id")
+    k, user = F.col("k").cast("double"), F.col("user_id").cast("double")
+    number = {
+        "characters": F.col("value"), "line_length_std": k, "func_density": user % 3, "long_line": k % 2, "code_compactness": user % 4, "has_docstring": (user + k) % 2,
+    }
+    scored = rows.select(
+        F.col("event_id").alias("row_id"),
+        F.lit(5.0).alias("score"),
+        F.map_from_arrays(F.array(*[F.lit(c) for c in RULED]), F.array(*[number[c].cast("double") for c in RULED])).alias("extracted_features"),
+        (F.col("k") % 23).cast("int").alias("effective_lines"),
+        # an order of the features that differs from event to event
+        F.array(*[((F.col("event_id") * (2 * i + 3) + 5 * i) % 17).cast("double") for i in range(len(RULED))]).alias("phi"),
+    )
+    effects = spark.createDataFrame(RULED_EFFECTS, "feature STRING, kind STRING, lo DOUBLE, hi DOUBLE")
+    return _advice_text(rec.recommend_rows(scored, effects, rec.dependencies_table(spark, 1, RULED_NEEDS), RULED, log_features=[]))
+
+
 def messages(spark, folder):
     texts = rec.messages_table(spark, 1, MESSAGES)
     shown = rec.with_message(_advised(spark, folder), texts)
@@ -169,6 +197,7 @@ QUERIES = {
     "h4_merged_effects": merged_effects,
     "h5_recommendations": recommendations,
     "h5_recommendations_from_long": recommendations_from_long,
+    "h5_rules_with_needs": rules_with_needs,
     "h6_messages": messages,
     "e4_effect_lookup": effect_lookup,
     "f16_ranked_features": ranked_features,
@@ -216,7 +245,44 @@ _WANTED = f"""
        ] IF x.text IS NOT NULL AND k >= 10]) AS items
    FROM {EVENTS})"""
 
+
+
+def _rules_sql() -> str:
+    """The rules step by step: one layer for every feature in its turn, each of at most two changes, and the conflict of two features."""
+    has = lambda at, f: f"len(list_filter({at}, lambda x: split_part(x, ':', 1) = {f})) > 0"
+    parts = [f"""
+      m AS (SELECT event_id AS row_id, value, CAST(k AS DOUBLE) AS k, CAST(user_id AS DOUBLE) AS u, CAST(k AS INTEGER) % 23 AS lines FROM {EVENTS}),
+      asked AS (SELECT row_id, lines, u % 3 AS density, list_sort([
+          {{'phi': (row_id * 3) % 17, 'pos': 0, 'f': 'characters', 'd': CASE WHEN value < 20 THEN 'increase' WHEN value > 60 THEN 'decrease' END}},
+          {{'phi': (row_id * 5 + 5) % 17, 'pos': 1, 'f': 'line_length_std', 'd': CASE WHEN k < 20 THEN 'increase' WHEN k > 70 THEN 'decrease' END}},
+          {{'phi': (row_id * 7 + 10) % 17, 'pos': 2, 'f': 'func_density', 'd': CASE WHEN u % 3 > 0 THEN 'decrease' END}},
+          {{'phi': (row_id * 9 + 15) % 17, 'pos': 3, 'f': 'long_line', 'd': CASE WHEN k % 2 > 0 THEN 'decrease' END}},
+          {{'phi': (row_id * 11 + 20) % 17, 'pos': 4, 'f': 'code_compactness', 'd': CASE WHEN u % 4 < 1 THEN 'increase' WHEN u % 4 > 1 THEN 'decrease' END}},
+          {{'phi': (row_id * 13 + 25) % 17, 'pos': 5, 'f': 'has_docstring', 'd': CASE WHEN (u + k) % 2 = 0 THEN 'increase' END}}]) AS items FROM m),
+      a0 AS (SELECT *, CAST([] AS VARCHAR[]) AS advice FROM asked)"""]
+    for i in range(1, len(RULED) + 1):
+        item = f"items[{i}]"
+        parts += [
+            f"""c{i} AS (SELECT *, CASE
+                WHEN {item}.d IS NULL OR len(advice) >= 3 OR {has('advice', item + '.f')} THEN CAST([] AS VARCHAR[])
+                WHEN {item}.f = 'line_length_std' THEN [CASE WHEN lines > 10 THEN {item}.f || ':' || {item}.d ELSE 'effective_lines:increase' END]
+                WHEN {item}.f = 'code_compactness' THEN [CASE WHEN density > 0 THEN {item}.f || ':' || {item}.d ELSE 'func_density:increase' END,
+                                                      CASE WHEN lines > 15 THEN {item}.f || ':' || {item}.d ELSE 'effective_lines:increase' END]
+                ELSE [{item}.f || ':' || {item}.d] END AS changes FROM a{i - 1})""",
+            *[
+                f"""{name} AS (SELECT * REPLACE (CASE WHEN len(changes) < {n} THEN advice
+                    WHEN {has('advice', f"split_part(changes[{n}], ':', 1)")} THEN [CASE WHEN split_part(x, ':', 1) = split_part(changes[{n}], ':', 1) THEN changes[{n}] ELSE x END FOR x IN advice]
+                    ELSE list_append(advice, changes[{n}]) END AS advice) FROM {before})"""
+                for n, name, before in ((1, f"p{i}", f"c{i}"), (2, f"q{i}", f"p{i}"))
+            ],
+            f"""a{i} AS (SELECT * EXCLUDE (changes) REPLACE (CASE WHEN len(changes) > 0 AND {has('advice', "'characters'")} AND {has('advice', "'effective_lines'")}
+                THEN [x FOR x IN advice IF split_part(x, ':', 1) <> 'characters'] ELSE advice END AS advice) FROM q{i})""",
+        ]
+    return f"WITH {', '.join(parts)} SELECT row_id, coalesce(array_to_string(advice, ','), '') AS advice FROM a{len(RULED)}"
+
+
 ORACLES = {
+    "h5_rules_with_needs": _rules_sql(),
     "h1_fixed_leaves": _FIXED_SQL,
     "h1_forest_adds_up": "SELECT event_id AS row_id, true AS adds_up FROM events",
     "h3_mined_ranges": MINED_SQL,

@@ -44,8 +44,7 @@ def char_limit(spark, folder):
 
 def over_limit(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "source", F.length("text").alias("characters"))
-    limit = character_limit(docs.filter(F.col("source") == "src1"), logged=False)
-    return with_over_limit(docs, limit).select("doc_id", "over_limit")
+    return with_over_limit(docs, character_limit(docs, logged=False)).select("doc_id", "over_limit")
 
 
 def curated_summary(spark, folder):
@@ -81,7 +80,7 @@ ORACLES = {
         SELECT CAST(round_even(CAST(m AS DOUBLE), -3) AS BIGINT) AS char_limit
         FROM (SELECT CAST(trunc(exp(max(ln(1 + length(text)))) - 1) AS BIGINT) AS m FROM documents)""",
     "c8_over_limit": """
-        SELECT doc_id, length(text) > (SELECT CAST(round_even(CAST(max(length(text)) AS DOUBLE), -3) AS BIGINT) FROM documents WHERE source = 'src1') AS over_limit
+        SELECT doc_id, length(text) > (SELECT CAST(round_even(CAST(max(length(text)) AS DOUBLE), -3) AS BIGINT) FROM documents) AS over_limit
         FROM documents""",
     "curated_line_summary": f"""
         SELECT lang, count(*) AS n, round(avg(ln(1 + characters)), 6) AS avg_characters, round(avg(ln(1 + line_length_std)), 6) AS avg_line_length_std,

@@ -114,3 +114,17 @@ def test_mined_ranges(spark, rows):
     got = {r["feature"]: (r["kind"], r["lo"], r["hi"]) for r in rec.mine_ranges(df, rows_per_block=rows).collect()}
     assert got["up"] == ("range", 250.0, 499.0)
     assert got["bad"] == ("never", None, None)
+
+
+def test_advice_without_a_text_is_refused(spark):
+    rows = spark.createDataFrame([(1, 5.0, [("a", "increase"), ("b", "decrease")])], "row_id INT, score DOUBLE, recommendations ARRAY<STRUCT<feature: STRING, direction: STRING>>")
+    texts = rec.messages_table(spark, 1, [("a", "increase", "more a"), ("b", "decrease", "less b")])
+    assert rec.with_message(rows, texts).first().message.endswith("more a\n\nless b\n\n")
+    with pytest.raises(Exception, match="no text for b/decrease"):
+        rec.with_message(rows, texts.filter("feature = 'a'")).collect()
+
+
+def test_every_advice_that_rules_can_give_has_a_text():
+    given = {(f, d) for f, d, _ in fixed.MESSAGES}
+    assert {(f, "increase" if kind == "always" else "decrease") for f, kind in fixed.ONE_DIRECTIONAL_EFFECTS.items()} <= given
+    assert {(d, "increase") for needs in fixed.DEPENDENCIES.values() for d in needs} <= given
