@@ -85,3 +85,42 @@ def test_counts_of_texts(odd, odd_rows):
     rows = tr.bpe_counts(odd.select("doc_id", "text", "size"), "text").collect()
     want = sorted(len(encoder().encode_ordinary(t or "")) for _, t, *_ in odd_rows)
     assert sorted(r.n_tokens for r in rows) == want and {r["size"] for r in rows} == {7}
+
+
+def test_compaction_changes_no_total_and_later_batches_find_their_documents(spark, rollup):
+    def change(doc, n, op="revise", tokenizer="a", source="x"):
+        return (doc, source, "en", tokenizer, n, op, 0)
+
+    assert not rollup.compact()
+    rollup.apply("b0", spark.createDataFrame([change(i if i else None, i, "insert") for i in range(50)], tr.CHANGES))
+    rollup.apply("b1", spark.createDataFrame([change(i, 100 + i) for i in range(10, 20)] + [change(7, None, "delete")], tr.CHANGES))
+    before = totals(rollup)
+    assert rollup.compact() and not rollup.compact() and totals(rollup) == before
+    rollup.apply("b2", spark.createDataFrame([change(None, 5), change(11, None, "delete"), change(8, 9, source="y")], tr.CHANGES))
+    state = {(i or None, "a"): ("x", "en", 100 + i if 10 <= i < 20 else i) for i in range(50) if i not in (7, 11)}
+    state[None, "a"], state[8, "a"] = ("x", "en", 5), ("y", "en", 9)
+    assert totals(rollup) == plain(state)
+    # a base that died before it said what it covers
+    spark.createDataFrame([(9, "a", "x", "en", 100, 1, 3)], tr.LEDGER + ", bucket int").write.partitionBy("bucket").parquet(f"{rollup.folder}/bases/0/ledger")
+    assert rollup.compact() and totals(rollup) == plain(state) and rollup.committed() == ["b0", "b1", "b2"]
+    assert not rollup.apply("b1", spark.createDataFrame([change(1, 1)], tr.CHANGES))
+    assert rollup._read("ledger", tr.LEDGER).count() == len(state)
+
+
+def test_a_batch_reads_its_own_buckets(spark, rollup, monkeypatch):
+    rollup.apply("b0", spark.createDataFrame([(i, "x", "en", "a", i, "insert", 0) for i in range(200)], tr.CHANGES))
+    read, seen = rollup._read, []
+    monkeypatch.setattr(rollup, "_read", lambda *args: seen.append(read(*args)) or seen[-1])
+    rollup.apply("b1", spark.createDataFrame([(5, "x", "en", "a", 1, "revise", 0)], tr.CHANGES))
+    plan = seen[0].filter("bucket IN (3)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_one_of_two_writers_of_a_batch_counts(spark, rollup):
+    rows = spark.createDataFrame([(1, "x", "en", "a", 5, "insert", 0)], tr.CHANGES)
+    other = tr.TokenRollup(spark, rollup.folder)
+    # both have seen that the batch is not committed
+    other.committed = lambda: []
+    assert rollup.apply("b/0", rows)
+    other.apply("b/0", rows)
+    assert totals(rollup) == {("x", "en", "a"): (1, 5)} and rollup.committed() == ["b/0"] and len(rollup._names("commits")) == 2
