@@ -45,7 +45,8 @@ def append_submissions(df: DataFrame, path: str) -> None:
     """Append rows whose id is not stored yet; repeating a batch changes nothing.
 
     A submission keeps its ``created_at``, so only stored rows from the batch's
-    own time span are looked at, however long the history is.
+    own time span are looked at, however long the history is; where the batch has rows
+    without a time, stored rows without one are looked at too.
     """
     spark = df.sparkSession
     fresh = df.dropDuplicates(["id"])
@@ -56,7 +57,9 @@ def append_submissions(df: DataFrame, path: str) -> None:
             raise
         stored = None  # nothing stored yet
     if stored is not None:
-        span = df.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b")).first()
-        known = stored.filter(F.col("created_at").between(span["a"], span["b"])).select("id")
+        time = F.col("created_at")
+        span = df.agg(F.min(time).alias("a"), F.max(time).alias("b"), F.count_if(time.isNull()).alias("without")).first()
+        inside = time.between(span["a"], span["b"]) if span["a"] else F.lit(False)
+        known = stored.filter(inside | time.isNull() if span["without"] else inside).select("id")
         fresh = fresh.join(known, "id", "left_anti")
     fresh.write.mode("append").parquet(path)

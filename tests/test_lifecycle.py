@@ -345,3 +345,11 @@ def test_files_without_a_readable_report_are_quarantined(spark, world, tmp_path)
     assert kept.columns == plain.columns and [r.file_id for r in kept.collect()] == [r.file_id for r in plain.collect()] == [1]
     bad = spark.read.parquet(str(tmp_path / "q")).filter("sink = 'quarantined'").collect()
     assert {r.file_id: r.fault for r in bad} == {2: "unreadable report", 3: "missing report"}
+
+
+def test_appended_submissions_without_a_time_are_found_again(spark, tmp_path):
+    path, day = str(tmp_path / "s"), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = spark.createDataFrame([(1, None), (2, day), (3, None)], "id LONG, created_at TIMESTAMP")
+    for part in (rows, rows, rows.filter("id = 1"), rows.filter("id = 2"), spark.createDataFrame([(4, None), (3, None)], rows.schema)):
+        append_submissions(part, path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
