@@ -3,8 +3,9 @@
 For each language and source, centre and covariance of the transformed statistics are those
 of the part of the documents (``CORE`` of them) with the smallest covariance determinant,
 found by concentration steps: measure Mahalanobis distances, keep the closest, estimate
-again, which never raises the determinant. The start is deterministic (medians and quartile
-ranges). Covariances get a floor on the diagonal, since ratios that are zero in nearly every
+again, until the determinant falls no more. There are two deterministic starts (medians with
+quartile ranges, and mean with covariance of all), of which the one with the smaller
+determinant counts. Covariances get a floor on the diagonal, since ratios that are zero in nearly every
 document have no spread of their own; small groups lean on the estimate of their language.
 
 Everything is built-in aggregation of sums by group. Quantiles come from histograms with
@@ -14,6 +15,8 @@ fixed bins, so a group that holds a third of all rows costs partial counts, not
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,8 +28,10 @@ GRAM = 8
 #: Transformed statistics and the least standard deviation each is given.
 STATISTICS = {"word_length": 0.10, "symbols": 0.08, "dup_lines": 0.10, "repeats": 0.08}
 DIMENSION = len(STATISTICS)
-#: Share of a group that its estimate rests on, steps, and how many documents of its language stand by a group.
-CORE, STEPS, PRIOR = 0.6, 3, 30.0
+#: Share of a group that its estimate rests on, and how many documents of its language stand by a group.
+CORE, PRIOR = 0.6, 30.0
+#: Steps go on while the determinant falls by this share of itself; bins of the distances could make them circle, hence the most.
+LEAST_FALL, MOST_STEPS = 0.01, 12
 #: Documents beyond this quantile of the chi-square distribution are outliers.
 CUTOFF = 0.999999
 
@@ -152,11 +157,23 @@ def _quantiles(counts: DataFrame, keys: list[str], shares: dict[str, float]) ->
     return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("bin"))).alias(name) for name, share in shares.items()])
 
 
-def estimate(vectors: DataFrame, group: str = "group") -> DataFrame:
-    """``mean``, ``cov`` (floored, by pairs) and ``n_core`` of every group of ``vectors`` (columns group and x).
+def _moments(rows: DataFrame, keys: list[str], scale: float, *carried: Column) -> DataFrame:
+    """``mean``, ``cov`` (by pairs, times ``scale``, floored) and ``n_core`` of the rows of every key."""
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").cast("double").alias("n"),
+        *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMENSION)],
+        *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in _PAIRS],
+        *carried,
+    )
+    n, floors = F.col("n"), list(STATISTICS.values())
+    shared = {(i, j): F.col(f"p{i}_{j}") / n - F.col(f"s{i}") * F.col(f"s{j}") / n / n for i, j in _PAIRS}
+    cov = [scale * F.greatest(F.lit(0.0), shared[p]) + floors[p[0]] ** 2 if p[0] == p[1] else scale * shared[p] for p in _PAIRS]
+    others = [c for c in sums.columns[1 + len(keys) + DIMENSION + len(_PAIRS) :]]
+    return sums.select(*keys, F.array(*[F.col(f"s{i}") / n for i in range(DIMENSION)]).alias("mean"), F.array(*cov).alias("cov"), n.alias("n_core"), *others)
 
-    Groups of any size work: a single document is its own centre with the floor as spread.
-    """
+
+def _by_quartiles(vectors: DataFrame, group: str) -> DataFrame:
+    """A start for every group: medians, and quartile ranges on the diagonal."""
     grid = 200.0  # bins of 0.005
     coordinates = vectors.select(group, F.posexplode("x").alias("at", "value"))
     counts = coordinates.groupBy(group, "at", F.floor(F.col("value") * grid).alias("bin")).agg(F.count("*").alias("n"))
@@ -168,38 +185,39 @@ def estimate(vectors: DataFrame, group: str = "group") -> DataFrame:
             lambda s: F.struct(s["middle"].alias("middle"), F.greatest(s["wide"], F.get(floors, s["at"])).alias("wide")),
         ).alias("s")
     )
-    params = begin.select(
+    return begin.select(
         group,
         F.transform("s", lambda s: s["middle"]).alias("mean"),
         F.array(*[F.pow(F.col("s")[i]["wide"], 2) if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("cov"),
         F.lit(0.0).alias("n_core"),
     )
-    fine = 64.0  # bins per factor e of the squared distance
-    for step in range(STEPS):
-        params = stage(_with_factor(params).select(group, "mean", "lower"), f"mcd-params-{step}")
-        far = vectors.join(params, group).select(group, "x", F.floor(F.log(distance(F.col("x"), F.col("mean"), F.col("lower")) + 1e-9) * fine).alias("bin"))
-        close = _quantiles(far.groupBy(group, "bin").agg(F.count("*").alias("n")), [group], {"most": CORE})
-        core = far.join(stage(close, f"mcd-core-{step}"), group).filter("bin <= most")
-        sums = core.groupBy(group).agg(
-            F.count("*").cast("double").alias("n"),
-            *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(DIMENSION)],
-            *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i, j in _PAIRS],
-        )
-        n = F.col("n")
-        params = sums.select(
-            group,
-            F.array(*[F.col(f"s{i}") / n for i in range(DIMENSION)]).alias("mean"),
-            F.array(
-                *[
-                    CONSISTENCY * F.greatest(F.lit(0.0), F.col(f"p{i}_{j}") / n - F.col(f"s{i}") * F.col(f"s{j}") / n / n) + list(STATISTICS.values())[i] ** 2
-                    if i == j
-                    else CONSISTENCY * (F.col(f"p{i}_{j}") / n - F.col(f"s{i}") * F.col(f"s{j}") / n / n)
-                    for i, j in _PAIRS
-                ]
-            ).alias("cov"),
-            n.alias("n_core"),
-        )
-    return params
+
+
+def estimate(vectors: DataFrame, group: str = "group") -> DataFrame:
+    """``mean``, ``cov`` (floored, by pairs) and ``n_core`` of every group of ``vectors`` (columns group and x).
+
+    Groups of any size work: a single document is its own centre with the floor as spread.
+    Each group stops by itself, so its estimate does not depend on which others there are.
+    """
+    keys, fine = [group, "start"], 64.0  # bins per factor e of the squared distance
+    starts = _by_quartiles(vectors, group).withColumn("start", F.lit(0)).unionByName(_moments(vectors, [group], 1.0).withColumn("start", F.lit(1)))
+    params = starts.withColumn("before", F.lit(None).cast("double"))
+    done = []
+    for step in range(MOST_STEPS + 1):
+        det = reduce(mul, [F.pow(F.col("lower")[_PAIRS.index((i, i))], 2) for i in range(DIMENSION)])
+        falling = F.col("before").isNull() | (F.col("det") < F.col("before") * (1 - LEAST_FALL))
+        params = stage(_with_factor(params).withColumn("det", det).withColumn("falling", falling & F.lit(step < MOST_STEPS)), f"mcd-params-{step}")
+        done.append(params.filter("NOT falling").select(*keys, "mean", "cov", "n_core", "det"))
+        params = params.filter("falling")
+        if params.limit(1).count() == 0:
+            break
+        far = vectors.join(params.select(*keys, "mean", "lower", "det"), group)
+        far = far.select(*keys, "x", "det", F.floor(F.log(distance(F.col("x"), F.col("mean"), F.col("lower")) + 1e-9) * fine).alias("bin"))
+        close = _quantiles(far.groupBy(*keys, "bin").agg(F.count("*").alias("n")), keys, {"most": CORE})
+        core = far.join(stage(close, f"mcd-core-{step}"), keys).filter("bin <= most")
+        params = _moments(core, keys, CONSISTENCY, F.first("det").alias("before"))
+    best = F.min_by(F.struct("mean", "cov", "n_core"), F.struct("det", "start")).alias("best")
+    return reduce(DataFrame.union, done).groupBy(group).agg(best).select(group, "best.*")
 
 
 def judge(statistics: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
