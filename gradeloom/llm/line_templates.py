@@ -49,10 +49,11 @@ def parsed_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame
 
 
 def _templates() -> Column:
-    """Keys of a line's templates: as it is, and with each segment generalised for long lines."""
+    """Keys of a line's templates, of 128 bits: as it is, and with each segment generalised for long lines."""
     names = [f"s{k}" for k in range(SEGMENTS)]
-    exact = F.xxhash64("leaf", F.lit(-1), *names)
-    open_ = [F.xxhash64("leaf", F.lit(k), *[n for n in names if n != f"s{k}"]) for k in range(SEGMENTS)]
+    key = lambda *parts: F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(*reversed(parts)).alias("b"))
+    exact = key(F.col("leaf"), F.lit(-1), *map(F.col, names))
+    open_ = [key(F.col("leaf"), F.lit(k), *[F.col(n) for n in names if n != f"s{k}"]) for k in range(SEGMENTS)]
     return F.when(F.col("n") >= LONG, F.array(exact, *open_)).otherwise(F.array(exact))
 
 
@@ -60,7 +61,8 @@ def recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``doc`` (hash of id and text) and ``line`` (hash) of the lines that recur and are not the first of their template."""
     lines = stage(parsed_lines(docs, id_column, text_column), "lines")
     needed = F.when(F.col("n") >= LONG, docs_long).otherwise(docs_short)
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("found"), F.first("n").alias("n")).filter(F.col("found") >= needed).select("leaf")
+    # written, as the keepers below, so that Spark can split the lines of a very common leaf
+    leaves = stage(lines.groupBy("leaf").agg(F.count("*").alias("found"), F.first("n").alias("n")).filter(F.col("found") >= needed).select("leaf"), "leaves")
     crowded = lines.join(leaves, "leaf", "left_semi").select("id", "doc", "line", "n", F.explode(_templates()).alias("template"))
     crowded = stage(crowded, "templates")
     once = crowded.groupBy("template", "doc").agg(F.first("n").alias("n"), F.min(F.struct(F.col("id").isNull(), "id", "doc")).alias("place"))
