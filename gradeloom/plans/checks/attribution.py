@@ -50,16 +50,31 @@ def _fitted(spark, folder):
     return rows, fit_forest(rows, COLUMNS, "label", trees=3, max_depth=5)
 
 
-def forest_attribution(spark, folder):
-    """Effects of a fitted forest add up to its prediction: the gap is 0 for every row."""
-    rows, model = _fitted(spark, folder)
-    phi = at.attribute_forest(rows, rows, model, COLUMNS, "event_id", background_rows=None)
-    predicted = stage(predict(rows, model, COLUMNS).select(F.col("event_id").alias("row_id"), "prediction"), "predicted")
+def _adds_up(rows, model, columns):
+    """Whether an event's effects against all events add up to its prediction less the mean prediction."""
+    phi = at.attribute_forest(rows, rows, model, columns, "event_id", background_rows=None)
+    predicted = stage(predict(rows, model, columns).select(F.col("event_id").alias("row_id"), "prediction"), "predicted")
     mean = predicted.agg(F.avg("prediction")).scalar()
     gap = F.abs(F.sum("phi") + mean - F.first("prediction"))
     return phi.join(predicted, "row_id").groupBy("row_id").agg((gap < 1e-6).alias("adds_up"))
 
 
+def forest_attribution(spark, folder):
+    """Effects of a fitted forest add up to its prediction: the gap is 0 for every row."""
+    rows, model = _fitted(spark, folder)
+    return _adds_up(rows, model, COLUMNS)
+
+
+def deep_forest_attribution(spark, folder):
+    """The same for trees of depth 12 over eight features, whose paths have up to eight of them."""
+    rows = _rows(spark, folder)
+    more = {f"d{i}": F.pmod(F.col("event_id") * (2 * i + 7) + F.col("k") * i, F.lit(19 + 6 * i)).cast("double") for i in range(5)}
+    label = F.col("value") + F.col("user_id") * F.col("d0") / 9 + F.abs(F.col("d1") - F.col("k")) - F.col("d2") * F.col("d3") / 5 + F.col("d4")
+    rows = stage(rows.withColumns(more).withColumn("label", label), "rows")
+    columns = [*COLUMNS, *more]
+    return _adds_up(rows, fit_forest(rows, columns, "label", trees=3, max_depth=12, min_leaf=3), columns)
+
+
 def forest_leaves(spark, folder):
     """The boxes of a fitted forest hold every row exactly once per tree."""
     rows, model = _fitted(spark, folder)
@@ -192,6 +207,7 @@ def ranked_features(spark, folder):
 QUERIES = {
     "h1_fixed_leaves": fixed_leaves,
     "h1_forest_adds_up": forest_attribution,
+    "h1_deep_forest_adds_up": deep_forest_attribution,
     "h2_forest_leaves": forest_leaves,
     "h3_mined_ranges": mined_from_events,
     "h4_merged_effects": merged_effects,
@@ -285,6 +301,7 @@ ORACLES = {
     "h5_rules_with_needs": _rules_sql(),
     "h1_fixed_leaves": _FIXED_SQL,
     "h1_forest_adds_up": "SELECT event_id AS row_id, true AS adds_up FROM events",
+    "h1_deep_forest_adds_up": "SELECT event_id AS row_id, true AS adds_up FROM events",
     "h3_mined_ranges": MINED_SQL,
     "h4_merged_effects": f"""
         SELECT feature, CASE WHEN feature = 'click' THEN 'never' ELSE kind END AS kind,

@@ -13,7 +13,6 @@ from gradeloom.operators.attribution import forest_nodes, leaf_boxes
 from gradeloom.operators.code_facts import keep_executable
 from gradeloom.operators.code_facts import with_code_facts
 from gradeloom.operators.code_features import transformed_features
-from gradeloom.operators.curate import sample_rows
 from gradeloom.operators.forest import fit_forest
 from gradeloom.plans.checks.tables import EVENTS, SOURCES, events, sources, submissions, table
 from gradeloom.plans.scoring import Scorer
@@ -100,7 +99,7 @@ def _scorer(spark, files):
         rec.fixed_effects(spark),
     )
     return Scorer(
-        model, "1", sample_rows(featured, 100, "file_id").select(*TRANSFORMED_FEATURES), leaf_boxes(forest_nodes(spark, model)),
+        model, "1", featured.select(*TRANSFORMED_FEATURES), leaf_boxes(forest_nodes(spark, model)),
         effects, rec.dependencies_table(spark, 1), rec.messages_table(spark, 1),
     )
 

@@ -8,7 +8,7 @@ from gradeloom import fixed_values as fixed
 from gradeloom.functions.scalars import owner_of, stamp_to_timestamp
 from gradeloom.operators import curate
 from gradeloom.operators.evaluate import metrics
-from gradeloom.operators.forest import predict, search_forest
+from gradeloom.operators.forest import guided_search, predict, search_forest
 from gradeloom.operators.monitor import drift, drift_share, monitoring_record, performance_decline
 from gradeloom.operators.retraining import combine, fill_created_at, retrain_split, with_decay_weight
 from gradeloom.session import stage
@@ -66,11 +66,13 @@ def retrain(
     seed: int = 0,
     trials: list[dict] | None = None,
     quarantine: str | None = None,
+    study: str | None = None,
 ):
     """Fit on old and new data with decayed weights; compare old and new model on new owners.
 
     The old model is loaded by its version. The new one is stored with its run and
-    its trials. Returns (run id, new model, table of metrics by version).
+    its trials. With the name of a ``study`` the search is guided and goes on where an
+    earlier call with that name stopped. Returns (run id, new model, table of metrics by version).
     """
     run = registry.run_of(model_name, version)
     old_model = registry.load_model(model_name, version)
@@ -84,7 +86,10 @@ def retrain(
     train = with_decay_weight(marked.filter(~F.col("is_test")), stamp_to_timestamp(F.lit(stamp)))
     test = stage(marked.filter("is_test"), "retrain-test")
 
-    model, table, best = search_forest(train, features, "pylint_score", "row_key", trials, seed=seed, weight="weight")
+    if study and trials is None:
+        model, table, best = guided_search(train, features, "pylint_score", "row_key", seed=seed, weight="weight", registry=registry, study=study)
+    else:
+        model, table, best = search_forest(train, features, "pylint_score", "row_key", trials, seed=seed, weight="weight")
 
     def judged(m, name: str) -> DataFrame:
         return metrics(predict(test, m, features), "pylint_score").withColumn("version", F.lit(name))

@@ -10,7 +10,7 @@ from gradeloom.operators import curate
 from gradeloom.operators.code_facts import keep_executable, with_code_facts
 from gradeloom.operators.code_features import transformed_features
 from gradeloom.operators.evaluate import metrics
-from gradeloom.operators.forest import predict, search_forest
+from gradeloom.operators.forest import fit_bagged, guided_search, out_of_bag_predictions, predict, search_forest
 from gradeloom.operators.split import split_by_owner
 from gradeloom.session import stage
 from gradeloom.sources.corpus import write_stage
@@ -51,13 +51,30 @@ def train_and_register(
     test_share: float = fixed.TEST_SHARE,
     seed: int = 0,
     trials: list[dict] | None = None,
+    study: str | None = None,
+    oob_trees: int = 0,
 ):
     """Search, refit, evaluate on the held-out owners, store the model with its run and
-    trials, register it and point the alias at it."""
+    trials, register it and point the alias at it.
+
+    The search draws its trials, or takes those given; with the name of a ``study`` it is
+    guided by what it has seen, and a call with the same name goes on where the last one
+    stopped. With ``oob_trees`` the run also has the out-of-bag error of as many trees with the
+    best parameters (``oob_rmse``, over training rows that some tree has not seen).
+    """
     path = write_stage(dataset, dataset_name, dataset_root)
     data = dataset.sparkSession.read.parquet(path)
     train, test = split_by_owner(data, test_share, seed)
-    model, table, best = search_forest(train, features, label, key, trials, seed=seed)
+    if study and trials is None:
+        model, table, best = guided_search(train, features, label, key, seed=seed, registry=registry, study=study)
+    else:
+        model, table, best = search_forest(train, features, label, key, trials, seed=seed)
+    unseen = {}
+    if oob_trees:
+        params = {name: value for name, value in best.items() if name != "trees"}
+        bagged = fit_bagged(train, features, label, key, trees=oob_trees, seed=seed, **params)
+        judged = out_of_bag_predictions(train, bagged, features, key, seed).filter("trees > 0")
+        unseen["oob_rmse"] = metrics(judged, label).first()["rmse"]
     scores = stage(metrics(predict(test, model, features), label), "metrics").first()
     run_id = registry.log_run(
         run_name,
@@ -68,6 +85,7 @@ def train_and_register(
             "test_mae": scores["mae"],
             "test_rmse": scores["rmse"],
             "test_r2": scores["r2"],
+            **unseen,
         },
         model=model,
     )

@@ -11,7 +11,7 @@ from gradeloom import fixed_values as fixed, schemas
 from gradeloom.operators import recommend as rec
 from gradeloom.operators.attribution import forest_nodes, leaf_boxes
 from gradeloom.operators.evaluate import metrics
-from gradeloom.operators.forest import draw_trials, feature_importance, out_of_fold_predictions
+from gradeloom.operators.forest import draw_trials, feature_importance, guided_search, out_of_fold_predictions
 from gradeloom.plans.effects import mined_effects, publish_for
 from gradeloom.plans.monitoring import deploy, monitoring_report, retrain
 from gradeloom.plans.scoring import Scorer
@@ -353,3 +353,18 @@ def test_appended_submissions_without_a_time_are_found_again(spark, tmp_path):
     for part in (rows, rows, rows.filter("id = 1"), rows.filter("id = 2"), spark.createDataFrame([(4, None), (3, None)], rows.schema)):
         append_submissions(part, path)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
+
+
+def test_training_by_a_study_logs_the_out_of_bag_error(spark, world, tmp_path, monkeypatch):
+    calls = []
+
+    def short(*args, **kwargs):
+        calls.append(kwargs["study"])
+        return guided_search(*args, **kwargs, trials=3, round_size=2, folds=2, space={"trees": (2, 4), "max_depth": (2, 5), "min_leaf": (1, 4), "subset": ["all"]})
+
+    monkeypatch.setattr("gradeloom.plans.training.guided_search", short)
+    registry = Registry(spark, str(tmp_path / "registry"))
+    _, version, run_id = train_and_register(registry, world["dataset"], str(tmp_path), "set", "model", "fit", study="first", oob_trees=12)
+    run = registry.run_of("model", version)
+    assert calls == ["first"] and registry.trials_of("first").count() == 3 and run["run_id"] == run_id
+    assert 0 < run["metrics"]["oob_rmse"] < 10
