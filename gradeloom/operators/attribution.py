@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from gradeloom.operators.curate import sample_rows
-from gradeloom.operators.ordered import with_rank
 from gradeloom.schemas import LEAVES
 from gradeloom.session import scratch_path, stage
 
@@ -276,24 +275,28 @@ def _count_masks(shared):
     return count
 
 
-def _collect_leaves(leaves: DataFrame) -> list[_Leaf]:
-    """The leaves as arrays. They come from a model that was on the driver already."""
+def _collect_leaves(leaves: DataFrame) -> tuple[list[_Leaf], int]:
+    """The leaves with a path as arrays, and the number of trees. They come from a model that was on the driver already."""
+    rows = sorted(leaves.select("tree", "leaf", "feature", "value", "lo", "hi").collect(), key=lambda r: (r.tree, r.leaf, -1 if r.feature is None else r.feature))
+    trees = len({r.tree for r in rows})
     found: dict[tuple, list] = {}
-    for r in leaves.filter(F.col("feature").isNotNull()).select("tree", "leaf", "feature", "value", "lo", "hi").sort("tree", "leaf", "feature").collect():
-        found.setdefault((r.tree, r.leaf), []).append(r)
+    for r in rows:
+        if r.feature is not None:
+            found.setdefault((r.tree, r.leaf), []).append(r)
     longest = max(map(len, found.values()), default=0)
     if longest > LONGEST_PATH:
         raise ValueError(f"a path tests {longest} features; {LONGEST_PATH} is the most")
-    return [_Leaf(float(rows[0].value), *(np.array([r[c] for r in rows], dtype=t) for c, t in (("feature", int), ("lo", float), ("hi", float)))) for rows in found.values()]
+    columns = (("feature", int), ("lo", float), ("hi", float))
+    return [_Leaf(float(path[0].value), *(np.array([r[c] for r in path], dtype=t) for c, t in columns)) for path in found.values()], trees
 
 
 class Explainer:
     """Effects of a fixed set of leaves against a fixed background, prepared once and used on any rows.
 
     ``leaves`` is a table as from ``leaf_boxes``; feature numbers index ``features``. What
-    masks the background has is a table, whose rows are numbered and cut into blocks of
-    ``MASKS_PER_BLOCK``, a leaf's masks too: effects are sums over masks, so it does not matter
-    which block adds them. One block at a time becomes a broadcast; functions carry its handle
+    masks the background has is a table, cut by a hash into blocks of at most about
+    ``MASKS_PER_BLOCK`` rows, a leaf's masks too: effects are sums over masks, so it does not
+    matter which block adds them. One block at a time becomes a broadcast; functions carry its handle
     only. The results of the blocks are added up inside the row, so rows are never shuffled.
     """
 
@@ -303,16 +306,19 @@ class Explainer:
         spark = background.sparkSession
         # missing values count as 0, in the background as in the rows
         z = background.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
-        leaves = stage(leaves, "leaves")
-        boxes, trees = _collect_leaves(leaves), leaves.select("tree").distinct().count()
+        boxes, trees = _collect_leaves(leaves)
         if not boxes:
             return
         counted = z.mapInArrow(_count_masks(spark.sparkContext.broadcast(boxes)), "leaf INT, mask BIGINT, n BIGINT").groupBy("leaf", "mask").agg(F.sum("n").alias("n"))
-        masks = stage(with_rank(stage(counted, "masks"), [], ["leaf", "mask"], "number"), "masks")
+        masks = stage(counted, "masks")
         # every row of the background has one mask in each leaf
-        rows = masks.filter("leaf = 0").agg(F.sum("n")).first()[0]
-        for k in range(-(-masks.count() // MASKS_PER_BLOCK) if rows else 0):
-            block = masks.filter(F.col("number").between(k * MASKS_PER_BLOCK + 1, (k + 1) * MASKS_PER_BLOCK)).select("leaf", "mask", "n").sort("leaf", "mask").toArrow()
+        size = masks.agg(F.count(F.lit(1)).alias("masks"), F.sum(F.when(F.col("leaf") == 0, F.col("n"))).alias("rows")).first()
+        rows, blocks = size["rows"] or 0, -(-2 * size["masks"] // MASKS_PER_BLOCK)
+        in_block = F.pmod(F.xxhash64("leaf", "mask"), F.lit(max(blocks, 1)))
+        for k in range(blocks):
+            block = masks.filter(in_block == k).sort("leaf", "mask").toArrow()
+            if not block.num_rows:
+                continue
             leaf, mask, n = (c.to_numpy() for c in block.columns)
             chosen, starts = np.unique(leaf, return_index=True)
             found = [_Masks(m, c / rows) for m, c in zip(np.split(mask, starts[1:]), np.split(n, starts[1:]))]

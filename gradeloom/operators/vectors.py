@@ -157,9 +157,9 @@ def silhouettes(
 ) -> DataFrame:
     """Cosine silhouette of every row, from one sum of unit vectors per cluster.
 
-    The cost is rows times clusters, not rows squared. Cluster sums are numbered and
-    broadcast one block of a fixed size after the other; functions carry a block's handle
-    only, so any number of clusters works.
+    The cost is rows times clusters, not rows squared. Cluster sums are cut by a hash into
+    blocks of about a fixed size and broadcast one after the other; functions carry a
+    block's handle only, so any number of clusters works.
     """
     units = unit_vectors(df, vector)
     sums = stage(
@@ -169,13 +169,14 @@ def silhouettes(
         "cluster-sums",
     )
     shape = sums.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("s")).alias("dim")).first()
-    per_block = max(1, numbers_per_block // (shape["dim"] or 1))
-    numbered = with_rank(sums.select(F.col(label).alias("label"), "n", "s"), [], ["label"], "number")
-    numbered = stage(numbered, "cluster-sums")
+    blocks = math.ceil(shape["k"] * (shape["dim"] or 1) / numbers_per_block)
+    in_block = F.pmod(F.xxhash64(label), F.lit(max(blocks, 1)))
     found = []
-    for i in range(math.ceil(shape["k"] / per_block)):
-        rows = numbered.filter(F.col("number").between(i * per_block + 1, (i + 1) * per_block)).toArrow()
-        block = (rows["label"].to_pylist(), rows["n"].to_numpy().astype(float), _matrix(rows["s"].combine_chunks()))
+    for i in range(blocks):
+        rows = sums.filter(in_block == i).toArrow()
+        if not rows.num_rows:
+            continue
+        block = (rows[label].to_pylist(), rows["n"].to_numpy().astype(float), _matrix(rows["s"].combine_chunks()))
         units = units.withColumn(f"_d{i}", _cluster_distances(df.sparkSession.sparkContext.broadcast(block))("_unit", label))
         found.append(f"_d{i}")
     own = F.coalesce(*[F.col(f"{c}.own") for c in found])
