@@ -73,3 +73,76 @@ def test_edited_texts(spark, odd, odd_rows, nothing):
 def test_equal_texts_have_equal_fingerprints(tables):
     rows = bd.fingerprints(tables.documents).join(tables.documents, "doc_id")
     assert rows.groupBy("text").agg(F.count_distinct("fingerprint").alias("n")).filter("n > 1").count() == 0
+
+
+def plain_hash(window: bytes) -> int:
+    keep = (1 << 64) - 1
+    h = 0x9E3779B97F4A7C15
+    for k in range(0, len(window), 8):
+        h ^= int.from_bytes(window[k : k + 8], "little")
+        h = h * 0xFF51AFD7ED558CCD & keep
+        h ^= h >> 32
+        h = h * 0xC4CEB9FE1A85EC53 & keep
+        h ^= h >> 29
+    return h
+
+
+def plain_features(text: bytes, ranks) -> list[int]:
+    """Points for the rarest window of every run of windows, one run after the other."""
+    rank = []
+    for i in range(len(text) - bd.WINDOW + 1):
+        counts = Counter(text[i : i + bd.WINDOW])
+        rank.append(int(ranks[(bd._FULL - sum(bd._TERM[c] for c in counts.values())) * 1000 // bd._FULL]))
+    points = Counter()
+    for first in range(1 - bd.RUN, len(rank)):
+        run = [(rank[i], i) for i in range(max(first, 0), min(first + bd.RUN, len(rank))) if rank[i] >= 0]
+        if run:
+            points[min(run)[1]] += 1
+    windows = [text[i : i + bd.WINDOW] for i in sorted(points) if points[i] >= bd.POINTS]
+    if not windows and text:
+        windows = [text + bytes(-len(text) % 8) + len(text).to_bytes(8, "little")]
+    return [plain_hash(w) for w in dict.fromkeys(windows)]
+
+
+def plain_chain(hashes):
+    """Bits of each filter of the chain, as sets."""
+    chain = []
+    for n, h in enumerate(hashes):
+        if n % bd.ELEMENTS == 0:
+            chain.append(set())
+        chain[-1] |= {(h >> 11 * k) % bd.BITS for k in range(bd.HASHES)}
+    return chain
+
+
+def test_features_and_chain_against_a_plain_version():
+    rnd = random.Random(5)
+    given = [t.encode() for t in texts(40)] + [b"a" * 300, b"ab" * 200, bytes(rnd.randrange(256) for _ in range(500)), b"x" * 63, b"x" * 64, " né ".encode() * 90, " ".join(texts(25)).encode()]
+    ranks = bd.ranks_of(np, bd.histogram(np, given))
+    for t, found in zip(given, bd.features(np, given, ranks)):
+        assert found.tolist() == plain_features(t, ranks)
+        chain, sizes = bd.filters(np, found)
+        plain = plain_chain(found.tolist())
+        assert [set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in chain] == plain
+        assert sizes.tolist() == [min(bd.ELEMENTS, len(found) - i) for i in range(0, len(found), bd.ELEMENTS)]
+    assert max(len(plain_chain(f.tolist())) for f in bd.features(np, given, ranks)) > 1
+
+
+def test_likeness_against_sets():
+    long = " ".join(texts(30))
+    given = [t.encode() for t in texts() if len(t) > 1500][:6] + [long.encode(), (long[: len(long) // 2] + " and then something else").encode()]
+    ranks = bd.ranks_of(np, bd.histogram(np, given))
+    found = [bd.features(np, [t], ranks)[0] for t in given]
+    for one in found:
+        for other in found:
+            a, b = sorted((one, other), key=lambda f: (-(-len(f) // bd.ELEMENTS), len(f), bd.filters(np, f)[0].tobytes()))
+            x, y = plain_chain(a.tolist()), plain_chain(b.tolist())
+            total = 0.0
+            for k, own in enumerate(x):
+                best = 0.0
+                for bits in y:
+                    most, least = min(len(own), len(bits)), len(own) * len(bits) / bd.BITS
+                    cut = least + bd.SLACK * (most - least)
+                    best = max(best, min(1.0, max(0.0, (len(own & bits) - cut) / max(most - cut, 1e-9))))
+                total += best * min(bd.ELEMENTS, len(a) - k * bd.ELEMENTS)
+            want = 1.0 if x == y else total / len(a)
+            assert abs(bd.likeness(np, bd.filters(np, one), bd.filters(np, other)) - want) < 1e-8

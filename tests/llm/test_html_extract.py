@@ -103,3 +103,58 @@ def test_hostile_pages_take_linear_time(page, length):
     text = he.main_text(page, {})
     assert time.process_time() - began < 5
     assert len(text) == length
+
+
+def grown(rnd, depth, block, inside, dropped, out, counted):
+    """A well-formed piece of a page, and what its tokens count as."""
+
+    def count(kind, n):
+        counted.setdefault("t:dropped" if dropped and kind[0] == "t" else "w:dropped" if dropped else kind, [0, 0])[0 if inside else 1] += n
+
+    for _ in range(rnd.randint(1, 4)):
+        if depth == 0 or rnd.random() < 0.5:
+            n = rnd.randint(1, 4)
+            out.append(" " + "w " * n + ("<!-- <p> no -->" if rnd.random() < 0.2 else "<script>x < y</script>" if rnd.random() < 0.2 else ""))
+            count(f"w:{block}", n)
+            continue
+        name = rnd.choice(["div", "ul", "table", "b", "a", "blockquote", "nav", "x-y"])
+        known = "other" if name == "x-y" else name
+        out.append(f'<{name} title="> <p>">')
+        gone = dropped or name == "nav"
+        if gone:
+            counted.setdefault("t:dropped", [0, 0])[0 if inside else 1] += 1
+        else:
+            count(f"t:{known}", 1)
+        grown(rnd, depth - 1, block if name == "b" else known, inside, gone, out, counted)
+        out.append(f"</{name}>")
+        counted.setdefault("t:dropped" if gone else f"t:{known}", [0, 0])[0 if inside else 1] += 1
+
+
+def test_counts_of_well_formed_pages():
+    import random
+
+    rnd = random.Random(7)
+    for _ in range(300):
+        out, want = ["<body>"], {"t:body": [0, 2]}
+        grown(rnd, 2, "body", False, False, out, want)
+        out.append("<article>")
+        want.setdefault("t:article", [0, 2])
+        grown(rnd, 3, "article", True, False, out, want)
+        out.append("</article>")
+        grown(rnd, 2, "body", False, False, out, want)
+        assert he.counts("".join(out) + "</body>") == want
+    assert he.counts("<body><p>no article</body>") == {}
+
+
+def test_weights_are_log_ratios_within_bounds():
+    import math
+
+    totals = {"w:p": (90, 10), "w:div": (10, 90), "t:p": (30, 10), "t:footer": (0, 50), "t:div": (5, 40)}
+    got = he.weights(totals)
+    ratio = lambda kind, letter: math.log((totals[kind][0] + 0.5) / (sum(v[0] for k, v in totals.items() if k[0] == letter) + 1)) - math.log(
+        (totals[kind][1] + 0.5) / (sum(v[1] for k, v in totals.items() if k[0] == letter) + 1)
+    )
+    assert got["w:p"] == min(1.0, ratio("w:p", "w")) and got["w:div"] == max(-1.0, ratio("w:div", "w"))
+    assert got["t:p"] == -he.TAG_COST and ratio("t:p", "t") > 0
+    assert got["t:div"] == max(-he.TAG_BOUND, he.TAG_SCALE * ratio("t:div", "t")) < -he.TAG_COST
+    assert got["t:footer"] == max(-he.TAG_BOUND, he.TAG_SCALE * ratio("t:footer", "t"))
