@@ -12,9 +12,12 @@ walking: a class's near neighbours name the best linked class among their own pa
 hub of the region, and the class is checked against it, until the walk meets no new pair.
 Where classes resemble each other without links there is no hub; so crowded regions with
 several components go through further orders, which run deeper and are over longer
-signatures. How deep a region is crowded is measured in each order, and a class leaves when
-the orders it has been in would have shown a partner at the threshold but for one case in
-1 / ``MISS``. Neither candidates nor partners are capped.
+signatures, ``ORDERS`` of them at a time. How deep a region is crowded is measured in each
+order, and a class leaves when the orders it has been in would have shown a partner at the
+threshold but for one case in 1 / ``MISS``, were what it shares with the partner like what it
+shares with the region. As it need not be, the links of a round also say how many there are
+that no order has shown (from those seen once and twice), and the whole region goes on until
+that is next to none. Neither candidates nor partners are capped.
 Every candidate is first estimated by its sketch and then, if it can be a link at all,
 counted exactly on the full sets. Links are compared as whole numbers.
 
@@ -42,7 +45,8 @@ SIGMAS = 4.5
 LONG, DEEP, WIDE, SHARED, HEAD = 3072, 40, 32, 2, 3
 #: How probably a class of a crowded region may miss a partner at the threshold, and standard deviations of the long estimate.
 MISS, LONG_SIGMAS = 1e-4, 3.5
-FIRST_ORDERS, MOST_ORDERS = 16, 64
+#: Further orders in a round, and the estimate of links unseen at which a region is finished.
+ORDERS, UNSEEN = 64, 0.1
 SEED = 20
 
 
@@ -473,7 +477,7 @@ def _least_long_estimate(threshold: float) -> float:
 
 
 def _deep_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
-    """Neighbours in sorted partitions that can be linked (kind pair), and how far each live class has been searched (kind seen).
+    """Neighbours in sorted partitions that can be linked (kind pair, once for each ``turn``, an order), and how far each live class has been searched (kind seen).
 
     A class sees ``WIDE`` rows on each side. With k values in common with the furthest of them,
     every class that shares more than k values stands within. A partner at the threshold t does
@@ -492,10 +496,11 @@ def _deep_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
             n = np.where(differ.any(1), differ.argmax(1), places.shape[1])
             return np.maximum(n - HEAD, 0)
 
-        def out(kind, a, b, miss):
+        def out(kind, a, b, miss, turn):
             n = len(a)
             return pa.RecordBatch.from_arrays(
-                [pa.array([kind] * n, pa.string()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(miss, pa.float64())], names=["kind", "a", "b", "miss"]
+                [pa.array([kind] * n, pa.string()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(miss, pa.float64()), pa.array(turn, pa.int32())],
+                names=["kind", "a", "b", "miss", "turn"],
             )
 
         def seen(rows, places, begin, end, last):
@@ -505,7 +510,7 @@ def _deep_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
             if len(i):
                 depth = np.maximum(common(places, i, np.maximum(i - WIDE, 0)), common(places, i, np.minimum(i + WIDE, last))) + 1
                 miss = np.log1p(-np.power(threshold, np.maximum(depth, SHARED)))
-                yield out("seen", [rows[1][k] for k in i.tolist()], [None] * len(i), miss)
+                yield out("seen", [rows[1][k] for k in i.tolist()], [None] * len(i), miss, [None] * len(i))
 
         held: tuple = ([], [], [], [], [])
         reported = 0  # rows of the buffer whose view is known
@@ -529,9 +534,9 @@ def _deep_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
                     estimate = ((1 - other / LONG) - 1 / 4) * 4 / 3
                     for k in j[estimate >= least].tolist():
                         one, two = rows[1][k], rows[1][k + gap]
-                        found[min(one, two), max(one, two)] = None
+                        found[min(one, two), max(one, two), int.from_bytes(rows[0][k][:HEAD], "big")] = None
             if found:
-                yield out("pair", [a for a, _ in found], [b for _, b in found], [None] * len(found))
+                yield out("pair", [a for a, _, _ in found], [b for _, b, _ in found], [None] * len(found), [t for _, _, t in found])
             yield from seen(rows, places, reported, max(reported, n - WIDE), n - 1)
             keep = max(0, n - 2 * WIDE)
             reported = max(reported, n - WIDE) - keep
@@ -540,7 +545,7 @@ def _deep_pairs(ordered: DataFrame, threshold: float) -> DataFrame:
             n = len(held[0])
             yield from seen(held, np.frombuffer(b"".join(held[0]), np.uint8).reshape(n, -1), reported, n, n - 1)
 
-    return ordered.mapInArrow(run, "kind string, a binary, b binary, miss double")
+    return ordered.mapInArrow(run, "kind string, a binary, b binary, miss double, turn int")
 
 
 def _crowd(classes: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFrame:
@@ -564,29 +569,34 @@ def _finish(labels: DataFrame, classes: DataFrame, crowded: DataFrame, sets: Dat
     A class takes part until the orders so far would have shown a partner at the threshold
     with a probability of ``1 - MISS``, by the depths that its own region has had in them. A
     pair is found if either of its classes is searched that far, so those that are done leave
-    and the rest of the region becomes thinner. Staged tables but those of ``keep`` go.
+    and the rest of the region becomes thinner. Nobody leaves while the round's new links say
+    that others are unseen (Chao's estimate from the links that one and that two orders have
+    shown). Staged tables but those of ``keep`` go.
     """
     share = threshold / 100
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     crowd = stage(_long_signatures(_crowd(classes, crowded, labels).join(sets, "node")), "crowd")
     done = stage(crowd.select("node", F.lit(0.0).alias("miss")), "crowd-searched")
-    first, n = 0, FIRST_ORDERS
+    first = 0
     while crowd.filter("live").limit(1).count():
-        rows = _deep_orders(crowd, first, n)
+        rows = _deep_orders(crowd, first, ORDERS)
         found = stage(_deep_pairs(rows.repartitionByRange(parts, "place", "node").sortWithinPartitions("place", "node"), share), "crowd-found")
-        pairs = found.filter("kind = 'pair'").select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
-        counted = stage(_count(pairs, sets), "counted")
+        shown = found.filter("kind = 'pair'").groupBy("a", "b").agg(F.count_distinct("turn").alias("times"))
+        pairs = stage(shown.join(known, ["a", "b"], "left_anti"), "crowd-pairs")
+        counted = stage(_count(pairs.select("a", "b"), sets), "counted")
         known = known.union(counted.select("a", "b"))
         new = counted.filter(F.col("both") * 100 >= F.lit(threshold) * F.col("either"))
-        if new.limit(1).count():
+        times = new.join(pairs, ["a", "b"]).agg(F.count_if(F.col("times") == 1).alias("once"), F.count_if(F.col("times") == 2).alias("twice"), F.count("*").alias("n")).first()
+        if times["n"]:
             labels = _joined(labels, new)
+        finished = times["once"] ** 2 / (2 * max(times["twice"], 1)) < UNSEEN
         more = found.filter("kind = 'seen'").select(F.col("a").alias("node"), "miss")
         done = stage(done.union(more).groupBy("node").agg(F.sum("miss").alias("miss")), "crowd-searched")
-        searched = done.filter(F.col("miss") <= math.log(MISS)).select("node")
+        searched = done.filter((F.col("miss") <= math.log(MISS)) & F.lit(finished)).select("node")
         left = crowd.join(searched, "node", "left_anti").drop("label").join(labels, "node", "left")
         crowd = stage(left.select("node", F.coalesce("label", "node").alias("label"), "live", "sig"), "crowd")
-        first, n = first + n, min(2 * n, MOST_ORDERS)
+        first += ORDERS
         forget(crowd, done, labels, known, sets, *keep)
     return labels
 
