@@ -45,8 +45,8 @@ SIGMAS = 4.5
 LONG, DEEP, WIDE, SHARED, HEAD = 3072, 40, 32, 2, 3
 #: How probably a class of a crowded region may miss a partner at the threshold, and standard deviations of the long estimate.
 MISS, LONG_SIGMAS = 1e-4, 3.5
-#: Further orders in a round, and the estimate of links unseen at which a region is finished.
-ORDERS, UNSEEN = 64, 0.1
+#: Further orders in a round, the estimate of links unseen at which a region is finished, and orders after which that alone decides.
+ORDERS, UNSEEN, MOST_ORDERS = 64, 0.1, 512
 SEED = 20
 
 
@@ -571,7 +571,8 @@ def _finish(labels: DataFrame, classes: DataFrame, crowded: DataFrame, sets: Dat
     pair is found if either of its classes is searched that far, so those that are done leave
     and the rest of the region becomes thinner. Nobody leaves while the round's new links say
     that others are unseen (Chao's estimate from the links that one and that two orders have
-    shown). Staged tables but those of ``keep`` go.
+    shown). A class whose window is full of its own component in every order is never searched
+    that far by depth; after ``MOST_ORDERS`` the estimate alone decides. Staged tables but those of ``keep`` go.
     """
     share = threshold / 100
     spark = classes.sparkSession
@@ -593,7 +594,8 @@ def _finish(labels: DataFrame, classes: DataFrame, crowded: DataFrame, sets: Dat
         finished = times["once"] ** 2 / (2 * max(times["twice"], 1)) < UNSEEN
         more = found.filter("kind = 'seen'").select(F.col("a").alias("node"), "miss")
         done = stage(done.union(more).groupBy("node").agg(F.sum("miss").alias("miss")), "crowd-searched")
-        searched = done.filter((F.col("miss") <= math.log(MISS)) & F.lit(finished)).select("node")
+        enough = F.lit(first + ORDERS >= MOST_ORDERS) | (F.col("miss") <= math.log(MISS))
+        searched = done.filter(enough & F.lit(finished)).select("node")
         left = crowd.join(searched, "node", "left_anti").drop("label").join(labels, "node", "left")
         crowd = stage(left.select("node", F.coalesce("label", "node").alias("label"), "live", "sig"), "crowd")
         first += ORDERS
