@@ -158,7 +158,7 @@ def test_columns_between_stages(stages):
 
 def test_registered(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries if re.match(r"op\d+_", name)}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries if re.match(r"op\d+_", name)}
     assert "pipeline" in queries and set(oracles) <= set(queries)
 
 
