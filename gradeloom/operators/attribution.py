@@ -33,7 +33,8 @@ MASKS_PER_BLOCK = 2_000_000
 CELLS = 2_000_000  # leaves x rows worked on at once
 PRODUCTS = 2_000_000  # row masks x background masks x path features worked on at once
 LONGEST_PATH = 62  # features of a path that fit into the bits of a mask
-DENSE_NUMBERS = 8_000_000  # numbers kept per task for effects already worked out
+DENSE_NUMBERS = 24_000_000  # numbers kept per task for effects already worked out, over all blocks
+WHOLE_TABLE = 2_000_000  # numbers of the sums that a table of effects is worked out from
 
 
 # --- leaves of a fitted forest --------------------------------------------------
@@ -99,7 +100,10 @@ class _Masks(NamedTuple):
 
 
 class _Boxes:
-    """Leaves by feature, so that the masks of many rows and leaves take a few comparisons for each feature."""
+    """Leaves by feature, so that the masks of many rows and leaves take a few look-ups for each feature.
+
+    Bounds cut a feature's values into intervals; what bits an interval sets is worked out once.
+    """
 
     def __init__(self, leaves: list[_Leaf]):
         found: dict[int, list] = {}
@@ -107,20 +111,30 @@ class _Boxes:
             for j, (feature, lo, hi) in enumerate(zip(leaf.features, leaf.lo, leaf.hi)):
                 found.setdefault(int(feature), []).append((i, j, lo, hi))
         self.size = len(leaves)
-        #: feature: leaves that test it, its place in their paths, bounds
-        self.tests = {f: tuple(np.array(c) for c in zip(*rows)) for f, rows in found.items()}
+        longest = max(len(leaf.features) for leaf in leaves)
+        self.kind = next(kind for kind in (np.uint8, np.uint16, np.uint32, np.int64) if longest <= 8 * np.dtype(kind).itemsize)
+        #: feature: its bounds, bits by interval and leaf; values that are no number lie behind all bounds and set none
+        self.tests = {}
+        for feature, rows in found.items():
+            i, j, lo, hi = (np.array(c) for c in zip(*rows))
+            cuts = np.unique(np.concatenate([lo, hi]))
+            interval = np.arange(len(cuts) + 1)[:, None]
+            inside = (interval > np.searchsorted(cuts, lo)) & (interval <= np.searchsorted(cuts, hi))
+            bits = np.zeros((len(interval), self.size), dtype=self.kind)
+            bits[:, i] = inside.astype(self.kind) << j.astype(self.kind)
+            self.tests[feature] = (cuts, bits)
 
     def masks(self, x: np.ndarray) -> np.ndarray:
         """Leaf by row; bit j is set where the row lies in the leaf's box on path feature j. ``x`` is feature by row."""
-        masks = np.zeros((self.size, x.shape[1]), dtype=np.int64)
-        for feature, (i, j, lo, hi) in self.tests.items():
-            masks[i] |= ((x[feature] > lo[:, None]) & (x[feature] <= hi[:, None])).astype(np.int64) << j[:, None]
-        return masks
+        masks = np.zeros((x.shape[1], self.size), dtype=self.kind)
+        for feature, (cuts, bits) in self.tests.items():
+            masks |= bits[np.searchsorted(cuts, x[feature])]
+        return np.ascontiguousarray(masks.T)
 
 
-def _dense_and_wide(leaves: list[_Leaf], numbers) -> tuple[list[int], list[int]]:
+def _dense_and_wide(leaves: list[_Leaf], numbers, room: int) -> tuple[list[int], list[int]]:
     """Leaves whose masks index a table of bounded size (``numbers`` of a leaf's width), and the others."""
-    room, dense, wide = DENSE_NUMBERS, [], []
+    dense, wide = [], []
     for i, leaf in enumerate(leaves):
         need = numbers(len(leaf.features))
         (dense if need <= room else wide).append(i)
@@ -166,25 +180,56 @@ def _leaf_effect(leaf: _Leaf, ours: np.ndarray, background: _Masks, gain: np.nda
     return effect
 
 
+def _table_numbers(width: int) -> int:
+    return (width + 1) << width
+
+
+def _effect_tables(leaves: list[_Leaf], backgrounds: list[_Masks], gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
+    """Effects of leaves with paths of one length: leaf by path feature by row mask.
+
+    A background row counts for a row mask if the features it misses are among the mask's. So
+    shares are put at the missed features, by their number, and summed up over all subsets of every
+    mask, one feature after the other. The subsets with a certain feature are those of the mask less those
+    of the mask without it.
+    """
+    width = len(leaves[0].features)
+    every = np.arange(1 << width)
+    size = np.bitwise_count(every).astype(np.int64)
+    sums = np.zeros((len(leaves), width + 1, 1 << width))
+    for own, background in zip(sums, backgrounds):
+        missed = background.masks ^ ((1 << width) - 1)
+        own[size[missed], missed] = background.shares
+    for j in range(width):
+        halves = sums.reshape(len(leaves), width + 1, -1, 2, 1 << j)
+        halves[:, :, :, 1] += halves[:, :, :, 0]
+    plus, minus = gain[: width + 1, width - size], loss[: width + 1, width - size]
+    value = np.array([leaf.value for leaf in leaves])[:, None]
+    effects = np.empty((len(leaves), width, 1 << width))
+    with_all = np.einsum("lam,am->lm", sums, plus)
+    lost = np.einsum("lam,am->lm", sums, minus)
+    for j in range(width):
+        has = np.flatnonzero(every >> j & 1)
+        effects[:, j] = -value * lost
+        effects[:, j, has] = value * (with_all[:, has] - np.einsum("lam,am->lm", sums[:, :, has ^ (1 << j)], plus[:, has]))
+    return effects
+
+
 class _Effects:
-    """Effects of leaves, kept by mask once they have been worked out.
+    """Effects of leaves for every mask, kept once they have been worked out.
 
-    Dense leaves index one flat table; the others, with long paths, look at the distinct
-    masks of each batch.
+    Leaves beyond ``room`` work them out again for each batch, and those with paths too long
+    for a table look at the distinct masks of the batch.
     """
 
-    def __init__(self, leaves: list[_Leaf], backgrounds: list[_Masks]):
-        self.leaves, self.backgrounds = leaves, backgrounds
+    def __init__(self, leaves: list[_Leaf], backgrounds: list[_Masks], room: int):
+        # tables are worked out for leaves of one length at a time
+        order = sorted(range(len(leaves)), key=lambda i: len(leaves[i].features))
+        self.leaves, self.backgrounds = [leaves[i] for i in order], [backgrounds[i] for i in order]
         self.weights = _weights(max(len(leaf.features) for leaf in leaves))
-        self.dense, self.wide = _dense_and_wide(leaves, lambda width: width << width)
-        widths = np.array([len(leaf.features) for leaf in leaves], dtype=np.int64)
-        sizes = np.zeros(len(leaves), dtype=np.int64)
-        sizes[self.dense] = 1 << widths[self.dense]
-        self.widths = widths
-        self.first_mask = np.cumsum(sizes) - sizes
-        self.first = np.cumsum(sizes * widths) - sizes * widths
-        self.known = np.zeros(int(sizes.sum()), dtype=bool)
-        self.table = np.zeros(int((sizes * widths).sum()))
+        whole = [i for i, leaf in enumerate(self.leaves) if _table_numbers(len(leaf.features)) <= WHOLE_TABLE]
+        kept, _ = _dense_and_wide([self.leaves[i] for i in whole], lambda width: width << width, room)
+        self.kept, self.whole = set(kept), set(whole)
+        self.tables: dict[int, np.ndarray] = {}
         self._boxes: dict[tuple, _Boxes] = {}
 
     def _part(self, chosen: list[int]) -> _Boxes:
@@ -193,41 +238,51 @@ class _Effects:
             self._boxes[key] = _Boxes([self.leaves[i] for i in chosen])
         return self._boxes[key]
 
-    def _learn(self, chosen: list[int], masks: np.ndarray, known: np.ndarray) -> None:
-        for k in np.flatnonzero(~known.all(axis=1)):
-            i = chosen[k]
-            new = np.unique(masks[k][~known[k]])
-            width = self.widths[i]
-            places = self.first[i] + new[:, None] * width + np.arange(width)
-            self.table[places] = _leaf_effect(self.leaves[i], new, self.backgrounds[i], *self.weights)
-            self.known[self.first_mask[i] + new] = True
+    def _by_table(self, chosen: list[int], rows: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The leaves that have a table, with it: kept ones, and those that are worked out for this batch."""
+        wanted = []
+        for i in chosen:
+            if i in self.tables:
+                yield i, self.tables[i]
+            elif i in self.kept or (i in self.whole and self._pays(i, rows)):
+                wanted.append(i)
+        at = 0
+        while at < len(wanted):
+            width = len(self.leaves[wanted[at]].features)
+            step = max(1, WHOLE_TABLE // _table_numbers(width))
+            part = [i for i in wanted[at : at + step] if len(self.leaves[i].features) == width]
+            at += len(part)
+            tables = _effect_tables([self.leaves[i] for i in part], [self.backgrounds[i] for i in part], *self.weights)
+            for i, table in zip(part, tables):
+                if i in self.kept:
+                    self.tables[i] = table
+                yield i, table
+
+    def _pays(self, i: int, rows: int) -> bool:
+        """Whether all masks take less than those of the rows, one by one."""
+        return rows * len(self.backgrounds[i].masks) > _table_numbers(len(self.leaves[i].features))
 
     def add_to(self, phi: np.ndarray, x: np.ndarray) -> None:
         """Add the effects to ``phi``; both are feature by row."""
-        for chosen in _slices(self.dense, x.shape[1]):
-            boxes = self._part(chosen)
-            masks = boxes.masks(x)
-            known = self.known[masks + self.first_mask[chosen][:, None]]
-            if not known.all():
-                self._learn(chosen, masks, known)
-            masks *= self.widths[chosen][:, None]
-            masks += self.first[chosen][:, None]
-            for feature, (i, j, _, _) in boxes.tests.items():
-                phi[feature] += self.table[masks[i] + j[:, None]].sum(axis=0)
-        for i in self.wide:
-            leaf = self.leaves[i]
-            distinct, which = np.unique(self._part([i]).masks(x)[0], return_inverse=True)
-            part = _leaf_effect(leaf, distinct, self.backgrounds[i], *self.weights)[which]
-            for j, feature in enumerate(leaf.features):
-                phi[feature] += part[:, j]
-
-
-def _effects_function(block, trees: int):
+        for chosen in _slices(list(range(len(self.leaves))), x.shape[1]):
+            masks = dict(zip(chosen, self._part(chosen).masks(x)))
+            for i, table in self._by_table(chosen, x.shape[1]):
+                mask = masks.pop(i).astype(np.intp)
+                for j, feature in enumerate(self.leaves[i].features):
+                    phi[feature] += table[j].take(mask)
+            for i, mask in masks.items():
+                distinct, which = np.unique(mask.astype(np.int64), return_inverse=True)
+                part = _leaf_effect(self.leaves[i], distinct, self.backgrounds[i], *self.weights)[which]
+                for j, feature in enumerate(self.leaves[i].features):
+                    phi[feature] += part[:, j]
+
+
+def _effects_function(block, trees: int, room: int):
     """Arrow function: feature values of a row to their effects; ``block`` is a broadcast of leaves and their masks."""
 
     @arrow_udf("ARRAY<DOUBLE>")
     def effects(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _Effects(*block.value)
+        known = _Effects(*block.value, room)
         for batch in batches:
             n = len(batch)
             x = np.ascontiguousarray(batch.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).T) if n else np.zeros((0, 0))
@@ -245,7 +300,7 @@ def _count_masks(shared):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves = shared.value
-        dense, wide = _dense_and_wide(leaves, lambda width: 1 << width)
+        dense, wide = _dense_and_wide(leaves, lambda width: 1 << width, DENSE_NUMBERS)
         totals = {i: np.zeros(1 << len(leaves[i].features), dtype=np.int64) for i in dense}
         parts: dict[tuple, _Boxes] = {}
 
@@ -265,7 +320,7 @@ def _count_masks(shared):
                     if i in totals:
                         totals[i] += np.bincount(found, minlength=len(totals[i]))
                     else:
-                        masks, n = np.unique(found, return_counts=True)
+                        masks, n = np.unique(found.astype(np.int64), return_counts=True)
                         yield table(np.full(len(masks), i), masks, n)
         for i, n in totals.items():
             masks = np.flatnonzero(n)
@@ -296,7 +351,7 @@ class Explainer:
     ``leaves`` is a table as from ``leaf_boxes``; feature numbers index ``features``. What
     masks the background has is a table, cut by a hash into blocks of at most about
     ``MASKS_PER_BLOCK`` rows, a leaf's masks too: effects are sums over masks, so it does not
-    matter which block adds them. One block at a time becomes a broadcast; functions carry its handle
+    matter which block adds them; a leaf with few masks is in one only. One block at a time becomes a broadcast; functions carry its handle
     only. The results of the blocks are added up inside the row, so rows are never shuffled.
     """
 
@@ -314,7 +369,10 @@ class Explainer:
         # every row of the background has one mask in each leaf
         size = masks.agg(F.count(F.lit(1)).alias("masks"), F.sum(F.when(F.col("leaf") == 0, F.col("n"))).alias("rows")).first()
         rows, blocks = size["rows"] or 0, -(-2 * size["masks"] // MASKS_PER_BLOCK)
-        in_block = F.pmod(F.xxhash64("leaf", "mask"), F.lit(max(blocks, 1)))
+        # a leaf with few masks is in one block, so that no two of them look at it for every row
+        few = [i for i, leaf in enumerate(boxes) if 1 << len(leaf.features) <= MASKS_PER_BLOCK // 16]
+        together = F.xxhash64("leaf") if len(few) == len(boxes) else F.when(F.col("leaf").isin(few), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "mask"))
+        in_block = F.pmod(together, F.lit(max(blocks, 1)))
         for k in range(blocks):
             block = masks.filter(in_block == k).sort("leaf", "mask").toArrow()
             if not block.num_rows:
@@ -322,7 +380,7 @@ class Explainer:
             leaf, mask, n = (c.to_numpy() for c in block.columns)
             chosen, starts = np.unique(leaf, return_index=True)
             found = [_Masks(m, c / rows) for m, c in zip(np.split(mask, starts[1:]), np.split(n, starts[1:]))]
-            self._functions.append(_effects_function(spark.sparkContext.broadcast(([boxes[i] for i in chosen], found)), trees))
+            self._functions.append(_effects_function(spark.sparkContext.broadcast(([boxes[i] for i in chosen], found)), trees, DENSE_NUMBERS // blocks))
 
     def add_to(self, df: DataFrame, name: str = "phi") -> DataFrame:
         """Add an array with the effect of every feature, in feature order. Missing values count as 0."""

@@ -110,3 +110,54 @@ def test_long_paths_are_refused(spark):
     rows = spark.createDataFrame([(1, *[0.5] * 63)], "row_id LONG, " + ", ".join(f"f{i} DOUBLE" for i in range(63)))
     with pytest.raises(ValueError):
         at.Explainer(rows, leaves, [f"f{i}" for i in range(63)])
+
+
+def _random_leaves(rng, n, features):
+    leaves, backgrounds = [], []
+    for _ in range(n):
+        width = int(rng.integers(1, features + 1))
+        cuts = np.sort(rng.integers(0, 9, (width, 2)).astype(float), axis=1)
+        lo, hi = np.where(cuts[:, 0] == 0, -INF, cuts[:, 0]), np.where(rng.random(width) < 0.3, INF, cuts[:, 1] + 1)
+        leaves.append(at._Leaf(float(rng.normal()), np.sort(rng.choice(features, width, replace=False)), lo, hi))
+        masks = np.unique(rng.integers(0, 1 << width, 1 + (1 << width) // 2))
+        backgrounds.append(at._Masks(masks, rng.random(len(masks)) / len(masks)))
+    return leaves, backgrounds
+
+
+def test_masks_by_interval_are_those_of_comparisons():
+    rng = np.random.default_rng(5)
+    leaves, _ = _random_leaves(rng, 60, 11)
+    x = rng.integers(0, 11, (11, 300)).astype(float)
+    x[:, :5], x[:, 5], x[:, 6] = np.nan, INF, -INF
+    for leaf, found in zip(leaves, at._Boxes(leaves).masks(x)):
+        inside = (x[leaf.features] > leaf.lo[:, None]) & (x[leaf.features] <= leaf.hi[:, None])
+        assert (found == (inside.astype(np.int64) << np.arange(len(leaf.features))[:, None]).sum(axis=0)).all()
+
+
+@pytest.mark.parametrize("room", [10**9, 3000, 0])
+def test_tables_of_effects_are_the_products_summed_up(monkeypatch, room):
+    """Every leaf whose table may be worked out never compares masks pair by pair, kept or not."""
+    rng = np.random.default_rng(6)
+    leaves, backgrounds = _random_leaves(rng, 40, 8)
+    x = rng.integers(0, 11, (8, 500)).astype(float)
+    want = np.zeros_like(x)
+    for leaf, background, masks in zip(leaves, backgrounds, at._Boxes(leaves).masks(x)):
+        part = at._leaf_effect(leaf, masks.astype(np.int64), background, *at._weights(8))
+        want[leaf.features] += part.T
+    monkeypatch.setattr(at, "_leaf_effect", None)
+    known, twice = at._Effects(leaves, backgrounds, room), np.zeros_like(x)
+    known.add_to(twice, x)
+    known.add_to(twice, x)
+    assert np.allclose(twice, 2 * want, atol=1e-12)
+    assert sum(t.size for t in known.tables.values()) <= room
+
+
+def test_few_rows_and_long_paths_compare_masks(monkeypatch):
+    rng = np.random.default_rng(7)
+    leaves, backgrounds = _random_leaves(rng, 20, 10)
+    x = rng.integers(0, 11, (10, 2)).astype(float)
+    whole, pairs = np.zeros_like(x), np.zeros_like(x)
+    at._Effects(leaves, backgrounds, 10**9).add_to(whole, x)
+    monkeypatch.setattr(at, "WHOLE_TABLE", 0)
+    at._Effects(leaves, backgrounds, 10**9).add_to(pairs, x)
+    assert np.allclose(whole, pairs, atol=1e-12)
