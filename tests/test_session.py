@@ -44,6 +44,24 @@ def test_spread_leaves_large_scans_alone(spark):
     assert spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() > 1
 
 
+def test_spread_cuts_scans_whose_rows_lie_in_few_tasks(spark, tmp_path):
+    """A file of one row group is read by many tasks, and one of them gets the rows."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "one.parquet")
+    spark.range(200000).select("id", F.rand(1).alias("x")).coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        scan = spark.read.parquet(path)
+        cores = spark.sparkContext.defaultParallelism
+        assert scan.rdd.getNumPartitions() >= cores
+        rows = spread(scan, "id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert rows * cores <= 2 * 200000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_worker_functions_need_no_package(tmp_path):
     """A worker that has never heard of the package can run the facts function."""
     import os
