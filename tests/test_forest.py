@@ -69,3 +69,14 @@ def test_a_stopped_search_goes_on(spark, rows, tmp_path):
     assert registry.trials_of("a").count() == 5
     least = min(one.collect(), key=lambda r: (r["cv_rmse"], r["trial"]))
     assert best == {c: least[c] for c in best}
+
+
+def test_a_search_stores_only_what_fits_read(spark, monkeypatch):
+    stored = []
+    keep = fo.stage
+    monkeypatch.setattr(fo, "stage", lambda df, name: stored.append(df.columns) or keep(df, name))
+    rows = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") * 2.0).alias("y"), F.lit(1.0).alias("w"), F.lit("long").alias("text"))
+    trials = [{"trees": 1, "max_depth": 1, "min_leaf": 1, "subset": "all"}]
+    fo.search_forest(rows, ["a"], "y", "id", trials, folds=2, weight="w")
+    fo.search_forest(rows, ["a"], "y", "id", trials, folds=2)
+    assert stored == [["features", "y", "w", "fold"], ["features", "y", "fold"]]
