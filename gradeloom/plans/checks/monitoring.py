@@ -92,7 +92,8 @@ def rolling_stream(spark, folder):
 
 
 def _scorer(spark, files):
-    featured = stage(keep_executable(files).transform(transformed_features).withColumn("label", F.col("func_density") * 10), "featured")
+    featured = keep_executable(files).transform(transformed_features).withColumn("label", F.col("func_density") * 10)
+    featured = stage(featured.select(*TRANSFORMED_FEATURES, "label"), "featured")
     model = fit_forest(featured, TRANSFORMED_FEATURES, "label", trees=3, max_depth=4)
     effects = rec.override_effects(
         spark.createDataFrame([("characters", "range", 200.0, 600.0)], "feature STRING, kind STRING, lo DOUBLE, hi DOUBLE"),
