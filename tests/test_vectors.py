@@ -1,6 +1,7 @@
 """Vector operators against NumPy by brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,48 @@ def test_neighbours_and_their_layout(spark):
     assert kept > 0.5 and layout.count() == 500
 
 
+def test_rows_around_a_hub_are_bounded(spark, monkeypatch):
+    """A vector that is a neighbour of all others has no more rows around it than any other, and the graph is right."""
+    n, k = 160, 3
+    x = 0.6 * np.eye(n + 1)
+    x[:, 0] = 1.0
+    x[0] = np.eye(n + 1)[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id BIGINT, v ARRAY<DOUBLE>").repartition(4)
+    around, write = [], vectors.stage
+
+    def noted(table, name="stage"):
+        kept = write(table, name)
+        if name == "near":
+            around.append(kept.groupBy("a").count().agg(F.max("count")).first()[0])
+        return kept
+
+    monkeypatch.setattr(vectors, "stage", noted)
+    graph = vectors.neighbour_graph(df, "id", "v", k, descents=4).collect()
+    assert max(around) <= k + vectors.REVERSE * k
+    assert len(graph) == (n + 1) * k and {r["a"] for r in graph if r["b"] == 0} >= set(range(1, n // 2))
+    c = cosine(x)
+    assert all(abs(c[r["a"], r["b"]] - r["cosine"]) < 1e-12 for r in graph)
+
+
+def test_pairs_at_hubs_are_those_that_can_enter_the_graph():
+    """Against brute force: hubs of many sizes, cut anywhere into batches."""
+    rng = np.random.default_rng(3)
+    k, rows, want = 4, [], set()
+    x, floor = rng.normal(size=(60, 5)), rng.uniform(-1, 0.5, 60)
+    c = cosine(x)
+    for hub in range(40):
+        members = sorted(rng.choice(60, rng.integers(1, 13), replace=False).tolist())
+        new = {m: bool(rng.random() < 0.4) for m in members}
+        rows += [(hub, m, new[m], floor[m], x[m].tolist()) for m in members]
+        for a in members:
+            met = sorted((b for b in members if b != a and (new[a] or new[b])), key=lambda b: -c[a, b])
+            want |= {(a, b) for b in met[:k] if c[a, b] >= floor[a]}
+    table = pa.table({n: pa.array([r[i] for r in rows]) for i, n in enumerate(("a", "b", "new", "floor", "place"))})
+    for size in (1, 7, 1000):
+        got = [(a, b) for batch in vectors._pairs_at_hubs(k)(table.to_batches(size)) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())]
+        assert set(got) == want
+
+
 def test_layout_of_tiny_tables(spark):
     schema = "id BIGINT, v ARRAY<DOUBLE>"
     assert vectors.project_neighbours(spark.createDataFrame([], schema), "id", "v").count() == 0
