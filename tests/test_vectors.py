@@ -149,6 +149,22 @@ def test_cells_that_cannot_reach_are_not_compared(spark):
     assert vectors._reachable_cells(placed, 5, 8, 0.9).count() < 0.5 * cells * (cells + 1) / 2
 
 
+@pytest.mark.parametrize("most", [30, 32768])
+def test_vectors_travel_once_to_a_block(spark, monkeypatch, most):
+    """However many cells can reach each other, a vector is sent to blocks of them, and the pairs are right."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(256, 10))
+    df = spark.createDataFrame([(i, [float(v) for v in r], float(i % 5)) for i, r in enumerate(x)], "id BIGINT, v ARRAY<DOUBLE>, s DOUBLE").repartition(4)
+    staged, write = {}, vectors.stage
+    monkeypatch.setattr(vectors, "stage", lambda table, name="stage": staged.setdefault(name, write(table, name)) if name == "block-pairs" else write(table, name))
+    found = vectors.close_pairs(df, "id", "v", "s", 0.2, 1, cells=64, block_rows=4, most_rows=most).collect()
+    c = cosine(x)
+    assert {(r["a"], r["b"]) for r in found} == {(i, j) for i in range(256) for j in range(i + 1, 256) if c[i, j] >= 0.2 and i % 5 != j % 5}
+    assert len(found) == len({(r["a"], r["b"]) for r in found}) and all(abs(c[r["a"], r["b"]] - r["cosine"]) < 1e-12 for r in found)
+    blocks = staged["block-pairs"]
+    assert blocks.select("a").distinct().count() > 40 and blocks.select("block_a").distinct().count() <= vectors.BLOCKS
+
+
 def test_neighbours_and_their_layout(spark):
     """Rings: neighbours along a ring stay neighbours, and the graph has nearly all of the true ones."""
     rng = np.random.default_rng(6)
