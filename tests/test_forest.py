@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import forest as fo
+from gradeloom.plans.checks import properties
 from gradeloom.sources.registry import Registry
 
 
@@ -80,3 +81,16 @@ def test_a_search_stores_only_what_fits_read(spark, monkeypatch):
     fo.search_forest(rows, ["a"], "y", "id", trials, folds=2, weight="w")
     fo.search_forest(rows, ["a"], "y", "id", trials, folds=2)
     assert stored == [["features", "y", "w", "fold"], ["features", "y", "fold"]]
+
+
+def test_leaves_that_hold_rows(spark):
+    """Against plain comparisons: leaves that overlap, miss rows, or have no bound at all."""
+    inf = float("inf")
+    leaves = [(0, 1.0, {0: (-inf, 2.0)}), (0, 5.0, {0: (2.0, inf), 1: (0.0, 3.0)}), (1, 7.0, {}), (2, 9.0, {2: (1.0, 4.0)})]
+    lo, hi = (np.array([[sides.get(f, (-inf, inf))[i] for f in range(3)] for _, _, sides in leaves]) for i in (0, 1))
+    free = np.array([[f not in sides for f in range(3)] for _, _, sides in leaves])
+    held = properties._held_by(spark.sparkContext.broadcast((lo, hi, free, np.array([t for t, _, _ in leaves]), np.array([v for _, v, _ in leaves]))))
+    rows = [(float(a), float(b), float(c)) for a in (1, 2, 3) for b in (0, 3, 4) for c in (1, 2, 5)]
+    for r in spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, c DOUBLE").select("a", "b", "c", held("a", "b", "c").alias("h")).collect():
+        inside = [(t, v) for t, v, sides in leaves if all(x < r[f] <= y for f, (x, y) in sides.items())]
+        assert (r.h.trees, r.h.leaves) == (len({t for t, _ in inside}), len(inside)) and abs(r.h.mean - sum(v for _, v in inside) / len(inside)) < 1e-12
