@@ -83,6 +83,21 @@ def test_a_search_stores_only_what_fits_read(spark, monkeypatch):
     assert stored == [["features", "y", "w", "fold"], ["features", "y", "fold"]]
 
 
+def test_a_guided_search_stores_its_rows_once(spark, monkeypatch):
+    """However many rounds there are; and its scores are the errors of models fitted without the fold."""
+    stored = []
+    keep = fo.stage
+    monkeypatch.setattr(fo, "stage", lambda df, name: stored.append(df.columns) or keep(df, name))
+    rows = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") * 2.0).alias("y"), F.lit(1.0).alias("w"), F.lit("long").alias("text"))
+    space = {"trees": (1, 1), "max_depth": (0, 0), "min_leaf": (1, 1), "subset": ["all"]}
+    _, table, _ = fo.guided_search(rows, ["a"], "y", "id", 3, 1, 2, weight="w", space=space)
+    assert stored == [["features", "y", "w", "fold"]]
+    folds = fo.with_fold(rows, "id", 2, 0).groupBy("fold").agg(F.avg("y").alias("mean"), F.collect_list("y").alias("ys")).collect()
+    # trees without a split that are fitted on a bootstrap lie near the mean of the other fold
+    around = np.mean([np.sqrt(np.mean((np.array(one["ys"]) - other["mean"]) ** 2)) for one, other in (folds, folds[::-1])])
+    assert all(abs(r["cv_rmse"] - around) < 0.25 * around for r in table.collect())
+
+
 def test_leaves_that_hold_rows(spark):
     """Against plain comparisons: leaves that overlap, miss rows, or have no bound at all."""
     inf = float("inf")
