@@ -47,6 +47,8 @@ LONG, DEEP, WIDE, SHARED, HEAD = 3072, 40, 32, 2, 3
 MISS, LONG_SIGMAS = 1e-4, 3.5
 #: Further orders in a round, the estimate of links unseen at which a region is finished, and orders after which that alone decides.
 ORDERS, UNSEEN, MOST_ORDERS = 64, 0.1, 512
+#: Bits a wanted text has in the filter of the second reading, how many of them it sets, and the most bits in all (more texts then pass).
+SPARE, SET_BITS, MOST_BITS = 16, 3, 1 << 27
 SEED = 20
 
 
@@ -282,22 +284,53 @@ def candidates(classes: DataFrame, threshold: float, active: DataFrame | None =
     return pairs.groupBy("a", "b").agg(F.max(F.col("kind") == "next").alias("next"))
 
 
+def _filter_bits(wanted: DataFrame):
+    """A Bloom filter over ``id`` and ``mark`` of ``wanted``, as 64-bit words; its size is bounded, also in what the driver gets."""
+    import numpy as np
+
+    size = min(max(wanted.count() * SPARE, 1 << 16), MOST_BITS) // 64 * 64
+    h = F.xxhash64("id", "mark")
+    low, step = h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    places = wanted.select(F.explode(F.array(*[(low + i * step) % size for i in range(SET_BITS)])).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def _may_be_wanted(np, table, hashes):
+    """Which of some (id, mark) hashes the filter lets pass; none that is wanted is stopped."""
+    size = len(table) * 64
+    low, step = hashes & 0xFFFFFFFF, ((hashes >> 32) & 0xFFFFFFFF) | 1
+    passed = np.ones(len(hashes), bool)
+    for i in range(SET_BITS):
+        place = (low + i * step) % size
+        passed &= (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return passed
+
+
 def _fetch_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """``node`` and ``hashes`` of wanted classes, from one text of each (columns node, id, mark of ``wanted``)."""
+    """``node`` and ``hashes`` of wanted classes, from one text of each (columns node, id, mark of ``wanted``).
+
+    Texts are not shuffled: each task keeps those whose id and mark pass a small filter, and of
+    the sets that these make the join on ``node`` leaves the wanted ones.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         s = Shingler(shingle)
         for batch in batches:
-            sets = [s.shingles(t) for t in batch.column(0).to_pylist()]
+            passed = _may_be_wanted(np, table.value, batch.column(0).to_numpy())
+            sets = [s.shingles(t) for t in batch.column(1).filter(pa.array(passed)).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "hashes"])
 
     text = text_or_empty(text_column)
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
-    one = wanted.select(F.col("id").alias("w_id"), F.col("mark").alias("w_mark"))
-    texts = rows.join(one, rows["id"].eqNullSafe(one["w_id"]) & (rows["mark"] == one["w_mark"]), "left_semi").select("t")
-    return texts.mapInArrow(run, "node binary, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    rows = docs.select(F.xxhash64(F.col(id_column), F.xxhash64(text)).alias("h"), text.alias("t"))
+    sets = rows.mapInArrow(run, "node binary, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    return sets.join(wanted.select("node"), "node", "left_semi")
 
 
 def _count(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -620,6 +653,7 @@ def _judged_rows(docs: DataFrame, id_column: str, text_column: str, threshold: i
     forget(rows, classes, active, pairs)
     crowded = active.filter("crowded").select("node")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded).distinct().join(classes.select("node", "one.id", "one.mark"), "node")
+    wanted = stage(wanted, "wanted")
     sets = stage(_fetch_sets(docs, wanted, id_column, text_column, shingle), "sets")
     labels, known = _settle(pairs, sets, threshold)
     forget(rows, classes, active, sets, labels, known)

@@ -140,3 +140,31 @@ def test_odd_rows(spark, odd, odd_rows, nothing):
     only_null = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f"), (None, "")], "doc_id long, text string")
     assert lf.deduplicated(only_null).count() == 2
     assert lf.near_duplicates(nothing).count() == 0 and lf.deduplicated(nothing).count() == 0
+
+
+def test_texts_are_not_shuffled_for_the_exact_counts(spark):
+    """Sets of wanted classes come from a scan with a filter that stops nothing wanted; copies, null ids and texts that only pass are left out."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(400)] + [(None, "a b c d e f g"), (7, None), (500, "w3x0 w3x1"), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = lf.signatures(docs, "doc_id", "text", 5)
+    wanted = known.filter("node IS NOT NULL AND (id IS NULL OR id % 3 = 0)").select("node", "id", "mark").localCheckpoint()
+    table = lf._filter_bits(wanted)
+    hashes = np.array([r[0] for r in wanted.selectExpr("xxhash64(id, mark)").collect()], np.int64)
+    assert lf._may_be_wanted(np, table, hashes).all()
+    others = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 20_000)
+    assert lf._may_be_wanted(np, table, others).mean() < 0.02
+    table = lf._filter_bits(wanted.limit(0))
+    assert not lf._may_be_wanted(np, table, hashes).any()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for many wanted texts
+    try:
+        sets = lf._fetch_sets(docs, wanted, "doc_id", "text", 5)
+        got = {bytes(r["node"]): bytes(r["hashes"]) for r in sets.collect()}
+        plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    s = lf.Shingler()
+    expected = [s.shingles(t) for i, t in rows if t and (i is None or i % 3 == 0)]
+    assert got == {lf._node(x): x.tobytes() for x in expected}
+    above = plan[: plan.index("MapInArrow")]
+    assert "Join" in above and "Join" not in plan[plan.index("MapInArrow") :].split("Relation")[0].split("LogicalRDD")[0]
