@@ -47,7 +47,7 @@ LONG, DEEP, WIDE, SHARED, HEAD = 3072, 40, 32, 2, 3
 MISS, LONG_SIGMAS = 1e-4, 3.5
 #: Further orders in a round, the estimate of links unseen at which a region is finished, and orders after which that alone decides.
 ORDERS, UNSEEN, MOST_ORDERS = 64, 0.1, 512
-#: Bits a wanted text has in the filter of the second reading, how many of them it sets, and the most bits in all (more texts then pass).
+#: Bits a wanted text or class has in a filter, how many of them it sets, and the most bits in all (more rows then pass).
 SPARE, SET_BITS, MOST_BITS = 16, 3, 1 << 27
 SEED = 20
 
@@ -273,7 +273,7 @@ def candidates(classes: DataFrame, threshold: float, active: DataFrame | None =
     """Distinct pairs (a < b) of classes that are neighbours in some order and can reach the threshold; ``next``: with none between them."""
     spark = classes.sparkSession
     active = active_classes(classes) if active is None else active
-    rows = _orders(classes.join(active, "node", "left_semi"))
+    rows = _orders(_passing(classes.select("node", "sig"), active).join(active, "node", "left_semi"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stage(_neighbour_pairs(rows.repartitionByRange(parts, "place", "node").sortWithinPartitions("place", "node"), threshold), "forest-pairs")
     # neighbours on both sides of a cut between partitions: a few rows for each partition
@@ -284,12 +284,12 @@ def candidates(classes: DataFrame, threshold: float, active: DataFrame | None =
     return pairs.groupBy("a", "b").agg(F.max(F.col("kind") == "next").alias("next"))
 
 
-def _filter_bits(wanted: DataFrame):
-    """A Bloom filter over ``id`` and ``mark`` of ``wanted``, as 64-bit words; its size is bounded, also in what the driver gets."""
+def _filter_bits(wanted: DataFrame, *columns: str):
+    """A Bloom filter over columns of ``wanted`` (``id`` and ``mark``), as 64-bit words; its size is bounded, also in what the driver gets."""
     import numpy as np
 
     size = min(max(wanted.count() * SPARE, 1 << 16), MOST_BITS) // 64 * 64
-    h = F.xxhash64("id", "mark")
+    h = F.xxhash64(*(columns or ("id", "mark")))
     low, step = h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
     places = wanted.select(F.explode(F.array(*[(low + i * step) % size for i in range(SET_BITS)])).alias("place"))
     words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toArrow()
@@ -299,7 +299,7 @@ def _filter_bits(wanted: DataFrame):
 
 
 def _may_be_wanted(np, table, hashes):
-    """Which of some (id, mark) hashes the filter lets pass; none that is wanted is stopped."""
+    """Which of some hashes the filter lets pass; none that is wanted is stopped."""
     size = len(table) * 64
     low, step = hashes & 0xFFFFFFFF, ((hashes >> 32) & 0xFFFFFFFF) | 1
     passed = np.ones(len(hashes), bool)
@@ -309,6 +309,25 @@ def _may_be_wanted(np, table, hashes):
     return passed
 
 
+def _passing(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``node`` is not in ``nodes`` (staged, no node twice); a join on ``node`` has to follow.
+
+    Signatures and sets are wide, and a join to a list that is too long for a broadcast shuffles
+    all of them, however few are in it. Here only what passes a small filter is left to shuffle.
+    """
+    table = rows.sparkSession.sparkContext.broadcast(_filter_bits(nodes, "node"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            passed = _may_be_wanted(np, table.value, batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(passed))
+
+    return rows.select(F.xxhash64("node").alias("h"), *rows.columns).mapInArrow(run, rows.schema)
+
+
 def _fetch_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
     """``node`` and ``hashes`` of wanted classes, from one text of each (columns node, id, mark of ``wanted``).
 
@@ -334,7 +353,9 @@ def _fetch_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column:
 
 
 def _count(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Sizes of intersection (``both``) and union (``either``) of every pair, on full sets."""
+    """Sizes of intersection (``both``) and union (``either``) of every pair, on full sets; only sets that a pair names are shuffled."""
+    pairs = stage(pairs.select("a", "b"), "to-count")
+    sets = _passing(sets, stage(_both_ways(pairs).select(F.col("a").alias("node")).distinct(), "to-count"))
 
     def run(batches):
         import numpy as np
@@ -590,7 +611,8 @@ def _crowd(classes: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFra
     named = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     ranked = stage(named.join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long"))), "crowd-labels")
-    keys = stage(_prefixes(classes.join(crowded, "node", "left_semi")).join(ranked, "node"), "crowd-keys")
+    own = _passing(classes.select("node", "sig"), ranked).join(ranked, "node", "left_semi")
+    keys = stage(_prefixes(own).join(ranked, "node"), "crowd-keys")
     regions = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.max(F.struct("size", "label"))["label"].alias("top"))
     mixed = stage(regions.filter((F.col("n") > NEAR + 1) & (F.col("least") < F.col("most"))).select("key", "top"), "crowd-regions")
     return keys.join(mixed, "key").groupBy("node", "label").agg(F.max(F.col("label") != F.col("top")).alias("live"))
@@ -610,7 +632,8 @@ def _finish(labels: DataFrame, classes: DataFrame, crowded: DataFrame, sets: Dat
     share = threshold / 100
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    crowd = stage(_long_signatures(_crowd(classes, crowded, labels).join(sets, "node")), "crowd")
+    crowd = stage(_crowd(classes, crowded, labels), "crowd-members")
+    crowd = stage(_long_signatures(crowd.join(_passing(sets, crowd), "node")), "crowd")
     done = stage(crowd.select("node", F.lit(0.0).alias("miss")), "crowd-searched")
     first = 0
     while crowd.filter("live").limit(1).count():

@@ -168,3 +168,32 @@ def test_texts_are_not_shuffled_for_the_exact_counts(spark):
     assert got == {lf._node(x): x.tobytes() for x in expected}
     above = plan[: plan.index("MapInArrow")]
     assert "Join" in above and "Join" not in plan[plan.index("MapInArrow") :].split("Relation")[0].split("LogicalRDD")[0]
+
+
+def test_only_sets_of_pairs_are_shuffled(spark, tmp_path):
+    """Counting few pairs shuffles their sets and hardly any other, also where the pairs are too many for a broadcast; the counts are exact."""
+    rows = [(i, " ".join(f"w{i // 2}x{k + i % 2}" for k in range(40))) for i in range(800)] + [(None, "a b"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    s = lf.Shingler()
+    hashes = {lf._node(h): h for h in (s.shingles(t) for _, t in rows if t)}
+    sets = spark.createDataFrame([(bytearray(k), bytearray(h.tobytes())) for k, h in hashes.items()], "node binary, hashes binary").repartition(3)
+    sets.write.parquet(f"{tmp_path}/sets")
+    nodes = [lf._node(s.shingles(t)) for _, t in rows[:12]]
+    named = sorted(tuple(sorted(x)) for x in [*zip(nodes[::2], nodes[1::2]), (nodes[0], nodes[5]), (nodes[0], nodes[7])])
+    pairs = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in named], "a binary, b binary")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counted = lf._count(pairs, spark.read.parquet(f"{tmp_path}/sets"))
+        got = sorted((bytes(r["a"]), bytes(r["b"]), r["both"], r["either"]) for r in counted.collect())
+        plan = spark._jvm.PythonSQLUtils.explainString(counted._jdf.queryExecution(), "formatted")
+        shuffled = [float(x) for x in re.findall(r"ShuffleQueryStage[^\n]*rowCount=([\d.E+]+)", plan)]
+        none = lf._count(pairs.limit(0), spark.read.parquet(f"{tmp_path}/sets")).collect()
+        classes = lf.signatures(docs, "doc_id", "text", 5).filter("node IS NOT NULL").localCheckpoint()
+        few = lf._passing(classes.select("node", "sig"), pairs.selectExpr("a AS node")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    expected = [(a, b, len(np.intersect1d(hashes[a], hashes[b])), len(np.union1d(hashes[a], hashes[b]))) for a, b in named]
+    assert got == expected and none == []
+    assert shuffled and max(shuffled) < 40 and "ReusedExchange" in plan
+    assert {a for a, _ in named} <= {bytes(r["node"]) for r in few} and len(few) < 40
