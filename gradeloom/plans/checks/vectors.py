@@ -65,7 +65,7 @@ def projection(spark, folder):
 
 
 def close_pairs(spark, folder):
-    pairs = vectors.close_pairs(table(spark, folder, "embeddings"), "vec_id", "embedding", "label", 0.35, 1)
+    pairs = vectors.close_pairs(table(spark, folder, "embeddings"), "vec_id", "embedding", "label", 0.35, 1, every_copy=True)
     return pairs.withColumns({"cosine": F.round("cosine", 5), "gap": F.round("gap", 6)})
 
 

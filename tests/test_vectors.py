@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import vectors
 from gradeloom.operators.profile import histogram
 from gradeloom.operators.split import with_fold
+from gradeloom.plans.checks.vectors import close_pairs
 
 
 @pytest.fixture(scope="module")
@@ -233,3 +234,47 @@ def test_layout_of_tiny_tables(spark):
     assert [tuple(r) for r in one] == [(4, 0.0, 0.0)]
     three = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], schema)
     assert vectors.project_neighbours(three, "id", "v", steps=4).count() == 3
+
+
+def brute_pairs(rows, least, gap):
+    """Every two rows (id, vector, score) in plain Python; nulls are in no pair."""
+    rows = [r for r in rows if None not in r]
+    c = cosine(np.array([r[1] for r in rows]))
+    return sorted(
+        (i, j, round(float(c[x, y]), 5), abs(s - t))
+        for x, (i, _, s) in enumerate(rows)
+        for y, (j, _, t) in enumerate(rows)
+        if i < j and c[x, y] >= least and abs(s - t) >= gap
+    )
+
+
+@pytest.mark.parametrize("most_copies,most_rows,cells", [(256, 32768, None), (3, 7, 8)])
+def test_every_copy_of_a_vector_is_in_its_pairs(points, spark, monkeypatch, most_copies, most_rows, cells):
+    """Copies are pairs among each other and with all that is near them; keys may repeat, nulls are in no pair."""
+    monkeypatch.setattr(vectors, "MOST_COPIES", most_copies)
+    monkeypatch.setattr(vectors, "MOST_PAIRS", 100)
+    x, label, _ = points
+    rows = [(i, [float(v) for v in x[i]], float(label[i])) for i in range(len(x))]
+    rows += [(7, [float(v) for v in x[9]], 3.0), rows[65], (None, rows[0][1], 9.0), (500, None, 1.0), (501, rows[0][1], None), (502, [2 * v for v in rows[0][1]], 0.0)]
+    df = spark.createDataFrame(rows, "id BIGINT, v ARRAY<DOUBLE>, s DOUBLE").repartition(4)
+    found = vectors.close_pairs(df, "id", "v", "s", 0.95, 2, cells, 40, most_rows, every_copy=True)
+    assert sorted((r["a"], r["b"], round(r["cosine"], 5), r["gap"]) for r in found.collect()) == brute_pairs(rows, 0.95, 2)
+
+
+def test_every_copy_in_tables_of_one_vector(spark):
+    schema = "id BIGINT, v ARRAY<DOUBLE>, s DOUBLE"
+    find = lambda rows, least=0.5: sorted(map(tuple, vectors.close_pairs(spark.createDataFrame(rows, schema), "id", "v", "s", least, 1, every_copy=True).collect()))
+    assert find([]) == [] and find([(1, [1.0, 0.1], 0.0)]) == []
+    same = [(i, [0.3, 0.1], float(i % 2)) for i in range(700)]  # several rows of copies
+    for n in (5, 700):
+        assert find(same[:n], 1.0) == [(i, j, 1.0, 1.0) for i in range(n) for j in range(i + 1, n) if (i + j) % 2]
+    assert find([(i, [0.0, 0.0], float(i)) for i in range(3)]) == []  # nothing has a length of zero for its direction
+
+
+def test_query_of_close_pairs_has_all_pairs_of_rows(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 8))
+    rows = [(i, [float(v) for v in x[i % 30]], i % 4) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = close_pairs(spark, str(tmp_path)).collect()
+    assert sorted((r["a"], r["b"], r["cosine"], r["gap"]) for r in found) == brute_pairs(rows, 0.35, 1)
