@@ -109,3 +109,18 @@ def test_leaves_that_hold_rows(spark):
     for r in spark.createDataFrame(rows, "a DOUBLE, b DOUBLE, c DOUBLE").select("a", "b", "c", held("a", "b", "c").alias("h")).collect():
         inside = [(t, v) for t, v, sides in leaves if all(x < r[f] <= y for f, (x, y) in sides.items())]
         assert (r.h.trees, r.h.leaves) == (len({t for t, _ in inside}), len(inside)) and abs(r.h.mean - sum(v for _, v in inside) / len(inside)) < 1e-12
+
+
+def test_drawn_rows_have_a_weight(spark):
+    drawn = spark.range(20_000).select(*[(fo.is_drawn(F.col("id"), t, 3) == (fo.poisson_weight(F.col("id"), t, 3) > 0)).alias(f"t{t}") for t in range(3)])
+    assert drawn.filter("not (t0 and t1 and t2)").count() == 0
+
+
+def test_bagging_stores_only_what_fits_read(spark, monkeypatch):
+    stored = []
+    keep = fo.stage
+    monkeypatch.setattr(fo, "stage", lambda df, name: stored.append(df.columns) or keep(df, name))
+    rows = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") * 2.0).alias("y"), F.lit(1.0).alias("w"), F.lit("long").alias("text"))
+    fo.fit_bagged(rows, ["a"], "y", "id", trees=1, max_depth=1)
+    fo.fit_bagged(rows, ["a"], "y", "id", trees=1, max_depth=1, weight="w")
+    assert stored == [["features", "y", "id"], ["features", "y", "id", "w"]]
